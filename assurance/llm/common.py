@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 
@@ -56,6 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def plus(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df with more fields behind it."""
+    return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def park(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.langid import op1
+
+    return op1(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.bpe import op3
 
@@ -38,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_bpe_forced_boundaries, op7_quality_fertility, op10_token_files]
+    own = [op1_language_kneser_ney, op3_bpe_forced_boundaries, op7_quality_fertility, op10_token_files]
     return {f.__name__: f for f in own}
 
 
