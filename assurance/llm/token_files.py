@@ -1,7 +1,7 @@
 """Operator 10: token ids in Arrow IPC files of fixed-size-list batches.
 
-One file per range of doc_id. A row is a sequence of seq_len ids and its mask, both
-fixed-size lists, so sequence k of a file is row k % rows of batch k // rows and is read
+One file per range of doc_id. A row is a sequence of seq_len ids (16 bits each where the
+vocabulary allows, else 32) and its mask of bits, both fixed-size lists, so sequence k of a file is row k % rows of batch k // rows and is read
 without a copy from a memory map. Documents run on from sequence to sequence; only the
 last sequence of a file is padded (id 0, mask 0). Beside each file lies its index (doc_id,
 start, n_tokens in the file), and a manifest table lists the files that count: a task that
@@ -90,18 +90,17 @@ def encoder(path: str) -> ByteLevelEncoder:
 class SequenceWriter:
     """Packs a run of ids into fixed-size lists, a batch of rows at a time."""
 
-    def __init__(self, sink, seq_len: int, rows: int):
-        self.seq_len, self.rows = seq_len, rows
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    def __init__(self, sink, seq_len: int, rows: int, wide: bool):
+        self.seq_len, self.rows, self.kind = seq_len, rows, np.uint32 if wide else np.uint16
+        self.schema = pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = ipc.new_file(sink, self.schema)
         self.held: list[bytes] = []
         self.held_bytes = 0
         self.n_ids = 0
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
+        mask = np.arange(len(ids)) < real
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids.astype(self.kind), mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def add(self, ids: bytes) -> None:
@@ -146,7 +145,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         code, n_docs = encoder(tokenizer), 0
         with store.open_output_stream(path) as sink, store.open_output_stream(index_path) as index_sink, ipc.new_file(index_sink, schema) as index:
-            out = SequenceWriter(sink, seq_len, rows)
+            out = SequenceWriter(sink, seq_len, rows, wide=len(code.after_space) > 1 << 16)
             for big in (b for some in ([first], batches) for b in some):
                 for at in range(0, big.num_rows, 512):
                     batch = big.slice(at, 512)
@@ -197,10 +196,10 @@ def read_one(store: fs.FileSystem, path: str, index_path: str, before: int) -> I
             for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
                 while base + len(flat) < s + n:
                     batch = data.get_batch(at)
-                    ids, mask = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+                    ids, mask = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().true_count
                     keep = flat[max(0, s - base) :]
                     base += len(flat) - len(keep)
-                    flat = np.r_[keep, ids[: int(mask.sum())]]
+                    flat = np.r_[keep, ids[:mask]]
                     at += 1
                 crcs.append(zlib.crc32(flat[s - base : s - base + n].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + before), docs.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -212,4 +211,4 @@ def sequence(store: fs.FileSystem, path: str, k: int) -> tuple[np.ndarray, np.nd
         data = ipc.open_file(source)
         rows = data.get_batch(0).num_rows
         batch = data.get_batch(k // rows)
-        return tuple(batch.column(c)[k % rows].values.to_numpy() for c in (0, 1))
+        return tuple(batch.column(c)[k % rows].values.to_numpy(zero_copy_only=not c) for c in (0, 1))
