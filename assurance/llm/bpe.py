@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from assurance.llm.common import plus
+
 #: Entries of a worker's table of encoded chunks; it is emptied when full.
 CACHE = 600_000
 #: White space as the vocabulary's own pattern has it; str.split() also cuts at \x1c-\x1f.
@@ -142,7 +144,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     repeated rows are encoded alike. A clashing column of docs gives way to the new one.
     """
     docs = docs.drop("bpe_ids", "bpe_decoded")
-    schema = docs.schema.add("bpe_ids", "array<int>").add("bpe_decoded", "string")
+    schema = plus(docs, "bpe_ids array<int>, bpe_decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import words
+from assurance.llm.common import plus, words
 
 CACHE = 600_000
 #: Bands by script: least and most characters per token, most byte-fallback share, least token entropy in bits.
@@ -158,9 +158,7 @@ def score_quality(docs: DataFrame, pieces_model: str, text_col: str = "text") ->
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     docs = docs.drop(*names)
-    schema = docs.schema
-    for c in COLUMNS.split(", "):
-        schema = schema.add(*c.split())
+    schema = plus(docs, COLUMNS)
     kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 3 + [pa.bool_()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,12 +30,24 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op7_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.quality import op7
 
     return op7(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_vectors_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.token_files import read_files, write_files
 
@@ -44,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_kneser_ney, op3_bpe_forced_boundaries, op7_quality_fertility, op10_token_files]
+    own = [op1_language_kneser_ney, op3_bpe_forced_boundaries, op5_minhash_chosen_path, op7_quality_fertility, op9_vectors_cross_polytope, op10_token_files]
     return {f.__name__: f for f in own}
 
 
