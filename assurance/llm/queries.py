@@ -24,6 +24,12 @@ def op1_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.ngram_lm import op2
+
+    return op2(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.bpe import op3
 
@@ -42,6 +48,12 @@ def op7_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.html_text import op8
+
+    return op8(table(spark, sf_dir, "pages"))
+
+
 def op9_vectors_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.vectors import near_vectors
 
@@ -56,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_kneser_ney, op3_bpe_forced_boundaries, op5_minhash_chosen_path, op7_quality_fertility, op9_vectors_cross_polytope, op10_token_files]
+    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op5_minhash_chosen_path, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files]
     return {f.__name__: f for f in own}
 
 
