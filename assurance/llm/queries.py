@@ -36,6 +36,12 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.mixing import op4
+
+    return op4(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.neardup import near_duplicates
 
@@ -68,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op5_minhash_chosen_path, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files]
+    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op4_temperature_mixing, op5_minhash_chosen_path, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files]
     return {f.__name__: f for f in own}
 
 
