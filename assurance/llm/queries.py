@@ -48,6 +48,12 @@ def op5_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.licences import op6
+
+    return op6(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assurance.llm.quality import op7
 
@@ -74,9 +80,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op4_temperature_mixing, op5_minhash_chosen_path, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files]
+    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op4_temperature_mixing, op5_minhash_chosen_path, op6_licence_dice, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from assurance.llm.licences import op6_sql
+
+    return {"op6_licence_dice": op6_sql()}
