@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from assurance.plans.decisions import flagship
+
+MODULES = ["decisions"]
+
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in import_module(f"assurance.plans.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in import_module(f"assurance.plans.{m}").SQL.items()}
