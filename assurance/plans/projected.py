@@ -52,12 +52,12 @@ def proj(select: str, *more: str) -> str:
 
 @query("a1_portfolio", proj("SELECT system_id, decisions, pass, repair, escalate, block, CAST(exposure AS BIGINT) AS exposure, exposure_per_100, completeness, spend, review, live, synthetic FROM cards", CARDS))
 def a1(spark, d):
-    return P.portfolio(costed(spark, d), V.systems(spark), V.NOW).drop("status", "reason")
+    return P.portfolio(costed(spark, d), V.systems(spark), V.now()).drop("status", "reason")
 
 
 @query("a2_status", proj("SELECT system_id, status, reason FROM cards", CARDS))
 def a2(spark, d):
-    return P.portfolio(costed(spark, d), V.systems(spark), V.NOW).select("system_id", "status", "reason")
+    return P.portfolio(costed(spark, d), V.systems(spark), V.now()).select("system_id", "status", "reason")
 
 
 @query(
@@ -86,7 +86,7 @@ def a6(spark, d):
     proj(f"SELECT system_id, count(*) AS turns, count(*) FILTER (final_route = 'block') AS blocked, round_even(sum(tokens) * 0.85::DOUBLE / 1000 * 1000 / count(*), 4) AS cost_per_1000, round_even(count(*) FILTER (requires_judge) / count(*)::DOUBLE, 4) AS judge_share FROM (SELECT *, effective IN ('advise', 'decide', 'execute') AND tier <> 'authoritative' AS requires_judge FROM costed WHERE origin = 'user' AND occurred_at >= {NOW_SQL} - INTERVAL 10 DAY) GROUP BY system_id", COSTED),
 )
 def a7(spark, d):
-    x = costed(spark, d).filter((F.col("origin") == "user") & (F.col("occurred_at") >= V.NOW - F.expr("interval 10 day")))
+    x = costed(spark, d).filter((F.col("origin") == "user") & (F.col("occurred_at") >= V.now() - F.expr("interval 10 day")))
     judge = F.col("effective").isin("advise", "decide", "execute") & (F.col("tier") != "authoritative")
     n = F.count("*")
     return x.groupBy("system_id").agg(n.alias("turns"), F.count_if(F.col("final_route") == "block").alias("blocked"), F.bround(F.sum("tokens") * 0.85 / 1000 * 1000 / n, 4).alias("cost_per_1000"), F.bround(F.count_if(judge) / n, 4).alias("judge_share"))
@@ -94,13 +94,13 @@ def a7(spark, d):
 
 @query("a8_period_usage", proj(f"SELECT system_id, CAST(sum(CASE WHEN occurred_at >= date_trunc('month', {NOW_SQL}) THEN tokens ELSE 0 END) AS BIGINT) AS month_tokens, sum(CASE WHEN occurred_at >= {NOW_SQL} - INTERVAL 7 DAY THEN review_minutes ELSE 0 END) AS week_minutes FROM costed GROUP BY system_id", COSTED))
 def a8(spark, d):
-    return costed(spark, d).groupBy("system_id").agg(F.sum(F.when(F.col("occurred_at") >= P.month_start(V.NOW), F.col("tokens")).otherwise(0)).alias("month_tokens"), F.sum(F.when(F.col("occurred_at") >= P.week_start(V.NOW), F.col("review_minutes")).otherwise(0.0)).alias("week_minutes"))
+    return costed(spark, d).groupBy("system_id").agg(F.sum(F.when(F.col("occurred_at") >= P.month_start(V.now()), F.col("tokens")).otherwise(0)).alias("month_tokens"), F.sum(F.when(F.col("occurred_at") >= P.week_start(V.now()), F.col("review_minutes")).otherwise(0.0)).alias("week_minutes"))
 
 
 @query("a9_capacity", proj(f"SELECT system_id, used, reserved, budget, round_even((used + reserved) / budget, 4) AS load, CASE WHEN (used + reserved) / budget >= 1 THEN 'exhausted' WHEN (used + reserved) / budget >= 0.85::DOUBLE THEN 'warning' ELSE 'ok' END AS state FROM (SELECT c.system_id, sum(CASE WHEN occurred_at >= {NOW_SQL} - INTERVAL 7 DAY THEN review_minutes ELSE 0 END) AS used, 8.0 * count(*) FILTER (governance = 'awaiting_verification') AS reserved, max(minutes_week) AS budget FROM costed c JOIN systems s ON c.system_id = s.system_id GROUP BY c.system_id)", COSTED))
 def a9(spark, d):
     x = costed(spark, d).join(F.broadcast(V.systems(spark).select("system_id", "minutes_week")), "system_id")
-    week = F.sum(F.when(F.col("occurred_at") >= P.week_start(V.NOW), F.col("review_minutes")).otherwise(0.0))
+    week = F.sum(F.when(F.col("occurred_at") >= P.week_start(V.now()), F.col("review_minutes")).otherwise(0.0))
     return P.capacity(x.groupBy("system_id").agg(week.alias("used"), (F.lit(8.0) * F.count_if(F.col("governance") == "awaiting_verification")).alias("reserved"), F.max("minutes_week").alias("budget")))
 
 
@@ -149,7 +149,7 @@ def a12(spark, d):
     x = costed(spark, d)
     digest = F.col("k") * 100 + F.floor("value") % 10
     signals = x.groupBy("system_id").agg(F.count_if("mismatch").alias("mismatches"), F.bround(1 - F.countDistinct(digest) / F.count("*"), 4).alias("duplicate_share"), F.count_if(F.array_contains("labels", "privacy")).alias("identifiers"))
-    return P.advisories(P.portfolio(x, V.systems(spark), V.NOW), signals)
+    return P.advisories(P.portfolio(x, V.systems(spark), V.now()), signals)
 
 
 PREDICTIONS = "predictions AS (SELECT l.doc_id, l.toxic = 1 OR l.quality = 0 AS expected, length(d.text) < 60 OR n_same > 1 OR regexp_matches(d.text, '[0-9]{12,}') OR contains(d.text, '###') AS got FROM labels l JOIN (SELECT *, count(*) OVER (PARTITION BY text) AS n_same FROM documents) d ON l.doc_id = d.doc_id)"
@@ -189,7 +189,7 @@ def a17(spark, d):
 def a18(spark, d):
     r = V.detector_results(V.decisions(spark, d))
     waiting = F.col("status") == "queued_async"
-    age = F.unix_timestamp(V.NOW) - F.unix_timestamp("occurred_at")
+    age = F.unix_timestamp(V.now()) - F.unix_timestamp("occurred_at")
     return r.groupBy("system_id").agg(F.count_if(waiting).alias("pending"), F.max(F.when(waiting, age)).alias("oldest_s"))
 
 

@@ -63,7 +63,7 @@ def p16(spark, d):
 )
 def b1(spark, d):
     x = projected.costed(spark, d)
-    return R.briefing(P.portfolio(x, V.systems(spark), V.NOW), projected.a12(spark, d))
+    return R.briefing(P.portfolio(x, V.systems(spark), V.now()), projected.a12(spark, d))
 
 
 @query("b3_forecast_sentence", "SELECT system_id, CASE state WHEN 'too_early' THEN 'Too early in the month to say.' WHEN 'exhausted' THEN 'The month''s budget is spent.' WHEN 'steady' THEN 'The budget lasts past this week.' ELSE 'The budget lasts ' || CAST(floor(days_left) AS INTEGER) || ' days, until ' || exhausted_on || '.' END AS sentence FROM (" + projected.SQL["a10_burn_rate"] + ")")

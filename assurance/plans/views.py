@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from assurance import config as C
 
-NOW = F.lit(C.NOW).cast("timestamp")
+
+def now():
+    return F.lit(C.NOW).cast("timestamp")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

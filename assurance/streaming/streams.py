@@ -57,14 +57,14 @@ class Silence(StatefulProcessor):
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest = max(int(pd.to_datetime(b["occurred_at"]).astype("int64").max() // 1_000_000 if pd.to_datetime(b["occurred_at"]).dtype == "datetime64[ns]" else pd.to_datetime(b["occurred_at"]).astype("datetime64[ms]").astype("int64").max()) for b in rows)
+        newest = max(int(pd.to_datetime(b["occurred_at"]).astype("datetime64[ms]").astype("int64").max()) for b in rows)
         before = self.last.get()[0] if self.last.exists() else 0
         if newest > before:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.last.update((newest,))
             self.handle.registerTimer(newest + C.SILENT_S * 1000)
-        yield pd.DataFrame({"system_id": [], "silent_from": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield pd.DataFrame({"system_id": [key[0]], "silent_from": [self.last.get()[0]]})
