@@ -6,7 +6,7 @@ from importlib import import_module
 
 from assurance.plans.decisions import flagship
 
-MODULES = ["decisions", "projected", "retrieval", "turns", "logs_and_streams", "reported"]
+MODULES = ["decisions", "projected", "retrieval", "turns", "logs_and_streams", "reported", "further"]
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
