@@ -96,4 +96,4 @@ def scope_verdict(scores: DataFrame, asked: DataFrame, coverage: DataFrame) -> D
     m, o, c = F.coalesce("mine", F.lit(0.0)), F.coalesce("o.score", F.lit(0.0)), F.coalesce("cover", F.lit(0.0))
     foreign = (o >= 0.42) & (o >= 2.6 * F.greatest(m, F.lit(0.02))) & (c <= F.greatest(1.35 * m, F.lit(0.5)))
     verdict = F.when(foreign, "foreign").when((c >= 2.0) | (m >= 0.14), "in_scope").otherwise("uncovered")
-    return j.select("item_id", "system_id", F.bround(m, 6).alias("mine"), F.bround(c, 6).alias("cover"), verdict.alias("verdict"), F.when(foreign, F.col("o.s")).alias("redirect_to"))
+    return j.select("item_id", "system_id", m.alias("mine"), c.alias("cover"), verdict.alias("verdict"), F.when(foreign, F.col("o.s")).alias("redirect_to"))

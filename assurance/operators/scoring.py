@@ -39,7 +39,7 @@ def price(results: DataFrame, weights: DataFrame, radius: DataFrame) -> DataFram
     half = F.when(F.size("items") == 0, 0).otherwise(F.bround((1 - F.col("mean_confidence")) * C.BAND_WIDTH, 0).cast("int"))
     return g.select(
         "request_id",
-        F.bround("p", 12).alias("p_failure"),
+        (F.floor(F.col("p") * 1e6) / 1e6).alias("p_failure"),
         "price",
         F.bround(F.coalesce("mean_confidence", F.lit(0.3)), 3).alias("confidence"),
         F.greatest(F.lit(0), F.col("price") - half).alias("band_low"),
@@ -57,7 +57,7 @@ risk_sums AS (
   SELECT request_id, list(v ORDER BY v DESC, monitor_ord) AS vs, first(detector_id ORDER BY v DESC, monitor_ord) AS dominant, avg(confidence) AS c,
     list_sort(list_distinct(flatten(list(labels)))) AS labels FROM risk_items GROUP BY request_id),
 risk AS (
-  SELECT c.request_id, c.blast_radius, round_even(p, 12) AS p_failure, CAST(round_even(least(100.0::DOUBLE, p * c.blast_radius * 100), 0) AS INTEGER) AS price,
+  SELECT c.request_id, c.blast_radius, floor(p * 1e6) / 1e6 AS p_failure, CAST(round_even(least(100.0::DOUBLE, p * c.blast_radius * 100), 0) AS INTEGER) AS price,
     round_even(coalesce(s.c, 0.3), 3) AS confidence, coalesce(CAST(round_even((1 - s.c) * 22, 0) AS INTEGER), 0) AS half, dominant, coalesce(labels, []::VARCHAR[]) AS labels
   FROM (SELECT request_id, blast_radius FROM capability) c
   LEFT JOIN (SELECT *, vs[1] + (1 - vs[1]) * 0.5::DOUBLE * (1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(vs[2:], lambda x: 1 - x)), lambda x, y: x * y)) AS p0 FROM risk_sums) s ON c.request_id = s.request_id

@@ -109,14 +109,14 @@ def src8(spark, d):
     return x.select("doc_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "positive").otherwise("clean").alias("expected"), F.char_length("text").alias("n_chars"))
 
 
-@query("b6_scope_explained", f"WITH {retrieval.CHUNKS}, {retrieval.INDEX}, {retrieval.HITS}, {retrieval.LEXICON}, {retrieval.SCOPES} SELECT s.item_id, s.system_id, s.place, round_even(s.score, 4) AS distinctiveness, round_even(coalesce(h.score, 0), 4) AS cover FROM scopes s LEFT JOIN hits h ON h.item_id = s.item_id AND h.system_id = s.system_id AND h.rank = 1")
+@query("b6_scope_explained", f"WITH {retrieval.CHUNKS}, {retrieval.INDEX}, {retrieval.HITS}, {retrieval.LEXICON}, {retrieval.SCOPES} SELECT s.item_id, s.system_id, s.place, s.score AS distinctiveness, coalesce(h.score, 0) AS cover FROM scopes s LEFT JOIN hits h ON h.item_id = s.item_id AND h.system_id = s.system_id AND h.rank = 1")
 def b6(spark, d):
     """Ranked systems of a question with what speaks for each."""
     b = V.table(spark, d, "benchmark")
     scores = R.scope_scores(b, R.scope_lexicon(retrieval.documents(spark, d)))
     cover = R.bm25(b, retrieval.chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
     j = scores.join(cover, ["item_id", "system_id"], "left")
-    return j.select("item_id", "system_id", "place", F.bround("score", 4).alias("distinctiveness"), F.bround(F.coalesce("cover", F.lit(0.0)), 4).alias("cover"))
+    return j.select("item_id", "system_id", "place", F.col("score").alias("distinctiveness"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
 
 
 @query("m6_verhoeff")

@@ -97,7 +97,7 @@ def a8(spark, d):
     return costed(spark, d).groupBy("system_id").agg(F.sum(F.when(F.col("occurred_at") >= P.month_start(V.now()), F.col("tokens")).otherwise(0)).alias("month_tokens"), F.sum(F.when(F.col("occurred_at") >= P.week_start(V.now()), F.col("review_minutes")).otherwise(0.0)).alias("week_minutes"))
 
 
-@query("a9_capacity", proj(f"SELECT system_id, used, reserved, budget, round_even((used + reserved) / budget, 4) AS load, CASE WHEN (used + reserved) / budget >= 1 THEN 'exhausted' WHEN (used + reserved) / budget >= 0.85::DOUBLE THEN 'warning' ELSE 'ok' END AS state FROM (SELECT c.system_id, sum(CASE WHEN occurred_at >= {NOW_SQL} - INTERVAL 7 DAY THEN review_minutes ELSE 0 END) AS used, 8.0 * count(*) FILTER (governance = 'awaiting_verification') AS reserved, max(minutes_week) AS budget FROM costed c JOIN systems s ON c.system_id = s.system_id GROUP BY c.system_id)", COSTED))
+@query("a9_capacity", proj(f"SELECT system_id, used, reserved, budget, round_even((used + reserved) / budget, 4) AS load, CASE WHEN (used + reserved) / budget >= 1 THEN 'exhausted' WHEN (used + reserved) / budget >= 0.85::DOUBLE THEN 'warning' ELSE 'ok' END AS state FROM (SELECT c.system_id, sum(CASE WHEN occurred_at >= {NOW_SQL} - INTERVAL 7 DAY THEN review_minutes ELSE 0 END) AS used, 8.0::DOUBLE * count(*) FILTER (governance = 'awaiting_verification') AS reserved, max(minutes_week) AS budget FROM costed c JOIN systems s ON c.system_id = s.system_id GROUP BY c.system_id)", COSTED))
 def a9(spark, d):
     x = costed(spark, d).join(F.broadcast(V.systems(spark).select("system_id", "minutes_week")), "system_id")
     week = F.sum(F.when(F.col("occurred_at") >= P.week_start(V.now()), F.col("review_minutes")).otherwise(0.0))

@@ -148,33 +148,32 @@ def r6(spark, d):
     return R.catalogue(documents(spark, d), chunks(spark, d))
 
 
-@query("r8_summary", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, count(*) AS n_hits, round_even(max(score), 4) AS top_score FROM hits WHERE rank <= 6 GROUP BY item_id, system_id")
+@query("r8_summary", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, count(*) AS n_hits, max(score) AS top_score FROM hits WHERE rank <= 6 GROUP BY item_id, system_id")
 def r8(spark, d):
     hits = R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d))
-    return hits.groupBy("item_id", "system_id").agg(F.count("*").alias("n_hits"), F.bround(F.max("score"), 4).alias("top_score"))
+    return hits.groupBy("item_id", "system_id").agg(F.count("*").alias("n_hits"), F.max("score").alias("top_score"))
 
 
 LEXICON = f"""mass AS (SELECT source AS system_id, term, CAST(count(*) AS DOUBLE) AS mass FROM (SELECT source, unnest({SUBJECT_SQL}) AS term FROM documents) GROUP BY ALL),
 lexicon AS (SELECT system_id, term, round_even(ln(1 + mass) * (mass / total), 5) AS weight FROM mass JOIN (SELECT term, sum(mass) AS total FROM mass GROUP BY term) t USING (term) WHERE mass / total >= 0.55)"""
 
 
-@query("q10_scope_lexicon", f"WITH {LEXICON} SELECT system_id, term, round_even(weight, 4) AS weight FROM lexicon")
+@query("q10_scope_lexicon", f"WITH {LEXICON} SELECT system_id, term, weight FROM lexicon")
 def q10(spark, d):
-    return R.scope_lexicon(documents(spark, d)).withColumn("weight", F.bround("weight", 4))
+    return R.scope_lexicon(documents(spark, d))
 
 
 SCOPES = f"qt AS (SELECT item_id, {SUBJECT_SQL} AS terms FROM benchmark), scopes0 AS (SELECT item_id, system_id, round_even(sum(weight) / sqrt(max(n)), 6) AS score FROM (SELECT item_id, len(terms) AS n, unnest(list_distinct(terms)) AS term FROM qt) JOIN lexicon USING (term) GROUP BY item_id, system_id), scopes AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, system_id) AS place FROM scopes0)"
 
 
-@query("q11_scope_scores", f"WITH {LEXICON}, {SCOPES} SELECT item_id, system_id, round_even(score, 4) AS score, place FROM scopes")
+@query("q11_scope_scores", f"WITH {LEXICON}, {SCOPES} SELECT item_id, system_id, score, place FROM scopes")
 def q11(spark, d):
-    s = R.scope_scores(V.table(spark, d, "benchmark"), R.scope_lexicon(documents(spark, d)))
-    return s.withColumn("score", F.bround("score", 4))
+    return R.scope_scores(V.table(spark, d, "benchmark"), R.scope_lexicon(documents(spark, d)))
 
 
-@query("q12_scope_coverage", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, round_even(score, 4) AS cover FROM hits WHERE rank = 1")
+@query("q12_scope_coverage", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, score AS cover FROM hits WHERE rank = 1")
 def q12(spark, d):
-    return R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d), 1).select("item_id", "system_id", F.bround("score", 4).alias("cover"))
+    return R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
 
 
 @query(
@@ -185,11 +184,11 @@ j AS (SELECT a.item_id, a.system_id, coalesce(m.score, 0) AS mine, o.top AS top,
   LEFT JOIN (SELECT a.item_id, max(score) AS best, first(s.system_id ORDER BY score DESC, s.system_id DESC) AS top FROM asked a JOIN scopes s ON a.item_id = s.item_id AND a.system_id <> s.system_id GROUP BY a.item_id) o ON a.item_id = o.item_id
   LEFT JOIN hits h ON h.item_id = a.item_id AND h.system_id = a.system_id AND h.rank = 1),
 f AS (SELECT *, other >= 0.42 AND other >= 2.6 * greatest(mine, 0.02) AND cover <= greatest(1.35 * mine, 0.5) AS is_foreign FROM j)
-SELECT item_id, system_id, round_even(mine, 4) AS mine, round_even(cover, 4) AS cover, CASE WHEN is_foreign THEN 'foreign' WHEN cover >= 2.0 OR mine >= 0.14 THEN 'in_scope' ELSE 'uncovered' END AS verdict, CASE WHEN is_foreign THEN top END AS redirect_to FROM f""",
+SELECT item_id, system_id, mine, cover, CASE WHEN is_foreign THEN 'foreign' WHEN cover >= 2.0 OR mine >= 0.14 THEN 'in_scope' ELSE 'uncovered' END AS verdict, CASE WHEN is_foreign THEN top END AS redirect_to FROM f""",
 )
 def q13(spark, d):
     b = V.table(spark, d, "benchmark")
     scores = R.scope_scores(b, R.scope_lexicon(documents(spark, d)))
     cover = R.bm25(b, chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
     asked = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("system_id"))
-    return R.scope_verdict(scores, asked, cover).withColumn("mine", F.bround("mine", 4)).withColumn("cover", F.bround("cover", 4))
+    return R.scope_verdict(scores, asked, cover)

@@ -115,7 +115,7 @@ CLAIMS = f"claims AS (SELECT item_id AS turn_id, unnest({SENTENCES_SQL.format(t=
 
 @query(
     "m2_grounding",
-    f"WITH {CHUNKS}, {INDEX}, {HITS}, {CLAIMS}, pool AS (SELECT turn_id, list_distinct(flatten(list({CLAIM_SQL}))) AS pool, count(*) AS n FROM sources GROUP BY turn_id), c AS (SELECT turn_id, {CLAIM_SQL} AS w FROM claims), g AS (SELECT c.turn_id, count(*) AS n_claims, count(*) FILTER (len(list_intersect(w, coalesce(pool, []))) / len(w)::DOUBLE >= 0.55) AS n_supported, max(coalesce(n, 0)) AS n_sources FROM c LEFT JOIN pool p ON c.turn_id = p.turn_id WHERE len(w) > 0 GROUP BY c.turn_id) SELECT turn_id, n_claims, n_supported, CASE WHEN n_sources = 0 THEN 0.62 ELSE round_even(1 - n_supported / n_claims::DOUBLE, 4) END AS score, CASE WHEN n_sources >= 3 THEN 0.8 ELSE 0.6 END AS confidence FROM g",
+    f"WITH {CHUNKS}, {INDEX}, {HITS}, {CLAIMS}, pool AS (SELECT turn_id, list_distinct(flatten(list({CLAIM_SQL}))) AS pool, count(*) AS n FROM sources GROUP BY turn_id), c AS (SELECT turn_id, {CLAIM_SQL} AS w FROM claims), g AS (SELECT c.turn_id, count(*) AS n_claims, count(*) FILTER (len(list_intersect(w, coalesce(pool, []))) / len(w)::DOUBLE >= 0.55) AS n_supported, max(coalesce(n, 0)) AS n_sources FROM c LEFT JOIN pool p ON c.turn_id = p.turn_id WHERE len(w) > 0 GROUP BY c.turn_id) SELECT turn_id, n_claims, n_supported, CASE WHEN n_sources = 0 THEN 0.62::DOUBLE ELSE round_even(1 - n_supported / n_claims::DOUBLE, 4) END AS score, CASE WHEN n_sources >= 3 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM g",
 )
 def m2(spark, d):
     return M.grounding(*claim_sources(spark, d))
