@@ -111,21 +111,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     two = F.filter(F.transform(hinted, lambda p: F.struct(p["n"].alias("n"), F.when(F.instr(p["t"], " ") > 0, bigrams(p["t"])).otherwise(F.array().cast("array<string>")).alias("b"))), lambda p: F.size(p["b"]) > 0)
     least = math.ceil(threshold * 1_000_000 - 1e-6)
     good = F.filter(F.transform(two, best), lambda p: p["top"]["dice"] >= least)
-    # texts without a trace of any needed bigram skip all of this: the search for a fixed long word is cheap
-    long_words = sorted({max(p.split(), key=len) for p in parts if max(map(len, p.split())) > 5})
-    short = [r"[^a-z0-9\x{80}-\x{10ffff}]+".join(map(re.escape, p.split())) for p in parts if max(map(len, p.split())) <= 5]
-
-    def traced(low_text: Column) -> Column:
-        out = low_text.rlike("|".join(short)) if short else F.lit(False)
-        for word in long_words:
-            out = low_text.contains(word) | out
-        return out
-
-    # a one-element array binds a value once, where a column would be computed again at each use
-    possible = F.exists(F.array(F.lower(text)), traced)
+    # texts without any needed bigram skip all of this; the search only looks where a word begins
+    apart = r"[^a-z0-9\x{80}-\x{10ffff}]"
+    possible = F.lower(text).rlike(f"(?:^|{apart})(?:" + "|".join(f"{apart}+".join(map(re.escape, p.split())) for p in parts) + ")")
     found = F.when(possible, good)
     names = F.array(*(F.lit(n) for n, _ in known))
 
+    # the one-element array binds a text's findings once, where a column would be computed again at each use
     def row(f: Column) -> Column:
         top = F.array_max(F.transform(f, lambda p: F.struct(p["top"]["dice"].alias("dice"), (-p["n"]).alias("n"), p["top"]["place"].alias("place"))))
         return F.struct(
