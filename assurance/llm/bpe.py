@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assurance.llm.common import plus
+from assurance.llm.common import plus, take_over
 
 #: Entries of a worker's table of encoded chunks; it is emptied when full.
-CACHE = 600_000
+CACHE = 400_000
 #: White space as the vocabulary's own pattern has it; str.split() also cuts at \x1c-\x1f.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 
@@ -147,6 +147,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     schema = plus(docs, "bpe_ids array<int>, bpe_decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("bpe", codec.cache_clear)
         bpe = codec(tokenizer)
         for big in batches:
             for at in range(0, big.num_rows, 512):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,20 @@ from pyspark.sql.types import StructType
 U64 = np.uint64
 
 
+OWNER: list = [None, None]
+
+
+def take_over(owner: str, clear: Callable[[], None]) -> None:
+    """Called where a task of an operator begins: a reused worker first gives back what another operator kept in it."""
+    if OWNER[0] != owner:
+        if OWNER[1]:
+            OWNER[1]()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        OWNER[:] = [owner, clear]
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased; runs of anything but the six ASCII white-space bytes."""
     return text.encode("utf-8").lower().split() if text else []

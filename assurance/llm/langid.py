@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import crc_mod, mix64, park, plus
+from assurance.llm.common import crc_mod, mix64, park, plus, take_over
 
 ORDER = 4
 START, BLANK = 1, 32
@@ -191,6 +191,7 @@ class Identifier:
         sent = self.sent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            take_over("language", symbol_table.cache_clear)
             model = sent.value[0]
             for big in batches:
                 for at in range(0, big.num_rows, 256):
@@ -212,6 +213,7 @@ class Identifier:
         sent = self.sent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            take_over("language", symbol_table.cache_clear)
             model, temperature, limits = sent.value
             for big in batches:
                 for at in range(0, big.num_rows, 256):

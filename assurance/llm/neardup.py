@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import U64, components, mix64, near, park, run_bounds, runs, words
+from assurance.llm.common import U64, components, mix64, near, park, run_bounds, runs, take_over, words
 
 POSITIONS = 128
 TREES = 10
@@ -79,6 +79,7 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, h, sig): h names the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("words", WORDS.clear)
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)

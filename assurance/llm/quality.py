@@ -16,12 +16,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import plus, words
+from assurance.llm.common import plus, take_over, words
 
-CACHE = 600_000
+CACHE = 400_000
 #: Bands by script: least and most characters per token, most byte-fallback share, least token entropy in bits.
 BANDS: dict[str, tuple[float, float, float, float]] = {
-    "latin": (1.5, 9.0, 0.30, 2.0),
+    "latin": (1.45, 9.0, 0.30, 2.0),
     "cyrillic": (0.80, 8.0, 0.30, 2.0),
     "greek": (0.60, 8.0, 0.60, 2.0),
     "arabic": (0.50, 8.0, 0.80, 2.0),
@@ -162,6 +162,7 @@ def score_quality(docs: DataFrame, pieces_model: str, text_col: str = "text") ->
     kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 3 + [pa.bool_()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality", pieces.cache_clear)
         of = pieces(pieces_model)
         for big in batches:
             for at in range(0, big.num_rows, 512):

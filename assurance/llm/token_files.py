@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assurance.llm.common import shared_dir
+from assurance.llm.common import shared_dir, take_over
 
 CACHE = 600_000
 #: A single space between two other characters always starts a new pre-token.
@@ -143,6 +143,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         path, index_path = f"{root}/{part:06d}-{name}.arrow", f"{root}/{part:06d}-{name}.docs.arrow"
         end = np.uint32(end_id).tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        take_over("token files", encoder.cache_clear)
         code, n_docs = encoder(tokenizer), 0
         with store.open_output_stream(path) as sink, store.open_output_stream(index_path) as index_sink, ipc.new_file(index_sink, schema) as index:
             out = SequenceWriter(sink, seq_len, rows, wide=len(code.after_space) > 1 << 16)
