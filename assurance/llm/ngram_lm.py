@@ -4,8 +4,9 @@ Counts of words and word pairs are added up by Spark. A count c is kept as its l
 1 + floor(log2 c): the pair of n-gram and level enters the filter for every level up to
 that, and a reader recovers the level by probing level after level until one is missing
 (Talbot and Osborne 2007). All bits of an n-gram lie in one segment, which one
-task fills; counting itself is spread over all tasks by n-gram. The filter has a fixed size and is sent to
-every worker; n-grams of the lowest levels are left out where it would overfill.
+task fills; counting itself is spread over all tasks by n-gram. The number of segments follows the
+entries, and every counted word and pair enters. A filter of at most SEGMENTS segments is sent to
+every worker; a larger one stays a table, and texts in blocks ask it by a join on groups of segments.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import U64, crc_mod, mix64, park, words
+from assurance.llm.common import U64, crc_mod, mix64, park, run_bounds, runs, words
 from assurance.llm.neardup import WORDS
 
-#: The filter: SEGMENTS of SEGMENT_BITS, 32 MB in all; each entry sets PROBES bits; BITS_PER_ENTRY at least.
-SEGMENTS, SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1024, 1 << 18, 4, 8
-#: Least count of a pair that is kept at all.
-LEAST_PAIR = 2
+#: The filter: segments of SEGMENT_BITS, BITS_PER_ENTRY at least; each entry sets PROBES bits. Up to SEGMENTS (32 MB), which it
+#: has at least, it is sent to every worker.
+SEGMENTS, SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1024, 1 << 18, 4, 12
+#: Tokens of a block of texts that asks a larger filter; segments that answer together, at least; groups of them, at most.
+BLOCK_TOKENS, PER_GROUP, MOST_GROUPS = 1_000_000, 16, 4096
 #: Words whose exact counts every worker gets, at most; rarer words are joined.
 COMMON_WORDS = 300_000
 #: Weight of the pair model where the context is known; smoothing of the word model.
@@ -63,7 +66,7 @@ def bit_places(h: np.ndarray, level: int, k: int) -> np.ndarray:
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(seg, n_words, h, c) of words and pairs over whole texts; a task adds up what it holds before the shuffle."""
+    """(n_words, h, c) of words and pairs over whole texts; a task adds up what it holds before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -72,7 +75,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             h = np.concatenate(held)
             for n, x in ((1, h), (2, np.concatenate([pair_hashes(y) for y in held]))):
                 k, c = np.unique(x, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((k % U64(SEGMENTS)).astype(np.int32)), pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], ["seg", "n_words", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], ["n_words", "h", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -84,24 +87,15 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "seg int, n_words int, h long, c long")
-    return parts.repartition("n_words", "h").groupBy("seg", "n_words", "h").agg(F.sum("c").alias("c")).filter((F.col("n_words") == 1) | (F.col("c") >= LEAST_PAIR))
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "n_words int, h long, c long")
+    return parts.repartition("n_words", "h").groupBy("n_words", "h").agg(F.sum("c").alias("c"))
 
 
-def build_filter(counts: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
-    """The bits, [SEGMENTS, SEGMENT_BITS / 8], and the least level of words and of pairs that entered."""
+def fill_segments(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(seg, bits) of the segments that hold anything, and the number of segments, which follows the entries."""
     level = F.floor(F.log2("c") + 1e-9).cast("int") + 1
-    # one row for each order and level
-    sizes = {(r["n_words"], r["level"]): r["n"] for r in counts.groupBy("n_words", level.alias("level")).agg(F.count("*").alias("n")).collect()}
-    room = SEGMENTS * SEGMENT_BITS // BITS_PER_ENTRY
-    least = [1, 1]
-
-    def entries() -> int:
-        return sum(n * l for (o, l), n in sizes.items() if l >= least[o - 1])
-
-    while entries() > room:  # pairs first, then words
-        least[1 if least[1] <= least[0] + 1 else 0] += 1
-    kept = counts.withColumn("level", level).filter(F.col("level") >= F.when(F.col("n_words") == 1, least[0]).otherwise(least[1]))
+    entries = counts.agg(F.sum(level)).first()[0] or 0
+    n = max(SEGMENTS, -(-entries * BITS_PER_ENTRY // SEGMENT_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
@@ -119,17 +113,32 @@ def build_filter(counts: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
         for s, b in bits.items():
             yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(b, bitorder="little").tobytes()], pa.binary())})
 
-    segments = kept.select("seg", "h", "level").repartition("seg").mapInArrow(run, "seg int, bits binary").toArrow()  # 32 MB at most
-    out = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
+    kept = counts.select(F.pmod("h", F.lit(n)).cast("int").alias("seg"), "h", level.alias("level"))
+    return kept.repartition("seg").mapInArrow(run, "seg int, bits binary"), n
+
+
+def gather(filled: DataFrame, n: int) -> np.ndarray:
+    """The bits, [n, SEGMENT_BITS / 8], on the driver."""
+    segments = filled.toArrow()
+    out = np.zeros((n, SEGMENT_BITS // 8), np.uint8)
     for s, b in zip(segments.column("seg").to_pylist(), segments.column("bits"), strict=True):
         out[s] = np.frombuffer(b.as_buffer(), np.uint8)
-    return out, (least[0], least[1])
+    return out
+
+
+def build_filter(counts: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
+    """The bits of a filter that fits the driver, and the least level of words and of pairs that entered: 1, none is left out."""
+    return gather(*fill_segments(counts)), (1, 1)
 
 
-def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Levels of n-grams: the filter is asked for level 1, 2, ... until it says no."""
+def segment_of(h: np.ndarray, n: int) -> np.ndarray:
+    return h.view(np.int64) % n
+
+
+def probe(bits: np.ndarray, h: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
+    """Levels of n-grams: the filter is asked for level 1, 2, ... until it says no; segment counts from the first of bits."""
     level = np.zeros(len(h), np.int64)
-    live, at = np.arange(len(h)), (h % U64(SEGMENTS)).astype(np.int64) * (SEGMENT_BITS // 8)
+    live, at = np.arange(len(h)), (segment_of(h, len(bits)) if segment is None else segment) * (SEGMENT_BITS // 8)
     flat = bits.reshape(-1)
     for j in range(1, MOST_LEVELS + 1):
         for k in range(PROBES):
@@ -141,6 +150,101 @@ def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return level
 
 
+def keys_of(kinds: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, then distinct pairs of texts that begin at starts; and each token's pair among the pairs."""
+    h = kinds[codes]
+    before = np.r_[U64(END), h[:-1]]
+    before[starts] = END
+    with np.errstate(over="ignore"):
+        pairs, back = np.unique(mix64(before * U64(0x9E3779B97F4A7C15) + h + U64(2)), return_inverse=True)
+    return np.concatenate([kinds, pairs]), back
+
+
+def token_scores(c1: np.ndarray, c2: np.ndarray, codes: np.ndarray, starts: np.ndarray, end: int, n_train: int, n_types: int) -> np.ndarray:
+    """log10 probabilities of all tokens; the word model smooths the pair model. c1 by word, c2 by token."""
+    p1 = (c1 + ALPHA) / (n_train + ALPHA * (n_types + 1) + 1e-9 + (n_train == 0))
+    before = np.r_[end, codes[:-1]]
+    before[starts] = end
+    context = c1[before]
+    weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
+    return np.log10(weight * np.minimum(c2, context) / np.maximum(context, 1) + (1 - weight) * p1[codes])
+
+
+def pack(first: int, n: np.ndarray, kinds: np.ndarray, codes: np.ndarray) -> bytes:
+    """A block: its first row, tokens of each row, distinct words and each token's place among them."""
+    return np.r_[first, len(n), len(kinds), n].astype(np.int64).tobytes() + kinds.tobytes() + codes.astype(np.uint32).tobytes()
+
+
+def unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    first, rows, words_ = np.frombuffer(data, np.int64, 3)
+    n = np.frombuffer(data, np.int64, rows, 24)
+    return int(first), n, np.frombuffer(data, U64, words_, 24 + 8 * rows), np.frombuffer(data, np.uint32, -1, 24 + 8 * (rows + words_)).astype(np.int64)
+
+
+def scores_by_join(blocks: DataFrame, filled: DataFrame, n: int, n_train: int, n_types: int) -> DataFrame:
+    """(row, score) of blocks (block, data), asked of a filter too large to be sent.
+
+    A block's distinct n-grams go to the groups of segments that hold them, one row for
+    each block and group; the levels come back in the same order. A task holds the bits of
+    one group, or one block with its answers.
+    """
+    per = max(PER_GROUP, -(-n // MOST_GROUPS))
+
+    def asked(data: bytes):
+        first, lengths, kinds, codes = unpack(data)
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        keys, back = keys_of(kinds, codes, starts)
+        group = segment_of(keys, n) // per
+        order = np.argsort(group, kind="stable")
+        return first, kinds, codes, starts, keys, back, group, order
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                *_, keys, _, group, order = asked(data.as_py())
+                keys, group = keys[order], group[order]
+                bounds = run_bounds(group)
+                sent = [keys[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(group[bounds[:-1]], pa.int64()), pa.array([block] * len(sent), pa.int64()), pa.array([-1] * len(sent), pa.int32()), pa.array(sent, pa.binary())], ["grp", "block", "seg", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, None
+        for batch in batches:
+            out = []
+            for grp, block, seg, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                if grp != now:
+                    now, bits = grp, np.zeros((per, SEGMENT_BITS // 8), np.uint8)
+                raw = data.as_buffer()
+                if seg >= 0:
+                    bits[seg - grp * per] = np.frombuffer(raw, np.uint8)
+                else:
+                    h = np.frombuffer(raw, U64)
+                    out.append((block, grp, probe(bits, h, segment_of(h, n) - grp * per).astype(np.uint8).tobytes()))
+            if out:
+                block, grp, level = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(grp, pa.int64()), pa.array(level, pa.binary())], ["block", "grp", "data"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "block"):
+            found, data = t.column("block").to_numpy(), t.column("data")
+            bounds = run_bounds(found)
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                first, kinds, codes, starts, keys, back, _, order = asked(data[int(s)].as_py())
+                level = np.empty(len(keys), np.int64)
+                level[order] = np.frombuffer(b"".join(data[int(i)].as_py() for i in range(s + 1, e)), np.uint8)
+                c = count_of(level)
+                each = token_scores(c[: len(kinds)], c[len(kinds) :][back], codes, starts, int(np.searchsorted(kinds, U64(END))), n_train, n_types)
+                rows = first + np.arange(len(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.add.reduceat(each, starts))], ["row", "score"])
+
+    asks = blocks.mapInArrow(ask, "grp long, block long, seg int, data binary")
+    # the bits of a group come before what is asked of it
+    held = filled.select(F.floor(F.col("seg") / per).alias("grp"), F.lit(None).cast("long").alias("block"), "seg", F.col("bits").alias("data"))
+    answers = held.unionByName(asks).repartition("grp").sortWithinPartitions("grp", F.desc("seg")).mapInArrow(answer, "block long, grp long, data binary")
+    both = blocks.select("block", F.lit(-1).cast("long").alias("grp"), "data").unionByName(answers)
+    return both.repartition("block").sortWithinPartitions("block", "grp").mapInArrow(score, "row long, score double")
+
+
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
@@ -166,28 +270,24 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     common = singles.filter(bucket >= least).select("h", "c").toArrow()
     order = np.argsort(common.column("h").to_numpy().view(U64))
     common_h, common_c = common.column("h").to_numpy().view(U64)[order], common.column("c").to_numpy()[order]
-    bits, lowest = build_filter(counts)
-    sent = spark.sparkContext.broadcast((common_h, common_c, bits))
+    filled, n_segments = fill_segments(counts)
+    small = n_segments <= SEGMENTS
+    sent = spark.sparkContext.broadcast((common_h, common_c, gather(filled, n_segments) if small else None))
     total = float(np.log10(n_train + n_types + 1))
 
-    def score(h: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """log10 probabilities of all tokens; the word model smooths the pair model."""
-        kinds, back = np.unique(h, return_inverse=True)
-        c1 = count_of(probe(bits, kinds))
-        floor = 0.5 * 2.0 ** (lowest[0] - 1)
-        p1 = (np.maximum(c1, floor if lowest[0] > 1 else 0.0) + ALPHA) / (n_train + ALPHA * (n_types + 1) + 1e-9 + (n_train == 0))
-        before = np.r_[0, back[:-1]]
-        context = c1[before]
-        pairs = np.empty(len(h), U64)
-        for s, e in zip(starts, [*starts[1:], len(h)], strict=True):
-            pairs[s:e] = pair_hashes(h[s:e])
-        context[starts] = count_of(probe(bits, np.array([END], U64)))[0]
-        c2 = np.minimum(count_of(probe(bits, pairs)), context)
-        weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
-        return np.log10(weight * c2 / np.maximum(context, 1) + (1 - weight) * p1[back])
+    most = BLOCK_TOKENS
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+    names = ["row", "doc_id", "n_tokens", "n_known", "gain", "score", "tail", "block", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_h, known_c, filter_bits = sent.value
+        row = TaskContext.get().partitionId() << 33
+        held, first, size = [], row, 0
+
+        def block() -> pa.RecordBatch:
+            kinds, codes = np.unique(np.concatenate(held), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types[:-2]] + [pa.array([first], pa.int64()), pa.array([pack(first, np.array([len(x) for x in held]), kinds, codes)], pa.binary())], names)
+
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
@@ -204,13 +304,35 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 rare = np.flatnonzero(~here)
                 ends = np.searchsorted(rare, np.r_[starts, len(h)]).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))
+                if small:
+                    kinds, codes = np.unique(h, return_inverse=True)
+                    keys, back = keys_of(kinds, codes, starts)
+                    c = count_of(probe(filter_bits, keys))
+                    score = pa.array(np.add.reduceat(token_scores(c[: len(kinds)], c[len(kinds) :][back], codes, starts, int(np.searchsorted(kinds, U64(END))), n_train, n_types), starts))
+                else:
+                    score = pa.nulls(len(n), pa.float64())
+                rows = pa.array(np.arange(row, row + len(n)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(np.add.reduceat(here, starts, dtype=np.int64)), pa.array(np.add.reduceat(gain, starts)), pa.array(np.add.reduceat(score(h, starts, filter_bits), starts)), tail],
-                    ["doc_id", "n_tokens", "n_known", "gain", "score", "tail"],
+                    [rows, batch.column(0), pa.array(n, pa.int64()), pa.array(np.add.reduceat(here, starts, dtype=np.int64)), pa.array(np.add.reduceat(gain, starts)), score, tail, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())],
+                    names,
                 )
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, gain double, score double, tail array<long>")
-    scored = park(scored.withColumn("row", F.monotonically_increasing_id()))
+                row += len(n)
+                if not small:
+                    for x in each:
+                        held.append(x)
+                        size += len(x)
+                        if size >= most:
+                            yield block()
+                            first, held, size = first + len(held), [], 0
+        if held:
+            yield block()
+
+    schema = "row long, doc_id long, n_tokens long, n_known long, gain double, score double, tail array<long>, block long, data binary"
+    parked = park(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema))
+    scored = parked.filter("block is null").drop("block", "data")
+    if not small:
+        by_join = scores_by_join(parked.filter("block is not null").select("block", "data"), park(filled), n_segments, n_train, n_types)
+        scored = scored.drop("score").join(by_join, "row", "left")
     rare = singles.filter(bucket < least).select("h", "c")
     tails = scored.select("row", F.explode("tail").alias("h")).join(rare, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_gain"))
     out = scored.drop("tail").join(tails, "row", "left")

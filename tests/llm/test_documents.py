@@ -159,6 +159,27 @@ def test_op2_filter_never_under_counts(docs):
     assert (level >= want).all() and (level == want).mean() > 0.99
 
 
+def test_op2_filter_grows_with_the_entries(spark, odd, monkeypatch):
+    """Nothing counted is left out, pairs seen once included, and a filter too large to send gives the same scores."""
+    docs = spark.createDataFrame(corpus(900, 8), SCHEMA)
+    monkeypatch.setattr(ngram_lm, "SEGMENTS", 1)
+    counts = ngram_lm.park(ngram_lm.count_ngrams(docs))
+    pairs = {(a, b) for r in docs.collect() for t in [words(r.text)] for a, b in zip([None, *t], [*t, None], strict=True)}
+    assert counts.filter("n_words = 2").count() == len(pairs)
+    bits, lowest = ngram_lm.build_filter(counts)
+    t = counts.toPandas()
+    assert lowest == (1, 1) and len(bits) > 1
+    assert (ngram_lm.probe(bits, t["h"].to_numpy().view(np.uint64)) >= ngram_lm.level_of(t["c"].to_numpy())).all()
+    rows, n = docs.unionByName(odd), len(bits)
+    got = {}
+    for segments in (n, n - 1):  # sent to every worker, and asked by a join
+        monkeypatch.setattr(ngram_lm, "SEGMENTS", segments)
+        monkeypatch.setattr(ngram_lm, "PER_GROUP", 1)
+        monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 20_000)
+        got[segments] = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score_texts(rows, docs).collect())
+    assert len(got[n]) == rows.count() and got[n] == got[n - 1]
+
+
 def test_op4_weights_and_budget(spark, docs, odd, empty):
     rows = mixing.op4(docs).toPandas()
     assert len(rows) == 120
