@@ -21,6 +21,12 @@ def test_article_without_the_rest():
         html_text.blocks(PAGE[:cut])
 
 
+def test_marked_paragraphs_are_boilerplate_up_to_the_next_block():
+    page = "<article><p>One.<p class='ad'>Buy <b>now<p>Two</b> more.</p><p class=notice>Note</p><p hidden>x</p>Three<p id='sponsor'>y<h2>Four</h2></article><p>after"
+    texts, zones = html_text.blocks(page)
+    assert html_text.main_text(texts, zones, "", set()) == "One.\nTwo more.\nThree\nFour"
+
+
 def naive_cover(streams: list[tuple[int, list[str]]], least: int) -> dict[tuple[int, int], bool]:
     """Covered places by a full suffix array over all streams: neighbours' common prefixes, for distinct pages."""
     suffixes = sorted((tuple(s[i:]), n, i) for n, (_, s) in enumerate(streams) for i in range(len(s)))
