@@ -66,6 +66,19 @@ def test_suffix_keys_cover_what_a_suffix_array_covers(spark):
     assert menu not in got[1]
 
 
+def test_copies_and_quotes_keep_their_text(spark):
+    """Without an article: a menu on many pages goes; copies, near copies and a quote on two pages stay."""
+    rng = random.Random(9)
+    menu, quote, body = prose(rng, 12), prose(rng, 15), prose(rng, 80)
+    own = [prose(rng, 40) for _ in range(20)]
+    near = [body.replace(" ", f" changed{i} ", 1) for i in range(4)]
+    texts = [*own[:18], *(f"{o} {quote}" for o in own[18:]), body, body, *near]
+    rows = [(i, "http://h.example/x", f"<body><div>{menu}</div><p>{t}</p></body>") for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(t in got[i] for i, t in enumerate(texts))
+    assert all(got[i] == t for i, t in enumerate(texts[:20]))
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p"), (4, "u", "plain"), (4, "u", "plain"), (None, None, PAGE), (5, "http://a/x", "<article>" + "word " * 50_000)]
     out = html_text.op8(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
