@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assurance import config as C
 
+#: Rows of a frame that a processor gives out at once.
+OUT_ROWS = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -79,8 +83,18 @@ def silence(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return s.groupBy("system_id").transformWithStateInPandas(Silence(), "system_id string, silent_from long", "append", "EventTime")
 
 
+def in_order(rows: Iterator[pd.DataFrame], by: str, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """All rows of a key in one micro-batch in order of a column, OUT_ROWS at once: they come in several frames in shuffle order.
+
+    The key's rows of the micro-batch are held, these columns only; the source's rate limits (maxFilesPerTrigger) bound them.
+    """
+    whole = pd.concat([b[columns] for b in rows], ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+    for at in range(0, len(whole), OUT_ROWS):
+        yield whole.iloc[at : at + OUT_ROWS]
+
+
 class RollingCost(StatefulProcessor):
-    """Cost of each turn against the class's last LAST turns (ST5), which are its bounded state."""
+    """Cost of each turn against the class's last LAST turns (ST5), which are its bounded state; turns of a micro-batch go by turn_id."""
 
     LAST = 200
 
@@ -88,15 +102,18 @@ class RollingCost(StatefulProcessor):
         self.seen = handle.getListState("seen", "tokens long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = [r[0] for r in self.seen.get()]
-        for b in rows:
+        before = deque((r[0] for r in self.seen.get()), self.LAST)
+        last = sorted(before)
+        for b in in_order(rows, "turn_id", ["turn_id", "tokens"]):
             out = []
-            for turn, tokens in b.sort_values("turn_id")[["turn_id", "tokens"]].itertuples(index=False):
-                last = sorted(before[-self.LAST :])
+            for turn, tokens in b.itertuples(index=False):
                 out.append((key[0], int(turn), float(tokens) / max(1, last[len(last) // 2]) if last else None))
+                if len(before) == self.LAST:
+                    del last[bisect_left(last, before[0])]
                 before.append(int(tokens))
+                insort(last, int(tokens))
             yield pd.DataFrame(out, columns=["task", "turn_id", "ratio"])
-        self.seen.put([(int(x),) for x in before[-self.LAST :]])
+        self.seen.put([(int(x),) for x in before])
 
     def close(self) -> None:
         pass
@@ -114,9 +131,9 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         used = float(self.used.get()[0]) if self.used.exists() else 0.0
-        for b in rows:
+        for b in in_order(rows, "seq", ["seq", "kind", "minutes", "budget", "hard"]):
             out = []
-            for r in b.sort_values("seq").itertuples(index=False):
+            for r in b.itertuples(index=False):
                 if r.kind == "release":
                     used = max(0.0, used - r.minutes)
                     ok = True
@@ -146,9 +163,9 @@ class Review(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = self.status.get()[0] if self.status.exists() else None
-        for b in rows:
+        for b in in_order(rows, "seq", ["seq", "step"]):
             out = []
-            for r in b.sort_values("seq").itertuples(index=False):
+            for r in b.itertuples(index=False):
                 ok = (now, r.step) in self.STEPS
                 now = r.step if ok else now
                 out.append((int(key[0]), int(r.seq), now, not ok))

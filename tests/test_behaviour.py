@@ -157,3 +157,48 @@ def test_silence_and_controls(spark, tmp_path):
 def test_validations(spark):
     x = spark.createDataFrame([(1, 5.0, "A", "a@b.co"), (2, float("nan"), "A", "a@b.co"), (3, -1.0, "A", "a@b.co"), (4, 1e12, "A", "a@b.co"), (5, 5.0, " ", "a@b.co"), (6, 5.0, "A", "nobody")], "change_id int, budget double, owner string, address string")
     assert [r.reason for r in reports.validate_changes(x).orderBy("change_id").collect()] == [None, "budget is not a number", "budget is not positive", "budget is over the ceiling", "owner", "address"]
+
+
+class Held:
+    """A state of a processor outside of Spark."""
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return self.rows
+
+    def exists(self):
+        return bool(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def update(self, row):
+        self.rows = row
+
+
+def test_rolling_cost_and_admission_order_rows_over_arrow_batches():
+    """A key's rows come in several frames in any order; ratios and admissions go by turn_id and seq, over micro-batches too."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    tokens = [rng.randint(1, 500) for _ in range(1500)]
+    cost = streams.RollingCost()
+    cost.seen = Held()
+    got = {}
+    for low, high in ((0, 1000), (1000, 1500)):
+        order = rng.sample(range(low, high), high - low)
+        frames = (pd.DataFrame({"turn_id": order[i : i + 90], "tokens": [tokens[j] for j in order[i : i + 90]]}) for i in range(0, len(order), 90))
+        got |= {r.turn_id: r.ratio for f in cost.handleInputRows(("a",), frames, None) for r in f.itertuples()}
+        assert len(cost.seen.rows) == 200
+    for i, t in enumerate(tokens):
+        last = sorted(tokens[max(0, i - 200) : i])
+        assert got[i] == t / max(1, last[len(last) // 2]) if last else got[i] is None or got[i] != got[i]
+    door = streams.Admission()
+    door.used = Held()
+    late, early = ({"seq": [s], "kind": ["reserve"], "minutes": [m], "budget": [10.0], "hard": [True]} for s, m in ((2, 8.0), (1, 5.0)))
+    out = pd.concat(door.handleInputRows(("a",), iter([pd.DataFrame(late), pd.DataFrame(early)]), None))
+    assert out[["seq", "admitted"]].values.tolist() == [[1, True], [2, False]]
