@@ -208,12 +208,18 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
             return found
         last = step == ROUNDS - 1
         rows = park(near(descend(rows, extra, sketch=last), large, "node", n, "inner"))
-    # alike in so many positions that all but surely everything links: each block is compared with itself and with the first
+    return found.unionAll(park(leaves(block_pairs(rows), least)))
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(node, h, sig) with a node for every two blocks of a node that stays large, so that all its pairs meet; rows have node, h, sig and size.
+
+    A row comes once for each other block, so the rows grow with the square of the node's size.
+    """
     blocks = F.ceil(F.col("size") / (NODE // 2)).cast("long")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), blocks))
-    to = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))
-    rows = rows.select(F.explode(to).alias("to"), "node", "h", "sig").select(F.xxhash64("node", "to").alias("node"), "h", "sig")
-    return found.unionAll(park(leaves(rows, least)))
+    rows = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("to"), "block", "node", "h", "sig").filter("to <> block")
+    return rows.select(F.xxhash64("node", F.least("block", "to"), F.greatest("block", "to")).alias("node"), "h", "sig")
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:

@@ -256,6 +256,13 @@ def test_op5_equals_brute_force(spark, odd, k, percent, node):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_op5_blocks_of_a_large_node_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE", 8)
+    rows = spark.range(60).select(F.lit(1).cast("long").alias("node"), F.col("id").alias("h"), F.lit(b"x").alias("sig"), F.lit(60).cast("long").alias("size"))
+    met = {frozenset((a, b)) for r in neardup.block_pairs(rows).groupBy("node").agg(F.collect_list("h").alias("h")).collect() for a in r.h for b in r.h if a != b}
+    assert len(met) == 60 * 59 // 2
+
+
 def test_op5_odd_rows(odd, empty):
     assert neardup.near_duplicates(odd).count() == 10
     kept = neardup.dedup(odd)
