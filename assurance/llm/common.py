@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,18 +17,17 @@ from pyspark.sql.types import StructType
 U64 = np.uint64
 
 
-OWNER: list = [None, None]
+class Words(dict):
+    """64-bit hashes of words, in a table of at most 150,000 (about 25 MB of a worker)."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 150_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
-def take_over(owner: str, clear: Callable[[], None]) -> None:
-    """Called where a task of an operator begins: a reused worker first gives back what another operator kept in it."""
-    if OWNER[0] != owner:
-        if OWNER[1]:
-            OWNER[1]()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
-        OWNER[:] = [owner, clear]
+
+WORDS = Words()
 
 
 def words(text: str | None) -> list[bytes]:

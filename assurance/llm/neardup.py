@@ -16,11 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import U64, components, mix64, near, park, run_bounds, runs, take_over, words
+from assurance.llm.common import U64, WORDS, components, mix64, near, park, run_bounds, runs, words
 
 POSITIONS = 128
 TREES = 10
@@ -38,19 +37,6 @@ def multipliers() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, POSITIONS, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, POSITIONS, np.uint32)
 
 
-class Words(dict):
-    """64-bit hashes of words, kept in a bounded table."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-WORDS = Words()
-
-
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; of the whole sequence if there are fewer words."""
     found = words(text)
@@ -79,7 +65,6 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, h, sig): h names the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_over("words", WORDS.clear)
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)

@@ -1,12 +1,13 @@
 """Operator 2: language-model scores from a log-frequency Bloom filter.
 
 Counts of words and word pairs are added up by Spark. A count c is kept as its level
-1 + floor(log2 c): the pair of n-gram and level enters the filter for every level up to
-that, and a reader recovers the level by probing level after level until one is missing
-(Talbot and Osborne 2007). All bits of an n-gram lie in one segment, which one
-task fills; counting itself is spread over all tasks by n-gram. The number of segments follows the
-entries, and every counted word and pair enters. A filter of at most SEGMENTS segments is sent to
-every worker; a larger one stays a table, and texts in blocks ask it by a join on groups of segments.
+1 + floor(log2 c): the n-gram enters the filter at every level up to that, and a reader
+recovers the level by probing level after level until one is missing (Talbot and Osborne
+2007). N-grams are dealt into groups by the first bits of a 48-bit key; the number of
+groups follows the bytes of text, and the task that adds up a group also fills the group's
+own part of the filter, as long as its entries need, so every counted word and pair enters
+whatever the size of the corpus. A filter of at most SENT_BYTES is sent to every worker; a
+larger one stays a table, and texts in blocks ask it by a join on groups.
 """
 
 from __future__ import annotations
@@ -20,18 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import U64, crc_mod, mix64, park, run_bounds, runs, words
-from assurance.llm.neardup import WORDS
+from assurance.llm.common import U64, WORDS, crc_mod, mix64, park, run_bounds, runs, words
 
-#: The filter: segments of SEGMENT_BITS, BITS_PER_ENTRY at least; each entry sets PROBES bits. Up to SEGMENTS (32 MB), which it
-#: has at least, it is sent to every worker.
-SEGMENTS, SEGMENT_BITS, PROBES, BITS_PER_ENTRY = 1024, 1 << 18, 4, 12
-#: Tokens of a block of texts that asks a larger filter; segments that answer together, at least; groups of them, at most.
-BLOCK_TOKENS, PER_GROUP, MOST_GROUPS = 1_000_000, 16, 4096
+#: Bits of a key; text bytes of a group, and groups at most; bits of the filter for an entry, of which each sets PROBES.
+KEY_BITS, GROUP_BYTES, MOST_GROUPS, BITS_PER_ENTRY, PROBES = 48, 4 << 20, 1 << 20, 12, 4
+#: A filter up to this size is sent to every worker.
+SENT_BYTES = 32 << 20
+#: Tokens that a task counts before it hands them on, and tokens of a block of texts that asks a larger filter.
+FLUSH_TOKENS, BLOCK_TOKENS = 2_000_000, 2_000_000
 #: Words whose exact counts every worker gets, at most; rarer words are joined.
 COMMON_WORDS = 300_000
-#: Weight of the pair model where the context is known; smoothing of the word model.
-PAIR_WEIGHT, ALPHA = 0.3, 0.5
+#: Smoothing of the word model.
+ALPHA = 0.5
 END = xxhash.xxh64_intdigest(b" end")
 MOST_LEVELS = 48
 
@@ -45,104 +46,141 @@ def hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of each word with the one before it; before the first stands the end."""
+def word_keys(h: np.ndarray) -> np.ndarray:
+    return mix64(h + U64(1)) >> U64(64 - KEY_BITS)
+
+
+def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(np.r_[U64(END), h[:-1]] * U64(0x9E3779B97F4A7C15) + h + U64(2))
+        return mix64(before * U64(0x9E3779B97F4A7C15) + h + U64(2)) >> U64(64 - KEY_BITS)
+
+
+def befores(h: np.ndarray, starts: np.ndarray, end: int = END) -> np.ndarray:
+    """The word before each token; before the first of a text stands the end."""
+    out = np.r_[h[:1], h[:-1]]
+    out[starts] = end
+    return out
 
 
 def level_of(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    """A level's count, the middle of its range on the log scale; 0 stays 0."""
-    return np.where(level > 0, np.where(level == 1, 1.0, 2.0 ** (level - 0.5)), 0.0)
+def bit_places(keys: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
+    """Bit, of size ones, that probe k of (n-gram, level) looks at."""
+    return (mix64(keys + U64((level * 16 + k + 1) << KEY_BITS)) % np.asarray(size, U64)).astype(np.int64)
 
 
-def bit_places(h: np.ndarray, level: int, k: int) -> np.ndarray:
-    """Bit within its segment that probe k of (n-gram, level) looks at."""
-    return mix64(h + U64(level * 16 + k + 1)) & U64(SEGMENT_BITS - 1)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, in 32 bits if they fit."""
+    steps = np.diff(keys, prepend=U64(0))
+    return steps.astype(np.uint32).tobytes() if len(keys) and steps.max() < 1 << 32 else steps.tobytes()
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(n_words, h, c) of words and pairs over whole texts; a task adds up what it holds before the shuffle."""
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint32 if len(data) == 4 * n else U64), dtype=U64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def group_bits(training: DataFrame) -> int:
+    """Bits of a key that name its group, from the bytes of text."""
+    size = training.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(MOST_GROUPS.bit_length() - 1, max(0, -(-size // GROUP_BYTES) - 1).bit_length())
+
+
+def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
+    """One row for each group: grp, filter, words, word_counts (of exact 64-bit hashes) and stats.
+
+    A task hands on sorted counts of FLUSH_TOKENS tokens, packed by group; a second one adds
+    up each group and fills its filter. stats holds n-grams and tokens by order and level.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             h = np.concatenate(held)
-            for n, x in ((1, h), (2, np.concatenate([pair_hashes(y) for y in held]))):
-                k, c = np.unique(x, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], ["n_words", "h", "c"])
+            starts = np.cumsum([0, *map(len, held)])[:-1]
+            kinds, n1 = np.unique(h, return_counts=True)
+            order = np.argsort(word_keys(kinds))
+            kinds, n1 = kinds[order], n1[order].astype(np.int64)
+            pairs, n2 = np.unique(pair_keys(befores(h, starts), h), return_counts=True)
+            edges = np.arange(1, 1 << bits).astype(U64) << U64(KEY_BITS - bits)
+            cut1, cut2 = (np.r_[0, np.searchsorted(k, edges), len(k)] for k in (word_keys(kinds), pairs))
+            use = np.flatnonzero((np.diff(cut1) > 0) | (np.diff(cut2) > 0))
+            cells = [(kinds[cut1[g] : cut1[g + 1]].tobytes(), n1[cut1[g] : cut1[g + 1]].tobytes(), pack_keys(pairs[cut2[g] : cut2[g + 1]]), n2[cut2[g] : cut2[g + 1]].astype(np.uint32).tobytes()) for g in use.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], ["grp", "words", "word_counts", "pairs", "pair_counts"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(hashes(text))
                 size += len(held[-1])
-                if size > 4_000_000:
-                    yield from flush()
+                if size > FLUSH_TOKENS:
+                    yield flush()
                     held, size = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "n_words int, h long, c long")
-    return parts.repartition("n_words", "h").groupBy("n_words", "h").agg(F.sum("c").alias("c"))
+    def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds, back = np.unique(keys, return_inverse=True)
+        return kinds, np.bincount(back, counts, len(kinds)).astype(np.int64)
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "grp"):
+            grp = t.column("grp").to_numpy()
+            bounds = run_bounds(grp)
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                w, wc, p, pc = ([x.as_py() for x in t.column(c)[int(s) : int(e)]] for c in ("words", "word_counts", "pairs", "pair_counts"))
+                kinds, n1 = added(np.frombuffer(b"".join(w), U64), np.frombuffer(b"".join(wc), np.int64))
+                n2 = [np.frombuffer(x, np.uint32) for x in pc]
+                pairs, n2 = added(np.concatenate([unpack_keys(x, len(c)) for x, c in zip(p, n2, strict=True)]), np.concatenate(n2))
+                keys, levels = np.concatenate([word_keys(kinds), pairs]), level_of(np.concatenate([n1, n2]))
+                size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
+                mine = np.zeros(size, bool)
+                for j in range(1, int(levels.max()) + 1):
+                    x = keys[levels >= j]
+                    for k in range(PROBES):
+                        mine[bit_places(x, j, k, size)] = True
+                stats = [np.bincount(level_of(c), x, MOST_LEVELS) for c in (n1, n2) for x in (None, c)]
+                yield pa.RecordBatch.from_pydict({"grp": pa.array([grp[s]]), "filter": pa.array([np.packbits(mine, bitorder="little").tobytes()]), "words": pa.array([kinds.tobytes()]), "word_counts": pa.array([n1.tobytes()]), "stats": pa.array([np.concatenate(stats).astype(np.int64)], pa.list_(pa.int64()))})
 
-def fill_segments(counts: DataFrame) -> tuple[DataFrame, int]:
-    """(seg, bits) of the segments that hold anything, and the number of segments, which follows the entries."""
-    level = F.floor(F.log2("c") + 1e-9).cast("int") + 1
-    entries = counts.agg(F.sum(level)).first()[0] or 0
-    n = max(SEGMENTS, -(-entries * BITS_PER_ENTRY // SEGMENT_BITS))
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "grp long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    return parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(fill, "grp long, filter binary, words binary, word_counts binary, stats array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            seg, h, top = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy()
-            order = np.argsort(seg, kind="stable")
-            seg, h, top = seg[order], h[order], top[order]
-            starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else []
-            for s, e in zip(starts, [*starts[1:], len(seg)], strict=True):
-                mine = bits.setdefault(int(seg[s]), np.zeros(SEGMENT_BITS, bool))
-                for j in range(1, int(top[s:e].max()) + 1):
-                    x = h[s:e][top[s:e] >= j]
-                    for k in range(PROBES):
-                        mine[bit_places(x, j, k).astype(np.int64)] = True
-        for s, b in bits.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "bits": pa.array([np.packbits(b, bitorder="little").tobytes()], pa.binary())})
 
-    kept = counts.select(F.pmod("h", F.lit(n)).cast("int").alias("seg"), "h", level.alias("level"))
-    return kept.repartition("seg").mapInArrow(run, "seg int, bits binary"), n
+def exact_words(groups: DataFrame) -> DataFrame:
+    """(h, c): the exact count of each word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (h, c)], ["h", "c"])
 
-def gather(filled: DataFrame, n: int) -> np.ndarray:
-    """The bits, [n, SEGMENT_BITS / 8], on the driver."""
-    segments = filled.toArrow()
-    out = np.zeros((n, SEGMENT_BITS // 8), np.uint8)
-    for s, b in zip(segments.column("seg").to_pylist(), segments.column("bits"), strict=True):
-        out[s] = np.frombuffer(b.as_buffer(), np.uint8)
-    return out
+    return groups.select("words", "word_counts").mapInArrow(run, "h long, c long")
 
 
-def build_filter(counts: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
-    """The bits of a filter that fits the driver, and the least level of words and of pairs that entered: 1, none is left out."""
-    return gather(*fill_segments(counts)), (1, 1)
+class Filter:
+    """The whole filter in one worker: each group's bits one after another."""
 
+    def __init__(self, bits: int, groups: np.ndarray, parts: list[bytes]):
+        self.shift = U64(KEY_BITS - bits)
+        self.size, self.at = np.full(1 << bits, 64, np.int64), np.zeros(1 << bits, np.int64)
+        lengths = np.array([len(p) for p in parts], np.int64)
+        self.size[groups] = lengths * 8
+        self.at[groups] = 8 + np.cumsum(lengths) - lengths  # groups without a part read eight zero bytes
+        self.flat = np.frombuffer(bytes(8) + b"".join(parts), np.uint8)
 
-def segment_of(h: np.ndarray, n: int) -> np.ndarray:
-    return h.view(np.int64) % n
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        group = (keys >> self.shift).astype(np.int64)
+        return probe(self.flat, keys, self.size[group], self.at[group])
 
 
-def probe(bits: np.ndarray, h: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
-    """Levels of n-grams: the filter is asked for level 1, 2, ... until it says no; segment counts from the first of bits."""
-    level = np.zeros(len(h), np.int64)
-    live, at = np.arange(len(h)), (segment_of(h, len(bits)) if segment is None else segment) * (SEGMENT_BITS // 8)
-    flat = bits.reshape(-1)
-    for j in range(1, MOST_LEVELS + 1):
+def probe(flat: np.ndarray, keys: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Levels of n-grams: the filter is asked for level 1, 2, ... until it says no; size in bits and first byte of each one's part."""
+    level = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys))
+    for j in range(1, MOST_LEVELS):
         for k in range(PROBES):
-            place = bit_places(h[live], j, k).astype(np.int64)
+            place = bit_places(keys[live], j, k, size[live])
             live = live[(flat[at[live] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1]
         if not len(live):
             break
@@ -150,76 +188,111 @@ def probe(bits: np.ndarray, h: np.ndarray, segment: np.ndarray | None = None) ->
     return level
 
 
-def keys_of(kinds: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, then distinct pairs of texts that begin at starts; and each token's pair among the pairs."""
-    h = kinds[codes]
-    before = np.r_[U64(END), h[:-1]]
-    before[starts] = END
-    with np.errstate(over="ignore"):
-        pairs, back = np.unique(mix64(before * U64(0x9E3779B97F4A7C15) + h + U64(2)), return_inverse=True)
-    return np.concatenate([kinds, pairs]), back
+class Numbers:
+    """What the whole training set says: tokens, distinct words, each level's mean count, and the weight of the pair model."""
 
+    def __init__(self, groups: DataFrame):
+        got = np.zeros(4 * MOST_LEVELS)
+        # one row for each level
+        for r in groups.select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+            got[r["i"]] = r["n"]
+        n1, t1, n2, t2 = got.reshape(4, -1)
+        self.tokens, self.types = int(t1.sum()), int(n1.sum())
+        middle = np.r_[0.0, 2.0 ** (np.arange(1, MOST_LEVELS) - 0.5)]
+        self.words, self.pairs = np.where(n1 > 0, t1 / np.maximum(n1, 1), middle), np.where(n2 > 0, t2 / np.maximum(n2, 1), middle)
+        # pairs seen once are, by Good and Turing, as much as the next text has of unseen ones
+        self.weight = float(1 - n2[1] / t2.sum()) if t2.sum() else 0.0
 
-def token_scores(c1: np.ndarray, c2: np.ndarray, codes: np.ndarray, starts: np.ndarray, end: int, n_train: int, n_types: int) -> np.ndarray:
-    """log10 probabilities of all tokens; the word model smooths the pair model. c1 by word, c2 by token."""
-    p1 = (c1 + ALPHA) / (n_train + ALPHA * (n_types + 1) + 1e-9 + (n_train == 0))
-    before = np.r_[end, codes[:-1]]
-    before[starts] = end
-    context = c1[before]
-    weight = np.where(context > 0, PAIR_WEIGHT, 0.0)
-    return np.log10(weight * np.minimum(c2, context) / np.maximum(context, 1) + (1 - weight) * p1[codes])
 
+def token_scores(level1: np.ndarray, level2: np.ndarray, codes: np.ndarray, starts: np.ndarray, end: int, numbers: Numbers) -> np.ndarray:
+    """log10 probabilities of all tokens; level1 by distinct word, level2 by token.
 
-def pack(first: int, n: np.ndarray, kinds: np.ndarray, codes: np.ndarray) -> bytes:
-    """A block: its first row, tokens of each row, distinct words and each token's place among them."""
-    return np.r_[first, len(n), len(kinds), n].astype(np.int64).tobytes() + kinds.tobytes() + codes.astype(np.uint32).tobytes()
-
-
-def unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    first, rows, words_ = np.frombuffer(data, np.int64, 3)
-    n = np.frombuffer(data, np.int64, rows, 24)
-    return int(first), n, np.frombuffer(data, U64, words_, 24 + 8 * rows), np.frombuffer(data, np.uint32, -1, 24 + 8 * (rows + words_)).astype(np.int64)
-
-
-def scores_by_join(blocks: DataFrame, filled: DataFrame, n: int, n_train: int, n_types: int) -> DataFrame:
+    p(w | v) = weight * c(v, w) / c(v) + (1 - weight) * p(w) for a known v, else p(w);
+    p(w) = (c(w) + ALPHA) / (N + ALPHA * (V + 1)). Counts are their level's mean.
+    """
+    c1 = numbers.words[level1]
+    p1 = (c1 + ALPHA) / (numbers.tokens + ALPHA * (numbers.types + 1))
+    context = c1[befores(codes, starts, end)]
+    c2 = np.minimum(numbers.pairs[level2], context)
+    weight = np.where(context > 0, numbers.weight, 0.0)
+    return np.log10(weight * c2 / np.maximum(context, 1e-9) + (1 - weight) * p1[codes])
+
+
+class Block:
+    """Texts whose n-grams are asked together: distinct words and each token's place among them."""
+
+    def __init__(self, lengths: np.ndarray, kinds: np.ndarray, codes: np.ndarray):
+        self.lengths, self.kinds, self.codes = lengths, kinds, codes
+        self.starts = np.cumsum(lengths) - lengths
+        self.end = int(np.searchsorted(kinds, U64(END)))
+        h = kinds[codes]
+        pairs, self.back = np.unique(pair_keys(befores(h, self.starts), h), return_inverse=True)
+        self.keys = np.concatenate([word_keys(kinds), pairs])
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Block:
+        kinds, codes = np.unique(np.concatenate(texts), return_inverse=True)
+        return cls(np.array([len(x) for x in texts]), kinds, codes)
+
+    def pack(self, first: int) -> bytes:
+        """Bytes for a table: the commonest 65535 words have codes of 16 bits, tokens of others are listed behind."""
+        order = np.argsort(-np.bincount(self.codes, minlength=len(self.kinds)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        rank = rank[self.codes]
+        short, rest = np.minimum(rank, 0xFFFF).astype(np.uint16), rank[rank >= 0xFFFF].astype(np.uint32)
+        head = np.array([first, len(self.lengths), len(self.kinds), len(rank)], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.lengths.astype(np.int64), self.kinds, order.astype(np.uint32), short, rest))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> tuple[int, Block]:
+        first, rows, n, tokens = np.frombuffer(data, np.int64, 4).tolist()
+        at = 32
+        lengths = np.frombuffer(data, np.int64, rows, at)
+        kinds = np.frombuffer(data, U64, n, at := at + 8 * rows)
+        order = np.frombuffer(data, np.uint32, n, at := at + 8 * n)
+        rank = np.frombuffer(data, np.uint16, tokens, at := at + 4 * n).astype(np.int64)
+        rank[rank == 0xFFFF] = np.frombuffer(data, np.uint32, -1, at + 2 * tokens)
+        return first, cls(lengths, kinds, order[rank].astype(np.int64))
+
+    def scores(self, levels: np.ndarray, numbers: Numbers) -> np.ndarray:
+        """The log10 probability of each text, from the levels of keys."""
+        each = token_scores(levels[: len(self.kinds)], levels[len(self.kinds) :][self.back], self.codes, self.starts, self.end, numbers)
+        return np.add.reduceat(each, self.starts)
+
+
+def scores_by_join(blocks: DataFrame, groups: DataFrame, bits: int, numbers: Numbers) -> DataFrame:
     """(row, score) of blocks (block, data), asked of a filter too large to be sent.
 
-    A block's distinct n-grams go to the groups of segments that hold them, one row for
-    each block and group; the levels come back in the same order. A task holds the bits of
-    one group, or one block with its answers.
+    A block's distinct keys go to the groups that hold them, one row for each block and
+    group; the levels come back in the same order. A task holds the bits of one group, or
+    one block with its answers.
     """
-    per = max(PER_GROUP, -(-n // MOST_GROUPS))
-
-    def asked(data: bytes):
-        first, lengths, kinds, codes = unpack(data)
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        keys, back = keys_of(kinds, codes, starts)
-        group = segment_of(keys, n) // per
-        order = np.argsort(group, kind="stable")
-        return first, kinds, codes, starts, keys, back, group, order
+    shift = U64(KEY_BITS - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                *_, keys, _, group, order = asked(data.as_py())
-                keys, group = keys[order], group[order]
+                keys = np.sort(Block.unpack(data.as_py())[1].keys)
+                group = keys >> shift
                 bounds = run_bounds(group)
-                sent = [keys[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(group[bounds[:-1]], pa.int64()), pa.array([block] * len(sent), pa.int64()), pa.array([-1] * len(sent), pa.int32()), pa.array(sent, pa.binary())], ["grp", "block", "seg", "data"])
+                sent = [(e - s, pack_keys(keys[s:e])) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                n, sent = zip(*sent, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(group[bounds[:-1]].view(np.int64)), pa.array([block] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(sent, pa.binary())], ["grp", "block", "n", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, None
+        now, flat = None, np.zeros(8, np.uint8)
         for batch in batches:
             out = []
-            for grp, block, seg, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+            for grp, block, n, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 if grp != now:
-                    now, bits = grp, np.zeros((per, SEGMENT_BITS // 8), np.uint8)
+                    now, flat = grp, np.zeros(8, np.uint8)
                 raw = data.as_buffer()
-                if seg >= 0:
-                    bits[seg - grp * per] = np.frombuffer(raw, np.uint8)
+                if n < 0:
+                    flat = np.frombuffer(raw, np.uint8).copy()
                 else:
-                    h = np.frombuffer(raw, U64)
-                    out.append((block, grp, probe(bits, h, segment_of(h, n) - grp * per).astype(np.uint8).tobytes()))
+                    keys = unpack_keys(raw, n)
+                    out.append((block, grp, probe(flat, keys, np.full(n, 8 * len(flat)), np.zeros(n, np.int64)).astype(np.uint8).tobytes()))
             if out:
                 block, grp, level = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(grp, pa.int64()), pa.array(level, pa.binary())], ["block", "grp", "data"])
@@ -229,18 +302,16 @@ def scores_by_join(blocks: DataFrame, filled: DataFrame, n: int, n_train: int, n
             found, data = t.column("block").to_numpy(), t.column("data")
             bounds = run_bounds(found)
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                first, kinds, codes, starts, keys, back, _, order = asked(data[int(s)].as_py())
-                level = np.empty(len(keys), np.int64)
-                level[order] = np.frombuffer(b"".join(data[int(i)].as_py() for i in range(s + 1, e)), np.uint8)
-                c = count_of(level)
-                each = token_scores(c[: len(kinds)], c[len(kinds) :][back], codes, starts, int(np.searchsorted(kinds, U64(END))), n_train, n_types)
-                rows = first + np.arange(len(starts))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.add.reduceat(each, starts))], ["row", "score"])
-
-    asks = blocks.mapInArrow(ask, "grp long, block long, seg int, data binary")
-    # the bits of a group come before what is asked of it
-    held = filled.select(F.floor(F.col("seg") / per).alias("grp"), F.lit(None).cast("long").alias("block"), "seg", F.col("bits").alias("data"))
-    answers = held.unionByName(asks).repartition("grp").sortWithinPartitions("grp", F.desc("seg")).mapInArrow(answer, "block long, grp long, data binary")
+                first, block = Block.unpack(data[int(s)].as_py())
+                levels = np.empty(len(block.keys), np.int64)
+                levels[np.argsort(block.keys, kind="stable")] = np.frombuffer(b"".join(data[int(i)].as_py() for i in range(s + 1, e)), np.uint8)
+                scores = block.scores(levels, numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(scores)), pa.int64()), pa.array(scores)], ["row", "score"])
+
+    asks = blocks.mapInArrow(ask, "grp long, block long, n long, data binary")
+    # the bits of a group come before what is asked of it, a block before its answers
+    held = groups.select("grp", F.lit(None).cast("long").alias("block"), F.lit(-1).cast("long").alias("n"), F.col("filter").alias("data"))
+    answers = held.unionByName(asks).repartition("grp").sortWithinPartitions("grp", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, grp long, data binary")
     both = blocks.select("block", F.lit(-1).cast("long").alias("grp"), "data").unionByName(answers)
     return both.repartition("block").sortWithinPartitions("block", "grp").mapInArrow(score, "row long, score double")
 
@@ -250,15 +321,16 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     The model is learned from all rows of training (text). A null text counts as empty: its
     only token is the end. Words are split at ASCII white space and A-Z lower-cased; texts
-    of any length count whole, repeated rows count again and score alike. With no training
-    rows every base term is log10(1 / 1) and nothing is known. Exact counts of common words go to
-    every worker; those of all other words come by a join, in which no key is frequent.
+    of any length count whole, repeated rows count again and score alike, rows with equal or
+    null ids each have their own. With no training rows nothing is known and every term is that of
+    an unseen word; no docs give no rows. Other columns are ignored. Exact counts of common words go
+    to every worker; those of all other words come by a join, in which no key is frequent.
     """
     spark = docs.sparkSession
-    counts = park(count_ngrams(training))
-    singles = counts.filter("n_words = 1")
-    sums = singles.agg(F.sum("c"), F.count("*")).first()
-    n_train, n_types = sums[0] or 0, sums[1] or 0
+    bits = group_bits(training)
+    groups = park(count_ngrams(training, bits))
+    numbers = Numbers(groups)
+    singles = exact_words(groups)
     # rows of a histogram over quarter powers of two: at most 4 * 63
     bucket = F.floor(4 * F.log2("c") + 1e-9).cast("int")
     least, room = 1 << 30, COMMON_WORDS
@@ -267,26 +339,27 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
         if room < 0:
             break
         least = r["b"]
-    common = singles.filter(bucket >= least).select("h", "c").toArrow()
+    common = singles.filter(bucket >= least).toArrow()
     order = np.argsort(common.column("h").to_numpy().view(U64))
     common_h, common_c = common.column("h").to_numpy().view(U64)[order], common.column("c").to_numpy()[order]
-    filled, n_segments = fill_segments(counts)
-    small = n_segments <= SEGMENTS
-    sent = spark.sparkContext.broadcast((common_h, common_c, gather(filled, n_segments) if small else None))
-    total = float(np.log10(n_train + n_types + 1))
+    small = (groups.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= SENT_BYTES
+    whole = None
+    if small:
+        held = groups.select("grp", "filter").toArrow()
+        whole = Filter(bits, held.column("grp").to_numpy(), held.column("filter").to_pylist())
+    sent = spark.sparkContext.broadcast((common_h, common_c, whole))
+    total = float(np.log10(numbers.tokens + numbers.types + 1))
 
-    most = BLOCK_TOKENS
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     names = ["row", "doc_id", "n_tokens", "n_known", "gain", "score", "tail", "block", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_h, known_c, filter_bits = sent.value
+        known_h, known_c, whole = sent.value
         row = TaskContext.get().partitionId() << 33
         held, first, size = [], row, 0
 
         def block() -> pa.RecordBatch:
-            kinds, codes = np.unique(np.concatenate(held), return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types[:-2]] + [pa.array([first], pa.int64()), pa.array([pack(first, np.array([len(x) for x in held]), kinds, codes)], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types[:-2]] + [pa.array([first], pa.int64()), pa.array([Block.of(held).pack(first)], pa.binary())], names)
 
         for big in batches:
             for at in range(0, big.num_rows, 256):
@@ -294,7 +367,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 each = [hashes(t) for t in batch.column(1).to_pylist()]
                 h = np.concatenate(each)
                 n = np.array([len(x) for x in each])
-                starts = np.r_[0, np.cumsum(n)[:-1]]
+                starts = np.cumsum(n) - n
                 if len(known_h):
                     place = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
                     here = known_h[place] == h
@@ -305,15 +378,12 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                 ends = np.searchsorted(rare, np.r_[starts, len(h)]).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))
                 if small:
-                    kinds, codes = np.unique(h, return_inverse=True)
-                    keys, back = keys_of(kinds, codes, starts)
-                    c = count_of(probe(filter_bits, keys))
-                    score = pa.array(np.add.reduceat(token_scores(c[: len(kinds)], c[len(kinds) :][back], codes, starts, int(np.searchsorted(kinds, U64(END))), n_train, n_types), starts))
+                    texts = Block.of(each)
+                    score = pa.array(texts.scores(whole.levels(texts.keys), numbers))
                 else:
                     score = pa.nulls(len(n), pa.float64())
-                rows = pa.array(np.arange(row, row + len(n)))
                 yield pa.RecordBatch.from_arrays(
-                    [rows, batch.column(0), pa.array(n, pa.int64()), pa.array(np.add.reduceat(here, starts, dtype=np.int64)), pa.array(np.add.reduceat(gain, starts)), score, tail, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())],
+                    [pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(np.add.reduceat(here, starts, dtype=np.int64)), pa.array(np.add.reduceat(gain, starts)), score, tail, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())],
                     names,
                 )
                 row += len(n)
@@ -321,7 +391,7 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
                     for x in each:
                         held.append(x)
                         size += len(x)
-                        if size >= most:
+                        if size >= BLOCK_TOKENS:
                             yield block()
                             first, held, size = first + len(held), [], 0
         if held:
@@ -331,16 +401,16 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     parked = park(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema))
     scored = parked.filter("block is null").drop("block", "data")
     if not small:
-        by_join = scores_by_join(parked.filter("block is not null").select("block", "data"), park(filled), n_segments, n_train, n_types)
+        by_join = scores_by_join(parked.filter("block is not null").select("block", "data"), groups, bits, numbers)
         scored = scored.drop("score").join(by_join, "row", "left")
-    rare = singles.filter(bucket < least).select("h", "c")
+    rare = singles.filter(bucket < least)
     tails = scored.select("row", F.explode("tail").alias("h")).join(rare, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_gain"))
     out = scored.drop("tail").join(tails, "row", "left")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
+        F.lit(numbers.tokens).cast("long").alias("train_tokens"),
         (F.col("gain") + F.coalesce("more_gain", F.lit(0.0)) - F.col("n_tokens") * total).alias("base_score"),
         "score",
     )

@@ -129,16 +129,16 @@ def test_op1_probabilities_sum_to_one(docs):
 
 
 def test_op2_exact_base_and_order(spark, odd, empty):
-    docs = spark.createDataFrame(corpus(150, 5), SCHEMA).unionByName(odd.filter("doc_id is not null and doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 1000))
+    docs = spark.createDataFrame(corpus(150, 5), SCHEMA).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000))
     rows = docs.collect()
-    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
+    held = {r.doc_id: r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
     count = Counter(w for r in rows if not held[r.doc_id] for w in [*words(r.text), None])
     n, v = sum(count.values()), len(count)
     for common in (300_000, 10):
         old, ngram_lm.COMMON_WORDS = ngram_lm.COMMON_WORDS, common
         got = {r.doc_id: r for r in ngram_lm.op2(docs).collect()}
         ngram_lm.COMMON_WORDS = old
-        assert len(got) == len(rows)
+        assert len(got) == len({r.doc_id for r in rows})
         for r in rows:
             t, g = [*words(r.text), None], got[r.doc_id]
             assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[r.doc_id], len(t), sum(count[w] > 0 for w in t), n)
@@ -149,35 +149,78 @@ def test_op2_exact_base_and_order(spark, odd, empty):
     assert ngram_lm.op2(empty).count() == 0
 
 
-def test_op2_filter_never_under_counts(docs):
-    counts = ngram_lm.park(ngram_lm.count_ngrams(docs))
-    bits, lowest = ngram_lm.build_filter(counts)
-    assert lowest == (1, 1)
-    t = counts.toPandas()
-    level = ngram_lm.probe(bits, t["h"].to_numpy().view(np.uint64))
-    want = ngram_lm.level_of(t["c"].to_numpy())
-    assert (level >= want).all() and (level == want).mean() > 0.99
-
-
-def test_op2_filter_grows_with_the_entries(spark, odd, monkeypatch):
-    """Nothing counted is left out, pairs seen once included, and a filter too large to send gives the same scores."""
-    docs = spark.createDataFrame(corpus(900, 8), SCHEMA)
-    monkeypatch.setattr(ngram_lm, "SEGMENTS", 1)
-    counts = ngram_lm.park(ngram_lm.count_ngrams(docs))
-    pairs = {(a, b) for r in docs.collect() for t in [words(r.text)] for a, b in zip([None, *t], [*t, None], strict=True)}
-    assert counts.filter("n_words = 2").count() == len(pairs)
-    bits, lowest = ngram_lm.build_filter(counts)
-    t = counts.toPandas()
-    assert lowest == (1, 1) and len(bits) > 1
-    assert (ngram_lm.probe(bits, t["h"].to_numpy().view(np.uint64)) >= ngram_lm.level_of(t["c"].to_numpy())).all()
-    rows, n = docs.unionByName(odd), len(bits)
-    got = {}
-    for segments in (n, n - 1):  # sent to every worker, and asked by a join
-        monkeypatch.setattr(ngram_lm, "SEGMENTS", segments)
-        monkeypatch.setattr(ngram_lm, "PER_GROUP", 1)
-        monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 20_000)
-        got[segments] = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score_texts(rows, docs).collect())
-    assert len(got[n]) == rows.count() and got[n] == got[n - 1]
+def brute_scores(texts, training):
+    """The model's log10 probability of each text from exact counts, levels and their means."""
+    one, two = Counter(), Counter()
+    for t in training:
+        w = [*words(t), None]
+        one.update(w)
+        two.update(zip([None, *w], w, strict=False))
+
+    def means(count):
+        held = {}
+        for c in count.values():
+            held.setdefault(c.bit_length(), []).append(c)
+        return {level: sum(x) / len(x) for level, x in held.items()}
+
+    m1, m2 = means(one), means(two)
+    n, v = sum(one.values()), len(one)
+    weight = 1 - sum(c == 1 for c in two.values()) / sum(two.values())
+    out = []
+    for t in texts:
+        w, total = [*words(t), None], 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            c1, ctx = (m1[one[x].bit_length()] if one[x] else 0 for x in (b, a))
+            c2 = m2[two[a, b].bit_length()] if two[a, b] else 0
+            k = weight if ctx else 0.0
+            total += math.log10((k * min(c2, ctx) / ctx if ctx else 0) + (1 - k) * (c1 + ngram_lm.ALPHA) / (n + ngram_lm.ALPHA * (v + 1)))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("sent", [ngram_lm.SENT_BYTES, 0])
+def test_op2_score_equals_brute_force(spark, odd, monkeypatch, sent):
+    """Sent to every worker, and asked by a join; with bits to spare, so that no false positive moves a score."""
+    monkeypatch.setattr(ngram_lm, "BITS_PER_ENTRY", 96)
+    monkeypatch.setattr(ngram_lm, "SENT_BYTES", sent)
+    monkeypatch.setattr(ngram_lm, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(ngram_lm, "FLUSH_TOKENS", 3000)
+    monkeypatch.setattr(ngram_lm, "BLOCK_TOKENS", 5000)
+    docs = spark.createDataFrame(corpus(300, 8), SCHEMA)
+    rows = docs.unionByName(odd)
+    got = ngram_lm.score_texts(rows, docs).collect()
+    texts = [r.text for r in rows.collect()]
+    want = brute_scores(texts, [r.text for r in docs.collect()])
+    assert len(got) == len(want)
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-4)
+    ids = {r.doc_id: r.score for r in got if r.doc_id is not None}
+    assert all(math.isclose(ids[r.doc_id], x, rel_tol=1e-4) for r, x in zip(rows.collect(), want, strict=True) if r.doc_id is not None and r.doc_id > 8)
+
+
+def test_op2_filter_holds_every_ngram(docs):
+    """No word or pair is left out or under-counted, pairs seen once included, and few are over-counted."""
+    groups = ngram_lm.count_ngrams(docs, 3).toPandas()
+    whole = ngram_lm.Filter(3, groups["grp"].to_numpy(), groups["filter"].tolist())
+    one, two = Counter(), Counter()
+    for r in docs.collect():
+        h = ngram_lm.hashes(r.text).tolist()
+        one.update(h)
+        two.update(zip([ngram_lm.END, *h], h, strict=False))
+    h, c = (np.array(x, np.uint64) for x in zip(*one.items(), strict=True))
+    pairs, c2 = (np.array(x, np.uint64) for x in zip(*two.items(), strict=True))
+    keys = np.concatenate([ngram_lm.word_keys(h), ngram_lm.pair_keys(pairs[:, 0], pairs[:, 1])])
+    want = ngram_lm.level_of(np.concatenate([c, c2]).astype(np.int64))
+    level = whole.levels(keys)
+    assert (level >= want).all() and (level == want).mean() > 0.98
+    assert sum(len(x) // 8 for x in groups["words"]) == len(one)
+
+
+def test_op2_clashing_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b a", 5), (1, "a b a", 6), (None, "c", 7)], "doc_id long, text string, score long")
+    got = ngram_lm.op2(rows)
+    assert got.columns.count("score") == 1
+    found = got.collect()
+    assert len(found) == 3 and len({(r.n_tokens, r.score) for r in found if r.doc_id == 1}) == 1
 
 
 def test_op4_weights_and_budget(spark, docs, odd, empty):
@@ -270,17 +313,68 @@ def test_op5_odd_rows(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def wrapped(text, width, start):
+    import textwrap
+
+    return "\n".join(start + x for x in textwrap.wrap(text, width))
+
+
 def test_op6_finds_notices(spark, odd, empty):
-    mit = licences.TEMPLATES["MIT"][1]
-    rows = [(1, "Some prose.\nReleased under the MIT License.\nMore."), (2, mit.replace("hereby ", "")), (3, mit[:150] + "\n" + mit[150:]), (4, "The licence of a poet is not the MIT building."), (5, "x" * 100_000 + "\nLicensed under CC BY-NC 4.0.")]
-    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit("old"))).collect()}
-    assert [(got[i].licence, got[i].licence_line) for i in (1, 2, 3, 5)] == [("MIT", 2), ("MIT", 0), ("MIT", 0), ("CC-BY-NC-4.0", 2)]
-    assert got[4].licence is None and got[4].n_licence_lines == 0
-    assert licences.op6(odd).count() == 10 and licences.op6(empty).count() == 0
+    mit, bsd, apache = licences.TEMPLATES["MIT"][3], licences.TEMPLATES["BSD-3-Clause"][1], licences.TEMPLATES["Apache-2.0"][1]
+    code = "\n\ndef f(x):\n    return x + 1  # of the first of the last\n" * 30
+    rows = [
+        (1, "Some prose.\nReleased under the MIT License.\nMore.", "MIT"),
+        (2, mit.replace("hereby ", ""), "MIT"),
+        (3, "# Copyright (c) 2020 A. Writer\n" + wrapped(mit, 72, "# ") + code, "MIT"),
+        (4, "/*\n" + wrapped(bsd, 80, " * ") + "\n */" + code, "BSD-3-Clause"),
+        (5, code + wrapped(apache, 60, "// ") + code, "Apache-2.0"),
+        (6, "The licence of a poet is not the MIT building.", None),
+        (7, "x" * 100_000 + "\nLicensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        (8, "This long line of prose says that this work is licensed under the GNU General Public License, version 3, and goes on.", "GPL-3.0"),
+        (9, "SPDX-License-Identifier: Zlib", None),
+        (10, wrapped(licences.TEMPLATES["BSD-2-Clause"][0], 70, ""), "BSD-2-Clause"),
+    ]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("licence", F.lit("old"))
+    got = {r.doc_id: r for r in licences.scan(table).collect()}
+    assert {i: r.licence for i, r in got.items()} == {r[0]: r[2] for r in rows}
+    assert all((r.licence_dice is None) == (r.licence is None) and r.licences == ([r.licence] if r.licence else []) for r in got.values())
+    assert (got[1].licence_start, got[1].licence_words, got[1].licence_dice) == (3, 5, 1_000_000) and got[8].licence_start == 8
+    both = licences.scan(spark.createDataFrame([(1, "Released under the MIT License. " + "word " * 40 + "Licensed under CC BY-SA 4.0.")], "doc_id long, text string")).first()
+    assert both.licences == ["CC-BY-SA-4.0", "MIT"] and both.licence == "CC-BY-SA-4.0"  # a tie goes to the name that sorts first
+    found = licences.op6(odd).collect()
+    assert len(found) == 10 and all(r.licence is None and r.licences == "" for r in found) and licences.op6(empty).count() == 0
     plan = licences.op6(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def brute_passage(bigrams_of_text, template):
+    """The largest Dice coefficient of any stretch, from all stretches."""
+    own = set(template)
+    best = 0
+    for i in range(len(bigrams_of_text)):
+        seen = set()
+        for x in bigrams_of_text[i:]:
+            seen.add(x)
+            best = max(best, 2_000_000 * len(seen & own) // (len(seen) + len(own)))
+    return best
+
+
+def test_op6_threshold_equals_all_stretches(spark):
+    """A template is found exactly if some stretch of the text, of all there are, reaches the threshold."""
+    rng = random.Random(4)
+    (_, template), = licences.known({"X": ["one two three four five six seven eight nine ten eleven twelve"]})
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = []
+    for _ in range(150):
+        w = [x for x in base if rng.random() > 0.12]
+        for _ in range(rng.randint(0, 4)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["zz", "yy", "xx"]))
+        texts.append(" ".join(["aa"] * rng.randint(0, 5) + w + ["bb"] * rng.randint(0, 5)))
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"X": [" ".join(base)]}).collect()
+    want = {i: brute_passage([f"{a} {b}" for a, b in zip(t.split(), t.split()[1:], strict=False)], template) >= 800_000 for i, t in enumerate(texts)}
+    assert {r.doc_id: r.licence is not None for r in got} == want and 20 < sum(want.values()) < 130
+
+
 def test_op10_round_trip(spark, docs, odd, empty):
     t = library("byte_bpe_50k.json")
     rows = docs.unionByName(odd.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 500))
