@@ -2,12 +2,13 @@
 
 A pair of adjacent bytes that occurs inside no vocabulary token can be inside no output
 token either, so a cut there is certain: the fragments between such cuts are merged on
-their own and their ids are concatenated. Words, then fragments, are the units; each
-worker keeps what it has merged in a bounded table.
+their own and their ids are concatenated. Each worker keeps the ids of chunks between white
+space in a bounded table.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assurance.llm.common import plus
+from assurance.llm.common import Kept, plus
 
-#: Entries of a worker's table of encoded chunks; it is emptied when full.
-CACHE = 400_000
+#: Encoded chunks, and words, that a worker keeps: about 30 MB.
+CHUNKS, WORDS = 50_000, 20_000
+#: Letters of the longest fragment whose merges are sought one by one; longer ones take a heap.
+SHORT = 100
 #: White space as the vocabulary's own pattern has it; str.split() also cuts at \x1c-\x1f.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 
@@ -62,17 +65,17 @@ class ForcedBoundaryBPE:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.odd_space = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(SPACE + "+")
-        self.chunks: dict[str, bytes] = {}
-        self.fragment = lru_cache(CACHE // 4)(self._merge)
-        self.word = lru_cache(CACHE // 2)(self._word)
+        self.chunks, self.words = Kept(CHUNKS), Kept(WORDS)
 
-    def _merge(self, letters: str, last: bool) -> tuple[int, ...]:
+    def fragment(self, letters: str, last: bool) -> list[int]:
         """Merges of one fragment, lowest rank first, leftmost first among equals."""
         s = list(letters)
         if last:
             s[-1] += self.suffix
         get, never = self.rank.get, self.never
         ranks = [get(p, never) for p in zip(s, s[1:], strict=False)]
+        if len(s) > SHORT:
+            return [self.vocab[x] for x in self._merge_long(s, ranks)]
         while ranks:
             best = min(ranks)
             if best == never:
@@ -84,21 +87,58 @@ class ForcedBoundaryBPE:
                 ranks[i] = get((s[i], s[i + 1]), never)
             if i:
                 ranks[i - 1] = get((s[i - 1], s[i]), never)
-        return tuple(self.vocab[x] for x in s)
-
-    def _word(self, text: str) -> list[int]:
+        return [self.vocab[x] for x in s]
+
+    def _merge_long(self, s: list[str], ranks: list[int]) -> list[str]:
+        """The same merges by a heap of (rank, place) and links between the symbols that are left: n log n."""
+        get, never, n = self.rank.get, self.never, len(s)
+        heap = [r << 40 | i for i, r in enumerate(ranks) if r < never]
+        heapq.heapify(heap)
+        ranks.append(never)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & (1 << 40) - 1
+            if ranks[i] != top >> 40:
+                continue  # merged or changed since
+            j = after[i]
+            s[i] += s[j]
+            s[j], ranks[j] = "", never
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                r = ranks[i] = get((s[i], s[k]), never)
+                if r < never:
+                    heapq.heappush(heap, r << 40 | i)
+            else:
+                ranks[i] = never
+            h = before[i]
+            if h >= 0:
+                r = ranks[h] = get((s[h], s[i]), never)
+                if r < never:
+                    heapq.heappush(heap, r << 40 | h)
+        return [x for x in s if x]
+
+    def word(self, text: str) -> list[int]:
         """One pre-token in byte letters: cut at pairs that no token holds, merge the fragments, concatenate."""
-        ids: list[int] = []
-        start = 0
+        ids = self.words.get(text)
+        if ids is not None:
+            return ids
+        ids, start, inside = [], 0, self.inside
         for i, pair in enumerate(zip(text, text[1:], strict=False), 1):
-            if pair not in self.inside:
+            if pair not in inside:
                 ids += self.fragment(text[start:i], False)
                 start = i
         ids += self.fragment(text[start:], True)
+        if len(text) <= 64:
+            self.words.put(text, ids)
         return ids
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space, as 32-bit integers; long chunks are not kept."""
+        out = self.chunks.get(chunk)
+        if out is not None:
+            return out
         if self.simple(chunk):
             clean = unicodedata.normalize("NFC", chunk).lower()
             ids = [i for w in self.pieces(clean) for i in self.word(w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))]
@@ -106,16 +146,13 @@ class ForcedBoundaryBPE:
             ids = [i for w, _ in self.cut.pre_tokenize_str(self.clean.normalize_str(chunk)) for i in self.word(w)]
         out = np.array(ids, np.int32).tobytes()
         if len(chunk) <= 64:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = out
+            self.chunks.put(chunk, out)
         return out
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        known = self.chunks.get
+        chunks = self.chunks
         for c in self.space.split(text) if self.odd_space.search(text) else text.split():
-            ids = known(c)
-            yield self.chunk(c) if ids is None else ids
+            yield chunks.new.get(c) or self.chunk(c)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; strings of added tokens count as those tokens."""
@@ -136,12 +173,12 @@ def codec(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """docs with its columns, and bpe_ids array<int> and bpe_decoded string.
+def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool = True) -> DataFrame:
+    """docs with its columns, and bpe_ids array<int> and bpe_decoded string (null unless decode).
 
     tokenizer: path of the vocabulary file, readable on every executor. A null or empty
     text gives no ids and an empty string; whole texts of any length are encoded;
-    repeated rows are encoded alike. A clashing column of docs gives way to the new one.
+    repeated rows are encoded alike; an empty table gives an empty result. A clashing column of docs gives way to the new one.
     """
     docs = docs.drop("bpe_ids", "bpe_decoded")
     schema = plus(docs, "bpe_ids array<int>, bpe_decoded string")
@@ -155,7 +192,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
                 ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(coded), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                text = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+                text = [bpe.decode(flat[a:b].tolist()) if decode else None for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(text, pa.string())], [*batch.schema.names, "bpe_ids", "bpe_decoded"])
 
     return docs.mapInArrow(run, schema)

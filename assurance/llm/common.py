@@ -30,6 +30,27 @@ class Words(dict):
 WORDS = Words()
 
 
+class Kept:
+    """What a worker has computed, by key: two tables of at most size entries each; when the new one is full it becomes the old one."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        """The value, or None; what the old table alone holds moves to the new one."""
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased; runs of anything but the six ASCII white-space bytes."""
     return text.encode("utf-8").lower().split() if text else []

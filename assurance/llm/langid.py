@@ -6,7 +6,8 @@ language has seen, the model keeps its log probability under all languages besid
 64-bit hash in one sorted array, so a text is scored by one binary search for each symbol
 and, for unseen grams, back-off weights from the sorted arrays of contexts. The language
 of least cross-entropy per symbol wins; rows of the training set that were not counted
-set the temperature of the score and each language's rejection limit.
+set the temperature of the score and the rejection limit: the excess of a text over its
+language's mean, in deviations expected at its length, that a stated share of them exceeds.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ ORDER = 4
 START, BLANK = 1, 32
 #: Labelled rows of each language that the model learns from, at most in expectation; whole texts.
 SAMPLE_ROWS = 3000
-#: Distinct grams kept over all languages; beyond it the least count kept doubles until they fit.
-MOST_GRAMS = 1_000_000
-#: A text is rejected beyond its language's mean by so many deviations, and a share for shortness.
-DEVIATIONS, SHORT_NATS = 8.0, 40.0
+#: Share of the rows kept for calibration that the rejection limit leaves out.
+REJECT_RATE = 0.0005
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 UNKNOWN = "und"
 
@@ -36,8 +35,8 @@ UNKNOWN = "und"
 @lru_cache(1)
 def symbol_table() -> np.ndarray:
     """Symbol of each code point: letters of the first plane stand for themselves, later ones share 0xFFFF, the rest is blank."""
-    table = np.full(0x110000, BLANK, np.uint64)
-    for i in range(0x32000):
+    table = np.full(0x110000, BLANK, np.uint16)
+    for i in range(0x110000):
         if chr(i).isalpha():
             table[i] = min(i, 0xFFFF)
     table[START] = START
@@ -50,7 +49,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     Before each text stand three start symbols; runs of other characters are one blank.
     """
     joined = "".join("\x01\x01\x01 " + (t or "").lower().replace("\x01", " ") + " " for t in texts)
-    s = symbol_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    s = symbol_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
     s = s[np.r_[True, (s[1:] != BLANK) | (s[:-1] != BLANK)]]
     starts = np.flatnonzero(s == START)[::3]
     return s, starts
@@ -182,7 +181,7 @@ def count_grams(train: DataFrame) -> DataFrame:
 class Identifier:
     """A trained model, its calibration, and the job that applies both."""
 
-    def __init__(self, spark, model: Model | None, temperature: float = 1.0, limits: dict[str, tuple[float, float]] | None = None):
+    def __init__(self, spark, model: Model | None, temperature: float = 1.0, limits: dict[str, tuple[float, float, float, float]] | None = None):
         self.model, self.temperature, self.limits = model, temperature, limits or {}
         self.sent = spark.sparkContext.broadcast((model, temperature, self.limits))
 
@@ -204,8 +203,8 @@ class Identifier:
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with lang_pred, score, nats and rejected; clashing columns give way.
 
-        A text that is null or has no letter is "und" with score 0 and rejected, as is
-        every text if nothing was learned. Ties go to the name that sorts first. Texts of
+        A text that is null or has no letter is "und" with score 0 and rejected; if nothing
+        was learned, every text is "und" with score 0 and those with a letter are not rejected. Ties go to the name that sorts first. Texts of
         any length are read whole; equal texts get equal results.
         """
         docs = docs.drop("lang_pred", "score", "nats", "rejected")
@@ -219,14 +218,15 @@ class Identifier:
                     texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                     if model is None:
                         n_rows = len(texts)
-                        more = [[UNKNOWN] * n_rows, [0.0] * n_rows, [None] * n_rows, [True] * n_rows]
+                        more = [[UNKNOWN] * n_rows, [0.0] * n_rows, [None] * n_rows, [not any(map(str.isalpha, t or "")) for t in texts]]
                     else:
                         ce, n = model.cross_entropy(texts)
                         best = ce.argmin(1)
                         least = ce[np.arange(len(ce)), best]
                         p = 1 / np.exp(-temperature * (ce - least[:, None])).sum(1)
                         letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-                        limit = np.array([limits.get(x, (np.inf, 0.0))[0] for x in model.names])[best] + SHORT_NATS / np.maximum(n, 1)
+                        mean, base, slope, most = np.array([limits.get(x, (0.0, 1.0, 0.0, np.inf)) for x in model.names])[best].T
+                        limit = mean + most * np.sqrt(base + slope / np.maximum(n, 1))
                         more = [
                             [model.names[b] if y else UNKNOWN for b, y in zip(best, letters, strict=True)],
                             [float(x) if y else 0.0 for x, y in zip(p, letters, strict=True)],
@@ -239,13 +239,13 @@ class Identifier:
         return docs.mapInArrow(run, plus(docs, "lang_pred string, score double, nats double, rejected boolean"))
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_grams: int = MOST_GRAMS) -> Identifier:
+def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Identifier:
     """Fit on labelled (doc_id, text, lang).
 
     The classifier is fitted on a sample of about sample_rows rows of each language, drawn
     by a hash of doc_id; of these, one quarter (doc_id hash) is kept from the counts to
     calibrate. Rows with a null lang or a text without letters teach nothing. What reaches
-    the driver is the table of at most most_grams grams and one row for each language.
+    the driver is the table of the sample's grams, whole, and one row for each language.
     """
     spark = labelled.sparkSession
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -257,10 +257,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, most_grams: int =
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < rate[F.col("lang")])
     drawn = drawn.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 3)
     counts = park(count_grams(drawn.filter("not held")))
-    least = 1
-    while counts.filter(F.col("n") >= least).count() > most_grams:
-        least *= 2
-    got = counts.filter(F.col("n") >= least).toArrow()
+    got = counts.toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     if not names:
         return Identifier(spark, None)
@@ -283,11 +280,22 @@ def calibrate(found: Identifier, held: DataFrame) -> Identifier:
         return F.sum(F.log(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)) + (F.col("own") - least) * t)
 
     losses = [loss(t).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]
-    sums = rows.groupBy("lang").agg(F.avg("own").alias("mean"), F.coalesce(F.stddev("own"), F.lit(0.0)).alias("deviation"), *losses).collect()
-    if not sums:
+    means = rows.groupBy("lang").agg(F.avg("own").alias("mean"), *losses).collect()
+    if not means:
         return found
-    total = [sum(r[f"t{i}"] for r in sums) for i in range(len(TEMPERATURES))]
-    limits = {r["lang"]: (r["mean"] + DEVIATIONS * max(r["deviation"], 0.02), r["mean"]) for r in sums}
+    total = [sum(r[f"t{i}"] for r in means) for i in range(len(TEMPERATURES))]
+    mean = F.create_map(*(x for r in means for x in (F.lit(r["lang"]), F.lit(r["mean"]))))
+    # squared excess as a line over 1 / length
+    rows = rows.withColumn("excess", F.col("own") - mean[F.col("lang")]).withColumn("x", 1 / F.col("n_symbols")).withColumn("y", F.col("excess") ** 2)
+    lines = rows.groupBy("lang").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx")).collect()
+    spread = {}
+    for r in lines:
+        slope = max(0.0, r["xy"] / r["xx"]) if r["xx"] else 0.0
+        spread[r["lang"]] = (max(r["y"] - slope * r["x"], 0.05 * r["y"], 1e-4), slope)
+    base, slope = (F.create_map(*(x for k, v in spread.items() for x in (F.lit(k), F.lit(v[i]))))[F.col("lang")] for i in (0, 1))
+    # at most the rows of the sample
+    limit = rows.select((F.col("excess") / F.sqrt(base + slope * F.col("x"))).alias("z")).agg(F.percentile("z", F.lit(1 - REJECT_RATE))).first()[0]
+    limits = {r["lang"]: (r["mean"], *spread[r["lang"]], float(limit)) for r in means}
     return Identifier(held.sparkSession, found.model, TEMPERATURES[int(np.argmin(total))], limits)
 
 

@@ -16,9 +16,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import plus, words
+from assurance.llm.common import Kept, plus, words
 
-CACHE = 400_000
+#: Words whose pieces a worker keeps: about 25 MB.
+KEPT = 60_000
 #: Bands by script: least and most characters per token, most byte-fallback share, least token entropy in bits.
 BANDS: dict[str, tuple[float, float, float, float]] = {
     "latin": (1.45, 9.0, 0.30, 2.0),
@@ -35,39 +36,37 @@ SCRIPTS = {
     "arabic": r"\p{Script=Arabic}",
     "cjk": r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}]",
 }
-#: Fertility of shorter texts says little; base rules alone decide on them.
-LEAST_WORDS = 30
 SYMBOL_CODES = np.array([ord(c) for c in "#*$%&|<>"])
 SPACE_CODES = np.array([9, 10, 11, 12, 13, 32])
 SPACES = regex.compile(r"[\x09-\x0d\x20]*").fullmatch
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
 
 
-@lru_cache(2)
-def pieces(path: str):
-    """word -> (array of piece ids, number of byte-fallback pieces), kept in a bounded table."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    known: dict[bytes, tuple[bytes, int, int]] = {}
-
-    def of(new) -> dict[bytes, tuple[bytes, int, int]]:
-        if len(known) > CACHE:
-            known.clear()
-        miss = [w for w in new if w not in known]
+class Pieces:
+    """Piece ids of words as 32-bit integers; a worker keeps those of the last ones it met."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        self.kept = Kept(KEPT)
+
+    def of(self, found: list[bytes]) -> list[bytes]:
+        get = self.kept.get
+        out = [get(w) for w in found]
+        miss = [i for i, x in enumerate(out) if x is None]
         if miss:
-            got = model.encode([w.decode() for w in miss], num_threads=1)
-            sizes = [len(x) for x in got]
-            flat = np.array([i for x in got for i in x], np.int32)
-            ends = np.cumsum([0, *sizes])
-            n_bytes = np.diff(np.r_[0, np.cumsum(is_byte[flat])][ends]).tolist()
-            raw, ends = flat.tobytes(), (ends * 4).tolist()
-            for w, a, b, n, k in zip(miss, ends[:-1], ends[1:], sizes, n_bytes, strict=True):
-                known[w] = (raw[a:b], n, k)
-        return known
+            for i, ids in zip(miss, self.model.encode([found[i].decode() for i in miss], num_threads=1), strict=True):
+                out[i] = np.array(ids, np.int32).tobytes()
+                if len(found[i]) <= 64:
+                    self.kept.put(found[i], out[i])
+        return out
+
 
-    return of
+@lru_cache(2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 @lru_cache(1)
@@ -114,7 +113,7 @@ def repeat_words(ids: np.ndarray, window: int = 5) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
-def measure(text: str | None, of) -> tuple:
+def measure(text: str | None, vocabulary: Pieces) -> tuple:
     """The row of COLUMNS for one text."""
     found = words(text)
     n_words = len(found)
@@ -130,14 +129,13 @@ def measure(text: str | None, of) -> tuple:
     word_chars = len(letters) - int(low_count[SPACE_CODES].sum())
     n_repeat = repeat_words(ids) if len(number) < n_words else 0
     base_failed = n_words < 10 or 100 * n_repeat > 20 * n_words
-    table = of(number)
-    got = [table[w] for w in number]
-    times = np.bincount(ids, minlength=len(number))
-    sizes = np.array([x[1] for x in got])
-    n_tokens = max(1, int((sizes * times).sum()))
-    byte_share = float((np.array([x[2] for x in got]) * times).sum()) / n_tokens
-    pieces_of = np.frombuffer(b"".join([x[0] for x in got]), np.int32)
-    tokens = np.bincount(pieces_of, weights=np.repeat(times, sizes)) if len(pieces_of) else np.zeros(1)
+    got = vocabulary.of(list(number))
+    sizes = np.array([len(x) // 4 for x in got])
+    pieces_of = np.frombuffer(b"".join(got), np.int32)
+    times = np.repeat(np.bincount(ids, minlength=len(number)), sizes)
+    n_tokens = max(1, int(times.sum()))
+    byte_share = float(times[vocabulary.is_byte[pieces_of]].sum()) / n_tokens
+    tokens = np.bincount(pieces_of, weights=times) if len(pieces_of) else np.zeros(1)
     p = tokens[tokens > 0] / n_tokens
     entropy = float(-(p * np.log2(p)).sum()) if len(p) else 0.0
     names, kinds = letter_table()
@@ -145,7 +143,7 @@ def measure(text: str | None, of) -> tuple:
     per = float(count[1:].sum()) / n_tokens
     script = names[int(count[1 : len(names) + 1].argmax())] if count[1 : len(names) + 1].any() else "other"
     low, high, most_bytes, least_entropy = BANDS[script]
-    verdict = n_words < LEAST_WORDS or (low <= per <= high and byte_share <= most_bytes and entropy >= least_entropy)
+    verdict = low <= per <= high and byte_share <= most_bytes and entropy >= least_entropy
     return n_words, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, script, per, byte_share, entropy, base_failed, bool(verdict and not base_failed)
 
 
@@ -153,7 +151,8 @@ def score_quality(docs: DataFrame, pieces_model: str, text_col: str = "text") ->
     """docs with the columns of COLUMNS, clashing ones replaced; row order and number are kept.
 
     A null or empty text has no words and fails. Whole texts count, however long. Two
-    equal rows get equal results. base_failed holds the fixed rules, kept also needs the
+    equal rows get equal results; an empty table gives an empty result. Of two scripts with as many letters
+    the first in SCRIPTS counts. chars_per_token counts letters and digits. base_failed holds the fixed rules, kept also needs the
     fertility bands of the script most of the text's letters belong to ("other" if none).
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -162,11 +161,11 @@ def score_quality(docs: DataFrame, pieces_model: str, text_col: str = "text") ->
     kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 3 + [pa.bool_()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(pieces_model)
+        vocabulary = pieces(pieces_model)
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
-                rows = [measure(t, of) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                rows = [measure(t, vocabulary) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
                 more = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
