@@ -1,7 +1,7 @@
 """Operator 7: quality rules with tokeniser fertility.
 
-Every word of a text is cut by a public piece vocabulary with byte fallback. Characters
-per token, the share of byte-fallback tokens and the entropy of the text's tokens are held
+Every word of a text is cut by a public piece vocabulary with byte fallback. Letters per
+token, the share of byte-fallback tokens and the entropy of the text's tokens are held
 against bands of the text's script; texts outside a band are rejected.
 """
 
@@ -20,7 +20,7 @@ from assurance.llm.common import Kept, plus, words
 
 #: Words whose pieces a worker keeps: about 25 MB.
 KEPT = 60_000
-#: Bands by script: least and most characters per token, most byte-fallback share, least token entropy in bits.
+#: Bands by script: least and most letters per token, most byte-fallback share, least token entropy in bits.
 BANDS: dict[str, tuple[float, float, float, float]] = {
     "latin": (1.45, 9.0, 0.30, 2.0),
     "cyrillic": (0.80, 8.0, 0.30, 2.0),
@@ -50,6 +50,8 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        names = [self.model.id_to_piece(i).strip("\u2581") for i in range(len(self.is_byte))]
+        self.is_number = np.array([not x or x.isdigit() for x in names])
         self.kept = Kept(KEPT)
 
     def of(self, found: list[bytes]) -> list[bytes]:
@@ -140,7 +142,7 @@ def measure(text: str | None, vocabulary: Pieces) -> tuple:
     entropy = float(-(p * np.log2(p)).sum()) if len(p) else 0.0
     names, kinds = letter_table()
     count = np.bincount(kinds[letters], minlength=16)
-    per = float(count[1:].sum()) / n_tokens
+    per = float(count[1:15].sum()) / max(1, int(times[~vocabulary.is_number[pieces_of]].sum()))
     script = names[int(count[1 : len(names) + 1].argmax())] if count[1 : len(names) + 1].any() else "other"
     low, high, most_bytes, least_entropy = BANDS[script]
     verdict = low <= per <= high and byte_share <= most_bytes and entropy >= least_entropy
@@ -152,7 +154,8 @@ def score_quality(docs: DataFrame, pieces_model: str, text_col: str = "text") ->
 
     A null or empty text has no words and fails. Whole texts count, however long. Two
     equal rows get equal results; an empty table gives an empty result. Of two scripts with as many letters
-    the first in SCRIPTS counts. chars_per_token counts letters and digits. base_failed holds the fixed rules, kept also needs the
+    the first in SCRIPTS counts. chars_per_token counts letters,
+    over the pieces that are no digits or lone spaces: numbers are cut digit by digit in any text. base_failed holds the fixed rules, kept also needs the
     fertility bands of the script most of the text's letters belong to ("other" if none).
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
