@@ -3,8 +3,8 @@
 Counts of words and word pairs are added up by Spark. A count c is kept as its level
 1 + floor(log2 c): the n-gram enters the filter at every level up to that, and a reader
 recovers the level by probing level after level until one is missing (Talbot and Osborne
-2007). N-grams are dealt into groups by the first bits of a 48-bit key; the number of
-groups follows the bytes of text, and the task that adds up a group also fills the group's
+2007). N-grams are dealt into groups by the first bits of a key, of which 32 more tell them
+apart within a group; the number of groups follows the bytes of text, and the task that adds up a group also fills the group's
 own part of the filter, as long as its entries need, so every counted word and pair enters
 whatever the size of the corpus. A filter of at most SENT_BYTES is sent to every worker; a
 larger one stays a table, and texts in blocks ask it by a join on groups.
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from assurance.llm.common import U64, WORDS, crc_mod, mix64, park, run_bounds, runs, words
 
-#: Bits of a key; text bytes of a group, and groups at most; bits of the filter for an entry, of which each sets PROBES.
-KEY_BITS, GROUP_BYTES, MOST_GROUPS, BITS_PER_ENTRY, PROBES = 48, 4 << 20, 1 << 20, 12, 4
+#: Text bytes of a group, and groups at most; bits of the filter for an entry, of which each sets PROBES.
+GROUP_BYTES, MOST_GROUPS, BITS_PER_ENTRY, PROBES = 4 << 20, 1 << 20, 12, 4
 #: A filter up to this size is sent to every worker.
 SENT_BYTES = 32 << 20
 #: Tokens that a task counts before it hands them on, and tokens of a block of texts that asks a larger filter.
-FLUSH_TOKENS, BLOCK_TOKENS = 2_000_000, 2_000_000
+FLUSH_TOKENS, BLOCK_TOKENS = 2_000_000, 1_000_000
 #: Words whose exact counts every worker gets, at most; rarer words are joined.
 COMMON_WORDS = 300_000
 #: Smoothing of the word model.
@@ -46,13 +46,17 @@ def hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def word_keys(h: np.ndarray) -> np.ndarray:
-    return mix64(h + U64(1)) >> U64(64 - KEY_BITS)
+def word_keys(h: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(h + U64(1)) >> U64(32 - bits)
 
 
-def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+def pair_keys(before: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(before * U64(0x9E3779B97F4A7C15) + h + U64(2)) >> U64(64 - KEY_BITS)
+        return mix64(before * U64(0x9E3779B97F4A7C15) + h + U64(2)) >> U64(32 - bits)
+
+
+def group_of(keys: np.ndarray) -> np.ndarray:
+    return keys >> U64(32)
 
 
 def befores(h: np.ndarray, starts: np.ndarray, end: int = END) -> np.ndarray:
@@ -68,17 +72,25 @@ def level_of(c: np.ndarray) -> np.ndarray:
 
 def bit_places(keys: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
     """Bit, of size ones, that probe k of (n-gram, level) looks at."""
-    return (mix64(keys + U64((level * 16 + k + 1) << KEY_BITS)) % np.asarray(size, U64)).astype(np.int64)
+    return (mix64(keys + U64((level * 16 + k + 1) << 52)) % np.asarray(size, U64)).astype(np.int64)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """32-bit integers, mostly small, compressed byte by byte place."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def expand(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n).T.copy().view("<u4").ravel() if n else np.zeros(0, np.uint32)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, in 32 bits if they fit."""
-    steps = np.diff(keys, prepend=U64(0))
-    return steps.astype(np.uint32).tobytes() if len(keys) and steps.max() < 1 << 32 else steps.tobytes()
+    """Sorted keys of one group as their differences."""
+    return squeeze(np.diff(keys & U64(0xFFFFFFFF), prepend=U64(0)))
 
 
-def unpack_keys(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint32 if len(data) == 4 * n else U64), dtype=U64)
+def unpack_keys(data: bytes, n: int, group: int) -> np.ndarray:
+    return np.cumsum(expand(data, n), dtype=U64) + U64(group << 32)
 
 
 def group_bits(training: DataFrame) -> int:
@@ -101,14 +113,16 @@ def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
             h = np.concatenate(held)
             starts = np.cumsum([0, *map(len, held)])[:-1]
             kinds, n1 = np.unique(h, return_counts=True)
-            order = np.argsort(word_keys(kinds))
-            kinds, n1 = kinds[order], n1[order].astype(np.int64)
-            pairs, n2 = np.unique(pair_keys(befores(h, starts), h), return_counts=True)
-            edges = np.arange(1, 1 << bits).astype(U64) << U64(KEY_BITS - bits)
-            cut1, cut2 = (np.r_[0, np.searchsorted(k, edges), len(k)] for k in (word_keys(kinds), pairs))
+            order = np.argsort(word_keys(kinds, bits))
+            kinds, n1 = kinds[order], n1[order]
+            pairs, n2 = np.unique(pair_keys(befores(h, starts), h, bits), return_counts=True)
+            edges = np.arange(1, 1 << bits).astype(U64) << U64(32)
+            cut1, cut2 = (np.r_[0, np.searchsorted(k, edges), len(k)] for k in (word_keys(kinds, bits), pairs))
             use = np.flatnonzero((np.diff(cut1) > 0) | (np.diff(cut2) > 0))
-            cells = [(kinds[cut1[g] : cut1[g + 1]].tobytes(), n1[cut1[g] : cut1[g + 1]].tobytes(), pack_keys(pairs[cut2[g] : cut2[g + 1]]), n2[cut2[g] : cut2[g + 1]].astype(np.uint32).tobytes()) for g in use.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], ["grp", "words", "word_counts", "pairs", "pair_counts"])
+            spans = [(slice(cut1[g], cut1[g + 1]), slice(cut2[g], cut2[g + 1])) for g in use]
+            cells = [(kinds[a].tobytes(), squeeze(n1[a]), pack_keys(pairs[b]), squeeze(n2[b])) for a, b in spans]
+            sizes = [pa.array(np.diff(c)[use], pa.int64()) for c in (cut1, cut2)]
+            return pa.RecordBatch.from_arrays([pa.array(use, pa.int64()), *sizes, *(pa.array(c, pa.binary()) for c in zip(*cells, strict=True))], ["grp", "n1", "n2", "words", "word_counts", "pairs", "pair_counts"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -129,11 +143,10 @@ def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
             grp = t.column("grp").to_numpy()
             bounds = run_bounds(grp)
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                w, wc, p, pc = ([x.as_py() for x in t.column(c)[int(s) : int(e)]] for c in ("words", "word_counts", "pairs", "pair_counts"))
-                kinds, n1 = added(np.frombuffer(b"".join(w), U64), np.frombuffer(b"".join(wc), np.int64))
-                n2 = [np.frombuffer(x, np.uint32) for x in pc]
-                pairs, n2 = added(np.concatenate([unpack_keys(x, len(c)) for x, c in zip(p, n2, strict=True)]), np.concatenate(n2))
-                keys, levels = np.concatenate([word_keys(kinds), pairs]), level_of(np.concatenate([n1, n2]))
+                own = t.slice(s, e - s).to_pydict()
+                kinds, n1 = added(np.frombuffer(b"".join(own["words"]), U64), np.concatenate(list(map(expand, own["word_counts"], own["n1"]))))
+                pairs, n2 = added(np.concatenate([unpack_keys(x, n, int(grp[s])) for x, n in zip(own["pairs"], own["n2"], strict=True)]), np.concatenate(list(map(expand, own["pair_counts"], own["n2"]))))
+                keys, levels = np.concatenate([word_keys(kinds, bits), pairs]), level_of(np.concatenate([n1, n2]))
                 size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
                 mine = np.zeros(size, bool)
                 for j in range(1, int(levels.max()) + 1):
@@ -143,7 +156,7 @@ def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
                 stats = [np.bincount(level_of(c), x, MOST_LEVELS) for c in (n1, n2) for x in (None, c)]
                 yield pa.RecordBatch.from_pydict({"grp": pa.array([grp[s]]), "filter": pa.array([np.packbits(mine, bitorder="little").tobytes()]), "words": pa.array([kinds.tobytes()]), "word_counts": pa.array([n1.tobytes()]), "stats": pa.array([np.concatenate(stats).astype(np.int64)], pa.list_(pa.int64()))})
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "grp long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "grp long, n1 long, n2 long, words binary, word_counts binary, pairs binary, pair_counts binary")
     return parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(fill, "grp long, filter binary, words binary, word_counts binary, stats array<long>")
 
 
@@ -162,7 +175,6 @@ class Filter:
     """The whole filter in one worker: each group's bits one after another."""
 
     def __init__(self, bits: int, groups: np.ndarray, parts: list[bytes]):
-        self.shift = U64(KEY_BITS - bits)
         self.size, self.at = np.full(1 << bits, 64, np.int64), np.zeros(1 << bits, np.int64)
         lengths = np.array([len(p) for p in parts], np.int64)
         self.size[groups] = lengths * 8
@@ -170,7 +182,7 @@ class Filter:
         self.flat = np.frombuffer(bytes(8) + b"".join(parts), np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        group = (keys >> self.shift).astype(np.int64)
+        group = group_of(keys).astype(np.int64)
         return probe(self.flat, keys, self.size[group], self.at[group])
 
 
@@ -219,66 +231,98 @@ def token_scores(level1: np.ndarray, level2: np.ndarray, codes: np.ndarray, star
 
 
 class Block:
-    """Texts whose n-grams are asked together: distinct words and each token's place among them."""
+    """Texts whose n-grams are asked together: distinct words, the commonest first, and each token's place among them."""
 
-    def __init__(self, lengths: np.ndarray, kinds: np.ndarray, codes: np.ndarray):
-        self.lengths, self.kinds, self.codes = lengths, kinds, codes
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, kinds: np.ndarray, codes: np.ndarray, bits: int):
+        self.ids, self.lengths, self.kinds, self.codes = ids, lengths, kinds, codes
         self.starts = np.cumsum(lengths) - lengths
-        self.end = int(np.searchsorted(kinds, U64(END)))
+        self.end = int(np.flatnonzero(kinds == U64(END))[0])
         h = kinds[codes]
-        pairs, self.back = np.unique(pair_keys(befores(h, self.starts), h), return_inverse=True)
-        self.keys = np.concatenate([word_keys(kinds), pairs])
+        pairs, self.back = np.unique(pair_keys(befores(h, self.starts), h, bits), return_inverse=True)
+        self.keys = np.concatenate([word_keys(kinds, bits), pairs])
 
     @classmethod
-    def of(cls, texts: list[np.ndarray]) -> Block:
-        kinds, codes = np.unique(np.concatenate(texts), return_inverse=True)
-        return cls(np.array([len(x) for x in texts]), kinds, codes)
-
-    def pack(self, first: int) -> bytes:
-        """Bytes for a table: the commonest 65535 words have codes of 16 bits, tokens of others are listed behind."""
-        order = np.argsort(-np.bincount(self.codes, minlength=len(self.kinds)), kind="stable")
+    def of(cls, ids: pa.Array, texts: list[np.ndarray], bits: int) -> Block:
+        kinds, codes, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        rank = rank[self.codes]
-        short, rest = np.minimum(rank, 0xFFFF).astype(np.uint16), rank[rank >= 0xFFFF].astype(np.uint32)
-        head = np.array([first, len(self.lengths), len(self.kinds), len(rank)], np.int64)
-        return b"".join(x.tobytes() for x in (head, self.lengths.astype(np.int64), self.kinds, order.astype(np.uint32), short, rest))
+        return cls(ids, np.array([len(x) for x in texts]), kinds[order], rank[codes], bits)
+
+    def pack(self) -> bytes:
+        codes = squeeze(self.codes)
+        head = np.array([len(self.lengths), len(self.kinds), len(self.codes), len(codes)], np.int64)
+        ids = self.ids.cast(pa.int64())
+        return b"".join([head.tobytes(), ids.is_valid().to_numpy(False).tobytes(), ids.fill_null(0).to_numpy().tobytes(), self.lengths.astype(np.int64).tobytes(), self.kinds.tobytes(), codes])
 
     @classmethod
-    def unpack(cls, data: bytes) -> tuple[int, Block]:
-        first, rows, n, tokens = np.frombuffer(data, np.int64, 4).tolist()
-        at = 32
-        lengths = np.frombuffer(data, np.int64, rows, at)
+    def unpack(cls, data: bytes, bits: int) -> Block:
+        rows, n, tokens, size = np.frombuffer(data, np.int64, 4).tolist()
+        known = np.frombuffer(data, bool, rows, 32)
+        ids = np.frombuffer(data, np.int64, rows, at := 32 + rows)
+        lengths = np.frombuffer(data, np.int64, rows, at := at + 8 * rows)
         kinds = np.frombuffer(data, U64, n, at := at + 8 * rows)
-        order = np.frombuffer(data, np.uint32, n, at := at + 8 * n)
-        rank = np.frombuffer(data, np.uint16, tokens, at := at + 4 * n).astype(np.int64)
-        rank[rank == 0xFFFF] = np.frombuffer(data, np.uint32, -1, at + 2 * tokens)
-        return first, cls(lengths, kinds, order[rank].astype(np.int64))
+        codes = expand(data[at + 8 * n : at + 8 * n + size], tokens).astype(np.int64)
+        return cls(pa.array(ids, mask=~known), lengths, kinds, codes, bits)
 
-    def scores(self, levels: np.ndarray, numbers: Numbers) -> np.ndarray:
-        """The log10 probability of each text, from the levels of keys."""
+    def rows(self, first: int, levels: np.ndarray, numbers: Numbers, known_h: np.ndarray, known_c: np.ndarray) -> pa.RecordBatch:
+        """SCORED of each text: numbers of tokens and known ones, gains and score, and the words to look up by a join."""
         each = token_scores(levels[: len(self.kinds)], levels[len(self.kinds) :][self.back], self.codes, self.starts, self.end, numbers)
-        return np.add.reduceat(each, self.starts)
+        place = np.minimum(np.searchsorted(known_h, self.kinds), max(0, len(known_h) - 1))
+        here = known_h[place] == self.kinds if len(known_h) else np.zeros(len(self.kinds), bool)
+        gain = np.where(here, np.log10(known_c[place] + 1.0), 0.0) if len(known_h) else np.zeros(len(self.kinds))
+        rare = np.flatnonzero(~here[self.codes])
+        ends = np.searchsorted(rare, np.r_[self.starts, len(self.codes)]).astype(np.int32)
+        tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.kinds[self.codes[rare]].view(np.int64)))
+        sums = [np.add.reduceat(x, self.starts) for x in (here[self.codes].astype(np.int64), gain[self.codes], each)]
+        return pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(self.lengths))), self.ids, pa.array(self.lengths, pa.int64()), *map(pa.array, sums), tail], ["row", "doc_id", "n_tokens", "n_known", "gain", "score", "tail"])
+
+
+SCORED = "row long, doc_id long, n_tokens long, n_known long, gain double, score double, tail array<long>"
+
+
+def as_blocks(docs: DataFrame, bits: int) -> DataFrame:
+    """(block, data) of docs (doc_id, text); a number of 16 bits follows the partition's in the name of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 16
+        ids, texts, size = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([Block.of(pa.array(ids, pa.int64()), texts, bits).pack()], pa.binary())], ["block", "data"])
 
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                for i, text in zip(*(c.to_pylist() for c in big.slice(at, 256).columns), strict=True):
+                    ids.append(i)
+                    texts.append(hashes(text))
+                    size += len(texts[-1])
+                    if size >= BLOCK_TOKENS:
+                        yield block()
+                        name, ids, texts, size = name + 1, [], [], 0
+        if texts:
+            yield block()
+
+    return docs.mapInArrow(run, "block long, data binary")
 
-def scores_by_join(blocks: DataFrame, groups: DataFrame, bits: int, numbers: Numbers) -> DataFrame:
-    """(row, score) of blocks (block, data), asked of a filter too large to be sent.
+
+def scored_by_join(docs: DataFrame, groups: DataFrame, bits: int, numbers: Numbers, sent) -> DataFrame:
+    """SCORED of docs, asked of a filter too large to be sent.
 
     A block's distinct keys go to the groups that hold them, one row for each block and
     group; the levels come back in the same order. A task holds the bits of one group, or
     one block with its answers.
     """
-    shift = U64(KEY_BITS - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = np.sort(Block.unpack(data.as_py())[1].keys)
-                group = keys >> shift
+                keys = np.sort(Block.unpack(data.as_py(), bits).keys)
+                group = group_of(keys)
                 bounds = run_bounds(group)
-                sent = [(e - s, pack_keys(keys[s:e])) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                n, sent = zip(*sent, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(group[bounds[:-1]].view(np.int64)), pa.array([block] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(sent, pa.binary())], ["grp", "block", "n", "data"])
+                n = np.diff(bounds)
+                asked = [pack_keys(keys[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(group[bounds[:-1]].view(np.int64)), pa.array([block] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(asked, pa.binary())], ["grp", "block", "n", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, flat = None, np.zeros(8, np.uint8)
@@ -287,33 +331,32 @@ def scores_by_join(blocks: DataFrame, groups: DataFrame, bits: int, numbers: Num
             for grp, block, n, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 if grp != now:
                     now, flat = grp, np.zeros(8, np.uint8)
-                raw = data.as_buffer()
                 if n < 0:
-                    flat = np.frombuffer(raw, np.uint8).copy()
+                    flat = np.frombuffer(data.as_py(), np.uint8)
                 else:
-                    keys = unpack_keys(raw, n)
-                    out.append((block, grp, probe(flat, keys, np.full(n, 8 * len(flat)), np.zeros(n, np.int64)).astype(np.uint8).tobytes()))
+                    keys = unpack_keys(data.as_py(), n, grp)
+                    level = probe(flat, keys, np.full(n, 8 * len(flat)), np.zeros(n, np.int64))
+                    out.append((block, grp, n, pa.compress(level.astype(np.uint8).tobytes(), "zstd", asbytes=True)))
             if out:
-                block, grp, level = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(grp, pa.int64()), pa.array(level, pa.binary())], ["block", "grp", "data"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "block"):
-            found, data = t.column("block").to_numpy(), t.column("data")
-            bounds = run_bounds(found)
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                first, block = Block.unpack(data[int(s)].as_py())
-                levels = np.empty(len(block.keys), np.int64)
-                levels[np.argsort(block.keys, kind="stable")] = np.frombuffer(b"".join(data[int(i)].as_py() for i in range(s + 1, e)), np.uint8)
-                scores = block.scores(levels, numbers)
-                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(scores)), pa.int64()), pa.array(scores)], ["row", "score"])
-
+                block, grp, n, level = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (block, grp, n)), pa.array(level, pa.binary())], ["block", "grp", "n", "data"])
+
+    def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        known_h, known_c, _ = sent.value
+        name = blocks.column("block")[0].as_py()
+        block = Block.unpack(blocks.column("data")[0].as_py(), bits)
+        answers = answers.sort_by("grp")
+        levels = np.empty(len(block.keys), np.int64)
+        parts = [pa.decompress(d, n, "zstd", asbytes=True) for n, d in zip(answers.column("n").to_pylist(), answers.column("data").to_pylist(), strict=True)]
+        levels[np.argsort(block.keys, kind="stable")] = np.frombuffer(b"".join(parts), np.uint8)
+        return pa.Table.from_batches([block.rows(name << 24, levels, numbers, known_h, known_c)])
+
+    blocks = as_blocks(docs, bits).repartition("block")
     asks = blocks.mapInArrow(ask, "grp long, block long, n long, data binary")
-    # the bits of a group come before what is asked of it, a block before its answers
+    # the bits of a group come before what is asked of it
     held = groups.select("grp", F.lit(None).cast("long").alias("block"), F.lit(-1).cast("long").alias("n"), F.col("filter").alias("data"))
-    answers = held.unionByName(asks).repartition("grp").sortWithinPartitions("grp", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, grp long, data binary")
-    both = blocks.select("block", F.lit(-1).cast("long").alias("grp"), "data").unionByName(answers)
-    return both.repartition("block").sortWithinPartitions("block", "grp").mapInArrow(score, "row long, score double")
+    answers = held.unionByName(asks).repartition("grp").sortWithinPartitions("grp", F.col("block").asc_nulls_first()).mapInArrow(answer, "block long, grp long, n long, data binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -350,59 +393,18 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast((common_h, common_c, whole))
     total = float(np.log10(numbers.tokens + numbers.types + 1))
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-    names = ["row", "doc_id", "n_tokens", "n_known", "gain", "score", "tail", "block", "data"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_h, known_c, whole = sent.value
-        row = TaskContext.get().partitionId() << 33
-        held, first, size = [], row, 0
-
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types[:-2]] + [pa.array([first], pa.int64()), pa.array([Block.of(held).pack(first)], pa.binary())], names)
-
+        row = TaskContext.get().partitionId() << 40
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
-                each = [hashes(t) for t in batch.column(1).to_pylist()]
-                h = np.concatenate(each)
-                n = np.array([len(x) for x in each])
-                starts = np.cumsum(n) - n
-                if len(known_h):
-                    place = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
-                    here = known_h[place] == h
-                    gain = np.where(here, np.log10(known_c[place] + 1.0), 0.0)
-                else:
-                    here, gain = np.zeros(len(h), bool), np.zeros(len(h))
-                rare = np.flatnonzero(~here)
-                ends = np.searchsorted(rare, np.r_[starts, len(h)]).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))
-                if small:
-                    texts = Block.of(each)
-                    score = pa.array(texts.scores(whole.levels(texts.keys), numbers))
-                else:
-                    score = pa.nulls(len(n), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(np.add.reduceat(here, starts, dtype=np.int64)), pa.array(np.add.reduceat(gain, starts)), score, tail, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())],
-                    names,
-                )
-                row += len(n)
-                if not small:
-                    for x in each:
-                        held.append(x)
-                        size += len(x)
-                        if size >= BLOCK_TOKENS:
-                            yield block()
-                            first, held, size = first + len(held), [], 0
-        if held:
-            yield block()
+                block = Block.of(batch.column(0), [hashes(t) for t in batch.column(1).to_pylist()], bits)
+                yield block.rows(row, whole.levels(block.keys), numbers, known_h, known_c)
+                row += batch.num_rows
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, gain double, score double, tail array<long>, block long, data binary"
-    parked = park(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema))
-    scored = parked.filter("block is null").drop("block", "data")
-    if not small:
-        by_join = scores_by_join(parked.filter("block is not null").select("block", "data"), groups, bits, numbers)
-        scored = scored.drop("score").join(by_join, "row", "left")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = park(docs.mapInArrow(run, SCORED) if small else scored_by_join(docs, groups, bits, numbers, sent))
     rare = singles.filter(bucket < least)
     tails = scored.select("row", F.explode("tail").alias("h")).join(rare, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_gain"))
     out = scored.drop("tail").join(tails, "row", "left")

@@ -208,7 +208,7 @@ def test_op2_filter_holds_every_ngram(docs):
         two.update(zip([ngram_lm.END, *h], h, strict=False))
     h, c = (np.array(x, np.uint64) for x in zip(*one.items(), strict=True))
     pairs, c2 = (np.array(x, np.uint64) for x in zip(*two.items(), strict=True))
-    keys = np.concatenate([ngram_lm.word_keys(h), ngram_lm.pair_keys(pairs[:, 0], pairs[:, 1])])
+    keys = np.concatenate([ngram_lm.word_keys(h, 3), ngram_lm.pair_keys(pairs[:, 0], pairs[:, 1], 3)])
     want = ngram_lm.level_of(np.concatenate([c, c2]).astype(np.int64))
     level = whole.levels(keys)
     assert (level >= want).all() and (level == want).mean() > 0.98
