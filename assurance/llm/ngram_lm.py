@@ -25,8 +25,8 @@ from assurance.llm.common import U64, WORDS, crc_mod, mix64, park, run_bounds, r
 
 #: Text bytes of a group, and groups at most; bits of the filter for an entry, of which each sets PROBES.
 GROUP_BYTES, MOST_GROUPS, BITS_PER_ENTRY, PROBES = 4 << 20, 1 << 20, 12, 4
-#: A filter up to this size is sent to every worker.
-SENT_BYTES = 32 << 20
+#: A filter up to this size is sent to every worker: the size up to which Spark itself sends a table.
+SENT_BYTES = 10 << 20
 #: Tokens that a task counts before it hands them on, and tokens of a block of texts that asks a larger filter.
 FLUSH_TOKENS, BLOCK_TOKENS = 2_000_000, 1_000_000
 #: Words whose exact counts every worker gets, at most; rarer words are joined.

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +115,33 @@ def first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, buc
     return new
 
 
+def links_of(part: pa.Table, threshold: float) -> pa.RecordBatch | None:
+    """(id, links, root) of the rows of one group that link, None if none does."""
+    ids = part.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, place, half, weight = (part.column(c).to_numpy()[order] for c in ("id", "place", "half", "weight"))
+    x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)[order]
+    keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), U64).reshape(len(ids), TABLES, 1 + PROBES)[order]
+    table, bucket = int(place[0]) // (1 + PROBES), part.column("key").to_numpy().view(U64)[0]
+    own = place % (1 + PROBES) == 0
+    near_by = (x @ x.T >= threshold) & (own[:, None] | own[None, :]) & (ids[:, None] != ids[None, :])
+    if half.max() > 0:
+        near_by &= half[:, None] != half[None, :]
+    a, b = np.nonzero(np.triu(near_by, 1))
+    if not len(a):
+        return None
+    new = first_shared(keys, a, b, table, bucket)
+    names, back = np.unique(ids, return_inverse=True)
+    links = np.bincount(back[a[new]], weight[b[new]], len(names)) + np.bincount(back[b[new]], weight[a[new]], len(names))
+    root = names.copy()
+    adjacent = np.zeros((len(names), len(names)), bool)
+    adjacent[back[a], back[b]] = adjacent[back[b], back[a]] = True
+    top, under = stars(adjacent, names)
+    root[np.searchsorted(names, under)] = top
+    use = adjacent.any(1)
+    return pa.RecordBatch.from_arrays([pa.array(names[use]), pa.array(links[use].astype(np.int64)), pa.array(root[use])], ["id", "links", "root"])
+
+
 def compare(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, links, root): weights of the classes that link with id in this group for the first time, and the least id its links reach."""
 
@@ -123,33 +151,11 @@ def compare(rows: DataFrame, threshold: float) -> DataFrame:
             bounds = run_bounds(g)
             for s in np.flatnonzero(np.diff(bounds) > 1):
                 part = t.slice(bounds[s], bounds[s + 1] - bounds[s]).combine_chunks()
-                ids = part.column("id").to_numpy()
-                order = np.argsort(ids, kind="stable")
-                ids, place, half = ids[order], part.column("place").to_numpy()[order], part.column("half").to_numpy()[order]
-                weight = part.column("weight").to_numpy()[order]
-                sizes = {len(v) for v in part.column("vec").to_pylist()}
-                if len(sizes) > 1:  # a collision of hashes of different widths
-                    continue
-                x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)[order]
-                keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), U64).reshape(len(ids), TABLES, 1 + PROBES)[order]
-                table, bucket = int(place[0]) // (1 + PROBES), part.column("key").to_numpy().view(U64)[0]
-                own = place % (1 + PROBES) == 0
-                near_by = (x @ x.T >= threshold) & (own[:, None] | own[None, :]) & (ids[:, None] != ids[None, :])
-                if half.max() > 0:
-                    near_by &= half[:, None] != half[None, :]
-                a, b = np.nonzero(np.triu(near_by, 1))
-                if not len(a):
-                    continue
-                new = first_shared(keys, a, b, table, bucket)
-                names, back = np.unique(ids, return_inverse=True)
-                links = np.bincount(back[a[new]], weight[b[new]], len(names)) + np.bincount(back[b[new]], weight[a[new]], len(names))
-                root = names.copy()
-                adjacent = np.zeros((len(names), len(names)), bool)
-                adjacent[back[a], back[b]] = adjacent[back[b], back[a]] = True
-                top, under = stars(adjacent, names)
-                root[np.searchsorted(names, under)] = top
-                use = adjacent.any(1)
-                yield pa.RecordBatch.from_arrays([pa.array(names[use]), pa.array(links[use].astype(np.int64)), pa.array(root[use])], ["id", "links", "root"])
+                width = pc.binary_length(part.column("vec"))
+                for w in pc.unique(width):  # hashes of different widths may collide
+                    found = links_of(part.filter(pc.equal(width, w)), threshold)
+                    if found is not None:
+                        yield found
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, links long, root long")
 

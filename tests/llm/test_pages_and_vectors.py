@@ -6,10 +6,11 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from assurance.llm import html_text, vectors
 
-from .helpers import SCHEMA, corpus, prose
+from .helpers import SCHEMA, corpus, odd_rows, prose
 
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><div class='ad'>Buy</div><article><h1>Title &amp; more</h1><p>First  line<br>goes\non.<p>Second&nbsp;one</p><script>var x='</p>'</script></article><div id=comments>hi</div><footer>&copy; x</footer></body></html>"
 
@@ -57,7 +58,7 @@ def test_suffix_keys_cover_what_a_suffix_array_covers(spark):
         body = f"<body><div>{menu if i % 3 else menu[: len(menu) // 2]}</div><p>{own}</p><div>{menu if i % 2 else ''} {prose(rng, 3)}</div></body>"
         pages.append((i, "http://h.example/x", body))
         texts, zones = html_text.blocks(body)
-        streams.append((i, html_text.stream(texts, zones)))
+        streams.append((i, html_text.stream(texts, zones, inside=False)))
     want = naive_cover(streams, html_text.WINDOW)
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
@@ -79,6 +80,23 @@ def test_copies_and_quotes_keep_their_text(spark):
     assert all(got[i] == t for i, t in enumerate(texts[:20]))
 
 
+def test_repeats_decide_inside_articles(spark):
+    """What footers of the host say goes from articles too; a headline that menus repeat and a quote among articles stay."""
+    rng = random.Random(3)
+    notice, quote, headline = prose(rng, 12), prose(rng, 15), prose(rng, 10)
+    own = [prose(rng, 40) for _ in range(12)]
+    rows = []
+    for i, t in enumerate(own):
+        head = f"<h1>{headline if i == 0 else prose(rng, 9)}</h1>"
+        inner = f"{head}<p>{t}</p>" + (f"<p>{notice}</p>" if i % 2 else "") + (f"<p>{quote}</p>" if i > 7 else "")
+        rows.append((i, "http://h.example/x", f"<body><div>{headline}</div><article>{inner}</article><div>{notice}</div></body>"))
+    rows.append((12, rows[0][1], rows[0][2]))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", html_text.F.lit("old"))
+    got = {r.page_id: r.text for r in html_text.op8(table).collect()}
+    assert all(t in got[i] and notice not in got[i] and (quote in got[i]) == (i > 7) for i, t in enumerate(own))
+    assert headline in got[0] and got[12] == got[0]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<p"), (4, "u", "plain"), (4, "u", "plain"), (None, None, PAGE), (5, "http://a/x", "<article>" + "word " * 50_000)]
     out = html_text.op8(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -131,6 +149,46 @@ def test_op9_equals_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [64, 768])
+def test_op9_recall_at_the_threshold(spark, width):
+    """Planted pairs of cosine 0.93 to 0.95, among vectors of their own: nine tenths at least are found, and nothing else."""
+    rng = np.random.default_rng(width)
+    n = 400
+    a, noise = rng.normal(size=(n, width)), rng.normal(size=(n, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.95, (n, 1))
+    both = np.concatenate([a, c * a + np.sqrt(1 - c * c) * noise])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    found = sum(got[i].n_links == 1 and got[i + n].component_id == i for i in range(n))
+    assert found >= 0.9 * n and all(r.n_links <= 1 and r.component_id in (r.vec_id, r.vec_id - n) for r in got.values())
+
+
+def test_op9_clashing_columns_and_null_ids(spark):
+    rows = [(None, [1.0, 0.0], 1, 7), (5, [1.0, 0.0], 1, 8), (5, [1.0, 0.0], 1, 9), (6, [0.0, 1.0], 1, 9)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links long")).collect()
+    assert len(got) == 4 and sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 2, 5), (5, 2, 5), (5, 2, 5), (6, 0, 6)]
+
+
+@pytest.mark.parametrize("kind", ["empty", "unlabelled", "odd"])
+def test_pipeline_takes_any_corpus(spark, tmp_path, kind):
+    import corpus_pipeline
+
+    rows = corpus(60, 4)
+    table = {"empty": [], "unlabelled": [(*r[:2], None, *r[3:]) for r in rows], "odd": odd_rows() + [(None, r[1], None, None, None) for r in rows[:9]] + rows + rows[:5]}[kind]
+    spark.createDataFrame(table, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert [f[0] for f in docs.dtypes] == [f[0] for f in spark.createDataFrame([], SCHEMA).dtypes]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r[0] for r in rows}
+    assert (len(got) == 0) == (kind == "empty")
+    assert kind == "empty" or len({r.doc_id for r in got} & texts) > 40
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
