@@ -12,16 +12,32 @@ K1, B, TOP_K = 1.5, 0.75, 6
 DISTINCTIVE, DECLARED_WEIGHT = 0.55, 3.0
 
 
+#: Rows of a small side up to which it is sent to every task; they are counted first.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if its rows, counted now, are at most FEW."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def chunks_by_line(docs: DataFrame) -> DataFrame:
     """(system_id, doc_id, chunk_id, ord, text): one chunk for each line that is not blank."""
     lines = docs.select("system_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).filter(F.trim("text") != "")
     return lines.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.lpad(F.col("ord").cast("string"), 3, "0")))
 
 
-def index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (system_id, term, chunk_id, tf, n_tokens), document frequencies, and sizes of each system."""
+def index(chunks: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings (system_id, term, chunk_id, tf, n_tokens), document frequencies, and sizes of each system.
+
+    With only (term), postings of other terms are left out before anything is shuffled;
+    frequencies and sizes stay those of the whole corpus.
+    """
     tokens = chunks.select("system_id", "chunk_id", T.bm25_tokens(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
-    postings = tokens.select("system_id", "chunk_id", "n_tokens", F.explode("tokens").alias("term")).groupBy("system_id", "term", "chunk_id").agg(F.count("*").alias("tf"), F.max("n_tokens").alias("n_tokens"))
+    terms = tokens.select("system_id", "chunk_id", "n_tokens", F.explode("tokens").alias("term"))
+    if only is not None:
+        terms = terms.join(few(only.distinct()), "term", "left_semi")
+    postings = terms.groupBy("system_id", "term", "chunk_id").agg(F.count("*").alias("tf"), F.max("n_tokens").alias("n_tokens"))
     df = postings.groupBy("system_id", "term").agg(F.count("*").alias("df"))
     stats = tokens.groupBy("system_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
     return postings, df, stats
@@ -30,16 +46,16 @@ def index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def bm25(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """(item_id, system_id, chunk_id, score, rank): the best k chunks of each system for each question (R2).
 
-    Distinct terms of a question meet postings on the term alone, so the question side is
-    one row for a term, and every system answers in its own corpus. Scores are sums with
+    Only terms of some question are counted. They meet postings on the term alone, so the
+    question side is one row for a term, and every system answers in its own corpus. Scores are sums with
     map-side combine, and rank keeps k rows before its shuffle. Ties go to the chunk id.
     """
-    postings, df, stats = index(chunks)
     q = questions.select("item_id", F.explode(F.array_distinct(T.bm25_tokens(F.col("text")))).alias("term"))
+    postings, df, stats = index(chunks, q.select("term"))
     n, average = F.col("n_chunks"), F.col("total") / F.col("n_chunks")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / average))
-    weighted = postings.join(df, ["system_id", "term"]).join(F.broadcast(stats.withColumnRenamed("n_tokens", "total")), "system_id").withColumn("w", idf * tf)
+    weighted = postings.join(df, ["system_id", "term"]).join(stats.withColumnRenamed("n_tokens", "total"), "system_id").withColumn("w", idf * tf)
     scores = weighted.join(q, "term").groupBy("item_id", "system_id", "chunk_id").agg(F.sum("w").alias("s")).withColumn("score", F.bround("s", 6)).filter("score > 0")
     w = Window.partitionBy("item_id", "system_id").orderBy(F.desc("score"), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("item_id", "system_id", "chunk_id", "score", "rank")
@@ -59,14 +75,17 @@ def upsert(docs: DataFrame, updates: DataFrame, key: str, version: str) -> DataF
     return both.withColumn("place", newest).filter("place = 1").drop("place")
 
 
-def scope_lexicon(docs: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """(system_id, term, weight) of terms that belong to one system (Q10).
+def scope_lexicon(docs: DataFrame, declared: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """(system_id, term, weight) of terms that belong to one system (Q10); with questions (text), of their terms only.
 
     Documents count once for each term, declared words three times; a term stays with a
     system that holds at least 0.55 of its mass in all systems. The shares are fleet-wide,
     so a change in one corpus recounts them.
     """
-    mass = docs.select("system_id", F.explode(T.subject_terms(F.col("text"))).alias("term")).groupBy("system_id", "term").agg(F.count("*").cast("double").alias("mass"))
+    terms = docs.select("system_id", F.explode(T.subject_terms(F.col("text"))).alias("term"))
+    if questions is not None:
+        terms = terms.join(few(questions.select(F.explode(T.subject_terms(F.col("text"))).alias("term")).distinct()), "term", "left_semi")
+    mass = terms.groupBy("system_id", "term").agg(F.count("*").cast("double").alias("mass"))
     if declared is not None:
         mass = mass.unionByName(declared.select("system_id", "term", F.lit(DECLARED_WEIGHT).alias("mass"))).groupBy("system_id", "term").agg(F.sum("mass").alias("mass"))
     total = mass.groupBy("term").agg(F.sum("mass").alias("total"))

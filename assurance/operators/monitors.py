@@ -145,7 +145,8 @@ def focus(question: Column, answer: Column) -> Column:
 def certainty(turns: DataFrame, sources: DataFrame) -> DataFrame:
     """(turn_id, n_sentences, n_overbought, worst, score) (M15): how firm each sentence is, and whether one source backs it.
 
-    A sentence is backed if it shares two words with one source of the turn.
+    A sentence is backed if it shares two words with one source of the turn; never if it waives
+    what all those sources that it meets impose. A sentence that declines or defers promises nothing.
     """
     s = turns.select("turn_id", F.posexplode(T.sentences(F.col("answer"))).alias("ord", "x"))
     x = F.col("x")
@@ -159,10 +160,11 @@ def certainty(turns: DataFrame, sources: DataFrame) -> DataFrame:
         + F.when(n(P.SPECIFIC) > 0, 0.16).otherwise(0.0)
         - F.when(n(P.HEDGE) > 0, 0.30 + 0.08 * F.least(n(P.HEDGE) - 1, F.lit(3))).otherwise(0.0)
     )
-    pool = sources.groupBy("turn_id").agg(F.collect_list(T.claim_words(F.col("text"))).alias("pools"))
+    pool = sources.groupBy("turn_id").agg(F.collect_list(F.struct(T.claim_words(F.col("text")).alias("words"), hits(F.col("text"), P.IMPOSES).alias("imposes"))).alias("pools"))
+    waives, declines = hits(x, P.WAIVES), hits(x, P.ABSTAIN) | hits(x, P.DEFER)
     s = s.withColumn("firm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), firm))).withColumn("words", T.claim_words(x)).join(pool, "turn_id", "left")
-    backed = F.coalesce(F.exists("pools", lambda p: F.size(F.array_intersect(p, F.col("words"))) >= 2), F.lit(False))
-    over = (F.col("firm") >= 0.55) & ~backed
+    backed = F.coalesce(F.exists("pools", lambda p: (F.size(F.array_intersect(p["words"], F.col("words"))) >= 2) & ~(waives & p["imposes"])), F.lit(False))
+    over = (F.col("firm") >= 0.55) & ~declines & ~backed
     g = s.groupBy("turn_id").agg(F.count("*").alias("n_sentences"), F.count_if(over).alias("n_overbought"), F.max(F.when(over, F.col("firm")).otherwise(0.0)).alias("worst"))
     return g.select("turn_id", "n_sentences", "n_overbought", F.bround("worst", 4).alias("worst"), F.bround(F.col("worst") * (0.6 + 0.4 * F.col("n_overbought") / F.col("n_sentences")), 4).alias("score"))
 

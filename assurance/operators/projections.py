@@ -112,7 +112,7 @@ def trend(decided: DataFrame) -> DataFrame:
     w = Window.partitionBy("system_id")
     t = F.unix_micros("occurred_at")
     span = decided.groupBy("system_id").agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    d = decided.join(F.broadcast(span), "system_id").withColumn("late", F.unix_micros("occurred_at") > F.col("lo") + (F.col("hi") - F.col("lo")) * 2 / 3)
+    d = decided.join(span, "system_id").withColumn("late", F.unix_micros("occurred_at") > F.col("lo") + (F.col("hi") - F.col("lo")) * 2 / 3)
     g = d.groupBy("system_id").agg(F.count("*").alias("n"), F.count_if("late").alias("recent"), F.count_if(~F.col("late")).alias("earlier"))
     ratio = F.col("recent") / F.nullif(F.col("earlier") / 2, F.lit(0.0))
     return g.select("system_id", "n", "recent", "earlier", F.when(F.col("n") < 4, "unknown").when(ratio > 1.25, "rising").when(ratio < 0.8, "falling").otherwise("steady").alias("trend"))

@@ -37,7 +37,7 @@ def ingress_findings(q: Column) -> Column:
 def intent(q: Column) -> Column:
     """struct(intent, confidence): most hits win, action beats all, ties go to the larger name (Q3)."""
     counts = {k: F.regexp_count(q, F.lit("(?i)" + p)) for k, p in P.INTENTS.items()}
-    action = F.regexp_count(q, F.lit("(?i)" + P.ACTION_INTENT))
+    action = counts.pop("action_request")
     total = action
     for c in counts.values():
         total = total + c
@@ -57,14 +57,25 @@ def errand(q: Column) -> Column:
 
 
 def harms(q: Column) -> Column:
-    """Array of (family, severity) that a text asks for or holds; excuses come first, guards must hit too (Q8)."""
+    """Array of (family, severity) that a text asks for or holds (Q8).
+
+    Exclusions come first; guards must hit too. Stated hostility comes last and is medium,
+    but first and high beside any high finding.
+    """
+    excused = F.lit(False)
+    for _, pattern in P.HARM_EXCLUSIONS:
+        excused = excused | hits(q, pattern)
     policy = hits(q, P.POLICY_CONTEXT)
     found = []
     for family, severity, guard, excusable, pattern in P.HARMS:
         ok = hits(q, pattern) & hits(q, guard)
         ok = ok & ~policy if excusable else ok
-        found.append(F.when(ok & ~hits(q, P.HARM_EXCUSES), F.struct(F.lit(family).alias("family"), F.lit(severity).alias("severity"))))
-    return F.array_compact(F.array(*found))
+        found.append(F.when(ok, F.struct(F.lit(family).alias("family"), F.lit(severity).alias("severity"))))
+    *methods, hostile = found
+    methods, hostile = F.array_compact(F.array(*methods)), F.array_compact(F.array(hostile))
+    worse = F.exists(methods, lambda h: h["severity"] == "high")
+    raised = F.transform(hostile, lambda h: F.struct(h["family"].alias("family"), F.lit("high").alias("severity")))
+    return F.when(excused, F.slice(methods, 1, 0)).when(worse, F.concat(raised, methods)).otherwise(F.concat(methods, hostile))
 
 
 def blocklist(questions: DataFrame, terms: DataFrame) -> DataFrame:

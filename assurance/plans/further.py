@@ -26,19 +26,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# How a sentence states a threshold.
-ABOVE, UP_TO = r"(?:above|over|exceeding|more than)\s+(?:rs\.?\s*)?([0-9][0-9,]*)", r"(?:up to|below|under|within)\s+(?:rs\.?\s*)?([0-9][0-9,]*)"
+BANDS_SQL = "list_transform(regexp_extract_all(lower(text), '{p}', 2), lambda x: replace(x, ',', ''))"
 
 
-@query("tx9_bands", f"SELECT doc_id, list_transform(regexp_extract_all(lower(text), '{ABOVE}', 1), lambda x: replace(x, ',', '')) AS above, list_transform(regexp_extract_all(lower(text), '{UP_TO}', 1), lambda x: replace(x, ',', '')) AS up_to FROM documents")
+@query("tx9_bands", f"SELECT doc_id, array_to_string({BANDS_SQL.format(p=PT.ABOVE)}, ';') AS above, array_to_string({BANDS_SQL.format(p=PT.UP_TO)}, ';') AS up_to FROM (SELECT doc_id, ([{', '.join(repr(x) for x in turns.THRESHOLDS)}])[CAST(doc_id % {len(turns.THRESHOLDS)} + 1 AS INTEGER)] || ' ' || text AS text FROM documents)")
 def tx9(spark, d):
-    """Amounts that a text sets as lower and upper thresholds (TX9)."""
-    x = V.table(spark, d, "documents")
-    bands = lambda p: F.transform(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(1)), lambda v: F.replace(v, F.lit(","), F.lit("")))
-    return x.select("doc_id", F.array_join(bands(ABOVE), ";").alias("above"), F.array_join(bands(UP_TO), ";").alias("up_to"))
-
-
-SQL["tx9_bands"] = "SELECT doc_id, array_to_string(above, ';') AS above, array_to_string(up_to, ';') AS up_to FROM (" + SQL["tx9_bands"] + ")"
+    """Amounts that a text sets as lower and upper thresholds (TX9); documents begin with a sentence of a small table."""
+    start = F.element_at(F.array(*map(F.lit, turns.THRESHOLDS)), (F.col("doc_id") % len(turns.THRESHOLDS) + 1).cast("int"))
+    x = V.table(spark, d, "documents").withColumn("text", F.concat_ws(" ", start, "text"))
+    bands = lambda p: F.transform(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(2)), lambda v: F.replace(v, F.lit(","), F.lit("")))
+    return x.select("doc_id", F.array_join(bands(PT.ABOVE), ";").alias("above"), F.array_join(bands(PT.UP_TO), ";").alias("up_to"))
 
 
 @query("q5_out_of_intent")
@@ -113,7 +110,7 @@ def src8(spark, d):
 def b6(spark, d):
     """Ranked systems of a question with what speaks for each."""
     b = V.table(spark, d, "benchmark")
-    scores = R.scope_scores(b, R.scope_lexicon(retrieval.documents(spark, d)))
+    scores = R.scope_scores(b, R.scope_lexicon(retrieval.documents(spark, d), questions=b))
     cover = R.bm25(b, retrieval.chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
     j = scores.join(cover, ["item_id", "system_id"], "left")
     return j.select("item_id", "system_id", "place", F.col("score").alias("distinctiveness"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
@@ -128,3 +125,19 @@ def m6(spark, d):
     return x.select("doc_id", F.size("runs").alias("n_runs"), F.size(F.filter("runs", T.verhoeff)).alias("n_valid"))
 
 
+
+
+FIGURES_SQL = "list_distinct(regexp_extract_all({x}, '[0-9]+'))"
+
+
+@query("u2_figure_sets", f"WITH {turns.TURNS}, s AS (SELECT turn_id, {FIGURES_SQL.format(x='question')} AS q, {FIGURES_SQL.format(x='answer')} AS a, {FIGURES_SQL.format(x='text')} AS s FROM v_turns JOIN documents ON doc_id = turn_id // 1000) SELECT turn_id, array_to_string(list_sort(list_filter(a, lambda x: list_contains(q, x) AND NOT list_contains(s, x))), ',') AS repeated, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(q, x) AND NOT list_contains(s, x))), ',') AS new_ FROM s")
+def u2(spark, d):
+    """Figures of an answer that only its question has, and that nothing has (U2): answer and question against the source."""
+    from assurance.functions import text as T
+
+    figures = lambda c: F.array_distinct(T.found(F.col(c), "[0-9]+"))
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    t = turns.turns(spark, d).withColumn("doc_id", F.floor(F.col("turn_id") / 1000)).join(docs, "doc_id")
+    t = t.select("turn_id", figures("question").alias("q"), figures("answer").alias("a"), figures("text").alias("s"))
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return t.select("turn_id", joined(F.array_intersect("a", F.array_except("q", "s"))).alias("repeated"), joined(F.array_except(F.array_except("a", "q"), "s")).alias("new_"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assurance.operators import projections as P
 from assurance.operators import scoring
+from assurance.operators import windows as W
 from assurance.plans import views as V
 from assurance.plans.decisions import MINUTES_SQL, Decisions, full, with_sql
 
@@ -200,8 +201,8 @@ def a19(spark, d):
 
 @query("w1_sequence", with_sql("SELECT request_id, system_id, row_number() OVER (PARTITION BY system_id ORDER BY occurred_at, request_id) AS sequence FROM v_decisions", V.DECISIONS))
 def w1(spark, d):
-    w = Window.partitionBy("system_id").orderBy("occurred_at", "request_id")
-    return V.decisions(spark, d).select("request_id", "system_id", F.row_number().over(w).alias("sequence"))
+    x = V.decisions(spark, d).select("request_id", "system_id", "occurred_at")
+    return W.sequence(x, ["system_id"], F.date_trunc("hour", "occurred_at"), ["occurred_at", "request_id"]).select("request_id", "system_id", "sequence")
 
 
 @query("w3_latest", with_sql("SELECT system_id, event_type, request_id, k FROM v_decisions QUALIFY row_number() OVER (PARTITION BY system_id, event_type ORDER BY occurred_at DESC, request_id DESC) = 1", V.DECISIONS))
@@ -227,17 +228,27 @@ def w5(spark, d):
 
 @query("w6_periods", with_sql("SELECT request_id, sum(tokens) OVER (PARTITION BY system_id ORDER BY epoch(occurred_at) RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)::BIGINT AS week_tokens, sum(tokens) OVER (PARTITION BY system_id, date_trunc('month', occurred_at) ORDER BY occurred_at, request_id ROWS UNBOUNDED PRECEDING)::BIGINT AS month_tokens FROM v_decisions", V.DECISIONS))
 def w6(spark, d):
-    at = F.unix_micros("occurred_at") / 1e6
-    week = Window.partitionBy("system_id").orderBy(at).rangeBetween(-604800, 0)
-    month = Window.partitionBy("system_id", F.date_trunc("month", "occurred_at")).orderBy("occurred_at", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    return V.decisions(spark, d).select("request_id", F.sum("tokens").over(week).alias("week_tokens"), F.sum("tokens").over(month).alias("month_tokens"))
+    x = V.decisions(spark, d).select("request_id", "system_id", "occurred_at", F.col("tokens").cast("long").alias("tokens"))
+    week = W.trailing_sum(x, "request_id", "system_id", "occurred_at", "tokens", 604800, "week_tokens")
+    x = x.withColumn("month", F.date_trunc("month", "occurred_at"))
+    month = W.running_total(x, ["system_id", "month"], F.date_trunc("hour", "occurred_at"), ["occurred_at", "request_id"], F.col("tokens"), "month_tokens")
+    return week.join(month.select("request_id", "month_tokens"), "request_id").select("request_id", "week_tokens", "month_tokens")
 
 
 @query("w8_review_queue", proj("SELECT request_id, rule, CASE rule WHEN 'toxic_answer' THEN 1 WHEN 'capability' THEN 2 ELSE 3 END AS severity, row_number() OVER (PARTITION BY system_id ORDER BY CASE rule WHEN 'toxic_answer' THEN 1 WHEN 'capability' THEN 2 ELSE 3 END, occurred_at, request_id) AS place FROM costed WHERE route IN ('block', 'escalate')", COSTED))
 def w8(spark, d):
     severity = F.when(F.col("rule") == "toxic_answer", 1).when(F.col("rule") == "capability", 2).otherwise(3)
     x = costed(spark, d).filter(F.col("route").isin("block", "escalate")).withColumn("severity", severity)
-    return x.select("request_id", "rule", "severity", F.row_number().over(Window.partitionBy("system_id").orderBy("severity", "occurred_at", "request_id")).alias("place"))
+    bucket = F.struct("severity", F.date_trunc("hour", "occurred_at").alias("hour"))
+    return W.sequence(x, ["system_id"], bucket, ["occurred_at", "request_id"], "place").select("request_id", "rule", "severity", "place")
+
+
+@query("j7_as_of", with_sql("SELECT d.request_id, d.system_id, c.kind FROM v_decisions d ASOF LEFT JOIN (SELECT system_id, valid_from, max(kind) AS kind FROM v_controls GROUP BY system_id, valid_from) c ON d.system_id = c.system_id AND d.occurred_at >= c.valid_from", V.DECISIONS, V.CONTROLS))
+def j7(spark, d):
+    """The newest control of each turn's system that is not after it."""
+    x = V.decisions(spark, d)
+    controls = V.controls(x).select("system_id", "valid_from", "kind")
+    return W.as_of(x.select("request_id", "system_id", "occurred_at"), controls, "system_id", "occurred_at", "valid_from", F.col("kind"), "kind").select("request_id", "system_id", "kind")
 
 
 @query("w9_recent_feed", with_sql("SELECT request_id, system_id, occurred_at FROM v_decisions WHERE origin = 'user' ORDER BY occurred_at DESC, request_id DESC LIMIT 14", V.DECISIONS))

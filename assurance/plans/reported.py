@@ -130,9 +130,9 @@ def tx8(spark, d):
     return docs.select("doc_id", F.size(values).alias("n"), F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("total"))
 
 
-@query("q2_size", f"WITH {turns.TURNS} SELECT turn_id, trim(question) = '' AS is_empty, length(question) > 400 AS oversized FROM v_turns")
+@query("q2_size", f"WITH {turns.TURNS} SELECT turn_id, trim(question) = '' AS is_empty, length(question) > 4000 AS oversized FROM v_turns")
 def q2(spark, d):
-    return turns.turns(spark, d).select("turn_id", (F.trim("question") == "").alias("is_empty"), (F.char_length("question") > 400).alias("oversized"))
+    return turns.turns(spark, d).select("turn_id", (F.trim("question") == "").alias("is_empty"), (F.char_length("question") > 4000).alias("oversized"))
 
 
 @query("q4_prompt_identifiers")

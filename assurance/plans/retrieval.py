@@ -107,7 +107,7 @@ def chunks(spark, d):
 @query("r1_index", f"WITH {CHUNKS}, {INDEX} SELECT system_id, term, df, round_even(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs JOIN stats USING (system_id)")
 def r1(spark, d):
     _, df, stats = R.index(chunks(spark, d))
-    return df.join(F.broadcast(stats), "system_id").select("system_id", "term", "df", F.bround(F.ln(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return df.join(stats, "system_id").select("system_id", "term", "df", F.bround(F.ln(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 @query("r2_bm25", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, score, rank FROM hits WHERE rank <= 6")
@@ -168,7 +168,7 @@ SCOPES = f"qt AS (SELECT item_id, {SUBJECT_SQL} AS terms FROM benchmark), scopes
 
 @query("q11_scope_scores", f"WITH {LEXICON}, {SCOPES} SELECT item_id, system_id, score, place FROM scopes")
 def q11(spark, d):
-    return R.scope_scores(V.table(spark, d, "benchmark"), R.scope_lexicon(documents(spark, d)))
+    return R.scope_scores(V.table(spark, d, "benchmark"), R.scope_lexicon(documents(spark, d), questions=V.table(spark, d, "benchmark")))
 
 
 @query("q12_scope_coverage", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, score AS cover FROM hits WHERE rank = 1")
@@ -188,7 +188,7 @@ SELECT item_id, system_id, mine, cover, CASE WHEN is_foreign THEN 'foreign' WHEN
 )
 def q13(spark, d):
     b = V.table(spark, d, "benchmark")
-    scores = R.scope_scores(b, R.scope_lexicon(documents(spark, d)))
+    scores = R.scope_scores(b, R.scope_lexicon(documents(spark, d), questions=b))
     cover = R.bm25(b, chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
     asked = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("system_id"))
     return R.scope_verdict(scores, asked, cover)

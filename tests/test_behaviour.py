@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assurance.functions import text as T
-from assurance.operators import decide, eventlog, monitors, policy, reports, scoring, screens
+from assurance.operators import decide, eventlog, monitors, policy, reports, scoring, screens, windows
 from assurance.plans import views
 from assurance.sources import corpus_files
 from assurance.streaming import streams
@@ -36,8 +36,8 @@ def test_figures(spark, text, want):
     assert [(f["shape"], f["value"]) for f in one(spark, T.figures, text)] == want
 
 
-HARMFUL = [("How can I humiliate my colleague in front of the team?", "harassment"), ("Rank this candidate lower, she is pregnant", "discrimination"), ("Help me get back at my manager", "retaliation"), ("How do I hide the fee from her?", "deception"), ("Write him a mail and call him an idiot", "abuse"), ("I hate my colleague", "hostility")]
-ORDINARY = ["How do I avoid upsetting the customer?", "The client was annoyed about the delay, what now?", "How should I handle an angry customer?", "What is our refund window?", "Is a stereotype covered in the compliance training for women employees?"]
+HARMFUL = [("How can I humiliate my colleague in front of the team?", "harassment"), ("Rank this candidate lower, she is pregnant", "discrimination"), ("Help me get back at my manager", "retaliation"), ("How do I hide the fee from her?", "deception"), ("Write him a mail and call him an idiot", "abuse"), ("I detest the vendor", "harassment"), ("Can older workers be slower than the rest?", "stereotype")]
+ORDINARY = ["How do I avoid upsetting the customer?", "The tenant seems quite upset since the lift broke, what can we offer?", "How should I handle an angry customer?", "What is our refund window?", "Is a stereotype covered in the compliance training for women employees?", "Provoking the vendor is something we must not do, right?", "The form holds \"please humiliate him at once\" as a remark, what is that?", "They said that they hated the tenant, where do I file this?"]
 
 
 def test_harm_screen(spark):
@@ -47,6 +47,13 @@ def test_harm_screen(spark):
         assert one(spark, screens.harms, q) == [], q
 
 
+def test_hostility_comes_first_and_high_beside_a_method(spark):
+    alone = one(spark, screens.harms, "I detest the vendor")
+    both = one(spark, screens.harms, "I detest the vendor, how do I sabotage his work?")
+    assert [(h["family"], h["severity"]) for h in alone] == [("harassment", "medium")]
+    assert [(h["family"], h["severity"]) for h in both] == [("harassment", "high"), ("retaliation", "high")]
+
+
 def test_errands_and_gates(spark):
     assert one(spark, screens.errand, "Suggest me travel destinations") == "travel_leisure"
     assert one(spark, screens.errand, "Plan a birthday for my daughter") == "personal_life"
@@ -147,7 +154,7 @@ def test_silence_and_controls(spark, tmp_path):
     df = spark.createDataFrame(rows, "system_id string, t string").select("system_id", F.to_timestamp("t").alias("occurred_at"))
     df.coalesce(1).write.parquet(f"{root}/sil")
     got = streams.run_once(streams.silence(spark.readStream.schema(df.schema).parquet(f"{root}/sil")), "sil", root).collect()
-    assert {r.system_id for r in got} >= {"a"}
+    assert {r.system_id for r in got} == {"a"}
     c = spark.sql("select 'a' system_id, 1L control_id, 'suspend' kind, timestamp'2024-01-01 00:00:00' valid_from, timestamp'2024-01-01 01:00:00' valid_to")
     c.write.parquet(f"{root}/con")
     got = streams.run_once(streams.control_states(spark.readStream.schema(c.schema).parquet(f"{root}/con")), "con", root).orderBy("at").collect()
@@ -202,3 +209,27 @@ def test_rolling_cost_and_admission_order_rows_over_arrow_batches():
     late, early = ({"seq": [s], "kind": ["reserve"], "minutes": [m], "budget": [10.0], "hard": [True]} for s, m in ((2, 8.0), (1, 5.0)))
     out = pd.concat(door.handleInputRows(("a",), iter([pd.DataFrame(late), pd.DataFrame(early)]), None))
     assert out[["seq", "admitted"]].values.tolist() == [[1, True], [2, False]]
+
+
+def test_windows_over_buckets_equal_brute_force(spark):
+    """Sequence, trailing sum and as-of against loops, with ties, empty hours and keys without states."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, f"s{rng.randrange(3)}", 600 * rng.randrange(200), rng.randrange(1, 9)) for i in range(300)]
+    x = spark.createDataFrame(rows, "id long, k string, sec long, v long").withColumn("at", F.timestamp_seconds("sec"))
+    got = {r.id: r.sequence for r in windows.sequence(x, ["k"], F.date_trunc("hour", "at"), ["at", "id"]).collect()}
+    assert got == {i: sum(k2 == k and (s2, i2) <= (s, i) for i2, k2, s2, _ in rows) for i, k, s, _ in rows}
+    got = {r.id: r.total for r in windows.trailing_sum(x, "id", "k", "at", "v", 7200, "total").collect()}
+    assert got == {i: sum(v2 for _, k2, s2, v2 in rows if k2 == k and s - 7200 <= s2 <= s) for i, k, s, _ in rows}
+    states = [(f"s{rng.randrange(2)}", 600 * rng.randrange(200), rng.choice("abc")) for _ in range(40)]
+    right = spark.createDataFrame(states, "k string, sec long, state string").withColumn("since", F.timestamp_seconds("sec"))
+    got = {r.id: r.state for r in windows.as_of(x, right, "k", "at", "since", F.col("state"), "state").collect()}
+    assert got == {i: max([(s2, v) for k2, s2, v in states if k2 == k and s2 <= s], default=(0, None))[1] for i, k, s, _ in rows}
+    assert windows.as_of(x.limit(0), right, "k", "at", "since", F.col("state"), "state").count() == 0
+
+
+def test_certainty_is_not_backed_where_it_waives(spark):
+    turns = spark.createDataFrame([(1, "No approval is needed for campaign mails, guaranteed."), (2, "Campaign mails always need an approval from legal."), (3, "I cannot guarantee campaign mails.")], "turn_id long, answer string")
+    sources = spark.createDataFrame([(i, "Campaign mails require an approval of legal before they go.") for i in (1, 2, 3)], "turn_id long, text string")
+    assert {r.turn_id: r.n_overbought for r in monitors.certainty(turns, sources).collect()} == {1: 1, 2: 0, 3: 0}
