@@ -80,11 +80,13 @@ def crc_mod_py(value: int, n: int) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name that driver and executors both reach.
 
-    On a cluster it lies under spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary folder is made and set.
+    On a cluster it lies under spark.checkpoint.dir, which must be set there; only on one
+    machine (tests) a temporary folder is made and set where it is not.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="assurance-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():

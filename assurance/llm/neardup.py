@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = park(sign(docs, k))
     with_set = signed.filter("h is not null")
     first = F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x")
-    classes = park(with_set.groupBy("h").agg(first, F.min("doc_id").alias("rep")).select("h", "rep", F.col("x.doc_id").alias("holder"), "x.sig", "x.n_shingles"))
+    classes = park(with_set.groupBy("h").agg(first, F.min("doc_id").alias("rep"), F.count("*").alias("copies")).select("h", "rep", "copies", F.col("x.doc_id").alias("holder"), "x.sig", "x.n_shingles"))
     found = candidates(classes.select("h", "sig"), percent / 100)
     clusters = park(components(found))
     sizes = clusters.join(classes.select(F.col("h").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
@@ -293,8 +293,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     moved = links.join(classes.select(F.col("h").alias("node"), "rep"), "node")
     least = moved.groupBy("component").agg(F.min("rep").alias("component_id"))
     moved = moved.join(least, "component").select(F.col("node").alias("h"), "component_id")
-    of_class = classes.select("h", "rep").join(moved, "h", "left").select("h", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h").join(of_class, "h", "left")
+    of_class = classes.select("h", "rep", "copies").join(moved, "h", "left").filter("copies > 1 or component_id is not null")
+    of_class = park(of_class.select("h", F.coalesce("component_id", "rep").alias("component_id")))
+    # rows of a class without links or copies name themselves and meet nothing
+    rows = signed.select("doc_id", "n_shingles", "h")
+    found = near(rows.filter("h is not null"), of_class, "h", of_class.count(), "left").select("doc_id", "n_shingles", "component_id")
+    out = found.unionAll(rows.filter("h is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

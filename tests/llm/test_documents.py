@@ -59,6 +59,19 @@ def test_op3_clashing_columns_give_way(docs):
     assert out.columns.count("bpe_ids") == 1 and dict(out.dtypes)["bpe_ids"] == "array<int>"
 
 
+def test_op3_long_words_take_no_longer_than_their_length(spark):
+    """A word of many letters merges by a heap, as the library does it."""
+    import time
+
+    code, t = bpe.codec(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    rng = random.Random(1)
+    for word in ("ab" * 20_000, "a" * 30_001, "".join(rng.choice("etaoinshr") for _ in range(40_000)), "é" * 5000):
+        assert np.frombuffer(code.encode(word), np.int32).tolist() == t.encode(word, add_special_tokens=False).ids
+    start = time.monotonic()
+    code.encode("abcdefghij" * 20_000)
+    assert time.monotonic() - start < 10
+
+
 def test_op3_every_cut_is_forced():
     codec = bpe.codec(tokenizer_path("word_bpe_49k.json"))
     whole = {codec.suffix}
@@ -99,6 +112,47 @@ def test_op7_fertility_rejects_symbols(spark):
     assert not r.base_failed and not r.kept
 
 
+@pytest.mark.parametrize(
+    ("script", "text", "kept"),
+    [
+        ("latin", "the house stands near the river and the people walk there every morning to buy bread and fruit", True),
+        ("cyrillic", "дом стоит около реки и люди каждое утро идут туда чтобы купить хлеб молоко и свежие фрукты", True),
+        ("greek", "το σπίτι είναι κοντά στο ποτάμι και οι άνθρωποι πηγαίνουν εκεί κάθε πρωί για ψωμί και φρούτα", True),
+        ("arabic", "البيت قريب من النهر والناس يذهبون إلى هناك كل صباح لشراء الخبز والحليب والفواكه الطازجة من السوق", True),
+        ("cjk", "房子 在 河边 人们 每天 早上 都 去 那里 买 面包 牛奶 和 新鲜 的 水果 然后 回家", True),
+        ("latin", "q### w*** e$$$ r&&& t### y*** u$$$ i&&& o### p*** a$$$ s&&& d### f***", False),
+        ("cyrillic", "ы### щ*** ъ$$$ э&&& ж### ш*** ц$$$ ф&&& ю### й*** х$$$ ч&&& я### ё***", False),
+        ("greek", "ϰ### ψ*** ξ$$$ ζ&&& φ### χ*** β$$$ γ&&& δ### θ*** λ$$$ μ&&& ν### π***", False),
+        ("arabic", "ڭ### ڢ*** ڥ$$$ ڧ&&& ڨ### ڪ*** ڬ$$$ ڮ&&& ڰ### ڲ*** ڴ$$$ ڵ&&& ڶ### ڷ***", False),
+        ("cjk", "龘### 靐*** 齉$$$ 爩&&& 龗### 灪*** 龖$$$ 厵&&& 滟### 爨*** 癵$$$ 驫&&& 麷### 鱻***", False),
+        ("other", " ".join(c + "#*$%&|#*$%" for c in "აბგდევზთიკლმნ"), False),
+    ],
+)
+def test_op7_bands_of_each_script(spark, script, text, kept):
+    r = quality.score_quality(spark.createDataFrame([(1, text, None, None, None)], SCHEMA), tokenizer_path("piece_bpe_32k.model")).first()
+    assert (r.script, r.base_failed, r.kept) == (script, False, kept), r
+
+
+def test_op7_fertility_equals_brute_force(spark, docs, odd):
+    """Letters per token, byte share and entropy from the library's pieces, word by word; ties and clashing columns."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rows = quality.score_quality(docs.limit(20).unionByName(odd).withColumn("kept", F.lit(7)), tokenizer_path("piece_bpe_32k.model")).collect()
+    for r in rows:
+        ids = [i for w in words(r.text) for i in model.encode(w.decode())]
+        if not ids:
+            assert r.chars_per_token is None and not r.kept
+            continue
+        own = [i for i in ids if model.id_to_piece(i).strip("\u2581") and not model.id_to_piece(i).strip("\u2581").isdigit()]
+        count = Counter(ids)
+        assert math.isclose(r.chars_per_token, sum(c.isalpha() for c in r.text) / max(1, len(own)))
+        assert math.isclose(r.byte_share, sum(model.is_byte(i) for i in ids) / len(ids))
+        assert math.isclose(r.token_entropy, -sum(n / len(ids) * math.log2(n / len(ids)) for n in count.values()), abs_tol=1e-9)
+    tie = quality.score_quality(spark.createDataFrame([(1, "аб ab", None, None, None)], SCHEMA), tokenizer_path("piece_bpe_32k.model")).first()
+    assert tie.script == "latin"
+
+
 def test_op1_held_out_accuracy(spark, odd, empty):
     docs = spark.createDataFrame(corpus(400, 11), SCHEMA)
     out = {r.doc_id: r for r in langid.op1(docs).collect()}
@@ -241,6 +295,29 @@ def test_op4_weights_and_budget(spark, docs, odd, empty):
     assert mixing.mix(docs, 100.0, None, 0.5).agg(F.sum(F.col("n_tokens") * F.col("mix_copies"))).first()[0] <= 100
 
 
+def test_op4_copies_equal_a_walk_through_the_blocks(spark):
+    """Each source: whole epochs, then documents in the order of the next epoch's block permutation while the tokens last."""
+    docs = spark.createDataFrame(corpus(300, 14), SCHEMA)
+    rows = mixing.mix(docs.withColumn("weight", F.lit("old")), None, 3.0)
+    order = [mixing.visit(mixing.digits(1)[0], F.floor(F.col("due") / F.col("total")).cast("long"), 1), *mixing.digits(1)[1:]]
+    total = rows.agg(F.sum("n_tokens")).first()[0]
+    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("total"))
+    p = {r.source: r.total / total for r in sizes.collect()}
+    a = rows.first().exponent
+    z = sum(x**a for x in p.values())
+    budget = total * z * max(x ** (1 - a) for x in p.values())
+    rows = rows.join(sizes, "source").withColumn("due", F.round(F.col("weight") * budget).cast("long"))
+    got = rows.select("doc_id", "source", "n_tokens", "mix_copies", "due", "total", *(c.alias(f"o{i}") for i, c in enumerate(order))).collect()
+    for source in p:
+        own = sorted((r for r in got if r.source == source), key=lambda r: tuple(r[f"o{i}"] for i in range(len(order))))
+        epochs, rest = divmod(own[0].due, own[0].total)
+        for r in own:
+            rest -= r.n_tokens
+            assert r.mix_copies == epochs + (rest >= 0), (source, r)
+            if rest < 0:
+                rest = -(10**9)
+
+
 def test_op4_exponent_meets_the_entropy(docs):
     s = mixing.park(docs.withColumn("n_tokens", mixing.word_count()).groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     total = s.agg(F.sum("tokens")).first()[0]
