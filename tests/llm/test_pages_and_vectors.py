@@ -88,7 +88,7 @@ def test_repeats_decide_inside_articles(spark):
     rows = []
     for i, t in enumerate(own):
         head = f"<h1>{headline if i == 0 else prose(rng, 9)}</h1>"
-        inner = f"{head}<p>{t}</p>" + (f"<p>{notice}</p>" if i % 2 else "") + (f"<p>{quote}</p>" if i > 7 else "")
+        inner = f"{head}<p>{t}</p>" + (f"<p>{notice}</p>" if i % 3 else "") + (f"<p>{quote}</p>" if i > 7 else "")
         rows.append((i, "http://h.example/x", f"<body><div>{headline}</div><article>{inner}</article><div>{notice}</div></body>"))
     rows.append((12, rows[0][1], rows[0][2]))
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", html_text.F.lit("old"))
