@@ -106,9 +106,15 @@ def counters(events: DataFrame) -> DataFrame:
     return g
 
 
-def rollover(log: DataFrame, epoch: int) -> DataFrame:
-    """The first record of a new epoch (SRC6); the old log stays as it is, in its own partition."""
-    return log.sparkSession.range(1).select(F.lit(epoch).alias("epoch"), F.lit(0).cast("long").alias("idx"), F.lit(GENESIS).alias("previous_hash"), F.to_json(F.struct(F.lit("epoch.started").alias("event"))).alias("record_json"))
+def rollover(events: DataFrame, at: Column) -> DataFrame:
+    """Events of a new epoch with the record that starts it (SRC6)."""
+    first = events.sparkSession.range(1).select(F.lit("-").alias("system_id"), at.alias("at"), F.lit(0).cast("long").alias("request_id"), F.to_json(F.struct(F.lit("epoch.started").alias("event"), F.lit(True).alias("synthetic"))).alias("record_json"))
+    return events.unionByName(first)
+
+
+def write_epoch(events: DataFrame, epoch: int, key: bytes, path: str) -> None:
+    """Chain the events of an epoch and add them to the store in a partition of their own; earlier epochs stay as they are."""
+    chain(events, key).withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(path)
 
 
 def health(lines: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -30,8 +30,12 @@ def query(name: str, sql: str | None = None):
 
 
 def shared(spark) -> str:
-    """A new folder that driver and executors reach; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="assurance-")
+    """A new folder that driver and executors reach; a temporary one only on a local master whose session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="assurance-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -69,10 +73,11 @@ def l1_tampered(spark, d):
     return L.verify(x.withColumn("record_json", F.when(F.col("idx") == 3, F.concat("record_json", F.lit(" "))).otherwise(F.col("record_json"))), KEY)
 
 
-@query("l2_tail", with_sql("SELECT chain AS system_id, true AS matches FROM records GROUP BY chain HAVING count(*) > 6", V.DECISIONS, CANONICAL))
+@query("l2_tail", with_sql("SELECT chain AS system_id, CAST(right(chain, 2) AS INTEGER) % 2 = 0 AS matches FROM records GROUP BY chain HAVING count(*) > 6", V.DECISIONS, CANONICAL))
 def l2(spark, d):
+    """A batch from the seventh record on, against logs that end a record too early on odd days."""
     x = log(spark, d)
-    return L.tail_check(x.filter("idx <= 5"), x.filter("idx > 5"))
+    return L.tail_check(x.filter("idx <= 5 - cast(right(system_id, 2) as int) % 2"), x.filter("idx > 5"))
 
 
 @query("l5_digest")
@@ -80,9 +85,10 @@ def l5(spark, d):
     return L.batch_digest(log(spark, d))
 
 
-@query("w7_links", with_sql("SELECT chain AS system_id, idx, true AS linked FROM log", V.DECISIONS, CANONICAL, CHAIN))
+@query("w7_links", with_sql("SELECT chain AS system_id, idx, idx <> 4 AS linked FROM log WHERE idx <> 3", V.DECISIONS, CANONICAL, CHAIN))
 def w7(spark, d):
-    return L.link_check(log(spark, d)).select("system_id", "idx", "linked")
+    """Links of logs from which the fourth record was taken."""
+    return L.link_check(log(spark, d).filter("idx <> 3")).select("system_id", "idx", "linked")
 
 
 def events_of(d):
@@ -103,21 +109,50 @@ def l4(spark, d):
     return L.counters(events_of(V.decisions(spark, d)))
 
 
-@query("src1_log_scan", with_sql("SELECT count(*) AS lines, count(*) FILTER (request_id % 97 = 0) AS corrupt FROM records", V.DECISIONS, CANONICAL))
-def src1(spark, d):
+def torn_log(spark, d):
     """The log written as JSON lines, some torn, and read again."""
     x = log(spark, d)
     line = F.to_json(F.struct("hash", "idx", "previous_hash", "record_json", "signature", "system_id"))
     torn = F.get_json_object("record_json", "$.request_id").cast("long") % 97 == 0
     path = shared(spark)
     x.select(F.when(torn, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
-    return L.read_log(spark.read.text(path)).agg(F.count("*").alias("lines"), F.count_if("corrupt").alias("corrupt"))
+    return L.read_log(spark.read.text(path))
+
 
+@query("src1_log_scan", with_sql("SELECT count(*) AS lines, count(*) FILTER (request_id % 97 = 0) AS corrupt FROM records", V.DECISIONS, CANONICAL))
+def src1(spark, d):
+    return torn_log(spark, d).agg(F.count("*").alias("lines"), F.count_if("corrupt").alias("corrupt"))
 
-@query("src9_health", with_sql("SELECT count(*) AS lines, 0::BIGINT AS unreadable, count(DISTINCT chain) AS chains, 0::BIGINT AS broken FROM records", V.DECISIONS, CANONICAL))
+
+@query("src9_health", with_sql("SELECT CAST(sum(n) AS BIGINT) AS lines, CAST(sum(torn) AS BIGINT) AS unreadable, count(*) FILTER (kept IS NOT NULL) AS chains, count(*) FILTER (hole < kept) AS broken FROM (SELECT chain, count(*) AS n, count(*) FILTER (request_id % 97 = 0) AS torn, max(idx) FILTER (request_id % 97 <> 0) AS kept, min(idx) FILTER (request_id % 97 = 0) AS hole FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY occurred_at, request_id) - 1 AS idx FROM records) GROUP BY chain)", V.DECISIONS, CANONICAL))
 def src9(spark, d):
-    x = log(spark, d)
-    return L.health(x.withColumn("corrupt", F.lit(False)), L.verify(x, KEY))
+    """Health of the log with torn lines: a chain is broken where a line that can be read follows one that cannot."""
+    x = torn_log(spark, d)
+    return L.health(x, L.verify(x.filter(~F.col("corrupt")), KEY))
+
+
+@query("src6_rollover", with_sql("SELECT epoch, count(*) + epoch AS n, count(DISTINCT chain) + epoch AS chains, epoch = 1 AS started, true AS valid FROM (SELECT *, CAST(k >= 50 AS INTEGER) AS epoch FROM records) GROUP BY epoch", V.DECISIONS, CANONICAL.replace("SELECT system_id ||", "SELECT k, system_id ||")))
+def src6(spark, d):
+    """Two epochs of the log in one store: the second begins with a record of its own and new chains."""
+    x = L.canonical(V.decisions(spark, d))
+    path = shared(spark)
+    k = F.get_json_object("record_json", "$.k").cast("int")
+    L.write_epoch(x.filter(k < 50), 0, KEY, path)
+    L.write_epoch(L.rollover(x.filter(k >= 50), V.now()), 1, KEY, path)
+    out = spark.read.schema(L.LOG + ", epoch int").parquet(path)
+    checked = out.groupBy("epoch").agg(F.count("*").alias("n"), F.countDistinct("system_id").alias("chains"), (F.count_if(F.col("record_json").contains("epoch.started")) == 1).alias("started"))
+    whole = L.verify(out.withColumn("system_id", F.concat_ws(":", F.col("epoch").cast("string"), "system_id")), KEY)
+    return checked.join(whole.groupBy(F.substring_index("system_id", ":", 1).cast("int").alias("epoch")).agg(F.bool_and("valid").alias("valid")), "epoch")
+
+
+@query("src3_scan", "SELECT coalesce(source, 'none') AS system_id, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY ALL")
+def src3(spark, d):
+    """The documents as text files in a folder for each source, found and read again file by file."""
+    path = shared(spark)
+    docs = V.table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("system_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("system_id").option("maxRecordsPerFile", 500).text(path)
+    found, _ = corpus_files.scan(spark, path)
+    return found.groupBy(F.regexp_replace("system_id", "^system_id=", "").alias("system_id")).agg(F.sum(F.char_length("text")).alias("n_chars"))
 
 
 @query("tx10_chunks")
@@ -187,3 +222,58 @@ def st9(spark, d):
 @query("st10_sessions")
 def st10(spark, d):
     return ST.run_once(ST.sessions(decision_stream(spark, d)), "st10", shared(spark))
+
+
+SILENT = "sent AS (SELECT system_id || ':' || CAST(request_id % 97 AS VARCHAR) AS system_id, epoch_ms(occurred_at) AS ms FROM v_decisions), gaps AS (SELECT *, lead(ms) OVER (PARTITION BY system_id ORDER BY ms) AS later FROM sent)"
+
+
+@query("st3_silence", with_sql(f"SELECT system_id, ms AS silent_from FROM gaps WHERE coalesce(later, (SELECT max(ms) FROM sent) - 600000) - ms > {ST.C.SILENT_S * 1000}", V.DECISIONS, SILENT))
+def st3(spark, d):
+    """Users of a system that sent nothing for two hours."""
+    s = decision_stream(spark, d).withColumn("system_id", F.concat_ws(":", "system_id", F.col("user_id").cast("string")))
+    return ST.run_once(ST.silence(s), "st3", shared(spark))
+
+
+@query("st4_control_states", with_sql(f"SELECT system_id, control_id, CASE WHEN now < valid_to THEN kind WHEN now < valid_to + INTERVAL {ST.C.RECOVERING_S} SECOND THEN 'recovering' ELSE 'healthy' END AS state FROM v_controls, (SELECT max(valid_from) - INTERVAL 30 MINUTE AS now FROM v_controls) WHERE valid_from <= now", V.DECISIONS, V.CONTROLS))
+def st4(spark, d):
+    """State of each control half an hour before the newest one."""
+    path = shared(spark)
+    c = V.controls(V.decisions(spark, d))
+    c.write.parquet(path)
+    out = ST.run_once(ST.control_states(spark.readStream.schema(c.schema).parquet(path)), "st4", shared(spark))
+    newest = spark.read.parquet(path).agg((F.max("valid_from") - F.expr("interval 30 minutes")).alias("now"))
+    return ST.state_now(out.join(newest), F.col("now"))
+
+
+@query("st6_admissions")
+def st6(spark, d):
+    """Turns that reserve when they come and release when their work ends, against a hundredth of the budgets; every tenth never ends."""
+    s = decision_stream(spark, d).join(V.systems(spark).select("system_id", (F.col("minutes_week") / 100).alias("minutes_budget"), (F.col("budget_inr") / 100).alias("spend_budget")), "system_id")
+    at = F.unix_millis("occurred_at")
+    steps = F.array(F.struct(at.alias("at"), (F.col("request_id") * 2).alias("seq"), F.lit("reserve").alias("kind")), F.when(F.col("k") % 10 > 0, F.struct((at + F.col("tokens") * 100).alias("at"), (F.col("request_id") * 2 + 1).alias("seq"), F.lit("release").alias("kind"))))
+    used = F.col("k") / 100
+    s = s.select("system_id", F.col("request_id").alias("hold"), (used * F.col("minutes_budget")).alias("minutes_used"), "minutes_budget", (F.col("k") % 2 == 0).alias("minutes_hard"), (used * F.col("spend_budget")).alias("spend_used"), "spend_budget", (F.col("k") % 3 == 0).alias("spend_hard"), F.inline(F.array_compact(steps)))
+    return ST.run_once(ST.admissions(s), "st6", shared(spark))
+
+
+REVIEWS = """steps AS (SELECT request_id // 4 AS held_id, request_id AS seq, (['held', 'refused', 'released', 'blocked', 'answered'])[k % 5 + 1] AS step, row_number() OVER (PARTITION BY request_id // 4 ORDER BY request_id) AS n FROM v_decisions),
+reviewed AS (WITH RECURSIVE r(held_id, n, seq, status, rejected) AS (
+  SELECT held_id, n, seq, CASE WHEN step IN ('held', 'refused') THEN step END, step NOT IN ('held', 'refused') FROM steps WHERE n = 1
+  UNION ALL SELECT s.held_id, s.n, s.seq, CASE WHEN x.ok THEN s.step ELSE r.status END, NOT x.ok FROM r JOIN steps s ON s.held_id = r.held_id AND s.n = r.n + 1
+    CROSS JOIN LATERAL (SELECT CASE WHEN r.status IS NULL THEN s.step IN ('held', 'refused') WHEN r.status IN ('held', 'refused') THEN s.step IN ('released', 'blocked') ELSE r.status = 'released' AND s.step = 'answered' END AS ok) x) SELECT * FROM r)"""
+
+
+@query("st7_reviews", with_sql("SELECT held_id, seq, status, rejected FROM reviewed", V.DECISIONS, REVIEWS))
+def st7(spark, d):
+    steps = F.array(*map(F.lit, ("held", "refused", "released", "blocked", "answered")))
+    s = decision_stream(spark, d).select(F.floor(F.col("request_id") / 4).alias("held_id"), F.col("request_id").alias("seq"), F.element_at(steps, F.col("k") % 5 + 1).alias("step"))
+    return ST.run_once(ST.reviews(s), "st7", shared(spark))
+
+
+@query("st12_saturation")
+def st12(spark, d):
+    """Three slow deferred checks of each turn; those that find their system's queue full come out as failed."""
+    takes = F.col("tokens").cast("long") * 150_000
+    checks = F.explode(F.array(*map(F.lit, ("privacy", "grounding", "cost")))).alias("detector_id")
+    s = decision_stream(spark, d).select("system_id", F.unix_millis("occurred_at").alias("at"), "request_id", takes.alias("takes_ms"), checks)
+    return ST.run_once(ST.deferred_checks(s), "st12", shared(spark))

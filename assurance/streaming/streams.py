@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +15,7 @@ from assurance import config as C
 
 #: Rows of a frame that a processor gives out at once.
 OUT_ROWS = 10_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,9 +43,9 @@ def budget_windows(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return live_windows(stream, "7 days", "1 day", delay)
 
 
-def month_usage(stream: DataFrame) -> DataFrame:
-    """Tokens of each system and calendar month (ST9), in update mode."""
-    return stream.groupBy(F.date_trunc("month", "occurred_at").alias("month"), "system_id").agg(F.sum("tokens").alias("tokens"))
+def month_usage(stream: DataFrame, delay: str = "40 days") -> DataFrame:
+    """Tokens of each system and calendar month (ST9), in update mode; a month's state goes once the delay after it has passed."""
+    return stream.withColumn("month", F.date_trunc("month", "occurred_at")).withWatermark("month", delay).groupBy("month", "system_id").agg(F.sum("tokens").alias("tokens"))
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -54,24 +55,33 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
 
 
 class Silence(StatefulProcessor):
-    """An alert once a system has sent nothing for SILENT_S of event time (ST3)."""
+    """An alert once a system has sent nothing for SILENT_S of event time (ST3), whether the watermark or the next row shows it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.last = handle.getValueState("last", "at long, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest = max(int(pd.to_datetime(b["occurred_at"]).astype("datetime64[ms]").astype("int64").max()) for b in rows)
-        before = self.last.get()[0] if self.last.exists() else 0
-        if newest > before:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + C.SILENT_S * 1000)
-        return iter(())
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        for b in in_order(rows, "at", ["at"]):
+            silent = []
+            for at in b["at"]:
+                if last is not None and at - last > C.SILENT_S * 1000 and not told:
+                    silent.append(last)
+                if last is None or at > last:
+                    last, told = int(at), False
+            if silent:
+                yield pd.DataFrame({"system_id": [key[0]] * len(silent), "silent_from": silent})
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.last.update((last, told))
+        if not told:
+            self.handle.registerTimer(last + C.SILENT_S * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame({"system_id": [key[0]], "silent_from": [self.last.get()[0]]})
+        last = self.last.get()[0]
+        self.last.update((last, True))
+        yield pd.DataFrame({"system_id": [key[0]], "silent_from": [last]})
 
     def close(self) -> None:
         pass
@@ -79,12 +89,12 @@ class Silence(StatefulProcessor):
 
 def silence(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """(system_id, silent_from) alerts of Silence."""
-    s = stream.withWatermark("occurred_at", delay).select("system_id", "occurred_at")
+    s = stream.withWatermark("occurred_at", delay).select("system_id", "occurred_at", F.unix_millis("occurred_at").alias("at"))
     return s.groupBy("system_id").transformWithStateInPandas(Silence(), "system_id string, silent_from long", "append", "EventTime")
 
 
-def in_order(rows: Iterator[pd.DataFrame], by: str, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """All rows of a key in one micro-batch in order of a column, OUT_ROWS at once: they come in several frames in shuffle order.
+def in_order(rows: Iterator[pd.DataFrame], by: str | list[str], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """All rows of a key in one micro-batch in order of columns, OUT_ROWS at once: they come in several frames in shuffle order.
 
     The key's rows of the micro-batch are held, these columns only; the source's rate limits (maxFilesPerTrigger) bound them.
     """
@@ -93,6 +103,14 @@ def in_order(rows: Iterator[pd.DataFrame], by: str, columns: list[str]) -> Itera
         yield whole.iloc[at : at + OUT_ROWS]
 
 
+def keep(state, rows: list[tuple]) -> None:
+    """Store a list state, which cannot hold an empty list."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 class RollingCost(StatefulProcessor):
     """Cost of each turn against the class's last LAST turns (ST5), which are its bounded state; turns of a micro-batch go by turn_id."""
 
@@ -124,39 +142,78 @@ def rolling_cost(stream: DataFrame) -> DataFrame:
 
 
 class Admission(StatefulProcessor):
-    """Reservations against a system's budget (ST6): one writer for each key makes check and reserve one step."""
+    """Reservations against a system's budgets (ST6): one writer for each key makes check and reserve one step.
+
+    A turn holds the worst case of minutes and spend until it is released, or until HOLD_S have passed, so a
+    turn that never ends gives its share back. Only a hard budget refuses.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "minutes double")
+        self.holds = handle.getListState("holds", "hold long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        used = float(self.used.get()[0]) if self.used.exists() else 0.0
-        for b in in_order(rows, "seq", ["seq", "kind", "minutes", "budget", "hard"]):
+        holds = {r[0]: r[1] for r in self.holds.get()}  # in the order in which they end
+        for b in in_order(rows, ["at", "seq"], ["at", "seq", "kind", "hold", "minutes_used", "minutes_budget", "minutes_hard", "spend_used", "spend_budget", "spend_hard"]):
             out = []
             for r in b.itertuples(index=False):
+                while holds and next(iter(holds.values())) <= r.at:
+                    del holds[next(iter(holds))]
+                reason = "released"
                 if r.kind == "release":
-                    used = max(0.0, used - r.minutes)
-                    ok = True
+                    holds.pop(r.hold, None)
+                elif r.minutes_hard and r.minutes_used + (len(holds) + 1) * C.WORST_MINUTES > r.minutes_budget:
+                    reason = "review_capacity"
+                elif r.spend_hard and r.spend_used + (len(holds) + 1) * C.WORST_SPEND > r.spend_budget:
+                    reason = "spend_budget"
                 else:
-                    ok = used + r.minutes <= r.budget or not r.hard
-                    used += r.minutes if ok else 0.0
-                out.append((key[0], int(r.seq), bool(ok), used))
-            yield pd.DataFrame(out, columns=["system_id", "seq", "admitted", "used"])
-        self.used.update((used,))
+                    reason = "within budget"
+                    holds.pop(r.hold, None)
+                    holds[int(r.hold)] = int(r.at) + C.HOLD_S * 1000
+                out.append((key[0], int(r.seq), reason in ("released", "within budget"), reason, len(holds) * C.WORST_MINUTES, len(holds) * C.WORST_SPEND))
+            yield pd.DataFrame(out, columns=["system_id", "seq", "admitted", "reason", "minutes_held", "spend_held"])
+        keep(self.holds, list(holds.items()))
 
     def close(self) -> None:
         pass
 
 
 def admissions(stream: DataFrame) -> DataFrame:
-    """stream: (system_id, seq, kind reserve|release, minutes, budget, hard)."""
-    return stream.groupBy("system_id").transformWithStateInPandas(Admission(), "system_id string, seq long, admitted boolean, used double", "append", "None")
+    """stream: (system_id, at in milliseconds, seq, kind reserve|release, hold, minutes_used, minutes_budget, minutes_hard, spend_used, spend_budget, spend_hard)."""
+    return stream.groupBy("system_id").transformWithStateInPandas(Admission(), "system_id string, seq long, admitted boolean, reason string, minutes_held double, spend_held double", "append", "None")
+
+
+class Queue(StatefulProcessor):
+    """Deferred checks of a system in a queue of QUEUE_SLOTS (ST12): a check that finds it full becomes a row that says so."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.busy = handle.getListState("busy", "until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        busy = sorted(r[0] for r in self.busy.get())
+        for b in in_order(rows, ["at", "request_id", "detector_id"], ["at", "request_id", "detector_id", "takes_ms"]):
+            out = []
+            for r in b.itertuples(index=False):
+                del busy[: bisect_right(busy, r.at)]
+                full = len(busy) >= C.QUEUE_SLOTS
+                if not full:
+                    insort(busy, int(r.at + r.takes_ms))
+                out.append((key[0], int(r.request_id), r.detector_id, "failed" if full else "queued_async", "queue_saturated" if full else None, len(busy)))
+            yield pd.DataFrame(out, columns=["system_id", "request_id", "detector_id", "status", "error_code", "queued"])
+        keep(self.busy, [(x,) for x in busy])
+
+    def close(self) -> None:
+        pass
+
+
+def deferred_checks(stream: DataFrame) -> DataFrame:
+    """stream: (system_id, at in milliseconds, request_id, detector_id, takes_ms); no check is lost, those dropped are rows."""
+    return stream.groupBy("system_id").transformWithStateInPandas(Queue(), "system_id string, request_id long, detector_id string, status string, error_code string, queued long", "append", "None")
 
 
 class Review(StatefulProcessor):
-    """Held questions (ST7): held, then released or blocked, then answered; other steps are rejected."""
+    """Held or refused questions (ST7): released or blocked by one review, then answered if released; other steps are rejected."""
 
-    STEPS = {(None, "held"), ("held", "released"), ("held", "blocked"), ("released", "answered")}
+    STEPS = {(None, "held"), (None, "refused"), ("held", "released"), ("held", "blocked"), ("refused", "released"), ("refused", "blocked"), ("released", "answered")}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.status = handle.getValueState("status", "status string")
@@ -194,15 +251,25 @@ def control_states(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("valid_from", delay).select("system_id", "control_id", F.inline(changes))
 
 
+def state_now(changes: DataFrame, at: Column) -> DataFrame:
+    """(system_id, control_id, state): the newest change of each control that is not after a time (ST4)."""
+    return changes.filter(F.col("at") <= at).groupBy("system_id", "control_id").agg(F.max_by("state", "at").alias("state"))
+
+
 def run_once(result: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now, with checkpoint in the shared folder, and return what it gave."""
     spark = result.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state with several values needs it
     path = f"{checkpoint}/{name}"
+    w = result.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        q = result.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode).start()
-        q.awaitTermination()
-        return spark.read.schema(result.schema).parquet(f"{path}/out")
-    q = result.writeStream.foreachBatch(lambda df, i: df.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode).start()
+        w = w.format("parquet").option("path", f"{path}/out")
+    else:
+        w = w.foreachBatch(lambda df, i: df.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(f"{path}/out"))
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # keyed state with several values needs it; a query keeps what it starts with
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set(PROVIDER, before)
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.schema(result.schema).parquet(f"{path}/out") if mode == "append" else spark.read.parquet(f"{path}/out")

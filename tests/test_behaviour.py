@@ -138,11 +138,18 @@ def stream_of(spark, rows, schema, path):
     return spark.readStream.schema(schema).parquet(path)
 
 
+ADMISSIONS = "system_id string, at long, seq long, kind string, hold long, minutes_used double, minutes_budget double, minutes_hard boolean, spend_used double, spend_budget double, spend_hard boolean"
+
+
 def test_keyed_streams(spark, tmp_path):
     root = f"file://{tmp_path}"
-    s = stream_of(spark, [("a", 1, "reserve", 8.0, 10.0, True), ("a", 2, "reserve", 8.0, 10.0, True), ("a", 3, "release", 8.0, 10.0, True), ("a", 4, "reserve", 8.0, 10.0, True)], "system_id string, seq long, kind string, minutes double, budget double, hard boolean", f"{root}/adm")
+    minute = 60_000
+    rows = [(0, 1, "reserve", 1, 10.0), (minute, 2, "reserve", 2, 10.0), (2 * minute, 3, "release", 1, 10.0), (3 * minute, 4, "reserve", 4, 10.0), (4 * minute, 5, "reserve", 5, 10.0), (18 * minute, 6, "reserve", 6, 10.0)]
+    rows = [("a", at, seq, kind, hold, 0.0, budget, True, 0.0, 1e9, True) for at, seq, kind, hold, budget in rows] + [("b", 0, 7, "reserve", 7, 0.0, 1.0, False, 9.0, 10.0, True), ("b", 0, 8, "reserve", 8, 0.0, 1.0, False, 8.0, 10.0, True)]
+    s = stream_of(spark, rows, ADMISSIONS, f"{root}/adm")
     got = streams.run_once(streams.admissions(s), "adm", root).orderBy("seq").collect()
-    assert [r.admitted for r in got] == [True, False, True, True]
+    assert [r.admitted for r in got] == [True, False, True, True, False, True, False, True]  # the hold of seq 4 ends unreleased
+    assert [r.reason for r in got if not r.admitted] == ["review_capacity", "review_capacity", "spend_budget"]
     s = stream_of(spark, [(1, 1, "held"), (1, 2, "released"), (1, 3, "blocked"), (1, 4, "answered"), (2, 1, "answered")], "held_id long, seq long, step string", f"{root}/rev")
     got = streams.run_once(streams.reviews(s), "rev", root).orderBy("held_id", "seq").collect()
     assert [(r.status, r.rejected) for r in got] == [("held", False), ("released", False), ("released", True), ("answered", False), (None, True)]
@@ -154,7 +161,7 @@ def test_silence_and_controls(spark, tmp_path):
     df = spark.createDataFrame(rows, "system_id string, t string").select("system_id", F.to_timestamp("t").alias("occurred_at"))
     df.coalesce(1).write.parquet(f"{root}/sil")
     got = streams.run_once(streams.silence(spark.readStream.schema(df.schema).parquet(f"{root}/sil")), "sil", root).collect()
-    assert {r.system_id for r in got} == {"a"}
+    assert sorted(r.system_id for r in got) == ["a", "b"]  # b was silent before its second row
     c = spark.sql("select 'a' system_id, 1L control_id, 'suspend' kind, timestamp'2024-01-01 00:00:00' valid_from, timestamp'2024-01-01 01:00:00' valid_to")
     c.write.parquet(f"{root}/con")
     got = streams.run_once(streams.control_states(spark.readStream.schema(c.schema).parquet(f"{root}/con")), "con", root).orderBy("at").collect()
@@ -184,6 +191,9 @@ class Held:
     def update(self, row):
         self.rows = row
 
+    def clear(self):
+        self.rows = []
+
 
 def test_rolling_cost_and_admission_order_rows_over_arrow_batches():
     """A key's rows come in several frames in any order; ratios and admissions go by turn_id and seq, over micro-batches too."""
@@ -205,12 +215,36 @@ def test_rolling_cost_and_admission_order_rows_over_arrow_batches():
         last = sorted(tokens[max(0, i - 200) : i])
         assert got[i] == t / max(1, last[len(last) // 2]) if last else got[i] is None or got[i] != got[i]
     door = streams.Admission()
-    door.used = Held()
-    late, early = ({"seq": [s], "kind": ["reserve"], "minutes": [m], "budget": [10.0], "hard": [True]} for s, m in ((2, 8.0), (1, 5.0)))
-    out = pd.concat(door.handleInputRows(("a",), iter([pd.DataFrame(late), pd.DataFrame(early)]), None))
+    door.holds = Held()
+    late, early = (pd.DataFrame({"at": [s], "seq": [s], "kind": ["reserve"], "hold": [s], "minutes_used": [0.0], "minutes_budget": [m], "minutes_hard": [True], "spend_used": [0.0], "spend_budget": [9.0], "spend_hard": [True]}) for s, m in ((2, 10.0), (1, 9.0)))
+    out = pd.concat(door.handleInputRows(("a",), iter([late, early]), None))
     assert out[["seq", "admitted"]].values.tolist() == [[1, True], [2, False]]
 
 
+def test_full_queue_becomes_rows_and_equals_brute_force():
+    """Every check comes out once; those that find all places taken are failed rows, over micro-batches too."""
+    import random
+
+    import pandas as pd
+
+    from assurance import config
+
+    rng = random.Random(5)
+    checks = sorted((rng.randrange(400_000), i, "privacy", rng.randrange(1, 600_000)) for i in range(1200))
+    queue = streams.Queue()
+    queue.busy = Held()
+    got = {}
+    for part in (checks[:700], checks[700:]):
+        rows = pd.DataFrame(rng.sample(part, len(part)), columns=["at", "request_id", "detector_id", "takes_ms"])
+        got |= {r.request_id: r.error_code for f in queue.handleInputRows(("a",), (rows[i : i + 90] for i in range(0, len(rows), 90)), None) for r in f.itertuples()}
+    held, want = [], {}
+    for at, i, _, takes in checks:
+        held = [t for t in held if t > at]
+        want[i] = "queue_saturated" if len(held) >= config.QUEUE_SLOTS else None
+        held += [at + takes] if want[i] is None else []
+    assert got == want and 0 < sum(v is not None for v in want.values()) < len(want)
+
+
 def test_windows_over_buckets_equal_brute_force(spark):
     """Sequence, trailing sum and as-of against loops, with ties, empty hours and keys without states."""
     import random
