@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assurance.functions import patterns as P
 from assurance.functions import text as T
+from assurance.operators.corpus import few
 from assurance.operators.screens import first_true, harms, hits
 
 SUPPORT = 0.55
@@ -101,19 +102,61 @@ def gate_kinds(sentence: Column) -> Column:
     return F.array_compact(F.array(*(F.when(hits(sentence, p), F.lit(k)) for k, p in P.GATES.items())))
 
 
+def numbers(text: Column) -> Column:
+    """Numbers of a text as doubles, times what a unit after them stands for."""
+    raw, units = (F.regexp_extract_all(text, F.lit("(?i)" + P.NUMBER), F.lit(i)) for i in (1, 2))
+
+    def value(n: Column, unit: Column) -> Column:
+        times = F.lit(1.0)
+        for name, by in (("lakh", 1e5), ("crore", 1e7), ("thousand", 1e3), ("k", 1e3)):
+            times = F.when(F.lower(unit) == name, F.lit(by)).otherwise(times)
+        return F.replace(n, F.lit(","), F.lit("")).cast("double") * times
+
+    return F.zip_with(raw, units, value)
+
+
+def bounds(sentence: Column, pattern: str) -> Column:
+    """Amounts behind the words of a threshold (TX9), as doubles."""
+    raw = F.transform(F.regexp_extract_all(sentence, F.lit("(?i)" + pattern), F.lit(2)), lambda v: F.replace(v, F.lit(","), F.lit("")))
+    return F.transform(F.filter(raw, lambda v: v != ""), lambda v: v.cast("double"))
+
+
+def passed(limits: Column, asked: Column) -> Column:
+    """Those limits that a number lies above, by a factor of 10,000 at most."""
+    return F.filter(limits, lambda x: (x > 0) & (x < asked) & (asked / x <= 10_000))
+
+
 def omitted_conditions(turns: DataFrame, sources: DataFrame) -> DataFrame:
-    """(turn_id, place, kind, sentence) of gated source sentences that bear on the question and the answer leaves out (M9).
+    """(turn_id, place, kind, threshold, sentence) of gated source sentences that bear on the question and the answer leaves out (M9).
 
     turns: (turn_id, question, answer); sources: (turn_id, text). A sentence bears on the
-    question if two stems meet, and is carried if the answer has 0.45 of its stems. Three
-    are kept for a turn, in source order, as its report.
+    question if two stems meet, or one where a number of the question crosses its
+    threshold; not if the question lies beyond its band or names the opposite scope. It is
+    carried if the answer states a gate of its kind and has 0.45 of its stems, 0.30 where
+    nothing is crossed. The first three of a turn are kept, crossed thresholds placed first.
     """
-    t = turns.select("turn_id", F.array_distinct(T.stems(F.col("question"))).alias("qs"), F.array_distinct(T.stems(F.col("answer"))).alias("as_"))
-    s = sources.select("turn_id", F.posexplode(T.sentences(F.col("text"))).alias("ord", "sentence")).filter(F.char_length("sentence").between(25, 320))
-    s = s.withColumn("kinds", gate_kinds(F.col("sentence"))).filter(F.size("kinds") > 0).withColumn("ss", F.array_distinct(T.stems(F.col("sentence"))))
-    j = s.join(t, "turn_id").filter((F.size(F.array_intersect("ss", "qs")) >= 2) & (F.size(F.array_intersect("ss", "as_")) < 0.45 * F.size("ss")))
-    w = Window.partitionBy("turn_id").orderBy("ord", "sentence")
-    return j.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("turn_id", "place", F.get("kinds", 0).alias("kind"), "sentence")
+    t = turns.select("turn_id", F.array_distinct(T.stems(F.col("question"))).alias("qs"), F.array_distinct(T.stems(F.col("answer"))).alias("as_"), numbers(F.col("question")).alias("asked"), gate_kinds(F.col("answer")).alias("said"))
+    s = sources.select("turn_id", F.posexplode(T.sentences(F.col("text"))).alias("ord", "sentence")).withColumn("sentence", F.trim(F.regexp_replace("sentence", r"\s+", " ")))
+    s = s.filter(F.char_length("sentence").between(25, 320) & ~F.startswith("sentence", F.lit("#"))).withColumn("kinds", gate_kinds(F.col("sentence"))).filter(F.size("kinds") > 0)
+    x = F.col("sentence")
+    s = s.select("*", F.array_distinct(T.stems(x)).alias("ss"), bounds(x, P.ABOVE).alias("above"), bounds(x, P.UP_TO).alias("up_to"), numbers(x).alias("bare"))
+    crossed = F.array_max(F.flatten(F.transform("asked", lambda a: passed(F.col("above"), a))))
+    weak = F.get(F.filter(F.transform("asked", lambda a: F.array_max(passed(F.col("bare"), a))), lambda v: v.isNotNull()), 0)
+    undirected = (F.size("above") == 0) & (F.size("up_to") == 0)
+    j = s.join(t, "turn_id").withColumn("threshold", F.coalesce(crossed, F.when(undirected, weak))).withColumn("shared", F.size(F.array_intersect("ss", "qs")))
+    outside = F.exists("asked", lambda a: F.size(passed(F.col("up_to"), a)) > 0)
+    elsewhere = F.lit(False)
+    for pair in P.SCOPE_PAIRS:
+        for here, there in (pair, pair[::-1]):
+            elsewhere = elsewhere | (F.array_contains("ss", here) & F.array_contains("qs", there) & ~F.array_contains("qs", here))
+    known = F.col("threshold").isNotNull()
+    overlap = F.size(F.array_intersect("ss", "as_")) / F.greatest(F.size("ss"), F.lit(1))
+    carried = F.arrays_overlap("kinds", "said") & ((overlap >= 0.45) | (~known & (overlap >= 0.3)))
+    j = j.filter((known | ~outside) & ((F.col("shared") >= 2) | (known & (F.col("shared") >= 1))) & ~elsewhere & ~carried)
+    first = j.groupBy("turn_id", F.substring("sentence", 1, 80).alias("head")).agg(F.min(F.struct("ord", "sentence", "kinds", "threshold", "shared")).alias("x")).select("turn_id", "x.*")
+    kept = first.withColumn("n", F.row_number().over(Window.partitionBy("turn_id").orderBy("ord", "sentence"))).filter("n <= 3")
+    place = F.row_number().over(Window.partitionBy("turn_id").orderBy(F.col("threshold").isNull(), F.desc("shared"), "n"))
+    return kept.select("turn_id", place.alias("place"), F.get("kinds", 0).alias("kind"), "threshold", "sentence")
 
 
 def go_ahead(answer: Column) -> Column:
@@ -169,11 +212,38 @@ def certainty(turns: DataFrame, sources: DataFrame) -> DataFrame:
     return g.select("turn_id", "n_sentences", "n_overbought", F.bround("worst", 4).alias("worst"), F.bround(F.col("worst") * (0.6 + 0.4 * F.col("n_overbought") / F.col("n_sentences")), 4).alias("score"))
 
 
-def overclaims(turns: DataFrame, grants: DataFrame, needs: DataFrame) -> DataFrame:
-    """(turn_id, verb, capability) that an answer claims and its system does not grant (M16); verbs without a mapping are silent."""
-    verb = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit("(?i)" + P.CLAIM_PATTERN), F.lit(1)), F.lower))).alias("verb")
-    claimed = turns.select("turn_id", "system_id", verb).join(F.broadcast(needs), "verb")
-    return claimed.join(F.broadcast(grants.select("system_id", "capability")), ["system_id", "capability"], "left_anti").select("turn_id", "verb", "capability")
+def overclaims(turns: DataFrame, grants: DataFrame) -> DataFrame:
+    """(turn_id, n, verb, subject, needed, score) of abilities that an answer claims and its system does not grant.
+
+    turns: (turn_id, system_id, answer); grants: (system_id, capability). The first unmet
+    claim of a sentence counts, three for an answer. What a claim is about decides what a
+    reading verb needs; verbs without an entry are silent.
+    """
+    verbs = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in P.VERB_CAPABILITY.items() for x in kv))
+    subjects = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in P.SUBJECT_CAPABILITY.items() for x in kv))
+    s = turns.select("turn_id", "system_id", F.posexplode(T.sentences(F.col("answer"))).alias("ord", "s")).filter(F.char_length("s") >= 12)
+    s = s.withColumn("said", F.regexp_extract_all("s", F.lit("(?i)" + P.CAPABILITY_CLAIM), F.lit(0))).filter(F.size("said") > 0)
+    # Each claim with what stands behind it: the rest of the sentence is cut off claim by claim.
+    start = F.struct(F.col("s").alias("rest"), F.array().cast("array<struct<claim:string,rest:string>>").alias("found"))
+
+    def cut(acc: Column, claim: Column) -> Column:
+        rest = F.substr(acc["rest"], F.position(claim, acc["rest"]) + F.char_length(claim))
+        return F.struct(rest.alias("rest"), F.array_append(acc["found"], F.struct(claim.alias("claim"), rest.alias("rest"))).alias("found"))
+
+    have = grants.groupBy("system_id").agg(F.collect_set(F.lower("capability")).alias("have"))
+    s = s.withColumn("found", F.aggregate("said", start, cut)["found"]).join(few(have), "system_id", "left")
+
+    def judged(x: Column) -> Column:
+        named = F.regexp_extract(F.regexp_replace(F.lower(x["claim"]), r"\s+", " "), r"(?:can|could|will|shall|able to|need to|let me) ((?!need to)[a-z]+(?: up)?)$", 1)
+        verb = F.when(named == "", "access").otherwise(named)
+        subject = F.lower(F.regexp_extract(F.when(x["rest"] == "", F.col("s")).otherwise(x["rest"]), "(?i)" + P.SUBJECT, 1))
+        specific = F.when(verb.isin(*P.READ_VERBS), F.try_element_at(subjects, subject))
+        return F.struct(verb.alias("verb"), subject.alias("subject"), F.coalesce(specific, F.try_element_at(verbs, verb)).alias("needed"))
+
+    unmet = F.filter(F.transform("found", judged), lambda x: x["needed"].isNotNull() & F.try_element_at(verbs, x["verb"]).isNotNull() & ~F.arrays_overlap(x["needed"], F.coalesce("have", F.array().cast("array<string>"))))
+    s = s.withColumn("x", F.get(unmet, 0)).filter("x is not null")
+    n = F.row_number().over(Window.partitionBy("turn_id").orderBy("ord"))
+    return s.withColumn("n", n).filter("n <= 3").select("turn_id", "n", "x.verb", "x.subject", F.array_join(F.array_sort("x.needed"), ",").alias("needed"), F.lit(0.55).alias("score"))
 
 
 def toxic(turns: DataFrame) -> DataFrame:

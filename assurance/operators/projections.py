@@ -130,20 +130,36 @@ def history(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("place", r).filter(F.col("place") <= n)
 
 
-def advisories(cards: DataFrame, signals: DataFrame) -> DataFrame:
-    """Rule-derived advice (A12): each rule that holds gives a row with severity, evidence and the control it proposes.
-
-    cards: portfolio; signals: (system_id, mismatches, duplicate_share, identifiers).
+# Advice by rule, in the order of the rules: what to do, and what follows if nothing is done.
+ADVICE = {
+    "CAPABILITY.ACTION_MISMATCH": ("declare the action that the tool performs, or bind a tool that does no more", "requests keep the full blast radius of the tool"),
+    "COST.DUPLICATE_PROMPTS": ("cache responses and the constant part of prompts", "the same answers are paid for again"),
+    "COST.BUDGET_EXCEEDED": ("raise the budget or make each call cheaper", "the system is suspended once its budget is enforced"),
+    "GOVERNANCE.LOW_COMPLETENESS": ("run the missing checks inline or allow more latency", "these decisions cannot be called governed"),
+    "SAFETY.COUNTERFACTUAL_FLIP": ("leave attributes that stand for protected ones out of the prompt", "like cases are answered unlike"),
+    "PRIVACY.UNMASKED_IDENTIFIERS": ("mask personal data before and after the model", "each identifier released is a disclosure"),
+    "COST.BURN_RATE_PROJECTION": ("cache, shorten prompts and bound outputs now", "the budget ends before the month does"),
+}
+
+
+def advisories(cards: DataFrame, signals: DataFrame, burn: DataFrame) -> DataFrame:
+    """Rule-derived advice (A12): each rule that holds gives a row with severity, evidence, the control it proposes, fix and impact.
+
+    cards: portfolio; signals: (system_id, mismatches, duplicate_share, flips, identifiers);
+    burn: burn_rate.
     """
-    c = cards.join(signals, "system_id", "left")
-    n = F.col("decisions")
+    c = cards.join(signals, "system_id", "left").join(burn.select("system_id", "state", "days_left", "per_day", "month_to_date", "month_projection"), "system_id", "left")
+    over = (F.col("days_left") > 0) & (F.col("month_projection") > F.col("month_to_date") + F.col("days_left") * F.col("per_day"))
     rules = [
-        ("capability_mismatch", F.col("mismatches") > 0, "high", F.col("mismatches").cast("double"), "tool_restricted"),
-        ("duplicate_prompts", F.col("duplicate_share") >= 0.5, "medium", F.col("duplicate_share"), "enable_cache"),
-        ("budget_reached", F.col("reason") == "over budget", "high", F.col("spend"), "require_human"),
-        ("incomplete_checks", F.col("completeness") < 0.9, "medium", F.col("completeness"), "promote_inline"),
-        ("identifiers", F.col("identifiers") > n * 0.1, "high", F.col("identifiers").cast("double"), "tighten"),
+        (F.col("mismatches") > 0, F.lit("high"), F.col("mismatches").cast("double"), "tool_restricted"),
+        (F.col("duplicate_share") >= 0.5, F.lit("medium"), F.col("duplicate_share"), "enable_cache"),
+        (F.col("reason") == "over budget", F.lit("high"), F.col("spend"), "suspend"),
+        (F.col("completeness") < 0.9, F.lit("high"), F.col("completeness"), "promote_inline"),
+        (F.col("flips") > 0, F.lit("high"), F.col("flips").cast("double"), "require_human"),
+        (F.col("identifiers") > 0, F.lit("high"), F.col("identifiers").cast("double"), "require_human"),
+        (F.col("days_left").isNotNull() & (F.col("state").isin("critical", "warning") | (over & (F.col("state") != "too_early"))), F.when(F.col("state") == "critical", "high").otherwise("medium"), F.col("month_projection"), "enable_cache"),
     ]
-    found = F.array_compact(F.array(*(F.when(ok, F.struct(F.lit(i + 1).alias("rule_ord"), F.lit(r).alias("rule"), F.lit(s).alias("severity"), e.alias("evidence"), F.lit(k).alias("control"))) for i, (r, ok, s, e, k) in enumerate(rules))))
+    row = lambda i, r, fix, impact, s, e, k: F.struct(F.lit(i + 1).alias("rule_ord"), F.lit(r).alias("rule"), s.alias("severity"), e.alias("evidence"), F.lit(k).alias("control"), F.lit(fix).alias("fix"), F.lit(impact).alias("impact"))
+    found = F.array_compact(F.array(*(F.when(ok, row(i, r, *ADVICE[r], s, e, k)) for i, (r, (ok, s, e, k)) in enumerate(zip(ADVICE, rules, strict=True)))))
     savings = F.bround(F.col("spend") * F.coalesce("duplicate_share", F.lit(0.0)) * 0.55, 2)
     return c.withColumn("savings", savings).select("system_id", "savings", F.inline(found))

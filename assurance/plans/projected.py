@@ -136,21 +136,35 @@ def a11(spark, d):
     return P.trend(V.decisions(spark, d))
 
 
-SIGNALS = "signals AS (SELECT system_id, count(*) FILTER (mismatch) AS mismatches, round_even(1 - count(DISTINCT k * 100 + CAST(floor(value) AS BIGINT) % 10) / count(*)::DOUBLE, 4) AS duplicate_share, count(*) FILTER (list_contains(labels, 'privacy')) AS identifiers FROM costed GROUP BY system_id)"
+SIGNALS = "signals AS (SELECT system_id, count(*) FILTER (mismatch) AS mismatches, round_even(1 - count(DISTINCT k * 100 + CAST(floor(value) AS BIGINT) % 10) / count(*)::DOUBLE, 4) AS duplicate_share, count(*) FILTER (list_contains(labels, 'privacy')) AS identifiers, count(*) FILTER (k % 25 = 7) AS flips FROM costed GROUP BY system_id)"
+BURN_OVER = "(state IN ('critical', 'warning') OR (state <> 'too_early' AND days_left > 0 AND month_projection > month_to_date + days_left * per_day))"
+# Market segments whose orders stand for the spend of sys-0 to sys-4.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+A12_RULES = [
+    ("mismatches > 0", "'high'", "mismatches::DOUBLE", "tool_restricted"),
+    ("duplicate_share >= 0.5", "'medium'", "duplicate_share", "enable_cache"),
+    ("reason = 'over budget'", "'high'", "spend", "suspend"),
+    ("completeness < 0.9", "'high'", "completeness", "promote_inline"),
+    ("flips > 0", "'high'", "flips::DOUBLE", "require_human"),
+    ("identifiers > 0", "'high'", "identifiers::DOUBLE", "require_human"),
+    (f"days_left IS NOT NULL AND {BURN_OVER}", "CASE WHEN state = 'critical' THEN 'high' ELSE 'medium' END", "month_projection", "enable_cache"),
+]
+A12_VALUES = ", ".join(f"({i}, '{r}', {ok}, {s}, {e}, '{c}', '{fix}', '{impact}')" for i, ((r, (fix, impact)), (ok, s, e, c)) in enumerate(zip(P.ADVICE.items(), A12_RULES, strict=True), 1))
 A12_SQL = proj(
-    """SELECT system_id, savings, rule_ord, rule, severity, evidence, control FROM (
-  SELECT c.system_id, round_even(spend * coalesce(duplicate_share, 0) * 0.55::DOUBLE, 2) AS savings, c.*, s.* EXCLUDE (system_id) FROM cards c LEFT JOIN signals s ON c.system_id = s.system_id) x
-CROSS JOIN LATERAL (SELECT * FROM (VALUES (1, 'capability_mismatch', mismatches > 0, 'high', mismatches::DOUBLE, 'tool_restricted'), (2, 'duplicate_prompts', duplicate_share >= 0.5, 'medium', duplicate_share, 'enable_cache'), (3, 'budget_reached', reason = 'over budget', 'high', spend, 'require_human'), (4, 'incomplete_checks', completeness < 0.9, 'medium', completeness, 'promote_inline'), (5, 'identifiers', identifiers > decisions * 0.1::DOUBLE, 'high', identifiers::DOUBLE, 'tighten')) AS t(rule_ord, rule, ok, severity, evidence, control) WHERE ok)""",
-    CARDS, SIGNALS,
-).replace("SELECT c.system_id, round_even(spend * coalesce", "SELECT round_even(spend * coalesce")
+    f"""SELECT system_id, savings, rule_ord, rule, severity, evidence, control, fix, impact FROM (
+  SELECT c.*, round_even(spend * coalesce(duplicate_share, 0) * 0.55::DOUBLE, 2) AS savings, s.* EXCLUDE (system_id), b.state, days_left, per_day, month_to_date, month_projection FROM cards c LEFT JOIN signals s ON c.system_id = s.system_id LEFT JOIN burn b ON c.system_id = b.system_id) x
+CROSS JOIN LATERAL (SELECT * FROM (VALUES {A12_VALUES}) AS t(rule_ord, rule, ok, severity, evidence, control, fix, impact) WHERE ok)""",
+    CARDS, SIGNALS, f"burn AS (SELECT * REPLACE (CASE system_id {' '.join(f"WHEN '{s}' THEN 'sys-{i}'" for i, s in enumerate(SEGMENTS))} END AS system_id) FROM (" + SQL["a10_burn_rate"] + "))",
+)
 
 
 @query("a12_advisories", A12_SQL)
 def a12(spark, d):
     x = costed(spark, d)
     digest = F.col("k") * 100 + F.floor("value") % 10
-    signals = x.groupBy("system_id").agg(F.count_if("mismatch").alias("mismatches"), F.bround(1 - F.countDistinct(digest) / F.count("*"), 4).alias("duplicate_share"), F.count_if(F.array_contains("labels", "privacy")).alias("identifiers"))
-    return P.advisories(P.portfolio(x, V.systems(spark), V.now()), signals)
+    signals = x.groupBy("system_id").agg(F.count_if("mismatch").alias("mismatches"), F.bround(1 - F.countDistinct(digest) / F.count("*"), 4).alias("duplicate_share"), F.count_if(F.array_contains("labels", "privacy")).alias("identifiers"), F.count_if(F.col("k") % 25 == 7).alias("flips"))
+    burn = a10(spark, d).withColumn("system_id", F.concat(F.lit("sys-"), (F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("system_id")) - 1).cast("string")))
+    return P.advisories(P.portfolio(x, V.systems(spark), V.now()), signals, burn)
 
 
 PREDICTIONS = "predictions AS (SELECT l.doc_id, l.toxic = 1 OR l.quality = 0 AS expected, length(d.text) < 60 OR n_same > 1 OR regexp_matches(d.text, '[0-9]{12,}') OR contains(d.text, '###') AS got FROM labels l JOIN (SELECT *, count(*) OVER (PARTITION BY text) AS n_same FROM documents) d ON l.doc_id = d.doc_id)"

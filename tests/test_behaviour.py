@@ -75,9 +75,6 @@ def test_monitors(spark):
     got = monitors.numeric_contradictions(t.select("turn_id", F.col("answer").alias("text")), sources).collect()
     assert [(r.raw, r.rival) for r in got] == [("5000", "4000")]
     assert monitors.certainty(t, sources).filter("turn_id = 2").first().n_overbought >= 1
-    needs = spark.createDataFrame([("issued", "refund.write")], "verb string, capability string")
-    none = spark.createDataFrame([("sys-1", "refund.write")], "system_id string, capability string")
-    assert monitors.overclaims(t, none, needs).first().capability == "refund.write"
     flips = monitors.counterfactuals(t, lambda q: F.char_length(q)).orderBy("turn_id").collect()
     assert flips[0].score is None and flips[1].tested == 1 and flips[1].flips == 1
     om = monitors.omitted_conditions(t.withColumn("question", F.lit("refund approval for small")).withColumn("answer", F.lit("yes")), sources).collect()
@@ -85,6 +82,41 @@ def test_monitors(spark):
     assert [r.focus for r in t.select(monitors.focus(F.col("question"), F.col("answer")).alias("focus")).collect()][0] == "duration"
 
 
+def test_overclaims_follow_the_subject(spark):
+    """The first claim of a sentence that nothing grants, three for an answer; verbs without an entry and grants of the subject are silent."""
+    answers = [
+        "I can look up your account balance. I can check the weather today. I can cancel the order for you.",
+        "I can open it, and I will restart the payment gateway for you. I have access to the campaign history.",
+        "Let me pull the incident logs for you. I would need to query the candidate records. I will approve it now. I could reboot it at once.",
+        "I can read the segment file, I can fetch the incident trace. I can.",
+    ]
+    t = spark.createDataFrame([(i, "s", a) for i, a in enumerate(answers)], "turn_id long, system_id string, answer string")
+    got = monitors.overclaims(t, spark.createDataFrame([("s", "read_segment")], "system_id string, capability string")).orderBy("turn_id", "n").collect()
+    assert [(r.turn_id, r.verb, r.subject, r.needed) for r in got] == [
+        (0, "look up", "account", "read_customer"), (1, "restart", "payment", "restart_service"),
+        (2, "pull", "incident", "read_logs"), (2, "query", "candidate", "read_candidate"), (2, "approve", "", "approve_credit,schedule_interview"),
+        (3, "fetch", "incident", "read_logs"),
+    ]  # a campaign is granted by read_segment, and so is a read with no entry of its own
+    assert monitors.overclaims(t.limit(0), spark.createDataFrame([], "system_id string, capability string")).count() == 0
+
+
+def test_omitted_conditions_by_band_scope_and_carry(spark):
+    """A crossed threshold comes first; other bands, the opposite scope and what the answer carries do not come."""
+    lines = "Refunds above 5,000 require approval by a manager. Refunds up to 2 lakh are only allowed on Monday. Refunds up to 20,000 need consent of the desk. A refund for external clients requires a review by legal. Each refund of a client is irreversible once it is sent. Each refund of a client must not exceed the price paid."
+    cases = {
+        1: ("May I give an internal client a refund of 80,000?", "Yes.", [("approval", 5000.0), ("irreversible", None), ("prohibition", None)]),
+        2: ("May I give an internal client a refund of 3 lakh?", "Yes.", [("approval", 5000.0), ("irreversible", None), ("prohibition", None)]),
+        3: ("May I give an internal client a refund?", "A refund to a client is irreversible once sent. It must not exceed the price a client paid.", []),
+        4: ("Where is the canteen?", "Upstairs.", []),
+        5: (None, None, []),
+    }
+    t = spark.createDataFrame([(i, q, a) for i, (q, a, _) in cases.items()], "turn_id long, question string, answer string")
+    s = spark.createDataFrame([(i, lines) for i in cases] + [(1, lines), (1, None)], "turn_id long, text string")
+    got = monitors.omitted_conditions(t, s).orderBy("turn_id", "place").collect()
+    for i, (_, _, want) in cases.items():
+        assert [(r.kind, r.threshold) for r in got if r.turn_id == i] == want, (i, [r for r in got if r.turn_id == i])
+
+
 def test_policy_only_tightens(spark):
     p = policy.resolve_policy(views.systems(spark), views.profiles(spark), views.jurisdictions(spark)).join(views.profiles(spark).select("profile", F.col("t_pass").alias("base"), F.col("weights").alias("w")), "profile").collect()
     assert len(p) == 5 and all(1 <= r.t_pass <= r.base and all(r.weights[k] >= v for k, v in r.w.items()) for r in p)
