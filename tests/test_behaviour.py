@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assurance.functions import text as T
-from assurance.operators import decide, eventlog, monitors, policy, reports, scoring, screens, windows
+from assurance.operators import decide, eventlog, monitors, policy, reports, scoring, screens, windows, projections
 from assurance.plans import views
 from assurance.sources import corpus_files
 from assurance.streaming import streams
@@ -100,12 +100,22 @@ def test_overclaims_follow_the_subject(spark):
     assert monitors.overclaims(t.limit(0), spark.createDataFrame([], "system_id string, capability string")).count() == 0
 
 
+def test_advice_on_burn_rate(spark):
+    """A month that runs out soon or is projected over its budget is advised on; too early, spent or steady months are not."""
+    names = ["a", "b", "c", "d", "e"]
+    cards = spark.createDataFrame([(n, "within budgets", 1.0, 1.0) for n in names], "system_id string, reason string, spend double, completeness double")
+    signals = spark.createDataFrame([], "system_id string, mismatches long, duplicate_share double, flips long, identifiers long")
+    burn = spark.createDataFrame([("a", "critical", 2.0, 10.0, 100.0, 300.0), ("b", "steady", 9.0, 10.0, 100.0, 300.0), ("c", "steady", 40.0, 10.0, 100.0, 300.0), ("d", "too_early", 2.0, 10.0, 20.0, 300.0), ("e", "exhausted", -1.0, 10.0, 100.0, 300.0)], "system_id string, state string, days_left double, per_day double, month_to_date double, month_projection double")
+    got = projections.advisories(cards, signals, burn).orderBy("system_id").collect()
+    assert [(r.system_id, r.rule, r.severity, r.control) for r in got] == [("a", "COST.BURN_RATE_PROJECTION", "high", "enable_cache"), ("b", "COST.BURN_RATE_PROJECTION", "medium", "enable_cache")]
+
+
 def test_omitted_conditions_by_band_scope_and_carry(spark):
     """A crossed threshold comes first; other bands, the opposite scope and what the answer carries do not come."""
     lines = "Refunds above 5,000 require approval by a manager. Refunds up to 2 lakh are only allowed on Monday. Refunds up to 20,000 need consent of the desk. A refund for external clients requires a review by legal. Each refund of a client is irreversible once it is sent. Each refund of a client must not exceed the price paid."
     cases = {
         1: ("May I give an internal client a refund of 80,000?", "Yes.", [("approval", 5000.0), ("irreversible", None), ("prohibition", None)]),
-        2: ("May I give an internal client a refund of 3 lakh?", "Yes.", [("approval", 5000.0), ("irreversible", None), ("prohibition", None)]),
+        2: ("May I give an internal client a refund of 3 lakh?", "Yes.", [("approval", 5000.0), ("window", None), ("irreversible", None)]),
         3: ("May I give an internal client a refund?", "A refund to a client is irreversible once sent. It must not exceed the price a client paid.", []),
         4: ("Where is the canteen?", "Upstairs.", []),
         5: (None, None, []),
