@@ -4,25 +4,29 @@ Documents are sets of word shingles. Texts with equal sets become one class firs
 class then walks down several random trees: at a node, the node itself chooses which
 minwise position sends its members on, and now and then a second one, so that a pair at
 the threshold keeps one common child in the mean. Nodes small enough are compared
-exhaustively on 64-byte sketches; larger ones are split further and never gathered. What
-the sketches bring together is checked on full sets, within bounded groups, and verified
-links are closed to components.
+exhaustively on 64-byte sketches; larger ones are split further and never gathered. A tree
+loses more pairs the deeper it goes, so classes in nodes that stay large walk down further
+independent trees, as many as the target recall asks for at the depth reached. What the
+sketches bring together is checked on full sets, within bounded groups, and verified links
+are closed to components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assurance.llm.common import U64, WORDS, components, mix64, near, park, run_bounds, runs, words
 
 POSITIONS = 128
-TREES = 10
+#: Least number of trees, and the share of pairs at the threshold that all trees together are to bring into a common leaf.
+TREES, RECALL = 10, 0.99
 #: Levels that one round walks down, and rounds before a node that stays large is compared in blocks.
 LEVELS, ROUNDS = 3, 12
 #: Most classes compared exhaustively in one node or group, and most shingles of a group of full sets.
@@ -51,6 +55,12 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_hash(s: np.ndarray) -> int | None:
+    """Names a set of shingles; None for the empty one."""
+    with np.errstate(over="ignore"):
+        return int(mix64(s + U64(len(s))).sum(dtype=U64).view(np.int64)) if len(s) else None
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """Hashes of the minwise tokens at each position, 16 bits each."""
     a, b = multipliers()
@@ -61,23 +71,48 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (mix64(least.astype(U64) + (np.arange(POSITIONS).astype(U64) << U64(32))) & U64(0xFFFF)).astype(np.uint16)
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("t")
+
+
 def sign(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h, sig): h names the set, null for an empty one."""
+    """(doc_id, t, n_shingles, h, sig): t is a hash of the text, h names the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)
                 n, h, sig = [], [], []
-                for text in batch.column(1).to_pylist():
+                for text in batch.column(2).to_pylist():
                     s = shingles(text, k)
                     n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        h.append(int(mix64(s + U64(len(s))).sum(dtype=U64).view(np.int64)) if len(s) else None)
+                    h.append(set_hash(s))
                     sig.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "t", "n_shingles", "h", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, h long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, t long, n_shingles long, h long, sig binary")
+
+
+@lru_cache(64)
+def trees_for(depth: int, threshold: float) -> int:
+    """Least number of trees, TREES or more, that holds RECALL of the pairs at the threshold together down to depth.
+
+    Two sets agree at a binomial number of the positions. From a node a pair goes on together
+    with the share that agrees, and once more where the node picks a second position: a
+    branching process, whose end is reckoned level by level.
+    """
+    agree = np.arange(POSITIONS + 1)
+    logs = np.array([lgamma(POSITIONS + 1) - lgamma(i + 1) - lgamma(POSITIONS - i + 1) for i in agree])
+    t = min(threshold, 1 - 1e-9)
+    weight = np.exp(logs + agree * log(t) + (POSITIONS - agree) * log(1 - t))
+    share, extra, gone = agree / POSITIONS, 1 / threshold - 1, np.zeros(POSITIONS + 1)
+    for _ in range(depth):
+        apart = 1 - share + share * gone
+        gone = apart * (1 - extra + extra * apart)
+    n = TREES
+    while (weight * gone**n).sum() > 1 - RECALL:
+        n += 1
+    return n
 
 
 def walk(node: np.ndarray, sigs: np.ndarray, extra: float) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +130,8 @@ def walk(node: np.ndarray, sigs: np.ndarray, extra: float) -> tuple[np.ndarray,
     return node, who
 
 
-def descend(rows: DataFrame, extra: float, sketch: bool) -> DataFrame:
-    """(node, h, sig) of rows moved LEVELS down, all trees at once from the roots if rows have no node.
+def descend(rows: DataFrame, extra: float, sketch: bool, trees: tuple[int, int]) -> DataFrame:
+    """(node, h, sig) of rows moved LEVELS down, from the roots of the trees from one number up to another if rows have no node.
 
     With sketch, sig holds four bits of each position instead of sixteen.
     """
@@ -109,7 +144,7 @@ def descend(rows: DataFrame, extra: float, sketch: bool) -> DataFrame:
                 h = batch.column(0).to_numpy()
                 sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, POSITIONS)
                 if roots:
-                    node, who = np.repeat(mix64(np.arange(1, TREES + 1)), len(h)), np.tile(np.arange(len(h)), TREES)
+                    node, who = np.repeat(mix64(np.arange(*trees) + 1), len(h)), np.tile(np.arange(len(h)), trees[1] - trees[0])
                 else:
                     node, who = batch.column(2).to_numpy().view(U64), np.arange(len(h))
                 child, up = walk(node, sigs[who], extra)
@@ -176,24 +211,41 @@ def leaves(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, a long, b long")
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, a, b) from all trees; classes have h and sig."""
+def grow(classes: DataFrame, threshold: float, trees: tuple[int, int]) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Candidates (node, a, b) of some trees, the classes in nodes too deep for their number if there are any, and the depth reached."""
     extra, least = 1 / threshold - 1, threshold - SLACK
-    rows, found = classes, None
+    rows, found, crowded = classes, [], None
     for step in range(ROUNDS):
-        counts = descend(rows, extra, sketch=False).groupBy("node").agg(F.count("*").alias("size"))
+        depth = (step + 1) * LEVELS
+        counts = descend(rows, extra, False, trees).groupBy("node").agg(F.count("*").alias("size"))
         large = park(counts.filter(F.col("size") > NODE))
         n = large.count()
-        small = descend(rows, extra, sketch=True)
+        small = descend(rows, extra, True, trees)
         if n:
             small = near(small, large.select("node"), "node", n, "left_anti")
-        part = park(leaves(small, least))
-        found = part if found is None else found.unionAll(part)
+        found.append(park(leaves(small, least)))
         if not n:
-            return found
+            return found, crowded, depth
+        if crowded is None and trees_for(depth + LEVELS, threshold) > trees[1]:
+            crowded = near(descend(rows, extra, False, trees), large.select("node"), "node", n, "left_semi").select("h", "sig")
+            crowded = park(crowded.dropDuplicates(["h"]))
         last = step == ROUNDS - 1
-        rows = park(near(descend(rows, extra, sketch=last), large, "node", n, "inner"))
-    return found.unionAll(park(leaves(block_pairs(rows), least)))
+        rows = park(near(descend(rows, extra, last, trees), large, "node", n, "inner"))
+    return [*found, park(leaves(block_pairs(rows), least))], crowded, depth
+
+
+def candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """(node, a, b) from all trees; classes have h and sig.
+
+    All classes walk down TREES trees. Those of nodes that stay large walk down more of them,
+    until there are as many as the depth reached asks for.
+    """
+    found, had, want = [], 0, TREES
+    while want > had and classes is not None:
+        parts, classes, depth = grow(classes, threshold, (had, want))
+        found += parts
+        had, want = want, max(want, trees_for(depth, threshold))
+    return reduce(DataFrame.unionAll, found)
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -249,32 +301,34 @@ def verify(groups: DataFrame, percent: int) -> DataFrame:
     return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
+def bounded(groups: DataFrame) -> DataFrame:
+    """groups (g, h, n_shingles) of at most NODE rows, those over WEIGHT shingles as pairs of blocks, so that all their pairs meet."""
+    of_group = Window.partitionBy("g")
+    block = F.floor(F.sum("n_shingles").over(of_group.orderBy("h")) / (WEIGHT // 2)).cast("long")
+    rows = groups.withColumn("block", block).withColumn("last", F.when(F.sum("n_shingles").over(of_group) > WEIGHT, F.max("block").over(of_group)))
+    rows = rows.withColumn("to", F.explode(F.coalesce(F.sequence(F.lit(0).cast("long"), F.col("last")), F.array(F.lit(-1).cast("long"))))).filter("to <> block")
+    return rows.withColumn("g", F.when(F.col("to") < 0, F.col("g")).otherwise(F.xxhash64("g", F.least("block", "to"), F.greatest("block", "to")))).select("g", "h", "n_shingles")
+
+
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, h, g, text) with the text's set of shingles in its place."""
+    """(g, h, set) of docs (g, h, text): the text's set of shingles; texts that have another set than h names are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
-                sets = [shingles(t, k).tobytes() for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["g", "h", "set"])
+                sets = [shingles(t, k) for t in batch.column(2).to_pylist()]
+                own = pa.array([set_hash(s) == h for s, h in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["g", "h", "set"]).filter(own)
 
     return docs.select("g", "h", "text").mapInArrow(run, "g long, h long, set binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
-
-    Two documents link if 100 * intersection >= percent * union of their sets of k-word
-    shingles. A null or empty text or one of white space has the empty set and links with
-    nothing; one of fewer than k words is one shingle. component_id is the least doc_id
-    reachable, kept says that it is the row's own. Repeated rows are copies of each other
-    and share their result; a null doc_id never names a component others are in. Other
-    columns of docs are ignored. An empty table gives an empty result.
-    """
+def resolve(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, kept) for every row of docs; t is the hash of the text, the rest as in near_duplicates."""
     signed = park(sign(docs, k))
     with_set = signed.filter("h is not null")
-    first = F.min(F.struct("doc_id", "sig", "n_shingles")).alias("x")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig", "n_shingles")).alias("x")
     classes = park(with_set.groupBy("h").agg(first, F.min("doc_id").alias("rep"), F.count("*").alias("copies")).select("h", "rep", "copies", F.col("x.doc_id").alias("holder"), "x.sig", "x.n_shingles"))
     found = candidates(classes.select("h", "sig"), percent / 100)
     clusters = park(components(found))
@@ -282,12 +336,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     large = park(sizes.filter((F.col("size") > NODE) | (F.col("weight") > WEIGHT)).select("component"))
     n = large.count()
     whole = near(clusters, large, "component", n, "left_anti") if n else clusters
-    groups = whole.select(F.col("component").alias("g"), F.col("node").alias("h"))
+    set_of = classes.select("h", "n_shingles", F.col("holder").alias("doc_id"))
+    groups = whole.select(F.col("component").alias("g"), F.col("node").alias("h")).join(set_of, "h").select("g", "h", "doc_id")
     if n:
         inside = near(clusters, large, "component", n, "left_semi").select(F.col("node").alias("a"))
         parts = found.join(inside, "a", "left_semi").withColumn("g", F.xxhash64("node", "a"))
-        groups = groups.unionAll(parts.select("g", F.explode(F.array("a", "b")).alias("h")).distinct())
-    groups = park(groups.join(classes.select("h", F.col("holder").alias("doc_id")), "h"))
+        parts = parts.select("g", F.explode(F.array("a", "b")).alias("h")).distinct().join(set_of.drop("doc_id"), "h")
+        groups = groups.unionByName(bounded(parts).drop("n_shingles").join(set_of.drop("n_shingles"), "h"))
+    groups = park(groups)
     text = near(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), groups, "doc_id", groups.count(), "inner")
     links = components(park(verify(full_sets(text, k), percent)))
     moved = links.join(classes.select(F.col("h").alias("node"), "rep"), "node")
@@ -296,14 +352,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_class = classes.select("h", "rep", "copies").join(moved, "h", "left").filter("copies > 1 or component_id is not null")
     of_class = park(of_class.select("h", F.coalesce("component_id", "rep").alias("component_id")))
     # rows of a class without links or copies name themselves and meet nothing
-    rows = signed.select("doc_id", "n_shingles", "h")
-    found = near(rows.filter("h is not null"), of_class, "h", of_class.count(), "left").select("doc_id", "n_shingles", "component_id")
-    out = found.unionAll(rows.filter("h is null").select("doc_id", "n_shingles", F.lit(None).cast("long")))
+    rows = signed.select("doc_id", "t", "n_shingles", "h")
+    found = near(rows.filter("h is not null"), of_class, "h", of_class.count(), "left").select("doc_id", "t", "n_shingles", "component_id")
+    out = found.unionAll(rows.filter("h is null").select("doc_id", "t", "n_shingles", F.lit(None).cast("long")))
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
+
+    Two documents link if 100 * intersection >= percent * union of their sets of k-word
+    shingles. A null or empty text or one of white space has the empty set and links with
+    nothing; one of fewer than k words is one shingle. component_id is the least doc_id
+    reachable, kept says that it is the row's own. Repeated rows are copies of each other
+    and share their result; different texts under one doc_id are compared each on its own
+    set. A null doc_id never names a component others are in; texts of which no copy has an
+    id link with their copies only. Other columns of docs are ignored. An empty table gives
+    an empty result.
+    """
+    return resolve(docs, k, percent).drop("t")
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component: the rows of docs that are kept, repeated rows once, with the columns of docs."""
-    kept = near_duplicates(docs, k, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, with the columns of docs: the rows that are kept, repeats of a text under its id, or under none, once."""
+    kept = resolve(docs, k, percent).filter("kept").select("doc_id", "t").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["t"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -383,6 +383,49 @@ def test_op5_blocks_of_a_large_node_all_meet(spark, monkeypatch):
     assert len(met) == 60 * 59 // 2
 
 
+@pytest.mark.parametrize("depth", [9, 24])
+def test_op5_trees_hold_the_recall_at_any_depth(depth):
+    """Pairs at the threshold, walked down by all trees: RECALL of them share a node, within three deviations."""
+    rng, pairs, t = np.random.default_rng(3), 400, 0.85
+    left = rng.integers(0, 1 << 16, (pairs, neardup.POSITIONS)).astype(np.uint16)
+    right = np.where(rng.random(left.shape) < t, left, rng.integers(0, 1 << 16, left.shape).astype(np.uint16))
+    sigs, met = np.concatenate([left, right]), np.zeros(pairs, bool)
+    trees = neardup.trees_for(depth, t)
+    for tree in range(trees):
+        node, who = np.repeat(neardup.mix64(np.array([tree + 1])), 2 * pairs), np.arange(2 * pairs)
+        for _ in range(depth // neardup.LEVELS):
+            node, up = neardup.walk(node, sigs[who], 1 / t - 1)
+            who = who[up]
+        a, b = {(n, w) for n, w in zip(node, who) if w < pairs}, {(n, w - pairs) for n, w in zip(node, who) if w >= pairs}
+        met[[w for _, w in a & b]] = True
+    assert met.mean() >= neardup.RECALL - 3 * (neardup.RECALL * (1 - neardup.RECALL) / pairs) ** 0.5
+    assert trees > neardup.TREES if depth > 9 else trees == neardup.TREES
+
+
+def test_op5_heavy_groups_meet_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "WEIGHT", 100)
+    rows = [(g, h, 9 + h % 3) for g in (1, 2) for h in range(40)] + [(3, h, 10) for h in range(9)]
+    got = neardup.bounded(spark.createDataFrame(rows, "g long, h long, n_shingles long")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append((r.h, r.n_shingles))
+    assert all(sum(n for _, n in x) <= 100 + 2 * 11 for x in groups.values()) and {h for h, _ in groups[3]} == set(range(9))
+    met = [frozenset((a, b)) for g, x in groups.items() if g != 3 for a, _ in x for b, _ in x if a < b]
+    assert len(set(met)) == 40 * 39 // 2
+
+
+def test_op5_texts_under_one_id_are_compared_apart(spark):
+    """A repeated id with different texts, copies of which some have no id, and texts without any."""
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    near_a = " ".join(a.split()[:-1])
+    rows = [(1, a), (1, b), (5, near_a), (7, b + " more"), (None, a), (None, c), (None, c), (9, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (5, 1), (7, 1), (9, 9)]
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.dedup(docs).collect()) == sorted([(0, c), (1, a), (1, b), (9, d)])
+
+
 def test_op5_odd_rows(odd, empty):
     assert neardup.near_duplicates(odd).count() == 10
     kept = neardup.dedup(odd)
