@@ -3,9 +3,11 @@
 A table of the index rotates a vector by three rounds of random signs and fast Hadamard
 transforms for each of HASHES functions; a function's value is the signed axis nearest to
 the rotated vector. A vector stands in its own bucket of each table and in those of its
-PROBES next best values. Pairs in a bucket are verified by their cosine in double
-precision and counted in the first bucket they share, so links are counted once without
-a table of pairs. Buckets over BLOCK rows are compared block by block in separate tasks.
+PROBES next best values. Buckets are met by ids and sketches of BITS random signs alone;
+vectors go only where a sketch has found a partner. Pairs in a bucket are verified by their
+cosine in double precision and counted in the first bucket they share, so links are counted
+once without a table of pairs. Buckets over BLOCK rows are compared block by block in
+separate tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from assurance.llm.common import U64, components, mix64, near, park, run_bounds,
 from assurance.llm.neardup import stars
 
 TABLES, HASHES, PROBES, BLOCK = 4, 2, 2, 1000
+#: Signs of a sketch, and the deviations above the mean that a pair at the threshold may differ in them.
+BITS, DEVIATIONS = 128, 5
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,27 +82,69 @@ def buckets(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision at length one."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def keys_of(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """[rows, TABLES, 1 + PROBES] bucket keys of unit rows, apart by label and length."""
+    return buckets(x, mix64(label.astype(np.int64).view(U64) + U64(x.shape[1] << 40)))
+
+
+@lru_cache(8)
+def directions(width: int) -> np.ndarray:
+    return np.random.default_rng(77_002).normal(size=(width, BITS))
+
+
 def spread(classes: DataFrame) -> DataFrame:
-    """One row for each bucket that a class stands in: key, place (table * (1 + PROBES) + probe), id, weight, vec, keys."""
+    """One row for each bucket that a class stands in: key, place (table * (1 + PROBES) + probe), h, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)
-                size = batch.column(2).value_lengths().to_numpy()
+                size = batch.column(1).value_lengths().to_numpy()
                 for d in np.unique(size):
                     part = batch.filter(pa.array(size == d))
-                    x = part.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, d)
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    label = mix64(part.column(3).to_numpy().astype(np.int64).view(U64) + U64(int(d) << 40))
-                    k = buckets(x, label).reshape(len(x), -1)
-                    width = k.shape[1]
-                    who = np.repeat(np.arange(len(x)), width)
-                    raw = [pa.array([r.tobytes() for r in a], pa.binary()).take(pa.array(who)) for a in (x, k)]
-                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(x))), part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who)), *raw], ["key", "place", "id", "weight", "vec", "keys"])
+                    x = unit(part.column(1).flatten().to_numpy().reshape(-1, d))
+                    k = keys_of(x, part.column(2).to_numpy()).reshape(len(x), -1)
+                    who = pa.array(np.repeat(np.arange(len(x)), k.shape[1]))
+                    sketch = pa.array([r.tobytes() for r in np.packbits(x @ directions(int(d)) > 0, axis=1)], pa.binary()).take(who)
+                    place = pa.array(np.tile(np.arange(k.shape[1], dtype=np.int32), len(x)))
+                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), place, part.column(0).take(who), sketch], ["key", "place", "h", "sketch"])
+
+    return classes.select("h", "vec", "label").mapInArrow(run, "key long, place int, h long, sketch binary")
+
+
+def may_link(part: pa.Table) -> np.ndarray:
+    """Which pairs of a group may be compared in it: one of the two in its own bucket, and of different halves if there are two."""
+    own, half, h = part.column("place").to_numpy() % (1 + PROBES) == 0, part.column("half").to_numpy(), part.column("h").to_numpy()
+    pairs = (own[:, None] | own[None, :]) & (h[:, None] != h[None, :])
+    return pairs & (half[:, None] != half[None, :]) if half.max() > 0 else pairs
+
+
+def suspects(groups: DataFrame, threshold: float) -> DataFrame:
+    """(g, half, key, place, h): the rows of groups (and sketch) that the sketches bring together with another of their group."""
+    apart = np.arccos(threshold) / np.pi
+    most = BITS * apart + DEVIATIONS * np.sqrt(BITS * apart * (1 - apart))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "g"):
+            bounds = run_bounds(t.column("g").to_numpy())
+            bits = np.unpackbits(np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), -1), axis=1).astype(np.float32) * 2 - 1
+            keep = np.zeros(len(t), bool)
+            for s in np.flatnonzero(np.diff(bounds) > 1):
+                low, high = bounds[s], bounds[s + 1]
+                close = bits[low:high] @ bits[low:high].T >= BITS - 2 * most
+                keep[low:high] = (close & may_link(t.slice(low, high - low))).any(1)
+            if keep.any():
+                yield from t.drop_columns("sketch").filter(pa.array(keep)).to_batches()
 
-    return classes.select("id", "weight", "vec", "label").mapInArrow(run, "key long, place int, id long, weight long, vec binary, keys binary")
+    rows = groups.select("g", "half", "key", "place", "h", "sketch")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, half int, key long, place int, h long")
 
 
 def first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, bucket: np.uint64) -> np.ndarray:
@@ -117,16 +163,13 @@ def first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, buc
 
 def links_of(part: pa.Table, threshold: float) -> pa.RecordBatch | None:
     """(id, links, root) of the rows of one group that link, None if none does."""
-    ids = part.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, place, half, weight = (part.column(c).to_numpy()[order] for c in ("id", "place", "half", "weight"))
-    x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(len(ids), -1)[order]
-    keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), U64).reshape(len(ids), TABLES, 1 + PROBES)[order]
+    part = part.take(pa.array(np.argsort(part.column("id").to_numpy(), kind="stable")))
+    ids, place, weight = (part.column(c).to_numpy() for c in ("id", "place", "weight"))
+    vec = part.column("vec").combine_chunks()
+    x = unit(vec.flatten().to_numpy().reshape(len(ids), -1))
+    keys = keys_of(x, part.column("label").to_numpy())
     table, bucket = int(place[0]) // (1 + PROBES), part.column("key").to_numpy().view(U64)[0]
-    own = place % (1 + PROBES) == 0
-    near_by = (x @ x.T >= threshold) & (own[:, None] | own[None, :]) & (ids[:, None] != ids[None, :])
-    if half.max() > 0:
-        near_by &= half[:, None] != half[None, :]
+    near_by = (x @ x.T >= threshold) & may_link(part) & (ids[:, None] != ids[None, :])
     a, b = np.nonzero(np.triu(near_by, 1))
     if not len(a):
         return None
@@ -151,7 +194,7 @@ def compare(rows: DataFrame, threshold: float) -> DataFrame:
             bounds = run_bounds(g)
             for s in np.flatnonzero(np.diff(bounds) > 1):
                 part = t.slice(bounds[s], bounds[s + 1] - bounds[s]).combine_chunks()
-                width = pc.binary_length(part.column("vec"))
+                width = pc.list_value_length(part.column("vec"))
                 for w in pc.unique(width):  # hashes of different widths may collide
                     found = links_of(part.filter(pc.equal(width, w)), threshold)
                     if found is not None:
@@ -165,27 +208,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     Only vectors of equal, non-null labels and equal length are compared. A vector that is
     null, empty or zero, or holds a null or non-finite component, links with nothing.
-    Equal vectors are one class with a weight; repeated rows count as vectors of their own.
-    Other columns are ignored; an empty table gives an empty result.
+    Equal vectors are one class with a weight; repeated rows count as vectors of their own,
+    but different vectors of one vec_id are not compared with each other, and vectors of
+    which no copy has an id link with their copies only. Other columns are ignored; an empty
+    table gives an empty result.
     """
-    x = F.col("embedding").cast("array<double>")
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    x = F.col("embedding").cast("array<float>" if single else "array<double>")
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), x.alias("vec"))
     finite = F.coalesce(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     good = F.col("label").isNotNull() & finite & F.coalesce(F.exists("vec", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("h", F.when(good, F.xxhash64("label", "vec"))).withColumn("h2", F.when(good, F.xxhash64("vec", "label", F.lit(1))))
     classes = park(rows.filter("h is not null").groupBy("h", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.min("vec").alias("vec"), F.min("label").alias("label")))
-    placed = spread(classes)
-    large = park(placed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK))
-    n = large.count()
-    small = near(placed, large.select("key"), "key", n, "left_anti") if n else placed
-    groups = small.withColumn("g", F.col("key")).withColumn("half", F.lit(0))
-    if n:
+    named = classes.filter("id is not null")
+    placed = spread(named)
+    own = F.col("place") % (1 + PROBES) == 0
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.count_if(own).alias("own")).filter("size > 1 and own > 0")
+    sizes = park(sizes.select("key", "size"))
+    n = sizes.count()
+    placed = near(placed, sizes, "key", n, "inner")
+    groups = placed.filter(F.col("size") <= BLOCK).withColumn("g", F.col("key")).withColumn("half", F.lit(0))
+    if sizes.filter(F.col("size") > BLOCK).limit(1).count():
         count = F.ceil(F.col("size") / BLOCK).cast("long")
-        blocks = near(placed, large, "key", n, "inner").withColumn("block", F.pmod(F.xxhash64("id"), count))
+        blocks = placed.filter(F.col("size") > BLOCK).withColumn("block", F.pmod(F.xxhash64("h"), count))
         others = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high"), F.when(o == F.col("block"), 0).when(F.col("block") < o, 1).otherwise(2).alias("half")))
         blocks = blocks.withColumn("o", F.explode(others)).withColumn("g", F.xxhash64("key", "o.low", "o.high")).withColumn("half", F.col("o.half"))
         groups = groups.unionByName(blocks.select(groups.columns))
-    found = park(compare(groups, threshold))
+    met = park(suspects(groups, threshold))
+    found = park(compare(near(named.drop("h2"), met, "h", met.count(), "inner"), threshold))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     of_class = classes.select("h", "h2", "id", "weight").join(links, "id", "left").join(parts, "id", "left")

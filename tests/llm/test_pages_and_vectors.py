@@ -149,6 +149,18 @@ def test_op9_equals_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op9_vectors_under_one_id_or_none(spark):
+    """Vectors of an id that comes twice, and of none, stay apart from each other and link by what they are."""
+    rng = np.random.default_rng(6)
+    a, b, c = (rng.normal(size=32) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a * 1.001 + b * 0.01), (None, c), (None, c), (None, a), (4, b + a * 0.01), (9, c * -1)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows], f"vec_id long, embedding array<{kind}>, label int")
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in vectors.near_vectors(df).collect())
+        assert [x for x in got if x[0] in (2, 4, 9)] == [(2, 2, 1), (4, 1, 1), (9, 0, 9)]
+        assert [x for x in got if x[0] == 0 and x[2] == 0] == [(0, 1, 0), (0, 1, 0)] and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("width", [64, 768])
 def test_op9_recall_at_the_threshold(spark, width):
     """Planted pairs of cosine 0.93 to 0.95, among vectors of their own: nine tenths at least are found, and nothing else."""
