@@ -161,13 +161,11 @@ def first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, table: int, buc
     return new
 
 
-def links_of(part: pa.Table, threshold: float) -> pa.RecordBatch | None:
-    """(id, links, root) of the rows of one group that link, None if none does."""
-    part = part.take(pa.array(np.argsort(part.column("id").to_numpy(), kind="stable")))
+def links_of(part: pa.Table, x: np.ndarray, keys: np.ndarray, threshold: float) -> pa.RecordBatch | None:
+    """(id, links, root) of the rows of one group that link, None if none does; x are its unit rows."""
+    order = np.argsort(part.column("id").to_numpy(), kind="stable")
+    part, x, keys = part.take(pa.array(order)), x[order], keys[order]
     ids, place, weight = (part.column(c).to_numpy() for c in ("id", "place", "weight"))
-    vec = part.column("vec").combine_chunks()
-    x = unit(vec.flatten().to_numpy().reshape(len(ids), -1))
-    keys = keys_of(x, part.column("label").to_numpy())
     table, bucket = int(place[0]) // (1 + PROBES), part.column("key").to_numpy().view(U64)[0]
     near_by = (x @ x.T >= threshold) & may_link(part) & (ids[:, None] != ids[None, :])
     a, b = np.nonzero(np.triu(near_by, 1))
@@ -189,14 +187,18 @@ def compare(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, links, root): weights of the classes that link with id in this group for the first time, and the least id its links reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "g"):
-            g = t.column("g").to_numpy()
-            bounds = run_bounds(g)
-            for s in np.flatnonzero(np.diff(bounds) > 1):
-                part = t.slice(bounds[s], bounds[s + 1] - bounds[s]).combine_chunks()
-                width = pc.list_value_length(part.column("vec"))
-                for w in pc.unique(width):  # hashes of different widths may collide
-                    found = links_of(part.filter(pc.equal(width, w)), threshold)
+        for whole in runs(batches, "g"):
+            width = pc.list_value_length(whole.column("vec"))
+            for w in pc.unique(width):  # hashes of different widths may collide
+                t = whole.filter(pc.equal(width, w)).combine_chunks()
+                x = unit(t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(t), -1))
+                label = t.column("label").to_numpy()
+                keys = np.concatenate([keys_of(x[at : at + 1024], label[at : at + 1024]) for at in range(0, len(x), 1024)])
+                bounds = run_bounds(t.column("g").to_numpy())
+                t = t.drop_columns("vec")
+                for s in np.flatnonzero(np.diff(bounds) > 1):
+                    low, high = bounds[s], bounds[s + 1]
+                    found = links_of(t.slice(low, high - low), x[low:high], keys[low:high], threshold)
                     if found is not None:
                         yield found
 
