@@ -307,7 +307,7 @@ def bounded(groups: DataFrame) -> DataFrame:
     block = F.floor(F.sum("n_shingles").over(of_group.orderBy("h")) / (WEIGHT // 2)).cast("long")
     rows = groups.withColumn("block", block).withColumn("last", F.when(F.sum("n_shingles").over(of_group) > WEIGHT, F.max("block").over(of_group)))
     rows = rows.withColumn("to", F.explode(F.coalesce(F.sequence(F.lit(0).cast("long"), F.col("last")), F.array(F.lit(-1).cast("long"))))).filter("to <> block")
-    return rows.withColumn("g", F.when(F.col("to") < 0, F.col("g")).otherwise(F.xxhash64("g", F.least("block", "to"), F.greatest("block", "to")))).select("g", "h", "n_shingles")
+    return rows.withColumn("g", F.when(F.col("to") < 0, F.col("g")).otherwise(F.xxhash64("g", F.least("block", "to"), F.greatest("block", "to")))).drop("block", "last", "to")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -341,8 +341,8 @@ def resolve(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if n:
         inside = near(clusters, large, "component", n, "left_semi").select(F.col("node").alias("a"))
         parts = found.join(inside, "a", "left_semi").withColumn("g", F.xxhash64("node", "a"))
-        parts = parts.select("g", F.explode(F.array("a", "b")).alias("h")).distinct().join(set_of.drop("doc_id"), "h")
-        groups = groups.unionByName(bounded(parts).drop("n_shingles").join(set_of.drop("n_shingles"), "h"))
+        parts = parts.select("g", F.explode(F.array("a", "b")).alias("h")).distinct().join(set_of, "h")
+        groups = groups.unionByName(bounded(parts).drop("n_shingles"))
     groups = park(groups)
     text = near(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), groups, "doc_id", groups.count(), "inner")
     links = components(park(verify(full_sets(text, k), percent)))
