@@ -234,8 +234,8 @@ def grow(classes: DataFrame, threshold: float, trees: tuple[int, int]) -> tuple[
     return [*found, park(leaves(block_pairs(rows), least))], crowded, depth
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, a, b) from all trees; classes have h and sig.
+def candidates(classes: DataFrame, threshold: float) -> list[DataFrame]:
+    """(node, a, b) from the first TREES trees, and from each further set of trees if there are any; classes have h and sig.
 
     All classes walk down TREES trees. Those of nodes that stay large walk down more of them,
     until there are as many as the depth reached asks for.
@@ -243,9 +243,9 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     found, had, want = [], 0, TREES
     while want > had and classes is not None:
         parts, classes, depth = grow(classes, threshold, (had, want))
-        found += parts
+        found.append(reduce(DataFrame.unionAll, parts))
         had, want = want, max(want, trees_for(depth, threshold))
-    return reduce(DataFrame.unionAll, found)
+    return found
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -330,7 +330,8 @@ def resolve(docs: DataFrame, k: int, percent: int) -> DataFrame:
     with_set = signed.filter("h is not null")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sig", "n_shingles")).alias("x")
     classes = park(with_set.groupBy("h").agg(first, F.min("doc_id").alias("rep"), F.count("*").alias("copies")).select("h", "rep", "copies", F.col("x.doc_id").alias("holder"), "x.sig", "x.n_shingles"))
-    found = candidates(classes.select("h", "sig"), percent / 100)
+    sets_of_trees = candidates(classes.select("h", "sig"), percent / 100)
+    found = reduce(DataFrame.unionAll, sets_of_trees)
     clusters = park(components(found))
     sizes = clusters.join(classes.select(F.col("h").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
     large = park(sizes.filter((F.col("size") > NODE) | (F.col("weight") > WEIGHT)).select("component"))
@@ -338,14 +339,26 @@ def resolve(docs: DataFrame, k: int, percent: int) -> DataFrame:
     whole = near(clusters, large, "component", n, "left_anti") if n else clusters
     set_of = classes.select("h", "n_shingles", F.col("holder").alias("doc_id"))
     groups = whole.select(F.col("component").alias("g"), F.col("node").alias("h")).join(set_of, "h").select("g", "h", "doc_id")
+
+    def confirm(groups: DataFrame) -> DataFrame:
+        groups = park(groups)
+        text = near(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), groups, "doc_id", groups.count(), "inner")
+        return park(verify(full_sets(text, k), percent))
+
     if n:
         inside = near(clusters, large, "component", n, "left_semi").select(F.col("node").alias("a"))
-        parts = found.join(inside, "a", "left_semi").withColumn("g", F.xxhash64("node", "a"))
-        parts = parts.select("g", F.explode(F.array("a", "b")).alias("h")).distinct().join(set_of, "h")
-        groups = groups.unionByName(bounded(parts).drop("n_shingles"))
-    groups = park(groups)
-    text = near(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), groups, "doc_id", groups.count(), "inner")
-    links = components(park(verify(full_sets(text, k), percent)))
+        stars_of = [found.join(inside, "a", "left_semi").withColumn("g", F.xxhash64("node", "a")) for found in sets_of_trees]
+        parts = [x.select("g", F.explode(F.array("a", "b")).alias("h")).distinct() for x in stars_of]
+        groups = groups.unionByName(bounded(parts[0].join(set_of, "h")).drop("n_shingles"))
+    pairs = confirm(groups)
+    links = components(pairs)
+    for more in parts[1:] if n else []:
+        # groups of one component add nothing to it
+        part = more.join(links.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        open_groups = part.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("g")
+        more = more.join(open_groups, "g", "left_semi").join(set_of, "h")
+        pairs = pairs.unionAll(confirm(bounded(more).drop("n_shingles").select("g", "h", "doc_id")))
+        links = components(pairs)
     moved = links.join(classes.select(F.col("h").alias("node"), "rep"), "node")
     least = moved.groupBy("component").agg(F.min("rep").alias("component_id"))
     moved = moved.join(least, "component").select(F.col("node").alias("h"), "component_id")
