@@ -136,11 +136,12 @@ def descend(rows: DataFrame, extra: float, sketch: bool, trees: tuple[int, int])
     With sketch, sig holds four bits of each position instead of sixteen.
     """
     roots = "node" not in rows.columns
+    many = max(1, 20_480 // (trees[1] - trees[0])) if roots else 20_480  # a batch of children is as large from any number of trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for at in range(0, big.num_rows, many):
+                batch = big.slice(at, many)
                 h = batch.column(0).to_numpy()
                 sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, POSITIONS)
                 if roots:
