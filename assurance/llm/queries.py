@@ -79,12 +79,32 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(write_files(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.codebooks import op11
+
+    return op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence_skyband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.divergence import op12
+
+    return op12(table(spark, sf_dir, "documents"))
+
+
+def op13_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assurance.llm.imatch import op13
+
+    return op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op4_temperature_mixing, op5_minhash_chosen_path, op6_licence_dice, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files]
+    own = [op1_language_kneser_ney, op2_lm_bloom_filter, op3_bpe_forced_boundaries, op4_temperature_mixing, op5_minhash_chosen_path, op6_licence_dice, op7_quality_fertility, op8_html_suffix_array, op9_vectors_cross_polytope, op10_token_files, op11_cover_tree_codes, op12_divergence_skyband, op13_imatch_fingerprints]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    from assurance.llm.codebooks import op11_sql
+    from assurance.llm.divergence import op12_sql
     from assurance.llm.licences import op6_sql
 
-    return {"op6_licence_dice": op6_sql()}
+    return {"op6_licence_dice": op6_sql(), "op11_cover_tree_codes": op11_sql(), "op12_divergence_skyband": op12_sql()}
