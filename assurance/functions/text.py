@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assurance.functions import patterns as P
+
 # Stop words, token patterns and shapes.
 BM25_STOP = """a an the and or but if then than that this these those is are was were be been being am do does did doing have has had having i me my we us our you your he him his she her
 it its they them their what which who whom when where why how all any both each few more most other some such no nor not only own same so too very s t can will just don should now of to in
@@ -132,6 +134,18 @@ def verhoeff(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), step) == 0
 
 
-def related(a: Column, b: Column, prefix: int) -> Column:
-    """Words that are equal, or where one of at least prefix letters begins the other (TX14)."""
-    return (a == b) | ((F.char_length(a) >= prefix) & b.startswith(a)) | ((F.char_length(b) >= prefix) & a.startswith(b))
+def asking_terms(text: Column) -> Column:
+    """Words of a question or an answer that can carry an objective, in order."""
+    return _without(found(F.lower(text), P.ASKING_TOKEN), P.ASKING_STOP, 2)
+
+
+def concepts(words: Column) -> Column:
+    """Words with each member of a concept family replaced by the family's name (TX14), so that related ones are equal."""
+    family = F.create_map(*(F.lit(x) for n, members in enumerate(P.FAMILIES) for w in members for x in (w, f"#{n}")))
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(family, w), w))
+
+
+def related(a: Column, b: Column, prefix: int = 5) -> Column:
+    """Words that are equal, a plain plural of each other, or of which one of at least prefix letters begins the other (TX14)."""
+    plural = (a == F.concat(b, F.lit("s"))) | (b == F.concat(a, F.lit("s")))
+    return (a == b) | plural | ((F.char_length(a) >= prefix) & b.startswith(a)) | ((F.char_length(b) >= prefix) & a.startswith(b))

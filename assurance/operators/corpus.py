@@ -105,14 +105,19 @@ def scope_scores(questions: DataFrame, lexicon: DataFrame) -> DataFrame:
 def scope_verdict(scores: DataFrame, asked: DataFrame, coverage: DataFrame) -> DataFrame:
     """Where a question asked of a system belongs (Q13).
 
-    asked: (item_id, system_id); coverage: (item_id, system_id, cover). Foreign if another
-    system scores clearly higher and this one's documents do not cover it.
+    asked: (item_id, system_id, n_terms); coverage: (item_id, system_id, cover). Foreign if the
+    best other system scores clearly higher and its documents cover the question clearly
+    better: both signals must name the same one. A question of fewer than two subject terms
+    stays in scope.
     """
     mine = scores.select("item_id", "system_id", F.col("score").alias("mine"))
-    ranked = scores.join(asked.withColumnRenamed("system_id", "own"), "item_id").filter("system_id <> own")
-    other = ranked.groupBy("item_id", F.col("own").alias("system_id")).agg(F.max(F.struct("score", F.col("system_id").alias("s"))).alias("o"))
-    j = asked.join(mine, ["item_id", "system_id"], "left").join(other, ["item_id", "system_id"], "left").join(coverage, ["item_id", "system_id"], "left")
-    m, o, c = F.coalesce("mine", F.lit(0.0)), F.coalesce("o.score", F.lit(0.0)), F.coalesce("cover", F.lit(0.0))
-    foreign = (o >= 0.42) & (o >= 2.6 * F.greatest(m, F.lit(0.02))) & (c <= F.greatest(1.35 * m, F.lit(0.5)))
-    verdict = F.when(foreign, "foreign").when((c >= 2.0) | (m >= 0.14), "in_scope").otherwise("uncovered")
-    return j.select("item_id", "system_id", m.alias("mine"), c.alias("cover"), verdict.alias("verdict"), F.when(foreign, F.col("o.s")).alias("redirect_to"))
+    ranked = scores.join(asked.select("item_id", F.col("system_id").alias("own")), "item_id").filter("system_id <> own")
+    best = ranked.groupBy("item_id", F.col("own").alias("system_id")).agg(F.min_by(F.struct("score", F.col("system_id").alias("other")), "place").alias("o")).select("item_id", "system_id", "o.*")
+    theirs = coverage.select("item_id", F.col("system_id").alias("other"), F.col("cover").alias("other_cover"))
+    best = best.join(theirs, ["item_id", "other"], "left")
+    j = asked.join(mine, ["item_id", "system_id"], "left").join(best, ["item_id", "system_id"], "left").join(coverage, ["item_id", "system_id"], "left")
+    m, o, c, t = (F.coalesce(x, F.lit(0.0)) for x in ("mine", "score", "cover", "other_cover"))
+    enough = F.col("n_terms") >= 2
+    foreign = F.coalesce(enough & (o >= 0.42) & (o >= 2.6 * F.greatest(m, F.lit(0.02))) & (t >= F.greatest(1.35 * c, F.lit(0.5))), F.lit(False))
+    verdict = F.when(foreign, "foreign").when(~enough | (c >= 2.0) | (m >= 0.14), "in_scope").otherwise("uncovered")
+    return j.select("item_id", "system_id", m.alias("mine"), c.alias("cover"), t.alias("other_cover"), verdict.alias("verdict"), F.when(foreign, F.col("other")).alias("redirect_to"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assurance import config as C
+from assurance.operators import scoring
+from assurance.operators.corpus import few
 
 #: Findings about the text that route by themselves, and how the views derive them.
 FLAGS = {"toxic": "k = 97", "omitted": "k % 17 = 3", "unserved": "k % 19 = 4", "overconfident": "k % 23 = 5", "judge_failed": "k % 29 = 6", "contradiction": "k % 31 = 7", "abstained": "k % 37 = 8", "redactable": "k % 2 = 0"}
@@ -77,7 +79,7 @@ def side_effect(route_: Column, effective: Column) -> Column:
 def join_evidence(capability: DataFrame, risk: DataFrame, governance: DataFrame, policy: DataFrame) -> DataFrame:
     """One row for each decision with all that the ladder reads; the three large sides share the key request_id."""
     j = capability.join(risk, "request_id").join(governance, "request_id")
-    j = j.join(F.broadcast(policy.select("system_id", "t_pass", "t_repair", "t_escalate", "hard_gate")), "system_id")
+    j = j.join(few(policy.select("system_id", "t_pass", "t_repair", "t_escalate", "hard_gate")), "system_id")
     return j.select("*", *(F.expr(v).alias(k) for k, v in FLAGS.items()), tier(F.col("k") % 5).alias("tier"))
 
 
@@ -96,15 +98,44 @@ def compare_policies(evidence: DataFrame, variants: DataFrame) -> DataFrame:
 
     variants: two rows (variant, t_pass, t_escalate) as data; only their thresholds enter the plan, twice.
     """
-    both = evidence.drop("t_pass", "t_escalate").join(F.broadcast(variants))
+    both = evidence.drop("t_pass", "t_escalate").join(few(variants))
     both = route(both)
     out = both.groupBy("request_id").agg(F.max(F.when(F.col("variant") == "a", F.col("route"))).alias("route_a"), F.max(F.when(F.col("variant") == "b", F.col("route"))).alias("route_b"))
     return out.withColumn("diverges", F.col("route_a") != F.col("route_b"))
 
 
-def replay(recorded: DataFrame, again: DataFrame, fields: list[str]) -> DataFrame:
-    """Recorded against recomputed decisions (P12): identical, and the fields that differ, null-safely."""
-    a, b = recorded.alias("a"), again.alias("b")
-    differ = F.array_compact(F.array(*(F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields)))
-    joined = a.join(b, F.col("a.request_id") == F.col("b.request_id"), "full")
-    return joined.select(F.coalesce("a.request_id", "b.request_id").alias("request_id"), (F.size(differ) == 0).alias("identical"), F.array_join(differ, ",").alias("differences"))
+#: What a replay compares, and what a record holds: the evidence, the policy and the capability as they were when the decision fell, and what came out.
+OUTCOME = ["dominant", "final_route", "governance", "p_failure", "price", "route", "rule"]
+HELD = ["system_id", "k", "effective", "blast_radius", "mismatch", "approval", "denied"]
+RECORD = (
+    "system_id string, k int, effective string, blast_radius double, mismatch boolean, approval boolean, denied string, "
+    "policy struct<weights:map<string,double>,t_pass:int,t_repair:int,t_escalate:int,hard_gate:array<string>>, "
+    "evidence array<struct<monitor_ord:int,detector_id:string,status:string,requirement:string,score:double,confidence:double,labels:array<string>>>, "
+    "outcome struct<dominant:string,final_route:string,governance:string,p_failure:double,price:int,route:string,rule:string>"
+)
+
+
+def records(capability: DataFrame, results: DataFrame, policy: DataFrame, decided: DataFrame) -> DataFrame:
+    """(request_id, record): one JSON line a decision, from which it can be decided again."""
+    row = F.struct("monitor_ord", "detector_id", "status", "requirement", "score", "confidence", "labels")
+    evidence = results.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("evidence"))
+    snapshot = policy.select("system_id", F.struct("weights", "t_pass", "t_repair", "t_escalate", "hard_gate").alias("policy"))
+    j = capability.select("request_id", *HELD).join(few(snapshot), "system_id").join(evidence, "request_id", "left").join(decided.select("request_id", F.struct(*OUTCOME).alias("outcome")), "request_id")
+    return j.select("request_id", F.to_json(F.struct(*HELD, "policy", "evidence", "outcome")).alias("record"))
+
+
+def replay(records: DataFrame) -> DataFrame:
+    """(request_id, identical, differences) of records (request_id, record) decided again from what they hold alone.
+
+    Policies come from the records, once for each different one, so a policy or a registry
+    that has changed since has no say; a record that was changed is named by the fields that differ.
+    """
+    x = records.select("request_id", F.from_json("record", RECORD).alias("r")).select("request_id", "r.*")
+    x = x.withColumn("system_id", F.sha2(F.to_json("policy"), 256))
+    policies = x.groupBy("system_id").agg(F.first("policy").alias("p")).select("system_id", "p.*")
+    results = x.select("request_id", "system_id", F.inline("evidence"))
+    risk, governance = scoring.price(results, policies, x), scoring.govern(results, x)
+    again = floor(route(join_evidence(x.drop("policy", "evidence", "outcome"), risk, governance, policies)))
+    both = x.select("request_id", "outcome").join(again.select("request_id", F.struct(*OUTCOME).alias("now")), "request_id", "left")
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"outcome.{f}").eqNullSafe(F.col(f"now.{f}")), F.lit(f)) for f in OUTCOME)))
+    return both.select("request_id", (F.size(differ) == 0).alias("identical"), F.array_join(differ, ",").alias("differences"))

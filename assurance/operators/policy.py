@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assurance import config as C
+from assurance.operators.windows import as_of
 
 TIGHTEN = {"pass": 4, "repair": 4, "escalate": 6}
 
@@ -109,17 +110,52 @@ def live_controls(points: DataFrame, controls: DataFrame, after_s: int = 0) -> D
     return p.join(c, ["system_id", "hour"]).filter((F.col("occurred_at") >= F.col("valid_from")) & (F.col("occurred_at") < end)).drop("hour")
 
 
-def overlays(points: DataFrame, controls: DataFrame) -> DataFrame:
-    """The merged overlay at each point that has one (P3): payloads in order of version, later ones on top."""
-    live = live_controls(points, controls)
-    return live.groupBy("request_id", "system_id").agg(
+def folded(payloads: Column) -> Column:
+    """struct(scalars, lists, dicts) of an array of JSON payloads, later ones on top: members of a dict are updated, lists are extended, anything else is overwritten."""
+    start = F.struct(*(F.create_map().cast(kind).alias(name) for name, kind in (("scalars", "map<string,string>"), ("lists", "map<string,array<string>>"), ("dicts", "map<string,map<string,string>>"))))
+    empty_list, empty_dict = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    later = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+
+    def put(acc: Column, payload: Column) -> Column:
+        every = F.coalesce(F.from_json(payload, "map<string,string>"), empty_dict)
+        kind = lambda sign: F.map_filter(every, lambda _, v: F.coalesce(v.startswith(sign), F.lit(False)))
+        plain = F.map_filter(every, lambda _, v: ~F.coalesce(v.startswith("[") | v.startswith("{"), F.lit(False)))
+        lists = F.map_zip_with(acc["lists"], F.transform_values(kind("["), lambda _, v: F.from_json(v, "array<string>")), lambda _, x, y: F.concat(F.coalesce(x, empty_list), F.coalesce(y, empty_list)))
+        dicts = F.map_zip_with(acc["dicts"], F.transform_values(kind("{"), lambda _, v: F.from_json(v, "map<string,string>")), lambda _, x, y: later(F.coalesce(x, empty_dict), F.coalesce(y, empty_dict)))
+        return F.struct(later(acc["scalars"], plain).alias("scalars"), lists.alias("lists"), dicts.alias("dicts"))
+
+    return F.aggregate(payloads, start, put)
+
+
+def timeline(controls: DataFrame) -> DataFrame:
+    """(system_id, from_at, n_live, kinds, last_control, scalars, lists, dicts): elementary intervals of each system, with the controls live in them folded by version.
+
+    controls: (control_id, system_id, kind, version, payload as JSON, valid_from, valid_to). Their
+    ends cut a system's time into intervals in which nothing changes, so payloads are folded
+    once an interval, not once a decision. A control stands in as many intervals as others
+    begin or end while it is live.
+    """
+    ends = controls.select("system_id", F.explode(F.array("valid_from", "valid_to")).alias("occurred_at")).distinct()
+    live = live_controls(ends.withColumn("request_id", F.unix_micros("occurred_at")), controls)
+    inside = live.groupBy("system_id", F.col("occurred_at").alias("from_at")).agg(
         F.count("*").alias("n_live"),
         F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
-        F.bool_or(F.col("kind") == "suspend").alias("suspended"),
-        F.bool_or(F.col("kind") == "require_human").alias("require_human"),
-        F.max(F.when(F.col("kind") == "tighten", F.lit(TIGHTEN["escalate"])).otherwise(0)).alias("tighten_escalate"),
         F.max("control_id").alias("last_control"),
+        F.transform(F.array_sort(F.collect_list(F.struct("version", "control_id", "payload"))), lambda x: x["payload"]).alias("payloads"),
     )
+    inside = inside.select("*", folded(F.col("payloads")).alias("x")).select("system_id", "from_at", "n_live", "kinds", "last_control", "x.*")
+    return ends.select("system_id", F.col("occurred_at").alias("from_at")).join(inside, ["system_id", "from_at"], "left")
+
+
+def overlays(points: DataFrame, controls: DataFrame) -> DataFrame:
+    """(request_id, system_id, n_live, kinds, last_control, scalars, lists, dicts) of each point that controls bear on.
+
+    A point meets the interval that began last before it, as of its time.
+    """
+    intervals = timeline(controls)
+    at = as_of(points.select("request_id", "system_id", "occurred_at"), intervals.select("system_id", "from_at"), "system_id", "occurred_at", "from_at", F.unix_micros("from_at"), "interval")
+    live = intervals.filter("n_live > 0").withColumn("interval", F.unix_micros("from_at")).drop("from_at")
+    return at.join(live, ["system_id", "interval"]).drop("interval", "occurred_at").select("request_id", "system_id", "n_live", "kinds", "last_control", "scalars", "lists", "dicts")
 
 
 def system_states(points: DataFrame, controls: DataFrame) -> DataFrame:

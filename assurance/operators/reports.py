@@ -115,12 +115,3 @@ def verification(results: DataFrame) -> DataFrame:
     g = results.groupBy("request_id").agg(F.bool_or(ran & ground).alias("checked"), F.max(F.when(ran & ground, F.col("score"))).alias("score"), F.bool_or(ran & ground & F.array_contains("labels", "unverifiable")).alias("unverifiable"))
     state = F.when(~F.col("checked"), "not_checked").when(F.col("unverifiable"), "unverified").when(F.col("score") == 0, "verified").when(F.col("score") < 0.55, "partly_verified").otherwise("contradicted")
     return g.select("request_id", state.alias("state"))
-
-
-def purpose_score(n_omitted: Column, go_ahead: Column, off_topic: Column, missing_focus: Column, unserved: Column) -> Column:
-    """Score of an answer's service to its question (M14): an omission takes the place of an unserved objective."""
-    more = F.greatest(n_omitted - 1, F.lit(0)) * 0.06
-    omission = F.when(n_omitted > 0, F.when(go_ahead, 0.62 + 0.22).otherwise(0.50 + 0.0) + more)
-    objective = F.when(unserved, 0.50)
-    base = F.coalesce(omission, objective, F.lit(0.0))
-    return F.least(F.lit(1.0), F.greatest(base, F.when(off_topic, 0.5).otherwise(0.0), F.when(missing_focus, 0.42).otherwise(0.0)))

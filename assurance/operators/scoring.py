@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assurance import config as C
+from assurance.operators.corpus import few
 
 RAN = ("completed", "completed_async")
 
@@ -24,7 +25,7 @@ def price(results: DataFrame, weights: DataFrame, radius: DataFrame) -> DataFram
     blast_radius). Only rows that ran and have a score count; a decision without any is
     priced 0 with confidence 0.3. Ties for the dominant detector go to the earlier one.
     """
-    r = results.join(F.broadcast(weights.select("system_id", "weights")), "system_id", "left")
+    r = results.join(few(weights.select("system_id", "weights")), "system_id", "left")
     counts = F.col("status").isin(*RAN) & F.col("score").isNotNull()
     weighted = F.least(F.lit(1.0), F.col("score") * F.coalesce(F.element_at("weights", F.col("detector_id")), F.lit(1.0)))
     item = F.when(counts, F.struct(weighted.alias("v"), (-F.col("monitor_ord")).alias("o"), F.col("detector_id").alias("d")))

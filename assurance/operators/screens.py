@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assurance.functions import patterns as P
 from assurance.functions import text as T
+from assurance.operators.corpus import few
 
 
 def hits(text: Column, pattern: str) -> Column:
@@ -78,30 +79,45 @@ def harms(q: Column) -> Column:
     return F.when(excused, F.slice(methods, 1, 0)).when(worse, F.concat(raised, methods)).otherwise(F.concat(methods, hostile))
 
 
-def blocklist(questions: DataFrame, terms: DataFrame) -> DataFrame:
-    """(request_id, term) of a system's blocked terms that a question holds as whole words (Q7).
+def blocklist(questions: DataFrame, terms: DataFrame, most: int = 4) -> DataFrame:
+    """(request_id, n, term): the first blocked terms, in their configured order, that a question holds as whole words (Q7).
 
-    terms: (system_id, term). Questions and terms meet on the system and the words of the
-    question, an equi-join; terms under three letters never count.
+    terms: (system_id, ord, term). A term may have several words and other signs; it counts
+    from three characters on, without regard to case. Terms meet questions by an equi-join on
+    their rarest word; only those pairs are compared in full, at any place where no letter or
+    digit touches the term. A term without a word meets all questions of its system.
     """
-    words = F.explode(F.array_distinct(T.found(F.lower("question"), r"[a-z0-9]+"))).alias("term")
-    return questions.select("request_id", "system_id", words).filter(F.char_length("term") >= 3).join(terms, ["system_id", "term"])
-
-
-def screen(questions: DataFrame) -> DataFrame:
-    """questions with outcome, the first gate that refuses: harm, errand, ingress, else allow (Q6, Q14).
-
-    Later gates are computed only for rows that the earlier ones let through, since CASE
+    word = r"(?U)\w+"
+    asked = questions.select("request_id", "system_id", "question", F.explode(F.array_append(F.array_distinct(T.found(F.lower("question"), word)), F.lit(""))).alias("word"))
+    t = terms.withColumn("term", F.trim("term")).filter(F.char_length("term") >= 3)
+    parts = t.withColumn("word", F.explode(F.when(F.col("term").rlike(word), F.array_distinct(T.found(F.lower("term"), word))).otherwise(F.array(F.lit("")))))
+    seen = asked.join(few(parts.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rarest = parts.join(seen, "word", "left").groupBy("system_id", "ord", "term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "word")).alias("x")).select("system_id", "ord", "term", F.col("x.word").alias("word"))
+    whole = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    found = asked.join(few(rarest), ["system_id", "word"]).filter(F.rlike("question", whole))
+    n = F.row_number().over(Window.partitionBy("request_id").orderBy("ord", "term"))
+    return found.withColumn("n", n).filter(F.col("n") <= most).select("request_id", "n", "term")
+
+
+def screen(questions: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """questions with outcome, the first gate that refuses: blocked terms, harm, errand, ingress, else allow (Q6, Q14).
+
+    blocked: (request_id) of blocklist(), which no exclusion of the harm screen excuses. Later gates are computed only for rows that the earlier ones let through, since CASE
     stops at the first branch that holds.
     """
     q = F.col("question")
     blank = F.trim(q) == ""
     checks = F.size(ingress_findings(q)) > 0
+    if blocked is not None:
+        questions = questions.join(blocked.select("request_id").distinct().withColumn("blocked", F.lit(True)), "request_id", "left")
+    else:
+        questions = questions.withColumn("blocked", F.lit(None).cast("boolean"))
     outcome = (
         F.when(F.coalesce(blank, F.lit(True)), "refused_empty")
+        .when(F.coalesce("blocked", F.lit(False)), "refused_blocked")
         .when(F.size(harms(q)) > 0, "refused_harmful")
         .when(errand(q).isNotNull(), "out_of_purpose")
         .when(checks | (F.char_length(q) > 4000), "held")
         .otherwise("allow")
     )
-    return questions.withColumn("outcome", outcome)
+    return questions.withColumn("outcome", outcome).drop("blocked")

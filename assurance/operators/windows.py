@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from assurance.operators.corpus import few
@@ -30,6 +32,24 @@ def sequence(df: DataFrame, keys: list[str], bucket: Column, order: list[str], n
     return running_total(df, keys, bucket, order, F.lit(1).cast("long"), name)
 
 
+def previous_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[str], last: int, frames: dict[str, Callable[[WindowSpec], Column]], size: int = 2048) -> DataFrame:
+    """df with columns over the last so many rows before each row of its keys, in order.
+
+    Rows are numbered (as in sequence), and each run of size of them is a block of its own;
+    the last rows of a block also stand in the next one, where they only precede. So a
+    frame never needs more than one block, whatever share of the rows a key has.
+    """
+    size = max(size, last)
+    place = F.col("__number") - 1
+    block = F.floor(place / size)
+    own, halo = F.struct(block.alias("block"), F.lit(False).alias("halo")), F.struct((block + 1).alias("block"), F.lit(True).alias("halo"))
+    rows = sequence(df, keys, bucket, order, "__number").withColumn("__to", F.explode(F.when(place % size >= size - last, F.array(own, halo)).otherwise(F.array(own))))
+    window = Window.partitionBy(*keys, "__block").orderBy("__number").rowsBetween(-last, -1)
+    rows = rows.withColumn("__block", F.col("__to.block"))
+    rows = rows.select("*", *(f(window).alias(name) for name, f in frames.items())).filter(~F.col("__to.halo"))
+    return rows.select(*df.columns, *frames)
+
+
 def trailing_sum(df: DataFrame, row_id: str, key: str, at: str, value: str, seconds: int, name: str) -> DataFrame:
     """(row_id, name): the sum of value over the key's rows from seconds before each row up to it, both ends and ties included.
 

@@ -77,16 +77,22 @@ def p2(spark, d):
 LIVE = "live AS (SELECT d.request_id, d.system_id, d.occurred_at, c.* EXCLUDE (system_id) FROM v_decisions d JOIN v_controls c ON d.system_id = c.system_id AND d.occurred_at >= c.valid_from AND d.occurred_at < c.valid_to + INTERVAL {s} SECOND)"
 
 
+DAY_LIVE = "day_live AS (SELECT d.request_id, d.system_id, c.* EXCLUDE (system_id) FROM v_decisions d JOIN day_controls c ON d.system_id = c.system_id AND d.occurred_at >= c.valid_from AND d.occurred_at < c.valid_to)"
+
+
 @query(
     "p3_overlay",
     with_sql(
-        "SELECT request_id, system_id, count(*) AS n_live, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, bool_or(kind = 'suspend') AS suspended, bool_or(kind = 'require_human') AS require_human, max(CASE WHEN kind = 'tighten' THEN 6 ELSE 0 END) AS tighten_escalate, max(control_id) AS last_control FROM live GROUP BY request_id, system_id",
-        V.DECISIONS, V.CONTROLS, LIVE.format(s=0),
+        "SELECT request_id, system_id, count(*) AS n_live, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, max(control_id) AS last_control, arg_max(mode, control_id) AS mode, arg_max(suspended, control_id) AS suspended, string_agg(tools, ',' ORDER BY control_id) AS tools, arg_max(escalate, control_id)::VARCHAR AS escalate, arg_max(pass, control_id)::VARCHAR AS pass FROM day_live GROUP BY request_id, system_id",
+        V.DECISIONS, V.CONTROLS, V.DAY_CONTROLS, DAY_LIVE,
     ),
 )
 def p3(spark, d):
     turns = V.decisions(spark, d)
-    return policy.overlays(turns, V.controls(turns))
+    x = policy.overlays(turns, V.day_controls(turns))
+    thresholds = lambda k: F.try_element_at(F.try_element_at("dicts", F.lit("thresholds")), F.lit(k)).alias(k)
+    scalar = lambda k: F.try_element_at("scalars", F.lit(k)).alias(k)
+    return x.select("request_id", "system_id", "n_live", "kinds", "last_control", scalar("mode"), scalar("suspended"), F.array_join(F.try_element_at("lists", F.lit("tools")), ",").alias("tools"), thresholds("escalate"), thresholds("pass"))
 
 
 @query(
@@ -148,15 +154,23 @@ def p11(spark, d):
     return decide.compare_policies(Decisions(spark, d).joined(), variants)
 
 
-FIELDS = ["price", "p_failure", "governance", "rule", "route"]
+# The record's evidence differs from what was decided on: a score of every tenth turn, a status of others.
+CHANGED = """v_changed AS (SELECT * REPLACE (CASE WHEN request_id % 10 = 3 AND detector_id = 'grounding' THEN 1.0::DOUBLE ELSE score END AS score, CASE WHEN request_id % 10 = 6 AND detector_id = 'privacy' THEN 'failed' ELSE status END AS status) FROM v_detector_results)"""
+REPLAYED = "SELECT request_id, " + ", ".join(decide.OUTCOME) + " FROM decided"
 
 
-@query("p12_replay", full("SELECT request_id, true AS identical, '' AS differences FROM decided"))
+@query(
+    "p12_replay",
+    f"SELECT a.request_id, len(x) = 0 AS identical, array_to_string(x, ',') AS differences FROM ({full(REPLAYED)}) a JOIN ({full(REPLAYED, 'v_changed', CHANGED)}) b ON a.request_id = b.request_id "
+    f"CROSS JOIN LATERAL (SELECT list_filter([{', '.join(f"CASE WHEN a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in decide.OUTCOME)}], lambda f: f IS NOT NULL) AS x)",
+)
 def p12(spark, d):
+    """Decisions decided again from the log's records, some of which were changed since."""
     x = Decisions(spark, d)
-    recorded = x.decided().select("request_id", *FIELDS)
-    again = decide.route(x.joined(V.detector_results(x.turns))).select("request_id", *FIELDS)
-    return decide.replay(recorded, again, FIELDS)
+    n, what = F.col("request_id") % 10, F.col("detector_id")
+    changed = x.results.withColumn("score", F.when((n == 3) & (what == "grounding"), 1.0).otherwise(F.col("score")))
+    changed = changed.withColumn("status", F.when((n == 6) & (what == "privacy"), "failed").otherwise(F.col("status")))
+    return decide.replay(decide.records(x.capability, changed, x.policy, x.decided()))
 
 
 LATE = """late AS (SELECT * REPLACE ('completed_async' AS status) FROM v_detector_results WHERE status = 'queued_async'),

@@ -38,7 +38,7 @@ def tx9(spark, d):
     return x.select("doc_id", F.array_join(bands(PT.ABOVE), ";").alias("above"), F.array_join(bands(PT.UP_TO), ";").alias("up_to"))
 
 
-@query("q5_out_of_intent")
+@query("q5_out_of_intent", f"WITH {turns.TURNS}, {turns.INTENT_SQL} SELECT turn_id, intent, intent NOT IN ('policy_lookup', 'status_lookup', 'drafting') AND confidence >= 0.4 AS notice FROM intents")
 def q5(spark, d):
     """Turns whose intent the system does not serve, at a confidence of 0.4 or more (Q5)."""
     allowed = F.array(*map(F.lit, ("policy_lookup", "status_lookup", "drafting")))
@@ -46,27 +46,6 @@ def q5(spark, d):
     return t.select("turn_id", "i.intent", (~F.array_contains(allowed, F.col("i.intent")) & (F.col("i.confidence") >= 0.4)).alias("notice"))
 
 
-@query("m13_objectives")
-def m13(spark, d):
-    """What the questioner wants, and whether the answer comes back to any of it."""
-    return objectives(turns.turns(spark, d))
-
-
-# How a question names a goal.
-GOAL = r"(?i)\b(?:i\s+want\s+to|i\s+need\s+to|i\s+am\s+trying\s+to|i'd\s+like\s+to|help\s+me)\s+([a-z' -]{3,80})"
-
-
-def objectives(t):
-    """(turn_id, n_objectives, n_unserved): at most four goals of a question; one is served if a stem of it is related to one of the answer."""
-    from assurance.functions import text as T
-
-    goals = F.slice(F.array_distinct(F.transform(F.regexp_extract_all("question", F.lit(GOAL), F.lit(1)), lambda g: F.array_join(F.array_sort(F.array_distinct(T.stems(g))), " "))), 1, 4)
-    t = t.withColumn("goals", F.filter(goals, lambda g: g != "")).withColumn("said", F.array_distinct(T.stems(F.col("answer"))))
-    served = lambda g: F.exists(F.split(g, " "), lambda w: F.exists("said", lambda s: T.related(w, s, 5)))
-    exempt = (F.size("said") < 4) | screens.hits(F.col("answer"), PT.ABSTAIN)
-    return t.select("turn_id", F.size("goals").alias("n_objectives"), F.when(exempt, 0).otherwise(F.size(F.filter("goals", lambda g: ~served(g)))).alias("n_unserved"))
-
-
 @query("a20_sweep", "SELECT request_id, route_a, route_b FROM (" + D.SQL["p11_policy_ab"] + ") WHERE diverges")
 def a20(spark, d):
     """Turns on which two policies part ways."""
@@ -125,19 +104,17 @@ def m6(spark, d):
     return x.select("doc_id", F.size("runs").alias("n_runs"), F.size(F.filter("runs", T.verhoeff)).alias("n_valid"))
 
 
+FIGURES_SQL = "list_distinct(list_transform(" + retrieval.FIGURE_SQL + ", lambda f: " + retrieval.VALUE_SQL.format(x="f") + "))"
 
 
-FIGURES_SQL = "list_distinct(regexp_extract_all({x}, '[0-9]+'))"
-
-
-@query("u2_figure_sets", f"WITH {turns.TURNS}, s AS (SELECT turn_id, {FIGURES_SQL.format(x='question')} AS q, {FIGURES_SQL.format(x='answer')} AS a, {FIGURES_SQL.format(x='text')} AS s FROM v_turns JOIN documents ON doc_id = turn_id // 1000) SELECT turn_id, array_to_string(list_sort(list_filter(a, lambda x: list_contains(q, x) AND NOT list_contains(s, x))), ',') AS repeated, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(q, x) AND NOT list_contains(s, x))), ',') AS new_ FROM s")
+@query("u2_figure_sets", f"WITH {turns.TURNS}, s AS (SELECT turn_id, {FIGURES_SQL.format(x='question')} AS q, {FIGURES_SQL.format(x='answer')} AS a, {FIGURES_SQL.format(x='text')} AS s FROM v_turns JOIN documents ON doc_id = turn_id // 1000) SELECT turn_id, array_to_string(list_sort(list_filter(a, lambda x: list_contains(q, x) AND NOT list_contains(s, x))), ';') AS repeated, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(q, x) AND NOT list_contains(s, x))), ';') AS new_ FROM s")
 def u2(spark, d):
-    """Figures of an answer that only its question has, and that nothing has (U2): answer and question against the source."""
+    """Figures of an answer that only its question has, and that nothing has (U2), by their values (TX7): answer and question against the source."""
     from assurance.functions import text as T
 
-    figures = lambda c: F.array_distinct(T.found(F.col(c), "[0-9]+"))
+    figures = lambda c: F.array_distinct(F.transform(T.figures(F.col(c)), lambda f: f["value"]))
     docs = V.table(spark, d, "documents").select("doc_id", "text")
     t = turns.turns(spark, d).withColumn("doc_id", F.floor(F.col("turn_id") / 1000)).join(docs, "doc_id")
     t = t.select("turn_id", figures("question").alias("q"), figures("answer").alias("a"), figures("text").alias("s"))
-    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    joined = lambda c: F.array_join(F.array_sort(c), ";")
     return t.select("turn_id", joined(F.array_intersect("a", F.array_except("q", "s"))).alias("repeated"), joined(F.array_except(F.array_except("a", "q"), "s")).alias("new_"))

@@ -80,7 +80,7 @@ def l2(spark, d):
     return L.tail_check(x.filter("idx <= 5 - cast(right(system_id, 2) as int) % 2"), x.filter("idx > 5"))
 
 
-@query("l5_digest")
+@query("l5_digest", with_sql("SELECT chain AS system_id, sha256(count(*) || ':' || sum(('0x' || substr(hash, 1, 15))::HUGEINT)) AS digest FROM log GROUP BY chain", V.DECISIONS, CANONICAL, CHAIN))
 def l5(spark, d):
     return L.batch_digest(log(spark, d))
 
@@ -208,9 +208,23 @@ def st5(spark, d):
     return out.groupBy("task").agg(F.count("*").alias("n"), F.bround(F.max("ratio"), 4).alias("most"))
 
 
-@query("st8_live_windows")
+def sliding_sql(length: str, step: str, n: int) -> str:
+    """Windows that the stream has closed: their end lies an hour before the newest turn at least."""
+    return with_sql(
+        f"SELECT start, system_id, count(*) AS turns, sum(tokens)::BIGINT AS tokens FROM (SELECT system_id, tokens, date_trunc('{step}', occurred_at)::TIMESTAMP - to_{step}s(unnest(range({n}))::INTEGER) AS start FROM v_decisions) GROUP BY ALL "
+        f"HAVING start + INTERVAL '{length}' <= (SELECT max(occurred_at)::TIMESTAMP - INTERVAL 1 HOUR FROM v_decisions)",
+        V.DECISIONS,
+    )
+
+
+@query("st8_live_windows", sliding_sql("30 minutes", "minute", 30))
 def st8(spark, d):
-    return ST.run_once(ST.live_windows(decision_stream(spark, d), "1 day", "1 day"), "st8", shared(spark))
+    return ST.run_once(ST.live_windows(decision_stream(spark, d)), "st8", shared(spark))
+
+
+@query("st9_week_usage", sliding_sql("7 days", "hour", 168))
+def st9_week(spark, d):
+    return ST.run_once(ST.budget_windows(decision_stream(spark, d)), "st9w", shared(spark))
 
 
 @query("st9_month_usage", with_sql("SELECT date_trunc('month', occurred_at)::TIMESTAMP AS month, system_id, CAST(sum(tokens) AS BIGINT) AS tokens FROM v_decisions GROUP BY ALL", V.DECISIONS))
@@ -219,12 +233,17 @@ def st9(spark, d):
     return out.groupBy("month", "system_id").agg(F.max_by("tokens", "batch_id").alias("tokens"))
 
 
-@query("st10_sessions")
+SESSIONS = """turns_of AS (SELECT request_id % 97 AS user_id, occurred_at::TIMESTAMP AS t FROM v_decisions),
+begun AS (SELECT *, coalesce(t > lag(t) OVER w + INTERVAL 30 MINUTE, true) AS fresh FROM turns_of WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+placed AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM begun)"""
+
+
+@query("st10_sessions", with_sql('SELECT min(t) AS start, max(t) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS turns FROM placed GROUP BY user_id, n HAVING max(t) + INTERVAL 30 MINUTE <= (SELECT max(t) - INTERVAL 1 HOUR FROM turns_of)', V.DECISIONS, SESSIONS))
 def st10(spark, d):
     return ST.run_once(ST.sessions(decision_stream(spark, d)), "st10", shared(spark))
 
 
-SILENT = "sent AS (SELECT system_id || ':' || CAST(request_id % 97 AS VARCHAR) AS system_id, epoch_ms(occurred_at) AS ms FROM v_decisions), gaps AS (SELECT *, lead(ms) OVER (PARTITION BY system_id ORDER BY ms) AS later FROM sent)"
+SILENT = "sent AS (SELECT system_id || ':' || CAST(request_id % 97 AS VARCHAR) AS system_id, epoch_us(occurred_at) // 1000 AS ms FROM v_decisions), gaps AS (SELECT *, lead(ms) OVER (PARTITION BY system_id ORDER BY ms) AS later FROM sent)"
 
 
 @query("st3_silence", with_sql(f"SELECT system_id, ms AS silent_from FROM gaps WHERE coalesce(later, (SELECT max(ms) FROM sent) - 600000) - ms > {ST.C.SILENT_S * 1000}", V.DECISIONS, SILENT))

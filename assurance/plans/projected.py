@@ -150,12 +150,15 @@ A12_RULES = [
     (f"days_left IS NOT NULL AND {BURN_OVER}", "CASE WHEN state = 'critical' THEN 'high' ELSE 'medium' END", "month_projection", "enable_cache"),
 ]
 A12_VALUES = ", ".join(f"({i}, '{r}', {ok}, {s}, {e}, '{c}', '{fix}', '{impact}')" for i, ((r, (fix, impact)), (ok, s, e, c)) in enumerate(zip(P.ADVICE.items(), A12_RULES, strict=True), 1))
-A12_SQL = proj(
-    f"""SELECT system_id, savings, rule_ord, rule, severity, evidence, control, fix, impact FROM (
+ADVISED = [
+    CARDS,
+    SIGNALS,
+    f"burn AS (SELECT * REPLACE (CASE system_id {' '.join(f"WHEN '{s}' THEN 'sys-{i}'" for i, s in enumerate(SEGMENTS))} END AS system_id) FROM (" + SQL["a10_burn_rate"] + "))",
+    f"""advised AS (SELECT system_id, savings, rule_ord, rule, severity, evidence, control, fix, impact FROM (
   SELECT c.*, round_even(spend * coalesce(duplicate_share, 0) * 0.55::DOUBLE, 2) AS savings, s.* EXCLUDE (system_id), b.state, days_left, per_day, month_to_date, month_projection FROM cards c LEFT JOIN signals s ON c.system_id = s.system_id LEFT JOIN burn b ON c.system_id = b.system_id) x
-CROSS JOIN LATERAL (SELECT * FROM (VALUES {A12_VALUES}) AS t(rule_ord, rule, ok, severity, evidence, control, fix, impact) WHERE ok)""",
-    CARDS, SIGNALS, f"burn AS (SELECT * REPLACE (CASE system_id {' '.join(f"WHEN '{s}' THEN 'sys-{i}'" for i, s in enumerate(SEGMENTS))} END AS system_id) FROM (" + SQL["a10_burn_rate"] + "))",
-)
+CROSS JOIN LATERAL (SELECT * FROM (VALUES {A12_VALUES}) AS t(rule_ord, rule, ok, severity, evidence, control, fix, impact) WHERE ok))""",
+]
+A12_SQL = proj("SELECT * FROM advised", *ADVISED)
 
 
 @query("a12_advisories", A12_SQL)
@@ -234,8 +237,8 @@ SQL["w4_history"] = SQL["w4_history"].removeprefix("WITH ").lstrip()
 
 @query("w5_rolling_median", with_sql("SELECT request_id, n_before, CASE WHEN n_before = 0 THEN 1 ELSE list_sort(before_)[n_before // 2 + 1] END AS median FROM (SELECT request_id, list(tokens) OVER w AS before_, count(*) OVER w AS n_before FROM v_decisions WINDOW w AS (PARTITION BY system_id ORDER BY occurred_at, request_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING))", V.DECISIONS))
 def w5(spark, d):
-    w = Window.partitionBy("system_id").orderBy("occurred_at", "request_id").rowsBetween(-50, -1)
-    x = V.decisions(spark, d).select("request_id", F.sort_array(F.collect_list("tokens").over(w)).alias("before"))
+    x = V.decisions(spark, d).select("request_id", "system_id", "occurred_at", "tokens")
+    x = W.previous_rows(x, ["system_id"], F.date_trunc("hour", "occurred_at"), ["occurred_at", "request_id"], 50, {"before": lambda w: F.sort_array(F.collect_list("tokens").over(w))})
     n = F.size("before")
     return x.select("request_id", n.cast("long").alias("n_before"), F.when(n == 0, 1).otherwise(F.get("before", F.floor(n / 2).cast("int"))).alias("median"))
 
@@ -273,8 +276,8 @@ def w9(spark, d):
 
 @query("w12_control_version", with_sql("SELECT control_id, system_id, kind, row_number() OVER (PARTITION BY system_id, kind ORDER BY valid_from, control_id) AS version FROM v_controls", V.DECISIONS, V.CONTROLS))
 def w12(spark, d):
-    w = Window.partitionBy("system_id", "kind").orderBy("valid_from", "control_id")
-    return V.controls(V.decisions(spark, d)).select("control_id", "system_id", "kind", F.row_number().over(w).alias("version"))
+    x = V.controls(V.decisions(spark, d)).select("control_id", "system_id", "kind", "valid_from")
+    return W.sequence(x, ["system_id", "kind"], F.date_trunc("day", "valid_from"), ["valid_from", "control_id"], "version").select("control_id", "system_id", "kind", "version")
 
 
 @query("src7_cursor", with_sql("SELECT request_id, system_id, sequence FROM (SELECT request_id, system_id, row_number() OVER (PARTITION BY system_id ORDER BY occurred_at, request_id) AS sequence FROM v_decisions) WHERE sequence > 100", V.DECISIONS))

@@ -10,7 +10,7 @@ from assurance.operators import reports as R
 from assurance.plans import projected, turns
 from assurance.plans import views as V
 from assurance.plans.decisions import Decisions, full, with_sql
-from assurance.plans.projected import A12_SQL, a10
+from assurance.plans.projected import a10
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,8 +58,7 @@ def p16(spark, d):
 
 @query(
     "b1_briefing",
-    A12_SQL.replace("SELECT system_id, savings, rule_ord, rule, severity, evidence, control FROM (", ", advice AS (SELECT system_id, rule_ord, rule, severity FROM (", 1)
-    + ") SELECT c.system_id, status, spend, coalesce(n_high, 0) AS n_high, coalesce(rules, '') AS advice, CASE WHEN reason = 'over budget' THEN 'budget exhausted' WHEN coalesce(n_high, 0) > 0 THEN n_high || ' urgent' WHEN coalesce(n, 0) > 0 THEN n || ' to look at' ELSE 'all clear' END AS subject FROM cards c LEFT JOIN (SELECT system_id, count(*) FILTER (severity = 'high') AS n_high, count(*) AS n, string_agg(rule, ',' ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, rule_ord) AS rules FROM advice GROUP BY system_id) a ON c.system_id = a.system_id",
+    projected.proj("SELECT c.system_id, status, spend, coalesce(n_high, 0) AS n_high, coalesce(rules, '') AS advice, CASE WHEN reason = 'over budget' THEN 'budget exhausted' WHEN coalesce(n_high, 0) > 0 THEN n_high || ' urgent' WHEN coalesce(n, 0) > 0 THEN n || ' to look at' ELSE 'all clear' END AS subject FROM cards c LEFT JOIN (SELECT system_id, count(*) FILTER (severity = 'high') AS n_high, count(*) AS n, string_agg(rule, ',' ORDER BY CASE severity WHEN 'high' THEN 1 ELSE 2 END, rule_ord) AS rules FROM advised GROUP BY system_id) a ON c.system_id = a.system_id", *projected.ADVISED),
 )
 def b1(spark, d):
     x = projected.costed(spark, d)
@@ -96,15 +95,6 @@ def m25(spark, d):
     return R.verification(V.detector_results(V.decisions(spark, d)))
 
 
-@query("m14_purpose")
-def m14(spark, d):
-    t = turns.turns(spark, d)
-    off = M.off_topic(t)
-    x = t.join(off, "turn_id")
-    score = R.purpose_score(F.col("turn_id") % 3, M.go_ahead(F.col("answer")), F.col("off_topic"), M.focus(F.col("question"), F.col("answer")).isNotNull(), F.col("turn_id") % 5 == 0)
-    return x.select("turn_id", F.bround(score, 4).alias("score"))
-
-
 @query("m18_fabricated", "SELECT item_id, count(*) AS cited, count(*) FILTER (d.doc_id IS NULL) AS missing, CASE WHEN count(*) FILTER (d.doc_id IS NULL) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT item_id, item_id * 7 % (SELECT max(doc_id) + 50 FROM documents) AS doc_id FROM benchmark UNION ALL SELECT item_id, item_id * 13 % (SELECT max(doc_id) + 50 FROM documents) FROM benchmark) c LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id) GROUP BY item_id")
 def m18(spark, d):
     from assurance.plans.retrieval import r3
@@ -119,15 +109,20 @@ def m21(spark, d):
     return x.select("request_id", (F.col("effective").isin("advise", "decide", "execute") & (F.col("tier") != "authoritative")).alias("required"))
 
 
-@query("tx8_quantities")
+QUANTITY_SQL = r"(?:^|[^\w.])(?:₹|[Rr][Ss]\.?\s*)?(\d[\d,]*(?:\.\d+)?)(?:\s*((?i:%|percent|lakh|crore|thousand|k\b)))?"
+
+
+@query(
+    "tx8_quantities",
+    f"""SELECT doc_id, len(v) AS n, coalesce(list_sum(v), 0.0)::DOUBLE AS total FROM (SELECT doc_id, list_transform(list_zip(regexp_extract_all(text, '{QUANTITY_SQL}', 1), regexp_extract_all(text, '{QUANTITY_SQL}', 2)),
+  lambda z: replace(z[1], ',', '')::DOUBLE * CASE lower(z[2]) WHEN 'lakh' THEN 1e5 WHEN 'crore' THEN 1e7 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1e0 END) AS v FROM (SELECT doc_id, {turns.begun_sql(turns.ASKED, 'text', 'doc_id')} AS text FROM documents))""",
+)
 def tx8(spark, d):
-    """Quantities with units: lakh, crore, thousand (TX8)."""
-    docs = V.table(spark, d, "documents")
-    pattern = r"(?i)(?<![\w.])(\d[\d,]*(?:\.\d+)?)\s*(lakh|crore|thousand|k\b|%|percent)?"
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("u"))
-    unit = lambda u: F.when(F.lower(u) == "lakh", 1e5).when(F.lower(u) == "crore", 1e7).when(F.lower(u).isin("thousand", "k"), 1e3).otherwise(1.0)
-    values = F.transform(pairs, lambda p: F.regexp_replace(p["n"], ",", "").try_cast("double") * unit(p["u"]))
-    return docs.select("doc_id", F.size(values).alias("n"), F.aggregate(values, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("total"))
+    """Quantities with units (TX8) of documents behind a sentence of a small table."""
+    x = V.table(spark, d, "documents").withColumn("turn_id", F.col("doc_id"))
+    values = M.numbers(F.col("text"))
+    x = x.select("doc_id", turns.begun(turns.ASKED, "text").alias("text")).select("doc_id", values.alias("v"))
+    return x.select("doc_id", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda s, y: s + y).alias("total"))
 
 
 @query("q2_size", f"WITH {turns.TURNS} SELECT turn_id, trim(question) = '' AS is_empty, length(question) > 4000 AS oversized FROM v_turns")

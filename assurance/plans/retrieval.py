@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assurance.functions import text as T
@@ -34,10 +35,15 @@ def tokens_sql(text: str, pattern: str, words: list[str], least: int) -> str:
 BM25_SQL = tokens_sql("text", T.BM25_TOKEN, T.BM25_STOP, 1)
 CLAIM_SQL = "list_distinct(" + tokens_sql("text", T.CLAIM_TOKEN, T.CLAIM_STOP, 1) + ")"
 SUBJECT_SQL = tokens_sql("text", T.SUBJECT_TOKEN, T.SUBJECT_STOP, 2)
-STEM_SQL = (
-    "list_transform(" + tokens_sql("text", T.STEM_TOKEN, T.STEM_STOP, 2)
-    + ", lambda w: CASE WHEN length(w) > 5 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 5 AND w LIKE '%ing' THEN w[:-4] WHEN length(w) > 4 AND w LIKE '%ed' THEN w[:-3] WHEN length(w) > 4 AND w LIKE '%es' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END)"
-)
+
+def stem_sql(x: str) -> str:
+    return (
+        "list_transform(" + tokens_sql(x, T.STEM_TOKEN, T.STEM_STOP, 2)
+        + ", lambda w: CASE WHEN length(w) > 5 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 5 AND w LIKE '%ing' THEN w[:-4] WHEN length(w) > 4 AND w LIKE '%ed' THEN w[:-3] WHEN length(w) > 4 AND w LIKE '%es' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END)"
+    )
+
+
+STEM_SQL = stem_sql("text")
 
 
 def documents(spark, d):
@@ -68,7 +74,12 @@ def tx6(spark, d):
     return x.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query("tx7_figures")
+# Figures as in TX7; the sign before one is taken along, since RE2 cannot look behind.
+FIGURE_SQL = r"regexp_extract_all({x}, '(?:^|[^\w.])((?:₹|[Rr][Ss]\.?\s*)?\d[\d,]*(?:\.\d+)?%?)', 1)"
+VALUE_SQL = r"regexp_replace(lower({x}), '[₹,\s]|rs\.?', '', 'g')"
+
+
+@query("tx7_figures", f"SELECT doc_id, ord, raw, {VALUE_SQL.format(x='raw')} AS value, CASE WHEN right(raw, 1) = '%' THEN 'percent' WHEN lower(raw) LIKE '₹%' OR lower(raw) LIKE 'rs%' THEN 'money' ELSE 'plain' END AS shape FROM (SELECT doc_id, unnest(l) AS raw, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ord FROM (SELECT doc_id, {FIGURE_SQL.format(x='text')} AS l FROM documents))")
 def tx7(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(T.figures(F.col("text"))).alias("ord", "f")).select("doc_id", "ord", "f.raw", "f.value", "f.shape")
 
@@ -94,12 +105,19 @@ INDEX = f"""toks AS (SELECT system_id, chunk_id, {BM25_SQL} AS t FROM v_chunks),
 postings AS (SELECT system_id, term, chunk_id, count(*) AS tf, max(n_tokens) AS n_tokens FROM (SELECT system_id, chunk_id, len(t) AS n_tokens, unnest(t) AS term FROM toks) GROUP BY ALL),
 dfs AS (SELECT system_id, term, count(*) AS df FROM postings GROUP BY ALL),
 stats AS (SELECT system_id, count(*) AS n_chunks, sum(len(t)) AS total FROM toks GROUP BY ALL)"""
-HITS = f"""q AS (SELECT item_id, unnest(list_distinct({BM25_SQL})) AS term FROM benchmark),
+
+
+def hits_of(questions: str) -> str:
+    """CTEs q, hits0 and hits of a table of questions (item_id, text)."""
+    return f"""q AS (SELECT item_id, unnest(list_distinct({BM25_SQL})) AS term FROM {questions}),
 hits0 AS (SELECT item_id, p.system_id, chunk_id, round_even(sum(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_tokens / (total / n_chunks)))), 6) AS score
   FROM postings p JOIN q USING (term) JOIN dfs USING (system_id, term) JOIN stats USING (system_id) GROUP BY item_id, p.system_id, chunk_id),
 hits AS (SELECT *, row_number() OVER (PARTITION BY item_id, system_id ORDER BY score DESC, chunk_id) AS rank FROM hits0 WHERE score > 0)"""
 
 
+HITS = hits_of("benchmark")
+
+
 def chunks(spark, d):
     return R.chunks_by_line(documents(spark, d))
 
@@ -163,7 +181,12 @@ def q10(spark, d):
     return R.scope_lexicon(documents(spark, d))
 
 
-SCOPES = f"qt AS (SELECT item_id, {SUBJECT_SQL} AS terms FROM benchmark), scopes0 AS (SELECT item_id, system_id, round_even(sum(weight) / sqrt(max(n)), 6) AS score FROM (SELECT item_id, len(terms) AS n, unnest(list_distinct(terms)) AS term FROM qt) JOIN lexicon USING (term) GROUP BY item_id, system_id), scopes AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, system_id) AS place FROM scopes0)"
+def scopes_of(questions: str) -> str:
+    """CTEs qt, scopes0 and scopes of a table of questions (item_id, text)."""
+    return f"qt AS (SELECT item_id, {SUBJECT_SQL} AS terms FROM {questions}), scopes0 AS (SELECT item_id, system_id, round_even(sum(weight) / sqrt(max(n)), 6) AS score FROM (SELECT item_id, len(terms) AS n, unnest(list_distinct(terms)) AS term FROM qt) JOIN lexicon USING (term) GROUP BY item_id, system_id), scopes AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, system_id) AS place FROM scopes0)"
+
+
+SCOPES = scopes_of("benchmark")
 
 
 @query("q11_scope_scores", f"WITH {LEXICON}, {SCOPES} SELECT item_id, system_id, score, place FROM scopes")
@@ -176,19 +199,35 @@ def q12(spark, d):
     return R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
 
 
+# Questions of scope: the passages of the benchmark, and for each system its five weightiest terms asked of itself and of the next system, a question of no known word, and one of a single word.
+SCOPE_ASKED = f"""best AS (SELECT CAST(substr(system_id, 4) AS BIGINT) AS n, string_agg(term, ' ' ORDER BY weight DESC, term) AS text FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY weight DESC, term) AS r FROM lexicon) WHERE r <= 5 GROUP BY system_id),
+asked0 AS (SELECT item_id, text, 'src' || (item_id % 20) AS system_id FROM benchmark UNION ALL SELECT 1000000 + 10 * n + k, text, 'src' || ((n + k) % 20) FROM best, (VALUES (0), (1)) t(k)
+  UNION ALL SELECT 1000002 + 10 * n, 'qqxjan wwqjo jjxqa', 'src' || n FROM best UNION ALL SELECT 1000003 + 10 * n, 'jjxqa', 'src' || n FROM best)"""
+
+
+def scope_asked(spark, d, lexicon):
+    """(item_id, text, system_id): whom each question is put to."""
+    b = V.table(spark, d, "benchmark").select("item_id", "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("system_id"))
+    place = F.row_number().over(Window.partitionBy("system_id").orderBy(F.desc("weight"), "term"))
+    top = lexicon.withColumn("r", place).filter("r <= 5").groupBy("system_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), " ").alias("text"))
+    n = F.substring("system_id", 4, 9).cast("long")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), t.alias("text"), F.concat(F.lit("src"), ((n + s) % 20).cast("string")).alias("to")) for k, t, s in ((0, F.col("text"), 0), (1, F.col("text"), 1), (2, F.lit("qqxjan wwqjo jjxqa"), 0), (3, F.lit("jjxqa"), 0)))))
+    return b.unionAll(top.withColumn("n", n).withColumn("x", kinds).select(F.lit(1_000_000) + 10 * F.col("n") + F.col("x.k"), "x.text", F.col("x.to")))
+
+
 @query(
     "q13_scope_verdict",
-    f"""WITH {CHUNKS}, {INDEX}, {HITS}, {LEXICON}, {SCOPES}, asked AS (SELECT item_id, 'src' || (item_id % 20) AS system_id FROM benchmark),
-j AS (SELECT a.item_id, a.system_id, coalesce(m.score, 0) AS mine, o.top AS top, coalesce(o.best, 0) AS other, coalesce(h.score, 0) AS cover
-  FROM asked a LEFT JOIN scopes m ON a.item_id = m.item_id AND a.system_id = m.system_id
-  LEFT JOIN (SELECT a.item_id, max(score) AS best, first(s.system_id ORDER BY score DESC, s.system_id DESC) AS top FROM asked a JOIN scopes s ON a.item_id = s.item_id AND a.system_id <> s.system_id GROUP BY a.item_id) o ON a.item_id = o.item_id
-  LEFT JOIN hits h ON h.item_id = a.item_id AND h.system_id = a.system_id AND h.rank = 1),
-f AS (SELECT *, other >= 0.42 AND other >= 2.6 * greatest(mine, 0.02) AND cover <= greatest(1.35 * mine, 0.5) AS is_foreign FROM j)
-SELECT item_id, system_id, mine, cover, CASE WHEN is_foreign THEN 'foreign' WHEN cover >= 2.0 OR mine >= 0.14 THEN 'in_scope' ELSE 'uncovered' END AS verdict, CASE WHEN is_foreign THEN top END AS redirect_to FROM f""",
+    f"""WITH {CHUNKS}, {INDEX}, {LEXICON}, {SCOPE_ASKED}, {hits_of("asked0")}, {scopes_of("asked0")},
+best_other AS (SELECT a.item_id, min_by(struct_pack(score := s.score, other := s.system_id), s.place) AS o FROM asked0 a JOIN scopes s ON a.item_id = s.item_id AND a.system_id <> s.system_id GROUP BY a.item_id),
+j AS (SELECT a.item_id, a.system_id, len(q.terms) AS n_terms, coalesce(m.score, 0) AS mine, o.o.other AS top, coalesce(o.o.score, 0) AS best, coalesce(h.score, 0) AS cover, coalesce(t.score, 0) AS other_cover
+  FROM asked0 a JOIN qt q ON a.item_id = q.item_id LEFT JOIN scopes m ON a.item_id = m.item_id AND a.system_id = m.system_id LEFT JOIN best_other o ON a.item_id = o.item_id
+  LEFT JOIN hits h ON h.item_id = a.item_id AND h.system_id = a.system_id AND h.rank = 1 LEFT JOIN hits t ON t.item_id = a.item_id AND t.system_id = o.o.other AND t.rank = 1),
+f AS (SELECT *, n_terms >= 2 AND best >= 0.42 AND best >= 2.6 * greatest(mine, 0.02) AND other_cover >= greatest(1.35 * cover, 0.5) AS is_foreign FROM j)
+SELECT item_id, system_id, mine, cover, other_cover, CASE WHEN is_foreign THEN 'foreign' WHEN n_terms < 2 OR cover >= 2.0 OR mine >= 0.14 THEN 'in_scope' ELSE 'uncovered' END AS verdict, CASE WHEN is_foreign THEN top END AS redirect_to FROM f""",
 )
 def q13(spark, d):
-    b = V.table(spark, d, "benchmark")
-    scores = R.scope_scores(b, R.scope_lexicon(documents(spark, d), questions=b))
-    cover = R.bm25(b, chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
-    asked = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("system_id"))
-    return R.scope_verdict(scores, asked, cover)
+    lexicon = R.scope_lexicon(documents(spark, d))
+    asked = scope_asked(spark, d, lexicon)
+    cover = R.bm25(asked, chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
+    sized = asked.select("item_id", "system_id", F.size(T.subject_terms(F.col("text"))).alias("n_terms"))
+    return R.scope_verdict(R.scope_scores(asked, lexicon), sized, cover)

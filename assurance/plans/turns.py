@@ -11,7 +11,7 @@ from assurance.operators import corpus
 from assurance.operators import monitors as M
 from assurance.operators import screens as S
 from assurance.plans import views as V
-from assurance.plans.retrieval import CHUNKS, CLAIM_SQL, HITS, INDEX, SENTENCES_SQL, STEM_SQL, chunks
+from assurance.plans.retrieval import CHUNKS, CLAIM_SQL, HITS, INDEX, SENTENCES_SQL, chunks, stem_sql, tokens_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,6 +38,8 @@ ASKED = [
     "I want to cancel the booking and keep the deposit.", "Am I eligible for the premium plan?", "Hide the penalty clause from the tenant.",
     "Draft a reply to the supplier.", "May I approve a refund of rs 80,000 for this client?", "Is an external send of the report fine?",
     "Is the dispatch for free plans due on Friday?", "How do I pay travel claims of 3 lakh in advance?", "What should I cook for my sister this weekend?", "Is it prohibited to call the customer an idiot?",
+    "I want to cut costs for the quarterly audit, is there a smaller carrier?", "I have to return the keys to my landlord because it is late. Should I walk or drive?",
+    "My delivery van is two streets away. Is it better to take a bus or to ride to the client meeting?", "What happens to a refund of rs 80,000 in order to close the ledger?",
 ]
 ANSWERED = [
     "Yes, you can go ahead.", "I cannot help with that request. A manager will decide.", "It usually takes 5 working days.", "You are an absolute idiot.",
@@ -46,6 +48,13 @@ ANSWERED = [
     "It will never fail, guaranteed. Please contact a specialist.", "I hate the client.",
     "I can look up your account and send the statement. Let me check the incident log.", "I have access to the candidate records. I will refund the payment. I could reboot it for you.",
     "I am able to cancel this. I would need to query the campaign segments.", "A refund above rs 5,000 requires approval of a manager.",
+    "I cannot guess whether you qualify, as refund decisions follow a 30-day window above rs 80,000.", "I am not able to share that, because the threshold for two approvers is rs 5,000 a week. Please contact a manager.",
+    "Walking is cheaper and burns a few calories.", "The saving is about 12 percent on each shipment.", "Refunds of rs 80,000 are paid within 3 days.", "I cannot answer that, as it would be unfair to the others.",
+]
+# Blocked terms of each system in their order, own wording: of one word, of several, inside a longer word, too short, and without a word.
+BLOCKED = [
+    ("sys-0", 1, "customer records"), ("sys-0", 2, "late fee"), ("sys-0", 3, "art"), ("sys-1", 1, "approval check"), ("sys-1", 2, "travel claims"), ("sys-1", 3, "REFUND"), ("sys-1", 4, "rs 80,000"), ("sys-1", 5, "for this client"),
+    ("sys-1", 6, "client"), ("sys-1", 7, "this"), ("sys-1", 8, "of"), ("sys-2", 1, "the supplier"), ("sys-2", 2, "dispatch"), ("sys-2", 3, "?"), ("sys-3", 1, "developer mode"), ("sys-3", 2, "free plans"), ("sys-4", 1, "Share the report"), ("sys-4", 2, "?!?"),
 ]
 # Lines that sources begin with, and what systems may do.
 POLICY = [
@@ -61,8 +70,8 @@ def begun(sentences: list[str], column: str):
     return F.concat_ws(" ", F.element_at(F.array(*map(F.lit, sentences)), (F.col("turn_id") % len(sentences) + 1).cast("int")), column)
 
 
-def begun_sql(sentences: list[str], column: str) -> str:
-    return f"concat_ws(' ', ([{', '.join(chr(39) + s + chr(39) for s in sentences)}])[CAST(turn_id % {len(sentences)} + 1 AS INTEGER)], {column})"
+def begun_sql(sentences: list[str], column: str, number: str = "turn_id") -> str:
+    return f"concat_ws(' ', ([{', '.join(chr(39) + s + chr(39) for s in sentences)}])[CAST({number} % {len(sentences)} + 1 AS INTEGER)], {column})"
 
 
 def turns(spark, d):
@@ -95,15 +104,36 @@ def q1(spark, d):
     return t.select("turn_id", one("injection"), one("evasion"), one("exfiltration"))
 
 
-@query("q3_intent")
+def consuming(pattern: str) -> str:
+    """A pattern for RE2: what Java looks back at is consumed instead, which counts the same hits where none follows another at once."""
+    out = pattern.replace("(?<=", "(?:")
+    assert "(?<" not in out and "(?=" not in out and "(?!" not in out, pattern
+    return out
+
+
+INTENT_SQL = f"""counted_intents AS (SELECT turn_id, {n_hits("question", consuming(P.INTENTS["action_request"]))} AS a, [{", ".join(f"{{'n': {n_hits('question', p)}, 'k': '{k}'}}" for k, p in P.INTENTS.items() if k != "action_request")}] AS l FROM v_turns),
+intents AS (SELECT turn_id, CASE WHEN total = 0 THEN 'general_question' WHEN a > 0 THEN 'action_request' ELSE best.k END AS intent, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE round_even(CASE WHEN a > 0 THEN a ELSE best.n END / total::DOUBLE, 3) END AS confidence
+  FROM (SELECT turn_id, a, a + list_sum(list_transform(l, lambda x: x.n))::BIGINT AS total, list_sort(l, 'DESC')[1] AS best FROM counted_intents))"""
+
+
+@query("q3_intent", f"WITH {TURNS}, {INTENT_SQL} SELECT turn_id, intent, confidence FROM intents")
 def q3(spark, d):
     return turns(spark, d).select("turn_id", S.intent(F.col("question")).alias("i")).select("turn_id", "i.intent", "i.confidence")
 
 
-@query("q7_blocklist", f"WITH {TURNS} SELECT turn_id AS request_id, system_id, word AS term FROM (SELECT turn_id, system_id, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) AS word FROM v_turns) JOIN (VALUES ('sys-0', 'the'), ('sys-1', 'with'), ('sys-2', 'that'), ('sys-3', 'of'), ('sys-4', 'for')) b(s, t) ON s = system_id AND t = word WHERE length(word) >= 3")
+BLOCKED_SQL = f"""blocked AS (SELECT request_id, CAST(n AS INTEGER) AS n, term FROM (SELECT turn_id AS request_id, term, row_number() OVER (PARTITION BY turn_id ORDER BY ord, term) AS n
+  FROM v_turns JOIN (VALUES {", ".join(map(str, BLOCKED))}) t(system_id, ord, term) USING (system_id)
+  WHERE length(term) >= 3 AND regexp_matches(question, '(?i)(^|[^\\pL\\pN_])' || regexp_escape(term) || '($|[^\\pL\\pN_])')) WHERE n <= 4)"""
+
+
+def blocked(t):
+    terms = t.sparkSession.createDataFrame(BLOCKED, "system_id string, ord int, term string")
+    return S.blocklist(t.withColumnRenamed("turn_id", "request_id"), terms)
+
+
+@query("q7_blocklist", f"WITH {TURNS}, {BLOCKED_SQL} SELECT request_id, n, term FROM blocked")
 def q7(spark, d):
-    terms = spark.createDataFrame([("sys-0", "the"), ("sys-1", "with"), ("sys-2", "that"), ("sys-3", "of"), ("sys-4", "for")], "system_id string, term string")
-    return S.blocklist(turns(spark, d).withColumnRenamed("turn_id", "request_id"), terms)
+    return blocked(turns(spark, d))
 
 
 def harm_sql(x: str) -> str:
@@ -130,20 +160,37 @@ def q9(spark, d):
 
 @query(
     "q14_gates",
-    f"WITH {TURNS} SELECT turn_id, CASE WHEN trim(question) = '' THEN 'refused_empty' WHEN len({harm_sql('question')}) > 0 THEN 'refused_harmful' WHEN {ERRAND_SQL} IS NOT NULL THEN 'out_of_purpose' WHEN length(question) > 4000 OR {' OR '.join(has('question', p) for _, _, p in P.INGRESS)} THEN 'held' ELSE 'allow' END AS outcome FROM v_turns",
+    f"WITH {TURNS}, {BLOCKED_SQL} SELECT turn_id, CASE WHEN trim(question) = '' THEN 'refused_empty' WHEN turn_id IN (SELECT request_id FROM blocked) THEN 'refused_blocked' WHEN len({harm_sql('question')}) > 0 THEN 'refused_harmful' WHEN {ERRAND_SQL} IS NOT NULL THEN 'out_of_purpose' WHEN length(question) > 4000 OR {' OR '.join(has('question', p) for _, _, p in P.INGRESS)} THEN 'held' ELSE 'allow' END AS outcome FROM v_turns",
 )
 def q14(spark, d):
-    return S.screen(turns(spark, d)).select("turn_id", "outcome")
+    t = turns(spark, d)
+    return S.screen(t.withColumnRenamed("turn_id", "request_id"), blocked(t)).select(F.col("request_id").alias("turn_id"), "outcome")
+
 
+def declines_sql(x: str) -> str:
+    return f"({has(x, P.ABSTAIN)} OR {has(x, P.DEFER)})"
 
-ABSTAIN_SQL = f"s AS (SELECT turn_id, list_filter({SENTENCES_SQL.format(t='answer')}, lambda x: length(x) >= 12) AS s FROM v_turns)"
 
+STATEMENTS = f"""sent AS (SELECT turn_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS ord FROM (SELECT turn_id, {SENTENCES_SQL.format(t="trim(answer)")} AS l FROM v_turns)),
+cut AS (SELECT *, {declines_sql("s")} AS declines, regexp_extract(s, '^(.*?)(?:{P.REASON})(.*)$', ['head', 'tail'], 'is') AS c FROM sent WHERE length(s) >= 12),
+parts AS (SELECT *, trim(c.tail) AS tail, declines AND length(trim(c.tail)) >= 20 AND {has("c.tail", P.PARTICULAR)} AS apart FROM cut),
+st AS (SELECT turn_id, ord, 0 AS part, CASE WHEN declines THEN 'declines' ELSE 'asserts' END AS kind, CASE WHEN apart THEN c.head ELSE s END AS text FROM parts
+  UNION ALL SELECT turn_id, ord, 1, 'asserts', tail FROM parts WHERE apart AND NOT {declines_sql("tail")}),
+postures AS (SELECT turn_id, count(kind) FILTER (kind = 'declines') AS n_declined, count(kind) FILTER (kind = 'asserts') AS n_asserted, CASE WHEN count(kind) FILTER (kind = 'declines') = 0 THEN 'none' WHEN count(kind) FILTER (kind = 'asserts') = 0 THEN 'full' ELSE 'partial' END AS posture
+  FROM v_turns LEFT JOIN st USING (turn_id) GROUP BY turn_id)"""
 
-@query("m1_abstention", f"WITH {TURNS}, {ABSTAIN_SQL}, c AS (SELECT turn_id, len(s) AS n, len(list_filter(s, lambda x: {has('x', P.ABSTAIN)} OR {has('x', P.DEFER)})) AS d FROM s) SELECT turn_id, n AS n_sentences, d AS n_declined, CASE WHEN d = 0 THEN 'none' WHEN d = n THEN 'full' ELSE 'partial' END AS posture FROM c")
+
+@query("m1_abstention", f"WITH {TURNS}, {STATEMENTS} SELECT * FROM postures")
 def m1(spark, d):
     return M.abstention(turns(spark, d))
 
 
+@query("m1_statements", f"WITH {TURNS}, {STATEMENTS} SELECT turn_id, ord, part, kind, text FROM st WHERE kind = 'declines' OR part = 1")
+def m1_statements(spark, d):
+    """What declines, and the reasons that were split off."""
+    return M.statements(turns(spark, d)).filter("kind = 'declines' OR part = 1")
+
+
 def claim_sources(spark, d):
     """Claims are sentences of the benchmark, each with its best chunks as sources."""
     b = V.table(spark, d, "benchmark")
@@ -186,10 +233,44 @@ def m5(spark, d):
 SQL["m5_luhn"] = "SELECT doc_id, CAST(len(list_filter(runs, lambda r: list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i % 2 = 0 AND CAST(r[-i] AS INTEGER) > 4 THEN CAST(r[-i] AS INTEGER) * 2 - 9 WHEN i % 2 = 0 THEN CAST(r[-i] AS INTEGER) * 2 ELSE CAST(r[-i] AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_valid, len(runs) AS n_runs FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{13,19}') AS runs FROM documents)"
 
 
-@query("m7_counterfactual")
+def stand_in():
+    """A client that decides by the first letter of a prompt's digest, in place of a model: some calls fail, some replies are unknown."""
+    import hashlib
+
+    def reply(prompt):
+        sign = hashlib.md5(prompt.encode()).hexdigest()[0]
+        return TimeoutError() if sign == "0" else "unknown" if sign in "123" else "approve" if sign in "456789a" else "decline"
+
+    return lambda prompts: [reply(p) for p in prompts]
+
+
+def swap_sql(x: str, a: str, b: str) -> str:
+    """Whole words swapped; twice, since neighbours share the sign between them."""
+    once = lambda y: f"regexp_replace({y}, '(^|[^\\pL\\pN_]){a}($|[^\\pL\\pN_])', '\\1{b}\\2', 'gi')"
+    return once(once(x))
+
+
+def names_sql(x: str, a: str, b: str) -> str:
+    return f"regexp_matches({x}, '(?i)(^|[^\\pL\\pN_])(?:{a}|{b})($|[^\\pL\\pN_])')"
+
+
+OUTCOME_SQL = "CASE WHEN md5({p})[1] = '0' THEN 'error' WHEN md5({p})[1] IN ('1', '2', '3') THEN 'unknown' WHEN md5({p})[1] IN ('4', '5', '6', '7', '8', '9', 'a') THEN 'approve' ELSE 'decline' END"
+PROBES = f"""base AS (SELECT turn_id, concat_ws(' ', question, answer) AS b FROM v_turns),
+probes AS (SELECT turn_id, unnest(l[1:3]) AS x FROM (SELECT turn_id, list_filter([{", ".join(f"CASE WHEN {names_sql('b', a, b)} THEN {{'t': {swap_sql('b', a, b)}, 'r': {swap_sql('b', b, a)}}} END" for _, a, b in P.SWAPS)}], lambda p: p IS NOT NULL) AS l FROM base)),
+said AS (SELECT turn_id, {OUTCOME_SQL.format(p="x.t")} AS t, {OUTCOME_SQL.format(p="x.r")} AS r FROM probes),
+counted AS (SELECT turn_id, count(*) FILTER (t NOT IN ('unknown', 'error') AND r NOT IN ('unknown', 'error')) AS tested, count(*) FILTER (t NOT IN ('unknown', 'error') AND r NOT IN ('unknown', 'error') AND t <> r) AS flips, count(*) AS n, bool_or(t = 'error' OR r = 'error') AS failed FROM said GROUP BY turn_id),
+states AS (SELECT v.turn_id, CASE WHEN c.n IS NULL THEN 'skipped_by_policy' WHEN failed OR tested = 0 THEN 'failed' ELSE 'completed' END AS status, coalesce(tested, 0) AS tested, coalesce(flips, 0) AS flips, coalesce(n - tested, 0) AS inconclusive FROM v_turns v LEFT JOIN counted c ON v.turn_id = c.turn_id)"""
+
+
+@query(
+    "m7_counterfactual",
+    f"WITH {TURNS}, {STATEMENTS}, {PROBES} SELECT turn_id, status, tested, flips, inconclusive, CASE WHEN status = 'completed' THEN round_even(flips / tested::DOUBLE, 4) END AS score, CASE WHEN status = 'completed' THEN round_even(least(0.9, 0.4 + 0.2 * tested), 3)::DOUBLE END AS confidence "
+    f"FROM states WHERE turn_id IN (SELECT turn_id FROM st WHERE kind = 'asserts' AND length(text) BETWEEN 25 AND 400 AND {has('text', P.CHECKABLE)})",
+)
 def m7(spark, d):
-    """The probe here is a digest of the text's words, a stand-in with the seam of a model."""
-    return M.counterfactuals(turns(spark, d).withColumn("question", F.concat("question", F.lit(" he "))), lambda q: F.pmod(F.crc32(q.cast("binary")), F.lit(3)))
+    """Turns that make a checkable claim (M19), asked of a stand-in through the seam of a model."""
+    t = turns(spark, d)
+    return M.counterfactuals(t, stand_in, M.checkable_claims(t))
 
 
 COST = "t AS (SELECT turn_id, system_id AS task, length(question) AS tokens, CAST(length(answer) % 7 AS VARCHAR) AS digest FROM v_turns), b AS (SELECT turn_id, tokens, digest, list_sort(list(tokens) OVER w) AS before_, list(digest) OVER w AS seen FROM t WINDOW w AS (PARTITION BY task ORDER BY turn_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)), r AS (SELECT turn_id, CASE WHEN len(before_) > 0 THEN tokens / greatest(before_[len(before_) // 2 + 1], 1)::DOUBLE END AS ratio, CASE WHEN len(seen) > 0 THEN len(list_filter(seen, lambda x: x = digest)) / len(seen)::DOUBLE END AS dup FROM b)"
@@ -218,7 +299,7 @@ def m10(spark, d):
     return turns(spark, d).select("turn_id", M.go_ahead(F.col("answer")).alias("go_ahead"))
 
 
-@query("m11_off_topic", f"WITH {TURNS}, s AS (SELECT turn_id, list_distinct({STEM_SQL.replace('lower(text)', 'lower(question)')}) AS q, list_distinct({STEM_SQL.replace('lower(text)', 'lower(answer)')}) AS a FROM v_turns) SELECT turn_id, len(q) >= 4 AND len(a) >= 12 AND len(list_intersect(list_transform(q, lambda w: substr(w, 1, 6)), list_transform(a, lambda w: substr(w, 1, 6)))) = 0 AS off_topic FROM s")
+@query("m11_off_topic", f"WITH {TURNS}, s AS (SELECT turn_id, list_distinct({stem_sql('question')}) AS q, list_distinct({stem_sql('answer')}) AS a FROM v_turns) SELECT turn_id, len(q) >= 4 AND len(a) >= 12 AND len(list_intersect(list_transform(q, lambda w: substr(w, 1, 6)), list_transform(a, lambda w: substr(w, 1, 6)))) = 0 AS off_topic FROM s")
 def m11(spark, d):
     return M.off_topic(turns(spark, d))
 
@@ -243,12 +324,12 @@ def m16(spark, d):
     return M.overclaims(turns(spark, d), grants)
 
 
-@query("m17_toxic", f"WITH {TURNS}, h AS (SELECT turn_id, list_filter({harm_sql('answer')}, lambda f: f IN {P.TOXIC_FAMILIES}) AS f FROM v_turns) SELECT turn_id, f[1] AS family FROM h WHERE len(f) > 0")
+@query("m17_toxic", f"WITH {TURNS}, h AS (SELECT turn_id, list_filter({harm_sql('answer')}, lambda f: f IN {P.TOXIC_FAMILIES}) AS f FROM v_turns) SELECT turn_id, f[1] AS family, 0.95::DOUBLE AS score, true AS mandatory FROM h WHERE len(f) > 0")
 def m17(spark, d):
     return M.toxic(turns(spark, d))
 
 
-@query("m19_claims", f"WITH {TURNS}, x AS (SELECT turn_id, unnest({SENTENCES_SQL.format(t='answer')}) AS claim, generate_subscripts({SENTENCES_SQL.format(t='answer')}, 1) AS ord FROM v_turns), k AS (SELECT turn_id, claim, row_number() OVER (PARTITION BY turn_id ORDER BY ord) AS n FROM x WHERE length(claim) BETWEEN 25 AND 400 AND {has('claim', P.CHECKABLE)} AND NOT {has('claim', P.ABSTAIN)} AND NOT {has('claim', P.DEFER)}) SELECT turn_id, n, claim FROM k WHERE n <= 6")
+@query("m19_claims", f"WITH {TURNS}, {STATEMENTS}, k AS (SELECT turn_id, text AS claim, row_number() OVER (PARTITION BY turn_id ORDER BY ord, part) AS n FROM st WHERE kind = 'asserts' AND length(text) BETWEEN 25 AND 400 AND {has('text', P.CHECKABLE)}) SELECT turn_id, n, claim FROM k WHERE n <= 6")
 def m19(spark, d):
     return M.checkable_claims(turns(spark, d))
 
@@ -282,3 +363,43 @@ def m20(spark, d):
     g = M.grounding(*claim_sources(spark, d)).join(M.adjudicate(verdicts(spark, d)).select("turn_id", "uncovered"), "turn_id", "left")
     t = g.withColumn("tier", F.when(F.col("turn_id") % 5 > 0, "authoritative").otherwise("parametric"))
     return M.second_opinion(t).select("turn_id", "why", "wanted")
+
+
+def concepts_sql(terms: str) -> str:
+    cases = " ".join(f"WHEN w IN ({', '.join(repr(w) for w in members)}) THEN '#{n}'" for n, members in enumerate(P.FAMILIES))
+    return f"list_transform({terms}, lambda w: CASE {cases} ELSE w END)"
+
+
+def spans_sql(kind: str, pattern: str) -> str:
+    return f"list_transform(regexp_extract_all(question, '(?i){pattern}', 1), lambda x: {{'kind': '{kind}', 'phrase': trim(regexp_replace(x, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ,.;:')}})"
+
+
+OBJECTIVES = f"""spans AS (SELECT turn_id, unnest(l) AS o, generate_subscripts(l, 1) AS pos FROM (SELECT turn_id, list_concat(list_concat({spans_sql("goal", P.GOAL)}, {spans_sql("errand", P.ERRAND)}), {spans_sql("subject", P.SUBJECT_OF)}) AS l FROM v_turns)),
+termed AS (SELECT turn_id, pos, o.kind AS kind, o.phrase AS phrase, {tokens_sql("o.phrase", P.ASKING_TOKEN, P.ASKING_STOP, 2)} AS terms FROM spans),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY turn_id, array_to_string(list_sort(terms), ' ') ORDER BY pos) AS same FROM termed WHERE len(terms) > 0) WHERE same = 1),
+said AS (SELECT turn_id, {has("question", P.CHOICE)} AS choice, {tokens_sql("answer", P.ASKING_TOKEN, P.ASKING_STOP, 2)} AS words FROM v_turns),
+met AS (SELECT f.turn_id, place, kind, phrase, choice, CASE WHEN posture = 'full' THEN 'declined' WHEN len(words) < 4 THEN 'short' ELSE 'judged' END AS state,
+  len(list_filter({concepts_sql("terms")}, lambda a: len(list_filter({concepts_sql("words")}, lambda b: a = b OR a = b || 's' OR b = a || 's' OR (length(a) >= 5 AND starts_with(b, a)) OR (length(b) >= 5 AND starts_with(a, b)))) > 0)) > 0 AS engaged
+  FROM firsts f JOIN said USING (turn_id) JOIN postures USING (turn_id) WHERE place <= 4),
+objectives AS (SELECT *, state <> 'judged' OR (kind = 'subject' AND NOT choice) OR engaged AS served FROM met)"""
+
+
+@query("m13_objective_rows", f"WITH {TURNS}, {STATEMENTS}, {OBJECTIVES} SELECT turn_id, place, kind, phrase, choice, state, served FROM objectives")
+def m13_rows(spark, d):
+    """Every objective of a question and whether the answer comes back to it."""
+    return M.objectives(turns(spark, d))
+
+
+@query(
+    "m13_objectives",
+    f"""WITH {TURNS}, {STATEMENTS}, {OBJECTIVES}, u AS (SELECT turn_id, count(*) AS n_objectives, count(*) FILTER (NOT served) AS n_unserved, bool_or(choice) AS choice,
+  min({{'o': CASE kind WHEN 'errand' THEN 1 WHEN 'subject' THEN 2 ELSE 3 END, 'place': place, 'kind': kind, 'phrase': phrase}}) FILTER (NOT served) AS h FROM objectives GROUP BY turn_id)
+  SELECT turn_id, n_objectives, n_unserved, h.kind AS kind, h.phrase AS phrase, CASE WHEN n_unserved > 0 THEN round_even(least(1.0, CASE WHEN choice THEN 0.66 ELSE 0.5 END + 0.06 * (n_unserved - 1)), 4)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM u""",
+)
+def m13(spark, d):
+    return M.unserved(turns(spark, d))
+
+
+@query("m14_purpose")
+def m14(spark, d):
+    return M.purpose(turns(spark, d), policy_sources(spark, d))

@@ -108,11 +108,29 @@ def controls(d: DataFrame) -> DataFrame:
     return c.select(F.col("request_id").alias("control_id"), "system_id", F.element_at(kinds, F.col("k") + 1).alias("kind"), F.col("occurred_at").alias("valid_from"), (F.col("occurred_at") + F.expr("interval 1 hour")).alias("valid_to"))
 
 
+def day_controls(d: DataFrame) -> DataFrame:
+    """The same controls over a whole day, so that several bear on one turn, each with a payload as JSON and its id as version."""
+    c = controls(d).withColumn("valid_to", F.col("valid_from") + F.expr("interval 1 day")).withColumn("version", F.col("control_id"))
+    n = F.col("control_id")
+    payload = (
+        F.when(F.col("kind") == "suspend", F.to_json(F.struct(F.lit("off").alias("mode"), F.lit(True).alias("suspended"))))
+        .when(F.col("kind") == "quarantine", F.to_json(F.struct(F.lit("shadow").alias("mode"), F.array(F.lit("send")).alias("tools"))))
+        .when(F.col("kind") == "tool_restricted", F.to_json(F.struct(F.array(F.lit("refund"), F.concat(F.lit("tool-"), (n % 3).cast("string"))).alias("tools"))))
+        .when(F.col("kind") == "require_human", F.to_json(F.struct(F.lit("review").alias("mode"), F.struct((n % 4).alias("pass")).alias("thresholds"))))
+        .otherwise(F.to_json(F.struct(F.struct((6 + n % 3).alias("escalate"), (n % 2).alias("pass")).alias("thresholds"))))
+    )
+    return c.withColumn("payload", payload)
+
+
 CONTROLS = """v_controls AS (
   SELECT request_id AS control_id, system_id, (['suspend', 'quarantine', 'tool_restricted', 'require_human', 'tighten'])[k + 1] AS kind,
     occurred_at AS valid_from, occurred_at + INTERVAL 1 HOUR AS valid_to
   FROM v_decisions WHERE event_type = 'error' AND k < 5)"""
 
+DAY_CONTROLS = """day_controls AS (SELECT * REPLACE (valid_from + INTERVAL 1 DAY AS valid_to), CASE kind WHEN 'suspend' THEN 'off' WHEN 'quarantine' THEN 'shadow' WHEN 'require_human' THEN 'review' END AS mode,
+  CASE kind WHEN 'suspend' THEN 'true' END AS suspended, CASE kind WHEN 'quarantine' THEN 'send' WHEN 'tool_restricted' THEN 'refund,tool-' || control_id % 3 END AS tools,
+  CASE kind WHEN 'tighten' THEN 6 + control_id % 3 END AS escalate, CASE kind WHEN 'tighten' THEN control_id % 2 WHEN 'require_human' THEN control_id % 4 END AS pass FROM v_controls)"""
+
 _systems = [c.split()[0] for c in C.SYSTEM_COLUMNS.split(", ")]
 _tools = [c.split()[0] for c in C.TOOL_COLUMNS.split(", ")]
 DIMS = f"""systems AS ({C.values_sql(C.SYSTEMS, _systems)}),

@@ -32,15 +32,21 @@ def late_verification(decisions: DataFrame, results: DataFrame, delay: str = "2
     return d.join(r, on, "leftOuter")
 
 
-def live_windows(stream: DataFrame, length: str = "30 minutes", step: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Turns and tokens of each system in sliding windows (ST8); equal length and step tumble."""
-    w = stream.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", length, step), "system_id")
-    return w.agg(F.count("*").alias("turns"), F.sum("tokens").alias("tokens")).select(F.col("window.start").alias("start"), "system_id", "turns", "tokens")
+def live_windows(stream: DataFrame, length: str = "30 minutes", step: str = "1 minute", delay: str = "1 hour") -> DataFrame:
+    """Turns and tokens of each system in sliding windows (ST8); equal length and step tumble.
+
+    Turns are summed into panes of one step first, and windows are made of panes: what is
+    copied into every window that overlaps is one row a pane, not one a turn.
+    """
+    panes = stream.withWatermark("occurred_at", delay).groupBy(F.window("occurred_at", step), "system_id").agg(F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
+    if length != step:
+        panes = panes.groupBy(F.window(F.window_time("window"), length, step), "system_id").agg(F.sum("turns").alias("turns"), F.sum("tokens").alias("tokens"))
+    return panes.select(F.col("window.start").alias("start"), "system_id", "turns", "tokens")
 
 
 def budget_windows(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Seven days sliding by the day (ST9); calendar months are a key, see month_usage."""
-    return live_windows(stream, "7 days", "1 day", delay)
+    """Seven days sliding by the hour (ST9); calendar months are a key, see month_usage."""
+    return live_windows(stream, "7 days", "1 hour", delay)
 
 
 def month_usage(stream: DataFrame, delay: str = "40 days") -> DataFrame:

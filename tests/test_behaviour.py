@@ -75,13 +75,41 @@ def test_monitors(spark):
     got = monitors.numeric_contradictions(t.select("turn_id", F.col("answer").alias("text")), sources).collect()
     assert [(r.raw, r.rival) for r in got] == [("5000", "4000")]
     assert monitors.certainty(t, sources).filter("turn_id = 2").first().n_overbought >= 1
-    flips = monitors.counterfactuals(t, lambda q: F.char_length(q)).orderBy("turn_id").collect()
-    assert flips[0].score is None and flips[1].tested == 1 and flips[1].flips == 1
     om = monitors.omitted_conditions(t.withColumn("question", F.lit("refund approval for small")).withColumn("answer", F.lit("yes")), sources).collect()
     assert om[0].kind == "approval"
     assert [r.focus for r in t.select(monitors.focus(F.col("question"), F.col("answer")).alias("focus")).collect()][0] == "duration"
 
 
+def test_counterfactuals_ask_in_batches_and_name_their_state(spark):
+    def connect():
+        def client(prompts):
+            assert len(prompts) == len(set(prompts))
+            if any("boom" in p for p in prompts):
+                raise ConnectionError
+            return [None if "silent" in p else "unknown" if "maybe" in p else "no" if " she " in f" {p} " else "yes" for p in prompts]
+
+        return client
+
+    rows = [(1, "Can he apply?", "Yes, He can."), (2, "The theme is set.", "Fine."), (3, "maybe he can?", ""), (4, "Does Rajesh of Bandra, 400050, know he may?", "no"), (5, "silent he", None), (6, "boom he", "x"), (7, "he", "y")]
+    t = spark.createDataFrame(rows, "turn_id long, question string, answer string").repartition(7, "turn_id")
+    only = spark.createDataFrame([(k,) for k in range(1, 7)], "turn_id long")
+    got = {r.turn_id: tuple(r)[1:] for r in monitors.counterfactuals(t, connect, only).collect()}
+    assert got[1] == ("completed", 1, 1, 0, 1.0, 0.6) and got[2] == ("skipped_by_policy", 0, 0, 0, None, None)
+    assert got[3] == got[5] == ("failed", 0, 0, 1, None, None) and got[6][0] == "failed" and 7 not in got
+    assert got[4] == ("completed", 3, 1, 0, 0.3333, 0.9)  # at most three of the four
+
+
+def test_previous_rows_meet_over_blocks(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("key"), (F.col("id") * 7919 % 1009).alias("v"), F.floor(F.col("id") / 3).alias("at")).repartition(5)
+    for last, size in ((5, 5), (7, 16), (3, 1000)):
+        mine = windows.previous_rows(df, ["key"], F.floor(F.col("at") / 11), ["at", "id"], last, {"seen": lambda w: F.collect_list("v").over(w), "n": lambda w: F.count("*").over(w)}, size)
+        w = Window.partitionBy("key").orderBy("at", "id").rowsBetween(-last, -1)
+        want = df.select("*", F.collect_list("v").over(w).alias("seen"), F.count("*").over(w).alias("n"))
+        assert mine.columns == want.columns and sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_overclaims_follow_the_subject(spark):
     """The first claim of a sentence that nothing grants, three for an answer; verbs without an entry and grants of the subject are silent."""
     answers = [
@@ -141,10 +169,123 @@ def test_price_by_hand(spark):
     assert got[1].price == 0 and got[1].confidence == 0.3
 
 
-def test_replay_names_differences(spark):
-    a = spark.createDataFrame([(1, 5, "pass"), (2, 6, None)], "request_id long, price int, route string")
-    b = spark.createDataFrame([(1, 5, "block"), (2, 6, None)], "request_id long, price int, route string")
-    assert [(r.identical, r.differences) for r in decide.replay(a, b, ["price", "route"]).orderBy("request_id").collect()] == [(False, "route"), (True, "")]
+def test_replay_names_what_was_changed_in_a_record(spark):
+    import json
+
+    capability = spark.createDataFrame([(1, "sys-0", 12, "advise", 0.5, False, False, None), (2, "sys-0", 12, "advise", 0.5, False, False, None)], "request_id long, system_id string, k int, effective string, blast_radius double, mismatch boolean, approval boolean, denied string")
+    results = spark.createDataFrame([(r, "sys-0", n, d, "completed", "mandatory", s, 0.9, []) for r in (1, 2) for n, d, s in ((1, "privacy", 0.2), (2, "grounding", 0.6))], "request_id long, system_id string, monitor_ord int, detector_id string, status string, requirement string, score double, confidence double, labels array<string>")
+    rules = spark.createDataFrame([("sys-0", {"privacy": 1.0, "grounding": 1.0}, 20, 40, 60, ["execute"])], "system_id string, weights map<string,double>, t_pass int, t_repair int, t_escalate int, hard_gate array<string>")
+    decided = decide.floor(decide.route(decide.join_evidence(capability, scoring.price(results, rules, capability), scoring.govern(results, capability), rules)))
+    kept = decide.records(capability, results, rules, decided).collect()
+
+    def replayed(change):
+        rows = []
+        for r in kept:
+            record = json.loads(r.record)
+            change(record) if r.request_id == 2 else None
+            rows.append((r.request_id, json.dumps(record)))
+        return {r.request_id: (r.identical, r.differences.split(",")) for r in decide.replay(spark.createDataFrame(rows, "request_id long, record string")).collect()}
+
+    assert replayed(lambda r: None) == {1: (True, [""]), 2: (True, [""])}
+    weight = replayed(lambda r: r["policy"]["weights"].update(grounding=0.1))
+    assert weight[1][0] and {"price", "dominant"} <= set(weight[2][1])
+    failed = replayed(lambda r: r["evidence"][0].update(status="failed"))
+    assert failed[1][0] and "governance" in failed[2][1]
+    assert "rule" in replayed(lambda r: r["policy"].update(t_pass=90))[2][1]
+
+
+def test_overlays_fold_payloads_by_version(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1, 10)
+    at = lambda m: t0 + timedelta(minutes=m)
+    rows = [
+        (1, "sys-0", "tighten", 1, '{"thresholds": {"pass": 1, "block": 9}, "tools": ["a"], "mode": "x", "note": null}', at(0), at(60)),
+        (2, "sys-0", "require_human", 3, '{"thresholds": {"pass": 3}, "tools": ["c"], "mode": "z"}', at(10), at(30)),
+        (3, "sys-0", "quarantine", 2, '{"thresholds": {"pass": 2, "escalate": 5}, "tools": ["b", "b"], "mode": "y", "on": true}', at(20), at(90)),
+        (4, "sys-1", "suspend", 4, "{}", at(0), at(1)),
+    ]
+    controls = spark.createDataFrame(rows, "control_id long, system_id string, kind string, version long, payload string, valid_from timestamp, valid_to timestamp")
+    points = spark.createDataFrame([(m, "sys-0", at(m)) for m in (-5, 0, 15, 20, 30, 60, 89, 90)] + [(500, "sys-1", at(3)), (501, "sys-2", at(3))], "request_id long, system_id string, occurred_at timestamp")
+    got = {r.request_id: (r.n_live, r.scalars, r.lists, r.dicts) for r in policy.overlays(points, controls).collect()}
+    assert set(got) == {0, 15, 20, 30, 60, 89}
+    assert got[0] == (1, {"mode": "x", "note": None}, {"tools": ["a"]}, {"thresholds": {"pass": "1", "block": "9"}})
+    assert got[15] == (2, {"mode": "z", "note": None}, {"tools": ["a", "c"]}, {"thresholds": {"pass": "3", "block": "9"}})
+    assert got[20] == (3, {"mode": "z", "note": None, "on": "true"}, {"tools": ["a", "b", "b", "c"]}, {"thresholds": {"pass": "3", "block": "9", "escalate": "5"}})
+    assert got[30][2] == {"tools": ["a", "b", "b"]} and got[60] == got[89] and got[60][3] == {"thresholds": {"pass": "2", "escalate": "5"}}
+
+
+def test_reasons_of_refusals_are_assertions(spark):
+    rows = [
+        (1, "I cannot say whether you get it, as bookings follow the 45-day window for late notice."),
+        (2, "I cannot say whether you get it, as that would be unfair to the other guests."),
+        (3, "I cannot say. Please contact a manager of the branch."),
+        (4, "The desk opens at nine in the morning. I cannot book it."),
+        (5, "No."),
+        (6, "I am not able to help, because I cannot see what happened within 12 days."),
+    ]
+    t = spark.createDataFrame(rows, "turn_id long, answer string")
+    assert {r.turn_id: r.posture for r in monitors.abstention(t).collect()} == {1: "partial", 2: "full", 3: "full", 4: "partial", 5: "none", 6: "full"}
+    got = [(r.ord, r.part, r.kind, r.text) for r in monitors.statements(t).filter("turn_id = 1").orderBy("part").collect()]
+    assert got == [(0, 0, "declines", "I cannot say whether you get it"), (0, 1, "asserts", "bookings follow the 45-day window for late notice.")]
+    assert [r.claim for r in monitors.checkable_claims(t).collect()] == ["bookings follow the 45-day window for late notice."]
+
+
+ASKED = [  # question, answer, unserved objectives in order, what is named first
+    ("I want to lower the bill. Should I mail it or bring it to the counter?", "Mailing it takes about four days and needs a stamp.", ["lower the bill", "counter"], ("errand", "counter")),
+    ("I want to lower the bill.", "The saving depends on the tariff that was chosen.", [], None),
+    ("Do you open at the weekend?", "Spare time slots exist on most holidays there.", [], None),
+    ("My red suitcase is three floors up. Should I wait or leave?", "Leave at once, nobody else remains upstairs tonight.", ["red suitcase"], ("subject", "red suitcase")),
+    ("My red suitcase is three floors up.", "Leave at once, nobody else remains upstairs tonight.", [], None),
+    ("I need to renew the permit and I have to call the dentist, in order to travel abroad, so that I can rest, so I can sleep.", "Nothing written there concerns such unrelated private matters.", ["renew the permit and I have to call the dentist", "travel abroad", "rest", "sleep"], ("goal", "renew the permit and I have to call the dentist")),
+    ("I want to see the demo at the office.", "The demos begin tomorrow inside building seven.", ["office"], ("errand", "office")),
+    ("I want to go to the market.", "I cannot help with that today.", [], None),
+    ("I want to go to the market.", "Take bus.", [], None),
+    ("Ship it to the depot, yes to the depot.", "Shipping takes several working days normally.", ["depot"], ("errand", "depot")),
+]
+
+
+def test_objectives(spark):
+    t = spark.createDataFrame([(n, q, a) for n, (q, a, _, _) in enumerate(ASKED)], "turn_id long, question string, answer string")
+    rows = monitors.objectives(t).orderBy("turn_id", "place").collect()
+    head = {r.turn_id: (r.kind, r.phrase) if r.kind else None for r in monitors.unserved(t).collect()}
+    for n, (q, _, want, first) in enumerate(ASKED):
+        assert [r.phrase for r in rows if r.turn_id == n and not r.served] == want, q
+        assert head.get(n) == first, q
+    assert {r.turn_id: r.score for r in monitors.unserved(t).collect()}[0] == 0.72
+
+
+def test_blocked_terms(spark):
+    terms = [("s", 1, "credit line"), ("s", 2, "bar"), ("s", 3, "C++ (beta)"), ("s", 4, "no"), ("s", 5, "?!?"), ("s", 6, "straße"), ("s", 7, "\\E.*"), ("o", 1, "menu"), *(("m", k, f"word{k}") for k in range(9))]
+    asked = [
+        (1, "s", "Raise the CREDIT LINE, please"), (2, "s", "a credit  line or credit-line"), (3, "s", "the barcode of the crowbar"), (4, "s", "is c++ (BETA) fine?"), (5, "s", "what ?!?"), (13, "s", "what?!?"), (6, "s", "Die Straßen"), (7, "s", "Die STRAßE bar credit line"),
+        (8, "s", "menu"), (9, "m", " ".join(f"Word{k}" for k in range(8, -1, -1))), (10, "s", "a \\E.* b"), (11, "s", "xE.*"), (12, "s", "no"),
+    ]
+    q = spark.createDataFrame(asked, "request_id long, system_id string, question string")
+    found = screens.blocklist(q, spark.createDataFrame(terms, "system_id string, ord int, term string"))
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.request_id, []).append(r.term)
+    assert got == {1: ["credit line"], 4: ["C++ (beta)"], 5: ["?!?"], 7: ["credit line", "bar", "straße"], 9: ["word0", "word1", "word2", "word3"], 10: ["\\E.*"]}
+    out = {r.request_id: r.outcome for r in screens.screen(q, found).collect()}
+    assert out[1] == "refused_blocked" and out[2] == "allow"
+
+
+def test_scope_verdicts(spark):
+    from assurance.operators import corpus
+
+    scores = spark.createDataFrame([(1, "a", 1.5, 1), (1, "b", 0.1, 2), (2, "a", 1.5, 1), (3, "a", 1.5, 1), (4, "a", 0.4, 1), (6, "a", 1.5, 1), (6, "c", 1.2, 2)], "item_id long, system_id string, score double, place int")
+    cover = spark.createDataFrame([(1, "a", 6.0), (1, "b", 4.0), (2, "a", 6.0), (2, "b", 5.0), (3, "a", 6.0), (4, "b", 0.5), (6, "a", 0.4), (6, "c", 9.0)], "item_id long, system_id string, cover double")
+    asked = spark.createDataFrame([(1, "b", 3), (2, "b", 3), (3, "b", 1), (4, "b", 2), (5, "b", 2), (6, "b", 2)], "item_id long, system_id string, n_terms int")
+    got = {r.item_id: (r.verdict, r.redirect_to) for r in corpus.scope_verdict(scores, asked, cover).collect()}
+    # 2: covered too well here; 3: one term; 4: other too weak; 6: the best other one does not cover it
+    assert got == {1: ("foreign", "a"), 2: ("in_scope", None), 3: ("in_scope", None), 4: ("uncovered", None), 5: ("uncovered", None), 6: ("uncovered", None)}
+
+
+def test_purpose_takes_the_worst_of_what_was_found(spark):
+    s = lambda *a: spark.range(1).select(monitors.purpose_score(*map(F.lit, a)).alias("x")).first().x
+    assert s(0, False, False, False, False, 0.0) == 0.0 and s(0, False, False, False, True, 0.0) == 0.42 and s(0, False, False, True, False, 0.0) == 0.5
+    assert round(s(2, True, True, False, False, 0.9), 4) == 0.9 and round(s(1, False, False, False, False, 0.9), 4) == 0.5 and s(9, True, True, True, True, 0.0) == 1.0
 
 
 def test_log_finds_the_changed_byte(spark):

@@ -30,8 +30,10 @@ def plain(v):
         return None
     if isinstance(v, bool):
         return v
-    if isinstance(v, (int, float, decimal.Decimal)):
-        return f"{float(v):.9g}"
+    if isinstance(v, int) or (isinstance(v, decimal.Decimal) and v == v.to_integral_value()):
+        return str(int(v))
+    if isinstance(v, (float, decimal.Decimal)):
+        return str(int(v)) if float(v).is_integer() and abs(v) < 1e9 else f"{float(v):.9g}"
     if isinstance(v, (datetime.datetime, datetime.date)):
         return v.isoformat()
     return str(v)
