@@ -49,6 +49,15 @@ def naive_cover(streams: list[tuple[int, list[str]]], least: int) -> dict[tuple[
     return covered
 
 
+def test_marks_are_whole_names():
+    page = """<article class="post wide"><div class="related-work"><p>Work that is related.</p></div><section id="share-prices"><p>Prices fell.</p></section>
+    <h2 id="comments-on-method">Comments on method</h2><h2 class="notice-title" id="notice">A notice of birds</h2><p>End.</p>
+    <div class="cookieBanner">Cookies!</div><div id="site-footer-2">Foot</div><div class="related-posts">More</div><label>Name</label><article class="comment">Nice read.</article></article>
+    <article class="comment">I agree.</article><article class="teaser">Next story</article>"""
+    texts, zones = html_text.blocks(page)
+    assert [t for t, z in zip(texts, zones, strict=True) if z == 2] == ["Work that is related.", "Prices fell.", "Comments on method", "A notice of birds", "End."]
+
+
 def test_suffix_keys_cover_what_a_suffix_array_covers(spark):
     rng = random.Random(4)
     menu = prose(rng, 14)
