@@ -212,27 +212,30 @@ def leaves(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, a long, b long")
 
 
-def grow(classes: DataFrame, threshold: float, trees: tuple[int, int]) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Candidates (node, a, b) of some trees, the classes in nodes too deep for their number if there are any, and the depth reached."""
+def grow(classes: DataFrame, threshold: float, trees: tuple[int, int]) -> tuple[DataFrame, DataFrame | None, int]:
+    """Candidates (node, a, b) of some trees, the classes in nodes too deep for their number if there are any, and the depth reached.
+
+    The nodes that a round leaves small enough wait, and those of all rounds are compared in one job.
+    """
     extra, least = 1 / threshold - 1, threshold - SLACK
-    rows, found, crowded = classes, [], None
+    rows, ready, crowded = classes, [], None
     for step in range(ROUNDS):
         depth = (step + 1) * LEVELS
         counts = descend(rows, extra, False, trees).groupBy("node").agg(F.count("*").alias("size"))
         large = park(counts.filter(F.col("size") > NODE))
         n = large.count()
         small = descend(rows, extra, True, trees)
-        if n:
-            small = near(small, large.select("node"), "node", n, "left_anti")
-        found.append(park(leaves(small, least)))
+        ready.append(near(small, large.select("node"), "node", n, "left_anti") if n else small)
         if not n:
-            return found, crowded, depth
+            break
         if crowded is None and trees_for(depth + LEVELS, threshold) > trees[1]:
             crowded = near(descend(rows, extra, False, trees), large.select("node"), "node", n, "left_semi").select("h", "sig")
             crowded = park(crowded.dropDuplicates(["h"]))
         last = step == ROUNDS - 1
         rows = park(near(descend(rows, extra, last, trees), large, "node", n, "inner"))
-    return [*found, park(leaves(block_pairs(rows), least))], crowded, depth
+        if last:
+            ready.append(block_pairs(rows))
+    return park(leaves(reduce(DataFrame.unionAll, ready), least)), crowded, depth
 
 
 def candidates(classes: DataFrame, threshold: float) -> list[DataFrame]:
@@ -243,8 +246,8 @@ def candidates(classes: DataFrame, threshold: float) -> list[DataFrame]:
     """
     found, had, want = [], 0, TREES
     while want > had and classes is not None:
-        parts, classes, depth = grow(classes, threshold, (had, want))
-        found.append(reduce(DataFrame.unionAll, parts))
+        pairs, classes, depth = grow(classes, threshold, (had, want))
+        found.append(pairs)
         had, want = want, max(want, trees_for(depth, threshold))
     return found
 
