@@ -30,7 +30,7 @@ TREES, RECALL = 10, 0.99
 #: Levels that one round walks down, and rounds before a node that stays large is compared in blocks.
 LEVELS, ROUNDS = 3, 12
 #: Most classes compared exhaustively in one node or group, and most shingles of a group of full sets.
-NODE, WEIGHT = 800, 2_000_000
+NODE, WEIGHT = 1600, 2_000_000
 #: Estimates below the threshold by more than this are not checked; over three deviations of the sketch.
 SLACK = 0.12
 
