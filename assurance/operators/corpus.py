@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assurance.functions import text as T
@@ -43,15 +43,58 @@ def index(chunks: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame,
     return postings, df, stats
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(item_id, system_id, chunk_id, score, rank): the best k chunks of each system for each question (R2).
+#: Slots that kept postings are dealt into by term; sizes of chunks stand in a slot of their own.
+SLOTS, SIZES = 16, -1
+
+
+def entries(chunks: DataFrame, sign: int = 1) -> DataFrame:
+    """(system_id, chunk_id, term, tf, n_tokens, sign, slot) of chunks with one reading: a posting for each term, and a row without a term for the chunk itself."""
+    tokens = chunks.select("system_id", "chunk_id", T.bm25_tokens(F.col("text")).alias("tokens"))
+    rows = tokens.select("system_id", "chunk_id", F.size("tokens").alias("n_tokens"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    rows = rows.groupBy("system_id", "term", "chunk_id", "n_tokens").agg(F.count("*").alias("tf")).withColumn("sign", F.lit(sign))
+    return rows.withColumn("slot", F.when(F.col("term") == "", SIZES).otherwise(slot_of("term")))
+
+
+def slot_of(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Keep the index of chunks (system_id, chunk_id, text) under path (R1); chunk ids are unique within a system."""
+    entries(chunks).write.partitionBy("slot").parquet(path)
+
+
+def amend_index(gone: DataFrame, come: DataFrame, path: str) -> None:
+    """Take chunks out of a kept index and put others in (R4, R5): rows with a sign are added, nothing that stands is written again."""
+    entries(gone, -1).unionByName(entries(come)).write.mode("append").partitionBy("slot").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What index() gives, from a kept index; with only (term), from the slots of its terms."""
+    raw = spark.read.schema("system_id string, chunk_id string, n_tokens int, term string, tf long, sign int, slot int").parquet(path)
+
+    def net(rows: DataFrame) -> DataFrame:
+        key = ["system_id", "term", "chunk_id", "tf", "n_tokens"]
+        return rows.groupBy(*key).agg(F.sum("sign").alias("s")).filter("s > 0").select(*key)
+
+    postings = raw.filter(F.col("slot") != SIZES)
+    if only is not None:
+        postings = postings.join(few(only.distinct().withColumn("slot", slot_of("term"))), ["slot", "term"], "left_semi")
+    postings = net(postings)
+    df = postings.groupBy("system_id", "term").agg(F.count("*").alias("df"))
+    stats = net(raw.filter(F.col("slot") == SIZES)).groupBy("system_id").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
+    return postings, df, stats
+
+
+def bm25(questions: DataFrame, chunks: DataFrame | None, k: int = TOP_K, kept: str | None = None) -> DataFrame:
+    """(item_id, system_id, chunk_id, score, rank): the best k chunks of each system for each question (R2), of chunks or of an index kept under a path.
 
     Only terms of some question are counted. They meet postings on the term alone, so the
     question side is one row for a term, and every system answers in its own corpus. Scores are sums with
     map-side combine, and rank keeps k rows before its shuffle. Ties go to the chunk id.
     """
     q = questions.select("item_id", F.explode(F.array_distinct(T.bm25_tokens(F.col("text")))).alias("term"))
-    postings, df, stats = index(chunks, q.select("term"))
+    postings, df, stats = read_index(questions.sparkSession, kept, q.select("term")) if kept else index(chunks, q.select("term"))
     n, average = F.col("n_chunks"), F.col("total") / F.col("n_chunks")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / average))

@@ -90,7 +90,7 @@ def b6(spark, d):
     """Ranked systems of a question with what speaks for each."""
     b = V.table(spark, d, "benchmark")
     scores = R.scope_scores(b, R.scope_lexicon(retrieval.documents(spark, d), questions=b))
-    cover = R.bm25(b, retrieval.chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
+    cover = R.bm25(b, None, 1, retrieval.kept(spark, d)).select("item_id", "system_id", F.col("score").alias("cover"))
     j = scores.join(cover, ["item_id", "system_id"], "left")
     return j.select("item_id", "system_id", "place", F.col("score").alias("distinctiveness"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
 

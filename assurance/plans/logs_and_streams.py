@@ -201,11 +201,31 @@ def st2(spark, d):
 SQL["st2_late_verification"] = with_sql("SELECT system_id, count(*) AS matched FROM v_detector_results WHERE status = 'queued_async' AND detector_id = 'privacy' GROUP BY system_id", V.DECISIONS, V.DETECTORS)
 
 
-@query("st5_rolling_cost", with_sql("SELECT task, count(*) AS n, round_even(max(ratio), 4) AS most FROM (SELECT task, CASE WHEN len(b) > 0 THEN tokens / greatest(b[len(b) // 2 + 1], 1)::DOUBLE END AS ratio FROM (SELECT system_id AS task, tokens, list_sort(list(tokens) OVER (PARTITION BY system_id ORDER BY request_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)) AS b FROM v_decisions)) GROUP BY task", V.DECISIONS))
+ROLLING = """costed_turns AS (SELECT system_id AS task, request_id AS turn_id, tokens, CAST(k % 5 AS VARCHAR) AS digest FROM v_decisions),
+framed AS (SELECT task, turn_id, tokens, digest, list_sort(list(tokens) OVER w) AS b, list(digest) OVER w AS s FROM costed_turns WINDOW w AS (PARTITION BY task ORDER BY turn_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)),
+rolled AS (SELECT task, turn_id, CASE WHEN len(b) > 0 THEN tokens / greatest(b[len(b) // 2 + 1], 1)::DOUBLE END AS ratio, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: x = digest)) / len(s)::DOUBLE END AS repeated FROM framed)"""
+
+
+def cost_columns():
+    return F.col("system_id").alias("task"), F.col("request_id").alias("turn_id"), F.col("tokens").cast("long").alias("tokens"), (F.col("k") % 5).cast("string").alias("digest")
+
+
+@query("st5_rolling_cost", with_sql("SELECT task, count(*) AS n, round_even(max(ratio), 4) AS most, round_even(max(repeated), 4) AS most_repeated FROM rolled GROUP BY task", V.DECISIONS, ROLLING))
 def st5(spark, d):
-    s = decision_stream(spark, d).select(F.col("system_id").alias("task"), F.col("request_id").alias("turn_id"), F.col("tokens").cast("long").alias("tokens"))
-    out = ST.run_once(ST.rolling_cost(s), "st5", shared(spark))
-    return out.groupBy("task").agg(F.count("*").alias("n"), F.bround(F.max("ratio"), 4).alias("most"))
+    out = ST.run_once(ST.rolling_cost(decision_stream(spark, d).select(*cost_columns())), "st5", shared(spark))
+    return out.groupBy("task").agg(F.count("*").alias("n"), F.bround(F.max("ratio"), 4).alias("most"), F.bround(F.max("repeated"), 4).alias("most_repeated"))
+
+
+@query("st11_restarted_stream", with_sql("SELECT task, turn_id, round_even(ratio, 4) AS ratio, round_even(repeated, 4) AS repeated FROM rolled WHERE turn_id >= (SELECT max(turn_id) / 2 FROM costed_turns)", V.DECISIONS, ROLLING))
+def st11_restarted(spark, d):
+    """A stream that begins at the later half of the turns with what the log holds of the earlier one: it gives what one gives that never stopped."""
+    x = V.decisions(spark, d).select(*cost_columns())
+    half = x.agg((F.max("turn_id") / 2).alias("half")).first()[0]
+    path = shared(spark)
+    x.filter(F.col("turn_id") >= half).write.parquet(path)
+    later = spark.readStream.schema(x.schema).parquet(path)
+    out = ST.run_once(ST.rolling_cost(later, x.filter(F.col("turn_id") < half)), "st11", shared(spark))
+    return out.select("task", "turn_id", F.bround("ratio", 4).alias("ratio"), F.bround("repeated", 4).alias("repeated"))
 
 
 def sliding_sql(length: str, step: str, n: int) -> str:

@@ -100,7 +100,12 @@ def tx13(spark, d):
     return x.select("doc_id", (F.col("redacted") != F.col("text")).alias("changed"), F.sha2("redacted", 256).alias("digest"))
 
 
-CHUNKS = "v_chunks AS (SELECT source AS system_id, doc_id, doc_id || '#' || lpad(CAST(n - 1 AS VARCHAR), 3, '0') AS chunk_id, line AS text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(line, ' ') <> '')"
+def chunks_of(docs: str) -> str:
+    """CTE v_chunks of a table of documents (doc_id, source, text)."""
+    return f"v_chunks AS (SELECT source AS system_id, doc_id, doc_id || '#' || lpad(CAST(n - 1 AS VARCHAR), 3, '0') AS chunk_id, line AS text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {docs}) WHERE trim(line, ' ') <> '')"
+
+
+CHUNKS = chunks_of("documents")
 INDEX = f"""toks AS (SELECT system_id, chunk_id, {BM25_SQL} AS t FROM v_chunks),
 postings AS (SELECT system_id, term, chunk_id, count(*) AS tf, max(n_tokens) AS n_tokens FROM (SELECT system_id, chunk_id, len(t) AS n_tokens, unnest(t) AS term FROM toks) GROUP BY ALL),
 dfs AS (SELECT system_id, term, count(*) AS df FROM postings GROUP BY ALL),
@@ -122,6 +127,23 @@ def chunks(spark, d):
     return R.chunks_by_line(documents(spark, d))
 
 
+#: Kept indexes of this process: (application, folder) -> (what the files were, path).
+KEPT: dict = {}
+
+
+def kept(spark, d) -> str:
+    """Path of the index of the folder's documents, written once a session and again if their files have changed."""
+    from assurance.plans.logs_and_streams import shared
+
+    files = V.table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key, now = (spark.sparkContext.applicationId, d), sorted(map(tuple, files))
+    if KEPT.get(key, (None,))[0] != now:
+        path = shared(spark)
+        R.write_index(chunks(spark, d), path)
+        KEPT[key] = (now, path)
+    return KEPT[key][1]
+
+
 @query("r1_index", f"WITH {CHUNKS}, {INDEX} SELECT system_id, term, df, round_even(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs JOIN stats USING (system_id)")
 def r1(spark, d):
     _, df, stats = R.index(chunks(spark, d))
@@ -130,7 +152,24 @@ def r1(spark, d):
 
 @query("r2_bm25", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, score, rank FROM hits WHERE rank <= 6")
 def r2(spark, d):
-    return R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d)).select("item_id", "system_id", "score", "rank")
+    return R.bm25(V.table(spark, d, "benchmark"), None, kept=kept(spark, d)).select("item_id", "system_id", "score", "rank")
+
+
+EDITED = "edited AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN 'the amended clause' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5)"
+
+
+@query("r4_kept_index", f"WITH {EDITED}, {chunks_of('edited')}, {INDEX} SELECT system_id, term, df, n_chunks, total::BIGINT AS n_tokens FROM dfs JOIN stats USING (system_id)")
+def r4_kept(spark, d):
+    """A kept index after every tenth document was edited and every tenth deleted: the same as one built anew."""
+    from assurance.plans.logs_and_streams import shared
+
+    docs, path = documents(spark, d), shared(spark)
+    edited = docs.filter("doc_id % 10 = 3")
+    R.write_index(R.chunks_by_line(docs), path)
+    come = R.chunks_by_line(edited.withColumn("text", F.concat_ws("\n", F.lit("the amended clause"), "text")))
+    R.amend_index(R.chunks_by_line(docs.filter("doc_id % 10 IN (3, 5)")), come, path)
+    _, df, stats = R.read_index(spark, path)
+    return df.join(stats, "system_id").select("system_id", "term", "df", "n_chunks", "n_tokens")
 
 
 CITED = "cited AS (SELECT item_id, item_id * 7 % (SELECT max(doc_id) + 50 FROM documents) AS doc_id FROM benchmark UNION ALL SELECT item_id, item_id * 13 % (SELECT max(doc_id) + 50 FROM documents) FROM benchmark)"
@@ -168,7 +207,7 @@ def r6(spark, d):
 
 @query("r8_summary", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, count(*) AS n_hits, max(score) AS top_score FROM hits WHERE rank <= 6 GROUP BY item_id, system_id")
 def r8(spark, d):
-    hits = R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d))
+    hits = R.bm25(V.table(spark, d, "benchmark"), None, kept=kept(spark, d))
     return hits.groupBy("item_id", "system_id").agg(F.count("*").alias("n_hits"), F.max("score").alias("top_score"))
 
 
@@ -196,7 +235,7 @@ def q11(spark, d):
 
 @query("q12_scope_coverage", f"WITH {CHUNKS}, {INDEX}, {HITS} SELECT item_id, system_id, score AS cover FROM hits WHERE rank = 1")
 def q12(spark, d):
-    return R.bm25(V.table(spark, d, "benchmark"), chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
+    return R.bm25(V.table(spark, d, "benchmark"), None, 1, kept(spark, d)).select("item_id", "system_id", F.col("score").alias("cover"))
 
 
 # Questions of scope: the passages of the benchmark, and for each system its five weightiest terms asked of itself and of the next system, a question of no known word, and one of a single word.
@@ -228,6 +267,6 @@ SELECT item_id, system_id, mine, cover, other_cover, CASE WHEN is_foreign THEN '
 def q13(spark, d):
     lexicon = R.scope_lexicon(documents(spark, d))
     asked = scope_asked(spark, d, lexicon)
-    cover = R.bm25(asked, chunks(spark, d), 1).select("item_id", "system_id", F.col("score").alias("cover"))
+    cover = R.bm25(asked, None, 1, kept(spark, d)).select("item_id", "system_id", F.col("score").alias("cover"))
     sized = asked.select("item_id", "system_id", F.size(T.subject_terms(F.col("text"))).alias("n_terms"))
     return R.scope_verdict(R.scope_scores(asked, lexicon), sized, cover)

@@ -11,7 +11,7 @@ from assurance.operators import corpus
 from assurance.operators import monitors as M
 from assurance.operators import screens as S
 from assurance.plans import views as V
-from assurance.plans.retrieval import CHUNKS, CLAIM_SQL, HITS, INDEX, SENTENCES_SQL, chunks, stem_sql, tokens_sql
+from assurance.plans.retrieval import CHUNKS, CLAIM_SQL, FIGURE_SQL, HITS, INDEX, SENTENCES_SQL, VALUE_SQL, chunks, kept, stem_sql, tokens_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -195,17 +195,19 @@ def claim_sources(spark, d):
     """Claims are sentences of the benchmark, each with its best chunks as sources."""
     b = V.table(spark, d, "benchmark")
     claims = b.select(F.col("item_id").alias("turn_id"), F.posexplode(T.sentences(F.col("text"))).alias("ord", "text"))
-    hits = corpus.bm25(b, chunks(spark, d)).filter("rank <= 2").select(F.col("item_id").alias("turn_id"), "chunk_id", "system_id")
+    hits = corpus.bm25(b, None, kept=kept(spark, d)).filter("rank <= 2").select(F.col("item_id").alias("turn_id"), "chunk_id", "system_id")
     return claims, hits.join(chunks(spark, d).select("chunk_id", "system_id", "text"), ["chunk_id", "system_id"]).select("turn_id", "text")
 
 
 CLAIMS = f"claims AS (SELECT item_id AS turn_id, unnest({SENTENCES_SQL.format(t='text')}) AS text FROM benchmark), sources AS (SELECT item_id AS turn_id, c.text FROM hits h JOIN v_chunks c ON h.chunk_id = c.chunk_id AND h.system_id = c.system_id WHERE rank <= 2)"
 
 
-@query(
-    "m2_grounding",
-    f"WITH {CHUNKS}, {INDEX}, {HITS}, {CLAIMS}, pool AS (SELECT turn_id, list_distinct(flatten(list({CLAIM_SQL}))) AS pool, count(*) AS n FROM sources GROUP BY turn_id), c AS (SELECT turn_id, {CLAIM_SQL} AS w FROM claims), g AS (SELECT c.turn_id, count(*) AS n_claims, count(*) FILTER (len(list_intersect(w, coalesce(pool, []))) / len(w)::DOUBLE >= 0.55) AS n_supported, max(coalesce(n, 0)) AS n_sources FROM c LEFT JOIN pool p ON c.turn_id = p.turn_id WHERE len(w) > 0 GROUP BY c.turn_id) SELECT turn_id, n_claims, n_supported, CASE WHEN n_sources = 0 THEN 0.62::DOUBLE ELSE round_even(1 - n_supported / n_claims::DOUBLE, 4) END AS score, CASE WHEN n_sources >= 3 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM g",
-)
+GROUNDED = f"""pool AS (SELECT turn_id, list_distinct(flatten(list({CLAIM_SQL}))) AS pool, count(*) AS n FROM sources GROUP BY turn_id), c AS (SELECT turn_id, {CLAIM_SQL} AS w FROM claims),
+g AS (SELECT c.turn_id, count(*) AS n_claims, count(*) FILTER (len(list_intersect(w, coalesce(pool, []))) / len(w)::DOUBLE >= 0.55) AS n_supported, max(coalesce(n, 0)) AS n_sources FROM c LEFT JOIN pool p ON c.turn_id = p.turn_id WHERE len(w) > 0 GROUP BY c.turn_id),
+grounded AS (SELECT turn_id, n_claims, n_supported, CASE WHEN n_sources = 0 THEN 0.62::DOUBLE ELSE round_even(1 - n_supported / n_claims::DOUBLE, 4) END AS score, CASE WHEN n_sources >= 3 THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM g)"""
+
+
+@query("m2_grounding", f"WITH {CHUNKS}, {INDEX}, {HITS}, {CLAIMS}, {GROUNDED} SELECT * FROM grounded")
 def m2(spark, d):
     return M.grounding(*claim_sources(spark, d))
 
@@ -334,15 +336,29 @@ def m19(spark, d):
     return M.checkable_claims(turns(spark, d))
 
 
-def verdicts(spark, d):
-    claims, sources = claim_sources(spark, d)
+def verdicts(claims, sources):
+    """The lexical judge's verdict on each claim beside all sources of its turn."""
     ref = sources.groupBy("turn_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("reference"))
     return M.lexical_verdicts(claims.select("turn_id", (F.col("ord") + 1).alias("n"), F.col("text").alias("claim")).join(ref, "turn_id", "left"))
 
 
-@query("m22_verdicts")
+def claim_words_sql(x: str) -> str:
+    return "list_distinct(" + tokens_sql(x, T.CLAIM_TOKEN, T.CLAIM_STOP, 1) + ")"
+
+
+VERDICTS = f"""numbered AS (SELECT item_id AS turn_id, unnest(l) AS claim, generate_subscripts(l, 1) AS n FROM (SELECT item_id, {SENTENCES_SQL.format(t="text")} AS l FROM benchmark)),
+ref AS (SELECT turn_id, array_to_string(list_sort(list(text)), ' ') AS reference FROM sources GROUP BY turn_id),
+worded AS (SELECT turn_id, n, {claim_words_sql("claim")} AS c, {claim_words_sql("reference")} AS r, list_transform({FIGURE_SQL.format(x="claim")}, lambda f: {VALUE_SQL.format(x="f")}) AS nums, list_transform({FIGURE_SQL.format(x="reference")}, lambda f: {VALUE_SQL.format(x="f")}) AS known, coalesce(trim(reference) = '', true) AS blank FROM numbered LEFT JOIN ref USING (turn_id)),
+judged AS (SELECT turn_id, CAST(n AS INTEGER) AS n, blank, CASE WHEN blank THEN 'uncovered' WHEN len(nums) > 0 AND len(known) > 0 AND NOT list_has_any(nums, known) THEN 'contradicted' WHEN len(list_intersect(c, r)) / greatest(len(c), 1)::DOUBLE >= 0.5 THEN 'supported' ELSE 'uncovered' END AS verdict FROM worded),
+verdicts AS (SELECT turn_id, n, verdict, CASE WHEN blank THEN 0.85::DOUBLE WHEN verdict = 'contradicted' THEN 0.72::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM judged),
+summed AS (SELECT turn_id, count(*) FILTER (verdict = 'contradicted') AS contradicted, count(*) FILTER (verdict = 'uncovered') AS uncovered, count(*) AS material, avg(confidence) AS confidence FROM verdicts GROUP BY turn_id),
+adjudicated AS (SELECT turn_id, contradicted, uncovered, material, round_even(confidence, 4) AS confidence, round_even(least(1.0::DOUBLE, (0.55::DOUBLE * contradicted + 0.30::DOUBLE * uncovered) / material + CASE WHEN contradicted > 0 THEN 0.25::DOUBLE ELSE 0 END), 4) AS score FROM summed)"""
+JUDGED = f"WITH {CHUNKS}, {INDEX}, {HITS}, {CLAIMS}, {VERDICTS}"
+
+
+@query("m22_verdicts", f"{JUDGED} SELECT turn_id, n, verdict, confidence FROM verdicts")
 def m22(spark, d):
-    return verdicts(spark, d)
+    return verdicts(*claim_sources(spark, d))
 
 
 @query("m23_verdict_ingest", "SELECT event_id AS turn_id, CAST(k % 9 AS INTEGER) AS n, CASE WHEN v = 'contradicted' AND k / 100.0::DOUBLE < 0.45::DOUBLE THEN 'uncovered' ELSE v END AS verdict, k / 100.0::DOUBLE AS confidence, v = 'contradicted' AND k / 100.0::DOUBLE < 0.45::DOUBLE AS softened, CASE WHEN k % 9 NOT BETWEEN 1 AND 6 THEN 'out of bounds' WHEN v = 'maybe' THEN 'unknown verdict' END AS reject FROM (SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k, (['supported', 'contradicted', 'uncovered', 'maybe'])[CAST(props->>'$.k' AS INTEGER) % 4 + 1] AS v FROM events)")
@@ -353,14 +369,18 @@ def m23(spark, d):
     return M.ingest_verdicts(raw)
 
 
-@query("m24_adjudication")
+@query("m24_adjudication", f"{JUDGED} SELECT * FROM adjudicated")
 def m24(spark, d):
-    return M.adjudicate(verdicts(spark, d))
+    return M.adjudicate(verdicts(*claim_sources(spark, d)))
 
 
-@query("m20_second_opinion")
+@query(
+    "m20_second_opinion",
+    f"{JUDGED}, {GROUNDED}, reasons AS (SELECT g.turn_id, CASE WHEN n_claims = 0 THEN 'no_claims' WHEN uncovered > 0 THEN 'uncovered' WHEN g.score >= 0.34 THEN 'grounding' WHEN g.turn_id % 5 = 0 THEN 'tier' END AS why FROM grounded g LEFT JOIN adjudicated a ON g.turn_id = a.turn_id) SELECT turn_id, why, why IS NOT NULL AND why <> 'no_claims' AS wanted FROM reasons",
+)
 def m20(spark, d):
-    g = M.grounding(*claim_sources(spark, d)).join(M.adjudicate(verdicts(spark, d)).select("turn_id", "uncovered"), "turn_id", "left")
+    claims, sources = claim_sources(spark, d)
+    g = M.grounding(claims, sources).join(M.adjudicate(verdicts(claims, sources)).select("turn_id", "uncovered"), "turn_id", "left")
     t = g.withColumn("tier", F.when(F.col("turn_id") % 5 > 0, "authoritative").otherwise("parametric"))
     return M.second_opinion(t).select("turn_id", "why", "wanted")
 

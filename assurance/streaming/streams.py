@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assurance import config as C
+from assurance.operators.projections import history
 
 #: Rows of a frame that a processor gives out at once.
 OUT_ROWS = 10_000
@@ -118,33 +119,44 @@ def keep(state, rows: list[tuple]) -> None:
 
 
 class RollingCost(StatefulProcessor):
-    """Cost of each turn against the class's last LAST turns (ST5), which are its bounded state; turns of a micro-batch go by turn_id."""
+    """Cost and repetition of each turn against the class's last LAST turns (ST5), which are its bounded state; turns of a micro-batch go by turn_id."""
 
     LAST = 200
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "tokens long")
+        self.seen = handle.getListState("seen", "tokens long, digest string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        """What the log holds of the class (ST11): its last turns, as if the stream had seen them."""
+        rows = initialState.sort_values("turn_id").tail(self.LAST)
+        keep(self.seen, [(int(t), str(d)) for t, d in zip(rows["tokens"], rows["digest"], strict=True)])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = deque((r[0] for r in self.seen.get()), self.LAST)
-        last = sorted(before)
-        for b in in_order(rows, "turn_id", ["turn_id", "tokens"]):
+        before = deque(((r[0], r[1]) for r in self.seen.get()), self.LAST)
+        last, times = sorted(t for t, _ in before), Counter(d for _, d in before)
+        for b in in_order(rows, "turn_id", ["turn_id", "tokens", "digest"]):
             out = []
-            for turn, tokens in b.itertuples(index=False):
-                out.append((key[0], int(turn), float(tokens) / max(1, last[len(last) // 2]) if last else None))
-                if len(before) == self.LAST:
-                    del last[bisect_left(last, before[0])]
-                before.append(int(tokens))
+            for turn, tokens, digest in b.itertuples(index=False):
+                n = len(last)
+                out.append((key[0], int(turn), float(tokens) / max(1, last[n // 2]) if n else None, times[digest] / n if n else None))
+                if n == self.LAST:
+                    del last[bisect_left(last, before[0][0])]
+                    times[before[0][1]] -= 1
+                before.append((int(tokens), digest))
                 insort(last, int(tokens))
-            yield pd.DataFrame(out, columns=["task", "turn_id", "ratio"])
-        self.seen.put([(int(x),) for x in before])
+                times[digest] += 1
+            yield pd.DataFrame(out, columns=["task", "turn_id", "ratio", "repeated"])
+        self.seen.put(list(before))
 
     def close(self) -> None:
         pass
 
 
-def rolling_cost(stream: DataFrame) -> DataFrame:
-    return stream.select("task", "turn_id", "tokens").groupBy("task").transformWithStateInPandas(RollingCost(), "task string, turn_id long, ratio double", "append", "None")
+def rolling_cost(stream: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """(task, turn_id, ratio, repeated) of a stream (task, turn_id, tokens, digest); log: earlier turns with the same columns, from which a restarted stream takes its state (ST11)."""
+    past = None if log is None else history(log.select("task", "turn_id", "tokens", "digest"), "task", "turn_id", RollingCost.LAST).drop("place").groupBy("task")
+    schema = "task string, turn_id long, ratio double, repeated double"
+    return stream.select("task", "turn_id", "tokens", "digest").groupBy("task").transformWithStateInPandas(RollingCost(), schema, "append", "None", past)
 
 
 class Admission(StatefulProcessor):

@@ -386,17 +386,26 @@ def test_rolling_cost_and_admission_order_rows_over_arrow_batches():
 
     rng = random.Random(4)
     tokens = [rng.randint(1, 500) for _ in range(1500)]
+    digests = [rng.choice("abcde") for _ in tokens]
     cost = streams.RollingCost()
     cost.seen = Held()
-    got = {}
+    got, repeated = {}, {}
     for low, high in ((0, 1000), (1000, 1500)):
         order = rng.sample(range(low, high), high - low)
-        frames = (pd.DataFrame({"turn_id": order[i : i + 90], "tokens": [tokens[j] for j in order[i : i + 90]]}) for i in range(0, len(order), 90))
-        got |= {r.turn_id: r.ratio for f in cost.handleInputRows(("a",), frames, None) for r in f.itertuples()}
+        frames = (pd.DataFrame({"turn_id": order[i : i + 90], "tokens": [tokens[j] for j in order[i : i + 90]], "digest": [digests[j] for j in order[i : i + 90]]}) for i in range(0, len(order), 90))
+        rows = [r for f in cost.handleInputRows(("a",), frames, None) for r in f.itertuples()]
+        got |= {r.turn_id: r.ratio for r in rows}
+        repeated |= {r.turn_id: r.repeated for r in rows}
         assert len(cost.seen.rows) == 200
     for i, t in enumerate(tokens):
         last = sorted(tokens[max(0, i - 200) : i])
         assert got[i] == t / max(1, last[len(last) // 2]) if last else got[i] is None or got[i] != got[i]
+        assert not last or repeated[i] == digests[max(0, i - 200) : i].count(digests[i]) / len(last)
+    again = streams.RollingCost()
+    again.seen = Held()
+    again.handleInitialState(("a",), pd.DataFrame({"turn_id": range(1000), "tokens": tokens[:1000], "digest": digests[:1000]}).sample(frac=1, random_state=1), None)
+    later = pd.DataFrame({"turn_id": range(1000, 1500), "tokens": tokens[1000:], "digest": digests[1000:]})
+    assert {r.turn_id: r.ratio for f in again.handleInputRows(("a",), iter([later]), None) for r in f.itertuples()} == {i: got[i] for i in range(1000, 1500)}
     door = streams.Admission()
     door.holds = Held()
     late, early = (pd.DataFrame({"at": [s], "seq": [s], "kind": ["reserve"], "hold": [s], "minutes_used": [0.0], "minutes_budget": [m], "minutes_hard": [True], "spend_used": [0.0], "spend_budget": [9.0], "spend_hard": [True]}) for s, m in ((2, 10.0), (1, 9.0)))
