@@ -174,14 +174,75 @@ def test_op1_probabilities_sum_to_one(docs):
     s, _ = langid.symbols(texts)
     k, n = np.unique(langid.keys(s, langid.ORDER)[s[langid.ORDER - 1 :] != langid.START], return_counts=True)
     language = langid.Language(k, n)
-    seen = language.orders[1][0]
-    for context in k[::50] >> np.uint64(16):
-        grams = (context << np.uint64(16)) | seen
-        assert abs(language.prob(langid.ORDER, grams).sum() + language.floor * 0 - 1) < 0.02
+    seen = np.append(language.orders[1][0], np.uint64(ord("\u0416")))  # and one symbol for all that were not seen
+    unseen = np.uint64(ord("\u0416")) << np.uint64(16)
+    for context in [*(k[::50] >> np.uint64(16)), unseen]:
+        assert abs(language.prob(langid.ORDER, (context << np.uint64(16)) | seen).sum() - 1) < 1e-9
     model = langid.Model(["en"], [(k, n)])
     assert np.allclose(model.log_prob(k)[:, 0], np.log(language.prob(langid.ORDER, k)), atol=1e-4)
 
 
+def brute_kneser_ney(texts):
+    """A function that gives the cross-entropy of a text by dictionaries alone."""
+
+    def spelt(text):
+        out = []
+        for c in " " + (text or "").lower() + " ":
+            x = min(ord(c), 0xFFFF) if c.isalpha() else 32
+            if x != 32 or not out or out[-1] != 32:
+                out.append(x)
+        return [1, 1, 1, *out]
+
+    counts = {4: Counter()}
+    for t in texts:
+        x = spelt(t)
+        counts[4].update(tuple(x[i - 3 : i + 1]) for i in range(3, len(x)))
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    total, kinds, discount = {}, {}, {}
+    for n in counts:
+        total[n], kinds[n] = Counter(), Counter()
+        for g, c in counts[n].items():
+            total[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+        once, twice = (sum(c == x for c in counts[n].values()) for x in (1, 2))
+        discount[n] = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (len(counts[1]) + 1)
+        if not total[n][g[:-1]]:
+            return p(g[1:])
+        mass = total[n][g[:-1]]
+        return max(counts[n][g] - discount[n], 0) / mass + discount[n] * kinds[n][g[:-1]] / mass * p(g[1:])
+
+    def entropy(text):
+        x = spelt(text)
+        return -sum(math.log(p(tuple(x[i - 3 : i + 1]))) for i in range(3, len(x))) / (len(x) - 3)
+
+    return entropy
+
+
+def test_op1_cross_entropies_and_predictions_equal_brute_force(spark, docs):
+    rows = docs.collect()
+    names = ["de", "en", "fr"]
+    parts, brute = [], []
+    for lang in names:
+        texts = [r.text for r in rows if r.lang == lang][:15]
+        s, _ = langid.symbols(texts)
+        parts.append(np.unique(langid.keys(s, langid.ORDER)[s[langid.ORDER - 1 :] != langid.START], return_counts=True))
+        brute.append(brute_kneser_ney(texts))
+    model = langid.Model(names, parts)
+    asked = [r.text for r in rows[60:100]] + ["Straße", "x", "Ж щ", "the the the 12 !!", "a\x01b", "\U00020000 \U00020001"]
+    got, _ = model.cross_entropy(asked)
+    want = np.array([[f(t.replace("\x01", " ")) for f in brute] for t in asked])
+    assert np.allclose(got, want, atol=2e-4)
+    frame = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(asked[:40])], SCHEMA)
+    said = {r.doc_id: r.lang_pred for r in langid.Identifier(spark, model).predict(frame).collect()}
+    assert said == {k: names[int(w.argmin())] for k, w in enumerate(want[:40])}
+
+
 def test_op2_exact_base_and_order(spark, odd, empty):
     docs = spark.createDataFrame(corpus(150, 5), SCHEMA).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000))
     rows = docs.collect()
