@@ -18,15 +18,25 @@ TARGET, LEAST, MOST = 700, 220, 1200
 
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) under root/<system>/<file> (SRC3): UTF-8, else Latin-1; rejects keep their reason."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    f = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("system_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", "content")
+    """(documents, rejects) under root/<system>/<file> (SRC3): UTF-8, else Latin-1; rejects keep their reason.
+
+    Names and sizes alone decide on most rejects: the content of a file with another suffix
+    or over MOST_BYTES is never read.
+    """
+
+    def files(**options: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options).load(root)
+
+    names = [F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("system_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename")]
     suffix = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
+    reason = F.when(~suffix.isin(*SUFFIXES), "suffix").when(F.col("length") > MOST_BYTES, "too large")
+    refused = files().select(*names, "length").withColumn("reason", reason).filter("reason is not null").select("system_id", "filename", "reason")
+    any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES)
+    read = files(pathGlobFilter=f"*.{{{any_case}}}").filter(F.col("length") <= MOST_BYTES)
     text = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    f = f.withColumn("text", text)
-    reason = F.when(~suffix.isin(*SUFFIXES), "suffix").when(F.col("length") > MOST_BYTES, "too large").when(F.trim("text") == "", "empty")
-    f = f.withColumn("reason", reason)
-    return f.filter("reason is null").select("system_id", "filename", "text"), f.filter("reason is not null").select("system_id", "filename", "reason")
+    f = read.select(*names, text.alias("text"))
+    empty = f.filter(F.trim("text") == "").select("system_id", "filename", F.lit("empty").alias("reason"))
+    return f.filter(F.trim("text") != ""), refused.unionByName(empty)
 
 
 def nfkc(text: Column) -> Column:

@@ -308,9 +308,12 @@ def test_files_and_chunks(spark, tmp_path):
     (tmp_path / "sys/b.txt").write_bytes("Grüße".encode("latin-1"))
     (tmp_path / "sys/c.bin").write_bytes(b"x")
     (tmp_path / "sys/d.txt").write_bytes(b"  ")
+    (tmp_path / "sys/e.Txt").write_bytes(b"Upper.")
+    with (tmp_path / "sys/f.log").open("wb") as f:
+        f.truncate(corpus_files.MOST_BYTES + 1)
     docs, rejects = corpus_files.scan(spark, f"file://{tmp_path}")
-    assert {(r.filename, r.text) for r in docs.collect()} == {("a.md", "Grüße.\n\nZwei."), ("b.txt", "Grüße")}
-    assert {(r.filename, r.reason) for r in rejects.collect()} == {("c.bin", "suffix"), ("d.txt", "empty")}
+    assert {(r.filename, r.text) for r in docs.collect()} == {("a.md", "Grüße.\n\nZwei."), ("b.txt", "Grüße"), ("e.Txt", "Upper.")}
+    assert {(r.filename, r.reason) for r in rejects.collect()} == {("c.bin", "suffix"), ("d.txt", "empty"), ("f.log", "too large")}
     text = "Short one.\n\n" + "A sentence here. " * 120 + "\n\nEnd."
     parts = corpus_files.split(text)
     assert all(len(p) <= 1200 and p.endswith(".") for p in parts) and " ".join(" ".join(parts).split()) == " ".join(text.split())
