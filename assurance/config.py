@@ -46,9 +46,9 @@ INR_PER_1K_TOKENS, INR_PER_REVIEW_MINUTE = 0.85, 8.0
 EXTERNAL_FACTOR, REGULATED_FACTOR = 1.15, 1.2
 BAND_WIDTH, BLOCK_MARGIN = 22, 15
 SILENT_S, RECOVERING_S, REVIEW_WINDOW_S = 7200, 900, 604800
-# Worst case of one turn, which its reservation holds, in minutes and money.
+# Worst case of one turn, which its reservation holds, in minutes and money.
 WORST_MINUTES, WORST_SPEND = 8.0, 2.0
-#: Seconds after which a reservation that nobody released ends, and places of a system's queue of deferred checks.
+# Seconds after which a reservation that nobody released ends, and places of a system's queue of deferred checks.
 HOLD_S, QUEUE_SLOTS = 900, 512
 # Controls that set a state, the strongest first.
 STATE_BY_KIND = [("suspend", "suspended"), ("quarantine", "quarantined"), ("tool_restricted", "tool_restricted")]

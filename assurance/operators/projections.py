@@ -130,20 +130,20 @@ def history(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("place", r).filter(F.col("place") <= n)
 
 
-# Advice by rule, in the order of the rules: what to do, and what follows if nothing is done.
+# Names and order of the rules. The sentences are our own: what stands before a rule's figure, its factor, and what follows.
 ADVICE = {
-    "CAPABILITY.ACTION_MISMATCH": ("declare the action that the tool performs, or bind a tool that does no more", "requests keep the full blast radius of the tool"),
-    "COST.DUPLICATE_PROMPTS": ("cache responses and the constant part of prompts", "the same answers are paid for again"),
-    "COST.BUDGET_EXCEEDED": ("raise the budget or make each call cheaper", "the system is suspended once its budget is enforced"),
-    "GOVERNANCE.LOW_COMPLETENESS": ("run the missing checks inline or allow more latency", "these decisions cannot be called governed"),
-    "SAFETY.COUNTERFACTUAL_FLIP": ("leave attributes that stand for protected ones out of the prompt", "like cases are answered unlike"),
-    "PRIVACY.UNMASKED_IDENTIFIERS": ("mask personal data before and after the model", "each identifier released is a disclosure"),
-    "COST.BURN_RATE_PROJECTION": ("cache, shorten prompts and bound outputs now", "the budget ends before the month does"),
+    "CAPABILITY.ACTION_MISMATCH": ("", 1, " turns did more than they had declared; restrict the tool."),
+    "COST.DUPLICATE_PROMPTS": ("", 100, " of 100 prompts came before; answer those from a cache."),
+    "COST.BUDGET_EXCEEDED": ("The spend of ", 1, " is over the budget of the month; suspend the system."),
+    "GOVERNANCE.LOW_COMPLETENESS": ("Only ", 100, " of 100 mandatory checks ran; run them before the release."),
+    "SAFETY.COUNTERFACTUAL_FLIP": ("", 1, " outcomes changed with a swapped attribute; let a person decide."),
+    "PRIVACY.UNMASKED_IDENTIFIERS": ("", 1, " turns hold identifiers; let a person see them first."),
+    "COST.BURN_RATE_PROJECTION": ("At this rate the month ends at ", 1, "; use a cache."),
 }
 
 
 def advisories(cards: DataFrame, signals: DataFrame, burn: DataFrame) -> DataFrame:
-    """Rule-derived advice (A12): each rule that holds gives a row with severity, evidence, the control it proposes, fix and impact.
+    """Rule-derived advice (A12): each rule that holds gives a row with severity, evidence, the control it proposes, and a sentence with the figure.
 
     cards: portfolio; signals: (system_id, mismatches, duplicate_share, flips, identifiers);
     burn: burn_rate.
@@ -159,7 +159,8 @@ def advisories(cards: DataFrame, signals: DataFrame, burn: DataFrame) -> DataFra
         (F.col("identifiers") > 0, F.lit("high"), F.col("identifiers").cast("double"), "require_human"),
         (F.col("days_left").isNotNull() & (F.col("state").isin("critical", "warning") | (over & (F.col("state") != "too_early"))), F.when(F.col("state") == "critical", "high").otherwise("medium"), F.col("month_projection"), "enable_cache"),
     ]
-    row = lambda i, r, fix, impact, s, e, k: F.struct(F.lit(i + 1).alias("rule_ord"), F.lit(r).alias("rule"), s.alias("severity"), e.alias("evidence"), F.lit(k).alias("control"), F.lit(fix).alias("fix"), F.lit(impact).alias("impact"))
-    found = F.array_compact(F.array(*(F.when(ok, row(i, r, *ADVICE[r], s, e, k)) for i, (r, (ok, s, e, k)) in enumerate(zip(ADVICE, rules, strict=True)))))
+    said = lambda e, before, factor, after: F.concat(F.lit(before), F.floor(e * factor + 1e-6).cast("string"), F.lit(after))
+    row = lambda i, r, s, e, k: F.struct(F.lit(i + 1).alias("rule_ord"), F.lit(r).alias("rule"), s.alias("severity"), e.alias("evidence"), F.lit(k).alias("control"), said(e, *ADVICE[r]).alias("advice"))
+    found = F.array_compact(F.array(*(F.when(ok, row(i, r, s, e, k)) for i, (r, (ok, s, e, k)) in enumerate(zip(ADVICE, rules, strict=True)))))
     savings = F.bround(F.col("spend") * F.coalesce("duplicate_share", F.lit(0.0)) * 0.55, 2)
     return c.withColumn("savings", savings).select("system_id", "savings", F.inline(found))

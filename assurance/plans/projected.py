@@ -149,14 +149,14 @@ A12_RULES = [
     ("identifiers > 0", "'high'", "identifiers::DOUBLE", "require_human"),
     (f"days_left IS NOT NULL AND {BURN_OVER}", "CASE WHEN state = 'critical' THEN 'high' ELSE 'medium' END", "month_projection", "enable_cache"),
 ]
-A12_VALUES = ", ".join(f"({i}, '{r}', {ok}, {s}, {e}, '{c}', '{fix}', '{impact}')" for i, ((r, (fix, impact)), (ok, s, e, c)) in enumerate(zip(P.ADVICE.items(), A12_RULES, strict=True), 1))
+A12_VALUES = ", ".join(f"({i}, '{r}', {ok}, {s}, {e}, '{c}', '{before}' || CAST(floor(({e}) * {factor} + 1e-6) AS BIGINT) || '{after}')" for i, ((r, (before, factor, after)), (ok, s, e, c)) in enumerate(zip(P.ADVICE.items(), A12_RULES, strict=True), 1))
 ADVISED = [
     CARDS,
     SIGNALS,
     f"burn AS (SELECT * REPLACE (CASE system_id {' '.join(f"WHEN '{s}' THEN 'sys-{i}'" for i, s in enumerate(SEGMENTS))} END AS system_id) FROM (" + SQL["a10_burn_rate"] + "))",
-    f"""advised AS (SELECT system_id, savings, rule_ord, rule, severity, evidence, control, fix, impact FROM (
+    f"""advised AS (SELECT system_id, savings, rule_ord, rule, severity, evidence, control, advice FROM (
   SELECT c.*, round_even(spend * coalesce(duplicate_share, 0) * 0.55::DOUBLE, 2) AS savings, s.* EXCLUDE (system_id), b.state, days_left, per_day, month_to_date, month_projection FROM cards c LEFT JOIN signals s ON c.system_id = s.system_id LEFT JOIN burn b ON c.system_id = b.system_id) x
-CROSS JOIN LATERAL (SELECT * FROM (VALUES {A12_VALUES}) AS t(rule_ord, rule, ok, severity, evidence, control, fix, impact) WHERE ok))""",
+CROSS JOIN LATERAL (SELECT * FROM (VALUES {A12_VALUES}) AS t(rule_ord, rule, ok, severity, evidence, control, advice) WHERE ok))""",
 ]
 A12_SQL = proj("SELECT * FROM advised", *ADVISED)
 
