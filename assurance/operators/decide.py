@@ -130,7 +130,8 @@ def replay(records: DataFrame) -> DataFrame:
     Policies come from the records, once for each different one, so a policy or a registry
     that has changed since has no say; a record that was changed is named by the fields that differ.
     """
-    x = records.select("request_id", F.from_json("record", RECORD).alias("r")).select("request_id", "r.*")
+    # a generator parses a record once; as a projection it would be parsed anew for every field that is read
+    x = records.select("request_id", F.inline(F.array(F.from_json("record", RECORD))))
     x = x.withColumn("system_id", F.sha2(F.to_json("policy"), 256))
     policies = x.groupBy("system_id").agg(F.first("policy").alias("p")).select("system_id", "p.*")
     results = x.select("request_id", "system_id", F.inline("evidence"))

@@ -166,11 +166,15 @@ REPLAYED = "SELECT request_id, " + ", ".join(decide.OUTCOME) + " FROM decided"
 )
 def p12(spark, d):
     """Decisions decided again from the log's records, some of which were changed since."""
+    from assurance.plans.logs_and_streams import shared
+
     x = Decisions(spark, d)
     n, what = F.col("request_id") % 10, F.col("detector_id")
     changed = x.results.withColumn("score", F.when((n == 3) & (what == "grounding"), 1.0).otherwise(F.col("score")))
     changed = changed.withColumn("status", F.when((n == 6) & (what == "privacy"), "failed").otherwise(F.col("status")))
-    return decide.replay(decide.records(x.capability, changed, x.policy, x.decided()))
+    path = shared(spark)
+    decide.records(x.capability, changed, x.policy, x.decided()).write.parquet(path)
+    return decide.replay(spark.read.parquet(path))
 
 
 LATE = """late AS (SELECT * REPLACE ('completed_async' AS status) FROM v_detector_results WHERE status = 'queued_async'),
