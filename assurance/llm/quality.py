@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assurance.llm.common import Kept, plus, words
+from assurance.llm.common import Kept, plus
 
 #: Words whose pieces a worker keeps: about 25 MB.
 KEPT = 60_000
@@ -115,9 +115,16 @@ def repeat_words(ids: np.ndarray, window: int = 5) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def numbered(found: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Numbers of distinct words by first occurrence, and the number of each word."""
+    number: dict[bytes, int] = {}
+    put = number.setdefault
+    return number, np.array([put(w, len(number)) for w in found], np.int64)
+
+
 def measure(text: str | None, vocabulary: Pieces) -> tuple:
     """The row of COLUMNS for one text."""
-    found = words(text)
+    found = text.encode("utf-8").split() if text else []
     n_words = len(found)
     letters = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
     low_count = np.bincount(letters[letters < 128], minlength=128)
@@ -125,12 +132,11 @@ def measure(text: str | None, vocabulary: Pieces) -> tuple:
     if not n_words:
         return 0, 0, n_symbols, 0, 0, "other", None, None, None, True, False
     lines = [x for x in text.split("\n") if x and not SPACES(x)]
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    ids = np.array([put(w, len(number)) for w in found], np.int64)
+    exact, ids = numbered(found)
     word_chars = len(letters) - int(low_count[SPACE_CODES].sum())
-    n_repeat = repeat_words(ids) if len(number) < n_words else 0
+    n_repeat = repeat_words(ids) if len(exact) < n_words else 0
     base_failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+    number, ids = numbered([w.lower() for w in found])  # pieces are those of lower-cased words, repeats are sought as written
     got = vocabulary.of(list(number))
     sizes = np.array([len(x) // 4 for x in got])
     pieces_of = np.frombuffer(b"".join(got), np.int32)

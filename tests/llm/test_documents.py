@@ -105,6 +105,14 @@ def test_op7_base_rules(spark, docs, odd, empty):
     assert quality.op7(empty, model).count() == 0
 
 
+def test_op7_repeats_are_sought_as_written(spark):
+    """Windows that differ in case are different ones; the contract lower-cases nothing here."""
+    texts = ["The cat sat down here the cat sat down here and left", "The cat sat down here The cat sat down here and left", "ONE two three four five one two three four five ONE two three four five"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed) for r in quality.op7(spark.createDataFrame(rows, SCHEMA), tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert got == {0: (12, 0, False), 1: (12, 10, True), 2: (15, 10, True)}
+
+
 def test_op7_fertility_rejects_symbols(spark):
     rng = random.Random(2)
     text = " ".join(w + rng.choice(["***", "$$$", "&&&", "###"]) for w in prose(rng, 100).split())
