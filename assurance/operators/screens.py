@@ -11,8 +11,8 @@ from assurance.operators.corpus import few
 
 
 def hits(text: Column, pattern: str) -> Column:
-    """Whether a literal pattern, compiled once for each task, hits without regard to case."""
-    return F.coalesce(text.rlike("(?is)" + pattern), F.lit(False))
+    """Whether a literal pattern, compiled once for each task, hits without regard to case; one that begins with (?U) is left to Java."""
+    return F.coalesce(text.rlike("(?is)" + (pattern if pattern.startswith("(?U)") else T.re2(pattern))), F.lit(False))
 
 
 def first_true(cases: list[tuple[Column, str]]) -> Column:
@@ -29,7 +29,7 @@ def ingress_findings(q: Column) -> Column:
         case = F.lit(None).cast("struct<check:string,what:string,quote:string>")
         for c, what, pattern in reversed(P.INGRESS):
             if c == check:
-                quote = F.regexp_extract(q, f"(?is)(.{{0,10}}(?:{pattern}).{{0,10}})", 1)
+                quote = F.regexp_extract(q, f"(?is)(.{{0,10}}(?:{T.re2(pattern)}).{{0,10}})", 1)
                 case = F.when(hits(q, pattern), F.struct(F.lit(c).alias("check"), F.lit(what).alias("what"), quote.alias("quote"))).otherwise(case)
         found.append(case)
     return F.array_compact(F.array(*found))
@@ -37,7 +37,7 @@ def ingress_findings(q: Column) -> Column:
 
 def intent(q: Column) -> Column:
     """struct(intent, confidence): most hits win, action beats all, ties go to the larger name (Q3)."""
-    counts = {k: F.regexp_count(q, F.lit("(?i)" + p)) for k, p in P.INTENTS.items()}
+    counts = {k: F.regexp_count(q, F.lit("(?i)" + T.re2(p))) for k, p in P.INTENTS.items()}
     action = counts.pop("action_request")
     total = action
     for c in counts.values():
@@ -106,7 +106,7 @@ def screen(questions: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     stops at the first branch that holds.
     """
     q = F.col("question")
-    blank = F.trim(q) == ""
+    blank = T.trimmed(q) == ""
     checks = F.size(ingress_findings(q)) > 0
     if blocked is not None:
         questions = questions.join(blocked.select("request_id").distinct().withColumn("blocked", F.lit(True)), "request_id", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assurance.functions import text as T
 from assurance.operators import monitors as M
 from assurance.operators import projections as P
 from assurance.operators import reports as R
@@ -127,7 +128,7 @@ def tx8(spark, d):
 
 @query("q2_size", f"WITH {turns.TURNS} SELECT turn_id, trim(question) = '' AS is_empty, length(question) > 4000 AS oversized FROM v_turns")
 def q2(spark, d):
-    return turns.turns(spark, d).select("turn_id", (F.trim("question") == "").alias("is_empty"), (F.char_length("question") > 4000).alias("oversized"))
+    return turns.turns(spark, d).select("turn_id", (T.trimmed(F.col("question")) == "").alias("is_empty"), (F.char_length("question") > 4000).alias("oversized"))
 
 
 @query("q4_prompt_identifiers")

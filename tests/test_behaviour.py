@@ -462,3 +462,19 @@ def test_certainty_is_not_backed_where_it_waives(spark):
     turns = spark.createDataFrame([(1, "No approval is needed for campaign mails, guaranteed."), (2, "Campaign mails always need an approval from legal."), (3, "I cannot guarantee campaign mails.")], "turn_id long, answer string")
     sources = spark.createDataFrame([(i, "Campaign mails require an approval of legal before they go.") for i in (1, 2, 3)], "turn_id long, text string")
     assert {r.turn_id: r.n_overbought for r in monitors.certainty(turns, sources).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_boundaries_and_trimming_as_in_sql(spark):
+    """Words end beside letters that are not ASCII, and every space separator is trimmed, as DuckDB reads the same patterns."""
+    import duckdb
+
+    from assurance.functions import patterns as P
+    from assurance.operators import monitors as M
+    from assurance.plans.turns import SENTENCES_SQL, has
+
+    texts = ["noé", "éyes", "yes", "yesé go", "ok . 　Go ahead ", " ", "just\x0bnow", "just now", "es wäre you canß", "", "up to 5é", "  One.  Two ! \t x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = df.select("i", M.go_ahead(F.col("t")), F.coalesce(F.col("t").rlike("(?is)" + T.re2(P.FOCUS[2][2])), F.lit(False)), T.sentences(F.col("t"))).orderBy("i").collect()
+    sql = f"SELECT {has('t', P.GO_AHEAD)}, {has('t', P.FOCUS[2][2])}, {SENTENCES_SQL.format(t='t')} FROM (SELECT ? AS t)"
+    assert [tuple(r)[1:] for r in got] == [duckdb.execute(sql, [t]).fetchone() for t in texts]
+    assert T.re2(r"[\s,]\bx\b|\w+\b[\b]") == r"[ \t\n\f\r,](?<!\w)x(?!\w)|\w+(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))[\b]"
