@@ -478,3 +478,29 @@ def test_boundaries_and_trimming_as_in_sql(spark):
     sql = f"SELECT {has('t', P.GO_AHEAD)}, {has('t', P.FOCUS[2][2])}, {SENTENCES_SQL.format(t='t')} FROM (SELECT ? AS t)"
     assert [tuple(r)[1:] for r in got] == [duckdb.execute(sql, [t]).fetchone() for t in texts]
     assert T.re2(r"[\s,]\bx\b|\w+\b[\b]") == r"[ \t\n\f\r,](?<!\w)x(?!\w)|\w+(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))[\b]"
+
+
+def test_ranking_by_groups_of_chunks_and_questions(spark, monkeypatch):
+    """However chunks and questions are dealt into groups, the ranks are those of plain sums; equal chunks go by their id."""
+    import math
+    from collections import Counter
+
+    from assurance.operators import corpus
+
+    monkeypatch.setattr(corpus, "CHUNKS_AT_ONCE", 3)
+    monkeypatch.setattr(corpus, "QUESTIONS_AT_ONCE", 2)
+    texts = ["red apple pie", "green apple tart", "red red wine", "stone", "apple apple", "wine cellar", "red apple pie", "red apple pie", "pear"]
+    chunks = [(f"s{i % 2}", f"{i}#000", t) for i, t in enumerate(texts * 2)]
+    questions = [(1, "red apple"), (2, "wine"), (3, "nothing here"), (4, "pear stone pear"), (5, "")]
+    got = corpus.bm25(spark.createDataFrame(questions, "item_id long, text string"), spark.createDataFrame(chunks, "system_id string, chunk_id string, text string"), 4).collect()
+    expect = []
+    for system in ("s0", "s1"):
+        own = [(c, t.split()) for s, c, t in chunks if s == system]
+        average = sum(len(t) for _, t in own) / len(own)
+        df = Counter(w for _, t in own for w in set(t))
+        idf = {w: math.log(1 + (len(own) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+        for item, text in questions:
+            score = {c: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in set(text.split()) if w in t), 6) for c, t in own}
+            best = sorted((-s, c) for c, s in score.items() if s > 0)[:4]
+            expect += [(item, system, c, -s, n) for n, (s, c) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(expect)
