@@ -116,6 +116,31 @@ def test_large_components_are_held_where_longs_suffice(spark):
     assert int(codebooks.most(64)) == 1 << 27
 
 
+def test_components_of_any_size_count_exactly(spark):
+    """Components far beyond 2^17, among the first rows and after them, in codes, errors and codebooks by Python's integers."""
+    rng = random.Random(8)
+    rows = [(k, [rng.uniform(-2, 2) * 10.0 ** rng.choice([0, 0, 0, 5, 5.5, 6]) for _ in range(8)], k % 3) for k in range(330)]
+    rows[3] = (3, [1e300, -1e300] + [0.0] * 6, 5)
+    ints = {k: [int(v // (1 / 1024)) if abs(v) < 1e200 else int(v) * 1024 for v in vec] for k, vec, _ in rows}
+    parts = {k: [tuple(v[2 * p : 2 * p + 2]) for p in range(4)] for k, v in ints.items()}
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    books = [[parts[k][p] for k in range(256)] for p in range(4)]
+    near = lambda p, part: min(range(256), key=lambda e: (gap(part, books[p][e]), e))
+    for _ in range(4):
+        for p in range(4):
+            groups = defaultdict(list)
+            for k in parts:
+                groups[near(p, parts[k][p])].append(parts[k][p])
+            for e, own in groups.items():
+                books[p][e] = tuple(sum(c) // len(own) for c in zip(*own, strict=True))
+    codes = {k: [near(p, v[p]) for p in range(4)] for k, v in parts.items()}
+    error = {k: sum(gap(parts[k][p], books[p][e]) for p, e in enumerate(c)) for k, c in codes.items()}
+    digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    held = lambda e: e if e < 1 << 63 else None
+    expect = {(k, bytes(c).hex(), held(error[k]), held(sum(e for i, e in error.items() if rows[i][2] == rows[k][2])), digest) for k, c in codes.items()}
+    assert set(map(tuple, codebooks.op11(spark.createDataFrame(rows, VECTORS)).collect())) == expect
+
+
 # operator 12
 
 
