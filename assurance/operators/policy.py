@@ -158,6 +158,20 @@ def overlays(points: DataFrame, controls: DataFrame) -> DataFrame:
     return at.join(live, ["system_id", "interval"]).drop("interval", "occurred_at").select("request_id", "system_id", "n_live", "kinds", "last_control", "scalars", "lists", "dicts")
 
 
+def strongest(points: DataFrame, controls: DataFrame, value: Column, name: str) -> DataFrame:
+    """(request_id, system_id, name): the largest value of the controls live at each point that has one.
+
+    It is found once for each elementary interval between the ends of controls, and a point
+    reads the interval that began last before it: points and controls are never paired.
+    """
+    ends = controls.select("system_id", F.explode(F.array("valid_from", "valid_to")).alias("occurred_at")).distinct()
+    live = live_controls(ends.withColumn("request_id", F.unix_micros("occurred_at")), controls.select("system_id", "valid_from", "valid_to", value.alias("__value")))
+    inside = live.groupBy("system_id", F.col("occurred_at").alias("from_at")).agg(F.max("__value").alias("__value"))
+    intervals = ends.select("system_id", F.col("occurred_at").alias("from_at")).join(inside, ["system_id", "from_at"], "left")
+    at = as_of(points.select("request_id", "system_id", "occurred_at"), intervals, "system_id", "occurred_at", "from_at", F.struct("__value"), name)  # an interval without a control is a value too
+    return at.filter(F.col(name)["__value"].isNotNull()).select("request_id", "system_id", F.col(name)["__value"].alias(name))
+
+
 def system_states(points: DataFrame, controls: DataFrame) -> DataFrame:
     """State of its system at each point (P4): the strongest live control, recovering for a while after, else healthy."""
     pairs = live_controls(points, controls, C.RECOVERING_S)

@@ -504,3 +504,19 @@ def test_ranking_by_groups_of_chunks_and_questions(spark, monkeypatch):
             best = sorted((-s, c) for c, s in score.items() if s > 0)[:4]
             expect += [(item, system, c, -s, n) for n, (s, c) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(expect)
+
+
+def test_strongest_control_is_found_by_interval(spark):
+    """Each point has the largest value of its live controls, also where an end meets a beginning; points and controls are not paired."""
+    import datetime
+    import random
+
+    rng, start = random.Random(6), datetime.datetime(2024, 1, 1)
+    at = lambda m: start + datetime.timedelta(minutes=m)
+    controls = [(i, f"s{i % 2}", at(m), at(m + rng.choice([10, 60, 200]))) for i, m in enumerate(rng.choices(range(0, 600, 5), k=40))]
+    points = [(i, f"s{i % 3}", at(m)) for i, m in enumerate(rng.choices(range(-20, 900, 5), k=200))]
+    p = spark.createDataFrame(points, "request_id long, system_id string, occurred_at timestamp")
+    c = spark.createDataFrame(controls, "control_id long, system_id string, valid_from timestamp, valid_to timestamp")
+    expect = {(i, max(k for k, z, a, b in controls if z == s and a <= t < b)) for i, s, t in points if any(z == s and a <= t < b for _, z, a, b in controls)}
+    got = policy.strongest(p, c, F.struct((-F.col("control_id") * 0).alias("priority"), "control_id"), "x").select("request_id", "x.control_id").collect()
+    assert len(got) == len(expect) and set(map(tuple, got)) == expect
