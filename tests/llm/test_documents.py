@@ -72,6 +72,16 @@ def test_op3_long_words_take_no_longer_than_their_length(spark):
     assert time.monotonic() - start < 10
 
 
+def test_op3_words_merged_side_by_side_equal_the_library():
+    """Words of a batch share the rounds of merges; lengths around SHORT, one letter, bytes of no letter and repeats of a pair among them."""
+    code, t = bpe.ForcedBoundaryBPE(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    rng = random.Random(5)
+    some = ["".join(rng.choice("etaoinshrdlu\u00e9\u00e8'0.-") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(some[:1500]), None, "", " ".join(some), *("ab" * n for n in (49, 50, 51)), "a", "\u4e2d\u6587 \ud55c", "aaaa aaaaaaa", "x<|endoftext|>y"]
+    for text, ids in zip(texts, code.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
 def test_op3_every_cut_is_forced():
     codec = bpe.codec(tokenizer_path("word_bpe_49k.json"))
     whole = {codec.suffix}
