@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assurance.llm import bpe, langid, mixing, neardup, quality
 from assurance.llm.common import park
@@ -46,14 +47,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row.
+    """Token ids of each row, and the digest of what they decode to.
 
     A null or empty text has no ids, repeated rows are encoded alike, an empty table gives an
     empty result. Rows go to the workers 1000 at a time: the buffers of a batch lie outside of
     the heap, where nothing but a collection of garbage frees them.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("word_bpe_49k.json"), decode=False).select("doc_id", "lang", "source", "bpe_ids")
+    out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "lang", "source", "bpe_ids", F.sha2(F.col("bpe_decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

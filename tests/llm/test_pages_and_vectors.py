@@ -227,6 +227,22 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert 90 < got.doc_id.nunique() < 150 and got.doc_id.max() < 900
 
 
+def test_pipeline_decodes_what_it_encodes(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from assurance.llm.queries import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    docs = spark.createDataFrame([*corpus(3, 2), (90, None, None, None, None)], SCHEMA)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in corpus_pipeline.bpe_tokens(spark, docs, "").collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.bpe_ids == ids and r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_no_module_of_the_library_imports_this_subpackage():
     import re
     from pathlib import Path
