@@ -416,6 +416,39 @@ def test_rolling_cost_and_admission_order_rows_over_arrow_batches():
     assert out[["seq", "admitted"]].values.tolist() == [[1, True], [2, False]]
 
 
+def test_rows_of_a_key_are_sorted_in_runs_and_merged(monkeypatch):
+    """However many rows a key has, no more than a run is sorted at once; ties, texts and a run's length that divides nothing among them."""
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(streams, "RUN_ROWS", 70)
+    monkeypatch.setattr(streams, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(streams, "OUT_ROWS", 25)
+    sizes, ordered = [], streams.ordered
+    monkeypatch.setattr(streams, "ordered", lambda frames, by: sizes.append(sum(map(len, frames))) or ordered(frames, by))
+    rng = random.Random(8)
+    for n in (0, 1, 69, 70, 71, 140, 1003):
+        rows = [(rng.randrange(40), rng.choice("ab"), i) for i in range(n)]
+        frame = pd.DataFrame(rows, columns=["at", "name", "id"])
+        got = list(streams.in_order((frame.iloc[i : i + 90] for i in range(0, n, 90)), ["at", "name", "id"], ["id", "at", "name"]))
+        assert [r for b in got for r in b[["at", "name", "id"]].itertuples(index=False, name=None)] == sorted(rows)
+        assert all(0 < len(b) <= 25 for b in got)
+    assert max(sizes) <= 15 * 9 + 70
+
+
+def test_reviews_of_many_questions_share_a_state():
+    """Questions of one block keep a status each, over micro-batches and frames in any order."""
+    import pandas as pd
+
+    review = streams.Review()
+    review.status = Held()
+    first = pd.DataFrame([(7, 2, "released"), (5, 1, "held"), (7, 1, "refused"), (6, 1, "answered")], columns=["held_id", "seq", "step"])
+    later = pd.DataFrame([(5, 2, "answered"), (7, 3, "answered"), (6, 2, "held")], columns=["held_id", "seq", "step"])
+    got = [r for part in (first, later) for f in review.handleInputRows((0,), iter([part.iloc[:2], part.iloc[2:]]), None) for r in f.itertuples(index=False, name=None)]
+    assert got == [(5, 1, "held", False), (6, 1, None, True), (7, 1, "refused", False), (7, 2, "released", False), (5, 2, "held", True), (6, 2, "held", False), (7, 3, "answered", False)]
+
+
 def test_full_queue_becomes_rows_and_equals_brute_force():
     """Every check comes out once; those that find all places taken are failed rows, over micro-batches too."""
     import random
