@@ -76,6 +76,30 @@ def test_suffix_keys_cover_what_a_suffix_array_covers(spark):
     assert menu not in got[1]
 
 
+def test_neighbours_of_the_suffix_array_give_the_runs(spark):
+    """Suffixes in sorted order, compared with the one before: counts of pages by brute force, over batches of two rows and hosts with the same text."""
+    rng = random.Random(12)
+    words_ = ["w0", "w1"]  # few words, so that long prefixes are shared
+    rows, want = [], {}
+    for i in range(40):
+        tokens = [rng.choice(words_) for _ in range(rng.randrange(0, 25))]
+        host = f"h{i % 2}.example"
+        rows.append((i, i if i else None, f"http://{host}/x", [" ".join(tokens)], [html_text.NEUTRAL]))
+        for k in {tuple(tokens[j : j + html_text.WINDOW]) for j in range(len(tokens) - html_text.WINDOW + 1)}:
+            want.setdefault((host, k), []).append(i if i else None)
+    df = spark.createDataFrame(rows, "row long, page_id long, url string, texts array<string>, zones array<int>").repartition(3)
+    one = lambda host, k: int(html_text.suffix_keys(host, list(k)).view("int64")[0])
+    expected = {one(h, k): (len(p), min((x for x in p if x is not None), default=None), max((x for x in p if x is not None), default=None)) for (h, k), p in want.items()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = html_text.neighbour_runs(html_text.sorted_suffixes(df)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(expected) and {r.key: (r.n, r.low, r.high) for r in got} == expected
+    assert max(r.n for r in got) > 2
+
+
 def test_copies_and_quotes_keep_their_text(spark):
     """Without an article: a menu on many pages goes; copies, near copies and a quote on two pages stay."""
     rng = random.Random(9)
