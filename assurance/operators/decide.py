@@ -124,15 +124,20 @@ def records(capability: DataFrame, results: DataFrame, policy: DataFrame, decide
     return j.select("request_id", F.to_json(F.struct(*HELD, "policy", "evidence", "outcome")).alias("record"))
 
 
-def replay(records: DataFrame) -> DataFrame:
+def replay(records: DataFrame, folder: str | None = None) -> DataFrame:
     """(request_id, identical, differences) of records (request_id, record) decided again from what they hold alone.
 
     Policies come from the records, once for each different one, so a policy or a registry
     that has changed since has no say; a record that was changed is named by the fields that differ.
+    With a folder that driver and executors share, what the records hold is written there once: the
+    sides of the joins read the columns they need, and no record is parsed for each of them.
     """
     # a generator parses a record once; as a projection it would be parsed anew for every field that is read
     x = records.select("request_id", F.inline(F.array(F.from_json("record", RECORD))))
     x = x.withColumn("system_id", F.sha2(F.to_json("policy"), 256))
+    if folder:
+        x.write.parquet(folder)
+        x = x.sparkSession.read.schema(x.schema).parquet(folder)
     policies = x.groupBy("system_id").agg(F.first("policy").alias("p")).select("system_id", "p.*")
     results = x.select("request_id", "system_id", F.inline("evidence"))
     risk, governance = scoring.price(results, policies, x), scoring.govern(results, x)

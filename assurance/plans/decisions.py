@@ -174,7 +174,7 @@ def p12(spark, d):
     changed = changed.withColumn("status", F.when((n == 6) & (what == "privacy"), "failed").otherwise(F.col("status")))
     path = shared(spark)
     decide.records(x.capability, changed, x.policy, x.decided()).write.parquet(path)
-    return decide.replay(spark.read.parquet(path))
+    return decide.replay(spark.read.parquet(path), shared(spark))
 
 
 LATE = """late AS (SELECT * REPLACE ('completed_async' AS status) FROM v_detector_results WHERE status = 'queued_async'),

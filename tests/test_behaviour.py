@@ -169,6 +169,15 @@ def test_price_by_hand(spark):
     assert got[1].price == 0 and got[1].confidence == 0.3
 
 
+def test_replay_parses_records_once(spark):
+    """The sides of the replay's joins read what the records held from the shared folder."""
+    from assurance.plans.decisions import QUERIES
+
+    out = QUERIES["p12_replay"](spark, "/root/testdata/sf0.001")
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() > 0
+
+
 def test_replay_names_what_was_changed_in_a_record(spark):
     import json
 
