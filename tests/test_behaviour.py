@@ -562,3 +562,20 @@ def test_strongest_control_is_found_by_interval(spark):
     expect = {(i, max(k for k, z, a, b in controls if z == s and a <= t < b)) for i, s, t in points if any(z == s and a <= t < b for _, z, a, b in controls)}
     got = policy.strongest(p, c, F.struct((-F.col("control_id") * 0).alias("priority"), "control_id"), "x").select("request_id", "x.control_id").collect()
     assert len(got) == len(expect) and set(map(tuple, got)) == expect
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_a_chunk_are_counted_in_its_row(spark):
+    from assurance.operators import corpus
+
+    chunks = spark.createDataFrame([("s", "1#000", "refund late refund fee Refund"), ("s", "1#001", "the of"), ("s", "1#002", None), ("t", "2#000", "fee")], "system_id string, chunk_id string, text string")
+    rows = corpus.entries(chunks)
+    assert "Exchange" not in plan_of(rows)[1]
+    got = {(r.chunk_id, r.term): (r.tf, r.n_tokens, r.slot == corpus.SIZES) for r in rows.collect()}
+    assert got == {
+        ("1#000", "refund"): (3, 5, False), ("1#000", "late"): (1, 5, False), ("1#000", "fee"): (1, 5, False), ("1#000", ""): (1, 5, True),
+        ("1#001", ""): (1, 0, True), ("2#000", "fee"): (1, 1, False), ("2#000", ""): (1, 1, True),
+    }
