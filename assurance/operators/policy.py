@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,21 +112,29 @@ def live_controls(points: DataFrame, controls: DataFrame, after_s: int = 0) -> D
     return p.join(c, ["system_id", "hour"]).filter((F.col("occurred_at") >= F.col("valid_from")) & (F.col("occurred_at") < end)).drop("hour")
 
 
-def folded(payloads: Column) -> Column:
-    """struct(scalars, lists, dicts) of an array of JSON payloads, later ones on top: members of a dict are updated, lists are extended, anything else is overwritten."""
-    start = F.struct(*(F.create_map().cast(kind).alias(name) for name, kind in (("scalars", "map<string,string>"), ("lists", "map<string,array<string>>"), ("dicts", "map<string,map<string,string>>"))))
-    empty_list, empty_dict = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
-    later = lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x))
+def parsed(payload: Column) -> Column:
+    """struct(scalars, lists, dicts) of a JSON payload: arrays of struct(key, value), where a value is a string, an array of strings, or an array of struct(key, value)."""
+    every = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kind = lambda sign: F.map_entries(F.map_filter(every, lambda _, v: F.coalesce(v.startswith(sign), F.lit(False))))
+    plain = F.map_entries(F.map_filter(every, lambda _, v: ~F.coalesce(v.startswith("[") | v.startswith("{"), F.lit(False))))
+    put = lambda e, value: F.struct(e["key"].alias("key"), value.alias("value"))
+    lists = F.transform(kind("["), lambda e: put(e, F.coalesce(F.from_json(e["value"], "array<string>"), F.array().cast("array<string>"))))
+    dicts = F.transform(kind("{"), lambda e: put(e, F.coalesce(F.map_entries(F.from_json(e["value"], "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))))
+    return F.struct(plain.alias("scalars"), lists.alias("lists"), dicts.alias("dicts"))
+
 
-    def put(acc: Column, payload: Column) -> Column:
-        every = F.coalesce(F.from_json(payload, "map<string,string>"), empty_dict)
-        kind = lambda sign: F.map_filter(every, lambda _, v: F.coalesce(v.startswith(sign), F.lit(False)))
-        plain = F.map_filter(every, lambda _, v: ~F.coalesce(v.startswith("[") | v.startswith("{"), F.lit(False)))
-        lists = F.map_zip_with(acc["lists"], F.transform_values(kind("["), lambda _, v: F.from_json(v, "array<string>")), lambda _, x, y: F.concat(F.coalesce(x, empty_list), F.coalesce(y, empty_list)))
-        dicts = F.map_zip_with(acc["dicts"], F.transform_values(kind("{"), lambda _, v: F.from_json(v, "map<string,string>")), lambda _, x, y: later(F.coalesce(x, empty_dict), F.coalesce(y, empty_dict)))
-        return F.struct(later(acc["scalars"], plain).alias("scalars"), lists.alias("lists"), dicts.alias("dicts"))
+def folded(layers: Column) -> list[Column]:
+    """Maps scalars, lists and dicts of an array of parsed payloads, later ones on top: members of a dict are updated, lists are extended, anything else is overwritten by what is not null."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)
 
-    return F.aggregate(payloads, start, put)
+    def by_key(pairs: Column, value: Callable[[Column], Column]) -> Column:
+        """Each key with the value of its pairs, in order."""
+        keys = lambda p: F.array_distinct(F.transform(p, lambda e: e["key"]))
+        return bound(pairs, lambda p: F.map_from_entries(F.transform(keys(p), lambda k: F.struct(k, value(F.transform(F.filter(p, lambda e: e["key"] == k), lambda e: e["value"]))))))
+
+    last = lambda values: F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+    pairs = lambda name: F.flatten(F.transform(layers, lambda x: x["layer"][name]))
+    return [by_key(pairs("scalars"), last).alias("scalars"), by_key(pairs("lists"), F.flatten).alias("lists"), by_key(pairs("dicts"), lambda v: by_key(F.flatten(v), last)).alias("dicts")]
 
 
 def timeline(controls: DataFrame) -> DataFrame:
@@ -132,30 +142,44 @@ def timeline(controls: DataFrame) -> DataFrame:
 
     controls: (control_id, system_id, kind, version, payload as JSON, valid_from, valid_to). Their
     ends cut a system's time into intervals in which nothing changes, so payloads are folded
-    once an interval, not once a decision. A control stands in as many intervals as others
-    begin or end while it is live.
+    once an interval, not once a decision. Each payload is parsed once; the controls that touch
+    an hour of a system are sorted once, and its intervals pick the live ones of them, so no
+    pair of an interval and a control is shuffled.
     """
-    ends = controls.select("system_id", F.explode(F.array("valid_from", "valid_to")).alias("occurred_at")).distinct()
-    live = live_controls(ends.withColumn("request_id", F.unix_micros("occurred_at")), controls)
-    inside = live.groupBy("system_id", F.col("occurred_at").alias("from_at")).agg(
-        F.count("*").alias("n_live"),
-        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
-        F.max("control_id").alias("last_control"),
-        F.transform(F.array_sort(F.collect_list(F.struct("version", "control_id", "payload"))), lambda x: x["payload"]).alias("payloads"),
+    hour = lambda c: F.date_trunc("hour", c)
+    ends = controls.select("system_id", F.explode(F.array("valid_from", "valid_to")).alias("from_at"))
+    ends = ends.groupBy("system_id", hour("from_at").alias("hour")).agg(F.collect_set("from_at").alias("times"))
+    rows = controls.select("system_id", F.struct("version", "control_id", "kind", "valid_from", "valid_to", parsed(F.col("payload")).alias("layer")).alias("c"))
+    rows = rows.withColumn("hour", F.explode(F.sequence(hour("c.valid_from"), hour("c.valid_to"), F.expr("interval 1 hour"))))
+    touching = rows.groupBy("system_id", "hour").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    each = ends.join(touching, ["system_id", "hour"]).select("system_id", F.explode("times").alias("from_at"), "cs")
+    live = each.select("system_id", "from_at", F.filter("cs", lambda c: (c["valid_from"] <= F.col("from_at")) & (c["valid_to"] > F.col("from_at"))).alias("live"))
+    column = lambda name: F.transform("live", lambda c: c[name])
+    some = lambda x: F.when(F.size("live") > 0, x)
+    return live.select(
+        "system_id",
+        "from_at",
+        some(F.size("live").cast("long")).alias("n_live"),
+        some(F.array_join(F.array_sort(F.array_distinct(column("kind"))), ",")).alias("kinds"),
+        F.array_max(column("control_id")).alias("last_control"),
+        *folded(F.col("live")),
     )
-    inside = inside.select("*", folded(F.col("payloads")).alias("x")).select("system_id", "from_at", "n_live", "kinds", "last_control", "x.*")
-    return ends.select("system_id", F.col("occurred_at").alias("from_at")).join(inside, ["system_id", "from_at"], "left")
 
 
-def overlays(points: DataFrame, controls: DataFrame) -> DataFrame:
+FOLDED = ("scalars", "lists", "dicts")
+
+
+def overlays(points: DataFrame, controls: DataFrame, *columns: Column) -> DataFrame:
     """(request_id, system_id, n_live, kinds, last_control, scalars, lists, dicts) of each point that controls bear on.
 
-    A point meets the interval that began last before it, as of its time.
+    A point meets the interval that began last before it, as of its time. With columns of
+    scalars, lists and dicts, these are made once an interval and stand in their place.
     """
     intervals = timeline(controls)
-    at = as_of(points.select("request_id", "system_id", "occurred_at"), intervals.select("system_id", "from_at"), "system_id", "occurred_at", "from_at", F.unix_micros("from_at"), "interval")
-    live = intervals.filter("n_live > 0").withColumn("interval", F.unix_micros("from_at")).drop("from_at")
-    return at.join(live, ["system_id", "interval"]).drop("interval", "occurred_at").select("request_id", "system_id", "n_live", "kinds", "last_control", "scalars", "lists", "dicts")
+    ends = controls.select("system_id", F.explode(F.array("valid_from", "valid_to")).alias("from_at")).distinct()
+    at = as_of(points.select("request_id", "system_id", "occurred_at"), ends, "system_id", "occurred_at", "from_at", F.unix_micros("from_at"), "interval")
+    live = intervals.filter("n_live > 0").select("system_id", F.unix_micros("from_at").alias("interval"), "n_live", "kinds", "last_control", *(columns or FOLDED))
+    return at.join(live, ["system_id", "interval"]).select("request_id", "system_id", *live.columns[2:])
 
 
 def strongest(points: DataFrame, controls: DataFrame, value: Column, name: str) -> DataFrame:

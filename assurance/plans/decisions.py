@@ -89,10 +89,9 @@ DAY_LIVE = "day_live AS (SELECT d.request_id, d.system_id, c.* EXCLUDE (system_i
 )
 def p3(spark, d):
     turns = V.decisions(spark, d)
-    x = policy.overlays(turns, V.day_controls(turns))
     thresholds = lambda k: F.try_element_at(F.try_element_at("dicts", F.lit("thresholds")), F.lit(k)).alias(k)
     scalar = lambda k: F.try_element_at("scalars", F.lit(k)).alias(k)
-    return x.select("request_id", "system_id", "n_live", "kinds", "last_control", scalar("mode"), scalar("suspended"), F.array_join(F.try_element_at("lists", F.lit("tools")), ",").alias("tools"), thresholds("escalate"), thresholds("pass"))
+    return policy.overlays(turns, V.day_controls(turns), scalar("mode"), scalar("suspended"), F.array_join(F.try_element_at("lists", F.lit("tools")), ",").alias("tools"), thresholds("escalate"), thresholds("pass"))
 
 
 @query(

@@ -579,3 +579,21 @@ def test_terms_of_a_chunk_are_counted_in_its_row(spark):
         ("1#000", "refund"): (3, 5, False), ("1#000", "late"): (1, 5, False), ("1#000", "fee"): (1, 5, False), ("1#000", ""): (1, 5, True),
         ("1#001", ""): (1, 0, True), ("2#000", "fee"): (1, 1, False), ("2#000", ""): (1, 1, True),
     }
+
+
+def test_payloads_are_parsed_once_and_columns_made_once_an_interval(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1, 10)
+    at = lambda m: t0 + timedelta(minutes=m)
+    rows = [(n, "sys-0", "tool_restricted", n, f'{{"tools": ["t{n}", null], "mode": {"null" if n % 2 else chr(34) + str(n) + chr(34)}, "limits": {"{}" if n % 2 else "[]"}}}', at(n), at(n + 100)) for n in range(300)]
+    controls = spark.createDataFrame(rows, "control_id long, system_id string, kind string, version long, payload string, valid_from timestamp, valid_to timestamp")
+    points = spark.createDataFrame([(m, "sys-0", at(m)) for m in (0, 150, 398, 399)], "request_id long, system_id string, occurred_at timestamp")
+    tools = F.array_join(F.try_element_at("lists", F.lit("tools")), ",").alias("tools")
+    got = {r.request_id: r for r in policy.overlays(points, controls, tools, F.try_element_at("scalars", F.lit("mode")).alias("mode"), F.size("dicts").alias("n")).collect()}
+    assert set(got) == {0, 150, 398}
+    assert got[0].tools == "t0" and got[0].mode == "0" and got[0].n == 0
+    assert got[150].n_live == 100 and got[150].tools == ",".join(f"t{n}" for n in range(51, 151)) and got[150].mode == "150" and got[150].n == 1
+    assert got[398].tools == "t299" and got[398].mode is None and got[398].last_control == 299
+    plan = plan_of(policy.timeline(controls))[0]
+    assert plan.index("collect_list") < plan.index("from_json")  # it stands below, before controls are grouped
