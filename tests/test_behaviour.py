@@ -597,3 +597,19 @@ def test_payloads_are_parsed_once_and_columns_made_once_an_interval(spark):
     assert got[398].tools == "t299" and got[398].mode is None and got[398].last_control == 299
     plan = plan_of(policy.timeline(controls))[0]
     assert plan.index("collect_list") < plan.index("from_json")  # it stands below, before controls are grouped
+
+
+def test_sources_are_read_once_for_the_turns_of_a_key(spark):
+    turns = spark.createDataFrame(
+        [(n, 7 if n < 3 else 8, "May I get a refund of 9,000 for the booking?", "Yes." if n % 2 else "A refund above 5,000 requires approval by a manager.") for n in range(1, 5)],
+        "turn_id long, doc_id long, question string, answer string",
+    )
+    sources = spark.createDataFrame([(7, "# Rules. A refund above 5,000 requires  approval by a manager. Nothing else is said in this text."), (9, None)], "doc_id long, text string")
+    by_key = monitors.omitted_conditions(turns, sources, "doc_id")
+    by_turn = monitors.omitted_conditions(turns, turns.join(sources, "doc_id").select("turn_id", "text"))
+    got = sorted(map(tuple, by_key.collect()))
+    assert got == sorted(map(tuple, by_turn.collect())) and [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 1, 5000.0, "A refund above 5,000 requires approval by a manager.")]
+    x = {r.turn_id: (r.n_omitted, r.score) for r in monitors.purpose(turns.withColumn("system_id", F.lit("s")), sources, "doc_id").collect()}
+    assert x[1][0] == 1 and x[2][0] == x[3][0] == x[4][0] == 0
+    plan = plan_of(by_key)[0]
+    assert plan.count("startswith") <= 2 and "Generate explode" not in plan  # sentences are never rows of a turn before they are judged
