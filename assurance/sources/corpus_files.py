@@ -7,9 +7,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 # What is read, and the sizes of chunks.
 SUFFIXES = ("txt", "md", "markdown", "csv", "json", "log", "rst")
@@ -39,13 +40,23 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return f.filter(F.trim("text") != ""), refused.unionByName(empty)
 
 
+#: Texts that a worker holds as Python strings at once while it normalises them.
+AT_ONCE = 256
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC form of a text (TX1); plain ASCII, the common case, never leaves the JVM."""
+    """NFKC form of a text (TX1); plain ASCII, the common case, never leaves the JVM.
+
+    A function of Python is called for every row, whatever condition stands before it, so plain
+    texts go to it as null; of the others a worker turns AT_ONCE into strings at a time.
+    """
 
-    def slow(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    def slow(texts: pa.Array) -> pa.Array:
+        done = [pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts.slice(at, AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(pandas_udf(slow, "string")(text))
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(arrow_udf(slow, "string")(F.when(~plain, text)))
 
 
 def split(text: str) -> list[str]:

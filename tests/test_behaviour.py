@@ -613,3 +613,12 @@ def test_sources_are_read_once_for_the_turns_of_a_key(spark):
     assert x[1][0] == 1 and x[2][0] == x[3][0] == x[4][0] == 0
     plan = plan_of(by_key)[0]
     assert plan.count("startswith") <= 2 and "Generate explode" not in plan  # sentences are never rows of a turn before they are judged
+
+
+def test_plain_texts_do_not_reach_python(spark):
+    texts = [None, "", "plain", "ﬁne", "①" * 3] + ["x" * n for n in range(1, 400)] + ["Å" * n for n in range(1, 400)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.x for r in df.orderBy("doc_id").select(corpus_files.nfkc(F.col("text")).alias("x")).collect()]
+    assert got == [None, "", "plain", "fine", "111", *texts[5:404], *("Å" * n for n in range(1, 400))]
+    plan = plan_of(df.select(corpus_files.nfkc(F.col("text"))))[1]
+    assert "ArrowEvalPython" in plan and "CASE WHEN" in plan[plan.index("ArrowEvalPython"):]  # what is handed over is null for plain texts
