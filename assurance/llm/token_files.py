@@ -11,14 +11,15 @@ is tried again writes new names, so what a lost executor left behind is never re
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -26,15 +27,67 @@ from pyspark.sql import functions as F
 
 from assurance.llm.common import shared_dir
 
-CACHE = 600_000
-#: A single space between two other characters always starts a new pre-token.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks that one call can encode side by side; and Latin letters with marks behind them.
-LONE = re.compile(r" [!-~\xa1-\u024f]{1,63}").fullmatch
-TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]{1,60})([.,;:!?*$%&#]{1,4})").fullmatch
+#: Chunks that a worker keeps with their ids, the longest of them in bytes, and bytes of text that are encoded together.
+CACHE, KEPT, LOT = 600_000, 64, 8 << 20
+#: Chunks that one call of the library encodes; it holds much more than ids until it returns.
+CALL = 256
+
+
+def bytes_of(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which of the 256 bytes lie in some range, ends included."""
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+SPACE, LETTER, VISIBLE = bytes_of((9, 13), (32, 32)), bytes_of((65, 90), (97, 122)), bytes_of((33, 126))
+MARK = VISIBLE & ~LETTER
+#: First bytes of two whose characters are letters (but for the signs of times and division): Latin and Cyrillic.
+LEAD = bytes_of((0xC3, 0xC8), (0xD0, 0xD1))
+#: Bytes that a word must not hold to be encoded with others: controls, spaces, and first bytes of characters that may be spaces.
+ODD = bytes_of((0, 32), (127, 127), (0xC2, 0xC2), (0xE1, 0xE3))
 MANIFEST = "part int, path string, index_path string, n_docs long, n_ids long"
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a pre-token starts at a byte of UTF-8 whatever stands around: a space after another character, or an ASCII mark or digit after a letter.
+
+    Spaces after a character that is a space itself, or might be one, are no cut.
+    """
+    cut = np.zeros(len(data), bool)
+    last, here = data[:-1], data[1:]
+    space, mark = SPACE[here], MARK[here]
+    cut[1:] = space & VISIBLE[last] | mark & LETTER[last]
+    at = np.flatnonzero((space | mark) & (last >= 0x80)) + 1  # after a character of several bytes
+    at = at[at >= 3]
+    u, v, w = data[at - 3], data[at - 2], data[at - 1]
+    blank = (v == 0xC2) & ((w == 0x85) | (w == 0xA0)) | (u == 0xE1) & ((v == 0x9A) | (v == 0xA0)) | (u == 0xE3) & (v == 0x80) & (w == 0x80)
+    blank |= (u == 0xE2) & ((v == 0x80) & ((w <= 0x8F) | (w >= 0xA8) & (w <= 0xAF)) | (v == 0x81) & (w >= 0x9F))
+    letter = LEAD[v] & ~((v == 0xC3) & ((w == 0x97) | (w == 0xB7)))
+    cut[at] = np.where(SPACE[data[at]], ~blank, letter)
+    return cut
+
+
+class Chunks:
+    """Distinct chunks of text with their ids, all ids in one array."""
+
+    def __init__(self, chunks: pa.Array, ids: np.ndarray, lengths: np.ndarray):
+        self.chunks, self.ids, self.lengths = chunks, ids, lengths
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the chunks at these places, one after the other."""
+        lengths = self.lengths[at]
+        starts = (np.cumsum(self.lengths) - self.lengths)[at]
+        return self.ids[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+    def only(self, at: np.ndarray) -> Chunks:
+        return Chunks(self.chunks.take(pa.array(at)), self.take(at), self.lengths[at])
+
+    def plus(self, other: Chunks) -> Chunks:
+        return Chunks(pa.concat_arrays([self.chunks, other.chunks]), np.concatenate([self.ids, other.ids]), np.concatenate([self.lengths, other.lengths]))
+
+
 class ByteLevelEncoder:
     """The tokenizers library behind a table of encoded chunks; one per worker."""
 
@@ -46,40 +99,66 @@ class ByteLevelEncoder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size()
         self.after_space = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text as little-endian 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
-        split = [[] if not t or i in whole else [c if not k else " " + c for k, c in enumerate(CUT.split(t))] for i, t in enumerate(texts)]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = {c for s in split for c in s if c not in known}
-        ends = {}
-        for c in new:  # letters and the marks after them never share a pre-token
-            if m := TAIL(c):
-                ends[c] = m.groups()
-        need = [c for c in {*(new - ends.keys()), *(x for pair in ends.values() for x in pair)} if c not in known]
-        once = {}
-        alone = [c for c in need if not LONE(c)]
-        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            (known if len(c) <= 64 else once)[c] = np.array(e.ids, np.uint32).tobytes()
-        alone = set(alone)
-        lone = [c for c in need if c not in alone]
-        for at in range(0, len(lone), 2048):  # one call for many: each starts with the only space it has
-            part = lone[at : at + 2048]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            flat, starts = ids.tobytes(), (np.flatnonzero(self.after_space[ids]) * 4).tolist()
-            for c, a, b in zip(part, starts, [*starts[1:], len(flat)], strict=True):
-                known[c] = flat[a:b]
-        for c, (head, tail) in ends.items():
-            known[c] = known[head] + known[tail]
-        get = {**once, **known}.__getitem__ if once else known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for i in whole:
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()
-        return out
+        self.known = self.none = Chunks(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def holds_added(self, texts: pa.Array) -> np.ndarray:
+        return np.any([np.zeros(len(texts), bool), *(pc.match_substring(texts, a).to_numpy(zero_copy_only=False) for a in self.added)], axis=0)
+
+    def alone(self, chunks: pa.Array, call: int) -> Chunks:
+        parts = (chunks.slice(at, call).to_pylist() for at in range(0, len(chunks), call))
+        found = [np.array(e.ids, np.uint32) for part in parts for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        return Chunks(chunks, np.concatenate([self.none.ids, *found]), np.array([len(x) for x in found], np.int64))
+
+    def together(self, words: pa.Array) -> Chunks:
+        """Words that start with the only space they have: where a token starts with one, a word does."""
+        texts = words.to_pylist()
+        found = [np.array(self.library.encode("".join(texts[at : at + CALL]), add_special_tokens=False).ids, np.uint32) for at in range(0, len(texts), CALL)]
+        ids = np.concatenate([self.none.ids, *found])
+        lengths = np.diff(np.flatnonzero(self.after_space[ids]), append=len(ids))
+        if len(lengths) != len(words):
+            raise ValueError(f"{len(words)} words were encoded as {len(lengths)}")
+        return Chunks(words, ids, lengths)
+
+    def new(self, chunks: pa.Array) -> tuple[Chunks, np.ndarray]:
+        """The chunks encoded, those of over KEPT bytes last, and where each stood."""
+        if not len(chunks):
+            return self.none, np.zeros(0, np.int64)
+        ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset :][: len(chunks) + 1]
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)
+        size, odd = np.diff(ends), np.diff(np.r_[0, np.cumsum(ODD[data])][ends])
+        kept = size <= KEPT
+        word = kept & (size > 1) & (data[ends[:-1]] == 32) & (odd == 1) & ~self.holds_added(chunks)
+        words, short, long = (np.flatnonzero(x) for x in (word, kept & ~word, ~kept))
+        found = self.together(chunks.take(pa.array(words))).plus(self.alone(chunks.take(pa.array(short)), CALL))
+        return found.plus(self.alone(chunks.take(pa.array(long)), 1)), np.r_[words, short, long]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, and how many each text has (null: none)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+        if not len(texts) or ends[0] == ends[-1]:
+            return self.none.ids, np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        cut = np.r_[cuts(data), True]
+        for i in np.flatnonzero(self.holds_added(texts)):
+            cut[ends[i] : ends[i + 1]] = False
+        cut[ends] = True
+        at = np.flatnonzero(cut).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        distinct = chunks.dictionary
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.known.chunks), -1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        new, order = self.new(distinct.take(pa.array(unknown)))
+        table = self.known.plus(new)
+        place[unknown[order]] = np.arange(len(self.known.lengths), len(table.lengths))
+        which = place[chunks.indices.to_numpy()]
+        lengths = np.diff(np.r_[0, np.cumsum(table.lengths[which])][np.searchsorted(at, ends)])
+        ids = table.take(which)
+        short = pc.binary_length(table.chunks).to_numpy() <= KEPT
+        keep = np.sort(place) if short.sum() > CACHE else np.arange(len(short))  # if too many, only those of these texts
+        self.known = table.only(keep[short[keep]])
+        return ids, lengths
 
 
 @lru_cache(2)
@@ -94,8 +173,8 @@ class SequenceWriter:
         self.seq_len, self.rows, self.kind = seq_len, rows, np.uint32 if wide else np.uint16
         self.schema = pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.out = ipc.new_file(sink, self.schema)
-        self.held: list[bytes] = []
-        self.held_bytes = 0
+        self.held: list[np.ndarray] = []
+        self.n_held = 0
         self.n_ids = 0
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
@@ -103,25 +182,33 @@ class SequenceWriter:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids.astype(self.kind), mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
-        self.held_bytes += len(ids)
-        self.n_ids += len(ids) // 4
+        self.n_held += len(ids)
+        self.n_ids += len(ids)
         full = self.rows * self.seq_len
-        if self.held_bytes >= 4 * full:
-            flat = np.frombuffer(b"".join(self.held), np.uint32)
+        if self.n_held >= full:
+            flat = np.concatenate(self.held)
             for at in range(0, len(flat) - full + 1, full):
                 self._batch(flat[at : at + full], full)
-            rest = flat[len(flat) // full * full :].tobytes()
-            self.held, self.held_bytes = [rest], len(rest)
+            rest = flat[len(flat) // full * full :].copy()
+            self.held, self.n_held = [rest], len(rest)
 
     def close(self) -> None:
-        flat = np.frombuffer(b"".join(self.held), np.uint32)
+        flat = np.concatenate([np.zeros(0, np.uint32), *self.held])
         if len(flat):
             self._batch(np.r_[flat, np.zeros(-len(flat) % self.seq_len, np.uint32)], len(flat))
         self.out.close()
 
 
+def lots(batch: pa.RecordBatch, most: int = LOT) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, none empty, with less than most bytes of text after their first row."""
+    if batch.num_rows:
+        lot = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)) // most
+        for low, high in pairwise([0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), batch.num_rows]):
+            yield batch.slice(low, high - low)
+
+
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, seq_len: int = 2048, rows: int = 128) -> DataFrame:
     """Encode docs (doc_id, text) in ascending doc_id order into files; returns the manifest, which is written there too.
 
@@ -141,21 +228,17 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         store, root = fs.FileSystem.from_uri(folder)
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         path, index_path = f"{root}/{part:06d}-{name}.arrow", f"{root}/{part:06d}-{name}.docs.arrow"
-        end = np.uint32(end_id).tobytes()
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         code, n_docs = encoder(tokenizer), 0
         with store.open_output_stream(path) as sink, store.open_output_stream(index_path) as index_sink, ipc.new_file(index_sink, schema) as index:
             out = SequenceWriter(sink, seq_len, rows, wide=len(code.after_space) > 1 << 16)
             for big in (b for some in ([first], batches) for b in some):
-                for at in range(0, big.num_rows, 512):
-                    batch = big.slice(at, 512)
+                for batch in lots(big):
                     start = out.n_ids
-                    lengths = []
-                    for ids in code.encode(batch.column(1).to_pylist()):
-                        out.add(ids + end)
-                        lengths.append(len(ids) // 4 + 1)
-                    starts = start + np.cumsum([0, *lengths])[:-1]
-                    index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], schema=schema))
+                    ids, lengths = code.encode(batch.column(1))
+                    out.add(np.insert(ids, np.cumsum(lengths), end_id))
+                    starts = start + np.cumsum(lengths + 1) - lengths - 1
+                    index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), pa.array(lengths + 1, pa.int64())], schema=schema))
                     n_docs += batch.num_rows
             out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "index_path": [index_path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,3 +592,40 @@ def test_op10_round_trip(spark, docs, odd, empty):
     ids, mask = token_files.sequence(store, first.path, 0)
     assert len(ids) == len(mask) == 64 and mask.all()
     assert token_files.read_files(token_files.write_files(empty, tokenizer_path("byte_bpe_50k.json"), 2)).count() == 0
+
+
+def test_op10_encodes_a_word_once_and_keeps_the_words_in_use(monkeypatch):
+    code = token_files.ByteLevelEncoder(tokenizer_path("byte_bpe_50k.json"))
+    t, given = library("byte_bpe_50k.json"), []
+
+    class Counted:
+        def encode(self, text, **more):
+            given.append(text)
+            return t.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return t.encode_batch_fast(texts, **more)
+
+    code.library = Counted()
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    odd = [None, "", " ", "a\n\nb  c", "l’\xe9t\xe9, \xab mot \xbb", "x\xa0 y　 z  q\x1c w\x85 e", "it's !'s (a,b) 3,5% don't", "\xd7, \xf7. Ж! 日本。 ok", "a<|endoftext|>, b", "n" * 90 + ", end"]
+    words = [f"word{chr(97 + i)}lo" for i in range(26)]
+    texts = [*odd, *(" ".join(words[i:] + words[:i]) + "." for i in range(26))]
+    for again in (False, True):
+        given.clear()
+        ids, lengths = code.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert sum(x.count("word") for x in given) == (0 if again else 52)  # with and without a space; none anew when the table is full
+    assert len(code.known.lengths) > 20
+    code.encode(pa.array(["other words"]))
+    assert len(code.known.lengths) == 2
+
+
+def test_op10_lots_are_bounded_and_whole():
+    texts = [None, "", "a" * 30, "b" * 5, "c" * 6, None, "d" * 4, "e" * 25, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": pa.array(texts, pa.string())})
+    parts = [part.column(1).to_pylist() for part in token_files.lots(batch, 10)]
+    assert sum(parts, []) == texts and all(parts)
+    assert all(sum(len(x or "") for x in part[1:]) < 10 for part in parts)
+    assert list(token_files.lots(batch.slice(0, 0))) == []
