@@ -548,6 +548,26 @@ def test_ranking_by_groups_of_chunks_and_questions(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(expect)
 
 
+def test_chunks_with_one_id_are_one_in_a_kept_index(spark, tmp_path):
+    """A kept index ranks as one built at once does, also where lines from the thousandth on, documents given twice or without an id share chunk ids."""
+    from assurance.operators import corpus
+
+    long = "\n".join(f"line w{i % 7} w{i % 101}" + " red apple" * (i in (100, 1003, 1100)) for i in range(1101))
+    rows = [("s0", 1, long), ("s0", 2, "red wine\n\npear"), ("s0", 2, "red red wine\n\npear tree"), ("s0", None, "green apple"), ("s0", None, "red apple tart"), ("s1", 2, "red wine"), ("s1", 3, None)]
+    chunks = corpus.chunks_by_line(spark.createDataFrame(rows, "system_id string, doc_id long, text string"))
+    path = str(tmp_path / "index")
+    corpus.write_index(chunks, path)
+    for got, want in zip(corpus.read_index(spark, path), corpus.index(chunks), strict=True):
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    questions = spark.createDataFrame([(1, "red apple"), (2, "wine pear w3"), (3, "tart")], "item_id long, text string")
+    kept = [tuple(r) for r in corpus.bm25(questions, None, kept=path).collect()]
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in corpus.bm25(questions, chunks).collect()), key=str)
+    found = {r[2] for r in kept}
+    assert {"1#100", "2#000", None} <= found
+    postings = corpus.read_index(spark, path)[0].filter("term = 'apple'").collect()
+    assert sorted((r.chunk_id or "", r.tf) for r in postings) == [("", 2), ("1#100", 2), ("1#110", 1)]
+
+
 def test_strongest_control_is_found_by_interval(spark):
     """Each point has the largest value of its live controls, also where an end meets a beginning; points and controls are not paired."""
     import datetime
