@@ -568,6 +568,38 @@ def test_chunks_with_one_id_are_one_in_a_kept_index(spark, tmp_path):
     assert sorted((r.chunk_id or "", r.tf) for r in postings) == [("", 2), ("1#100", 2), ("1#110", 1)]
 
 
+def test_amended_index_with_ids_that_several_chunks_have(spark, tmp_path):
+    """Chunks taken out of a kept index and put in leave what an index of the rest is, also where chunks share ids, whole rows or both."""
+    from assurance.operators import corpus
+
+    long = "\n".join(f"line w{i % 7}" + " red apple" * (i in (100, 1003, 1100)) for i in range(1101))
+    stay = [("s0", 1, long), ("s0", 2, "red wine\npear"), ("s0", 2, "red wine\npear"), ("s0", 2, "apple\npear pear"), ("s1", 3, "red wine")]
+    gone = [("s0", 2, "red wine\npear"), ("s0", 2, "apple apple of red pear\ntree"), ("s0", 4, long), ("s0", None, "green"), ("s2", 5, "wine")]
+    come = [("s0", 4, long + "\napple"), ("s0", 2, "new apple"), ("s1", 3, "red wine")]
+    table = lambda rows: corpus.chunks_by_line(spark.createDataFrame(rows, "system_id string, doc_id long, text string"))
+    path = str(tmp_path / "index")
+    corpus.write_index(table(stay + gone), path)
+    corpus.amend_index(table(gone), table(come), path)
+    for got, want in zip(corpus.read_index(spark, path), corpus.index(table(stay + come)), strict=True):
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_kept_index_of_documents_without_id_or_text(spark, tmp_path):
+    """r4_kept_index against its SQL where documents have no id, no text, an id given twice or more than a thousand lines."""
+    import duckdb
+
+    from assurance.plans import registry
+
+    long = "\n".join(f"line w{i % 7} w{i % 101}" for i in range(1101))
+    rows = [(None, "red wine"), (3, None), (13, "apple\npear"), (13, "apple\npear tree"), (23, long), (25, long), (7, long), (7, "pear\npear"), (-3, "minus"), (1, "stone")]
+    spark.createDataFrame([(i, t, "src1") for i, t in rows], "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = registry.queries()["r4_kept_index"](spark, str(tmp_path))
+    sql = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()['r4_kept_index']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(sql)
+
+
 def test_strongest_control_is_found_by_interval(spark):
     """Each point has the largest value of its live controls, also where an end meets a beginning; points and controls are not paired."""
     import datetime
