@@ -100,6 +100,51 @@ def test_neighbours_of_the_suffix_array_give_the_runs(spark):
     assert max(r.n for r in got) > 2
 
 
+def full_runs(streams: list[tuple[int, list[str]]], least: int, many: int, share: float) -> set[tuple[int, int]]:
+    """Places of a host's streams under a substring of any length from least that many distinct pages and a share of them hold, by whole suffixes and their whole common prefixes."""
+    suffixes = sorted((tuple(s[i:]), n, i) for n, (_, s) in enumerate(streams) for i in range(len(s)))
+    common = [0] + [next((k for k, (x, y) in enumerate(zip(a[0], b[0], strict=False)) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    need, covered = max(many, share * len({p for p, _ in streams})), set()
+    for length in sorted({c for c in common if c >= least}):
+        at = 0
+        for end in range(1, len(suffixes) + 1):
+            if end == len(suffixes) or common[end] < length:
+                if len({streams[n][0] for _, n, _ in suffixes[at:end]}) >= need:
+                    covered |= {(n, i + k) for _, n, i in suffixes[at:end] for k in range(length)}
+                at = end
+    return covered
+
+
+def test_whole_suffixes_and_distinct_pages_give_the_same_text(spark, monkeypatch):
+    """Whole suffixes of every length find no place that those to the depth of WINDOW leave out; rows with one page_id are one page, in lots and batches of any size."""
+    rng = random.Random(21)
+    menus = [prose(rng, n) for n in (9, 16, 40)]
+    rows, streams, hosts = [], {}, ("h.example", "g.example")
+    for i in range(36):
+        page, host = i // 3 if i < 18 else i, hosts[i % 2 if i >= 18 else 0]  # ids of the first rows stand three times
+        said = rng.sample(menus, rng.randrange(0, 3)) + ([menus[2][: len(menus[2]) // 2]] if i % 5 == 0 else [])
+        said += ["alone {0} rows of two {0} pages say {0} so".format(page // 2)] * (i < 18)  # six rows, fewer than MANY pages
+        body = "".join(f"<div>{t}</div>" for t in (*said, prose(rng, 45)))  # more than LEAST_LEFT of its text is its own
+        rows.append((page, f"http://{host}/{i}", f"<body>{body}</body>"))
+        texts, zones = html_text.blocks(rows[-1][2])
+        streams.setdefault(host, []).append((page, html_text.stream(texts, zones, inside=False), i))
+    want = {}
+    for found in streams.values():
+        covered = full_runs([(p, s) for p, s, _ in found], html_text.WINDOW, html_text.MANY, html_text.SHARE)
+        want |= {i: [t for j, t in enumerate(s) if (n, j) not in covered] for n, (_, s, i) in enumerate(found)}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size, together in ((10_000, 300_000), (2, 30)):
+        monkeypatch.setattr(html_text, "TOGETHER", together)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {int(r.url.rsplit("/", 1)[1]): r.text.split() for r in html_text.extract(table).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert got == want
+    assert all("say" in got[i] for i in range(18)) and any(len(got[i]) < len(s) for found in streams.values() for _, s, i in found)
+
+
 def test_copies_and_quotes_keep_their_text(spark):
     """Without an article: a menu on many pages goes; copies, near copies and a quote on two pages stay."""
     rng = random.Random(9)
